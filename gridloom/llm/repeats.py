@@ -61,7 +61,7 @@ def records(docs: DataFrame, unit: Unit) -> DataFrame:
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """wanted: (h, m, _id, _fp, place), distinct runs. Adds the windows of each, read again from its document: a digest of each window's first tokens at every depth, up to the whole window."""
+    """wanted: (h, m, _id, _fp, place), distinct runs. Adds the content of each, read again from its document: its bytes, or for words a digest of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for x in batches for p in W.portions(x)):
@@ -80,25 +80,39 @@ def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(start[order], low + W.STRETCH)))
                 own = order[at:to]
                 t = tokens(low, int((start[own] + count[own]).max()) + unit.width - 1)
-                sums, ends = W.Prefix(t, 0), np.cumsum(count[own])
-                place_of = np.arange(ends[-1]) + np.repeat(start[own] - low - (ends - count[own]), count[own])
-                digests = np.stack([sums.of(place_of, place_of + d) for d in unit.depths], axis=1)
-                offsets = np.concatenate(([0], ends)) * digests.shape[1] * 8
-                blobs = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(digests.tobytes())]).cast(pa.binary())
+                if unit.words:
+                    size = count[own]
+                    of = _ramp(start[own] - low, size)
+                    content = W.Prefix(t, 0).of(of, of + unit.width).tobytes()
+                    step = 8
+                else:
+                    size = count[own] + unit.width - 1
+                    content = W.utf8(b.column("text"))[0][low:][_ramp(start[own] - low, size)].tobytes()
+                    step = 1
+                offsets = np.concatenate(([0], np.cumsum(size))) * step
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(own), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(content)]).cast(pa.binary())
                 keys = [pa.array(x[own]) for x in (h, m, long(b, "_id")[doc], long(b, "_fp")[doc], place)]
                 for i in range(0, len(own), 5_000):
-                    yield pa.RecordBatch.from_arrays([x.slice(i, 5_000) for x in [*keys, blobs]], names=["h", "m", "_id", "_fp", "place", "digests"])
+                    yield pa.RecordBatch.from_arrays([x.slice(i, 5_000) for x in [*keys, blobs]], names=["h", "m", "_id", "_fp", "place", "content"])
                 at = to
 
     lists = wanted.groupBy("_id", "_fp").agg(F.collect_list(F.struct("h", "m", "place")).alias("runs"))
-    return texts(docs).join(lists, ["_id", "_fp"]).select("_id", "_fp", "text", "runs").mapInArrow(run, "h long, m long, _id long, _fp long, place long, digests binary")
+    return texts(docs).join(lists, ["_id", "_fp"]).select("_id", "_fp", "text", "runs").mapInArrow(run, "h long, m long, _id long, _fp long, place long, content binary")
 
 
-def _digests(column, depths: int) -> np.ndarray:
-    data = pa.concat_arrays([column]) if isinstance(column, pa.Array) else column.combine_chunks()
-    data = data.cast(pa.large_binary())
-    o = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    return np.frombuffer(data.buffers()[2], np.uint64)[o[0] // 8 : o[-1] // 8].reshape(-1, depths)
+def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for size[0] places, and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def _digests(unit: Unit, column, count: np.ndarray) -> np.ndarray:
+    """Of every window of every run a digest for each depth."""
+    data, offsets = W.utf8(column)
+    if unit.words:
+        return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, 1)
+    sums, of = W.Prefix(W.BYTES[data], 0), _ramp(offsets[:-1], count)
+    return np.stack([sums.of(of, of + d) for d in unit.depths], axis=1)
 
 
 def group_ids(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -137,17 +151,14 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
     Groups of up to `together` runs are compared in one task; in larger ones every window is
     a row of its own, counted by its digest with partial sums before the shuffle.
     """
-    depths = unit.passes
-
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def judge(rows: pa.Table) -> pa.RecordBatch:
             h, ids, fps, place = (rows.column(n).to_numpy() for n in ("h", "_id", "_fp", "place"))
             start, count = W.unpack(place)
-            run = np.repeat(np.arange(len(h)), count)
-            at = np.arange(len(run)) + np.repeat(start - (np.cumsum(count) - count), count)
-            which, group = radix(h[run], _digests(rows.column("digests"), depths))
+            run, at = np.repeat(np.arange(len(h)), count), _ramp(start, count)
+            which, group = radix(h[run], _digests(unit, rows.column("content"), count))
             if earlier and len(which):
                 least = np.full(group.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, group, ids[run[which]])
@@ -178,13 +189,12 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
             for i in range(0, len(b), 500):
                 p = b.slice(i, 500)
                 start, count = W.unpack(long(p, "place"))
-                run = np.repeat(np.arange(len(p)), count)
-                at = np.arange(len(run)) + np.repeat(start - (np.cumsum(count) - count), count)
-                whole = _digests(p.column("digests"), depths)[:, -1].view(np.int64)
+                run, at = np.repeat(np.arange(len(p)), count), _ramp(start, count)
+                whole = np.ascontiguousarray(_digests(unit, p.column("content"), count)[:, -1]).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (long(p, "h")[run], whole, long(p, "_id")[run], long(p, "_fp")[run], at)], names=["h", "d", "_id", "_fp", "at"])
 
-    small = found.filter(F.col("m") <= together).repartition("h").sortWithinPartitions("h").select("h", "_id", "_fp", "place", "digests").mapInArrow(compare, SPAN)
-    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "digests").mapInArrow(singly, "h long, d long, _id long, _fp long, at long")
+    small = found.filter(F.col("m") <= together).repartition("h").sortWithinPartitions("h").select("h", "_id", "_fp", "place", "content").mapInArrow(compare, SPAN)
+    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "h long, d long, _id long, _fp long, at long")
     counts = one.groupBy("h", "d").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
     shared = one.join(counts, ["h", "d"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
     large = shared.select("_id", "_fp", F.col("at").alias("start"), (F.col("at") + unit.width).alias("end"))
