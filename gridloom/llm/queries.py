@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .packing import pack
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_words
 from .suffix_dedup import remove_repeated_bytes
@@ -20,6 +21,10 @@ _ID = F.col("row.doc_id").alias("doc_id")
 _CUT = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_words(documents(spark, sf_dir))
     return out.select(_ID, "n_words", _CUT.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
