@@ -17,7 +17,7 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
             i = int(with_item.argmax())
             best[c] = with_item[i]
             choice[c] = i
-            if best[c - 1] > best[c]:
+            if best[c - 1] >= best[c]:  # an item of no value is never taken
                 best[c], choice[c] = best[c - 1], -1
     count = np.zeros(len(size), np.int64)
     c = capacity
@@ -34,7 +34,7 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     """(patterns as rows of counts, how often each is used), to meet the demand exactly with few bins.
 
     The linear program over patterns is solved by the revised simplex method; a knapsack
-    prices the next pattern, until the bound by its value is within `gap`. Uses are rounded
+    prices the next pattern, until the bound by its value is within `gap` or one bin. Uses are rounded
     down and what is left over is packed by first fit, largest first.
     """
     n = len(size)
@@ -43,10 +43,17 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     basis = np.diag(capacity // size).astype(float)  # columns are patterns
     inverse = np.diag(1 / np.diag(basis))
     use = inverse @ demand
+    bound, steady = float(size @ demand) / capacity, None
     for step in range(200 * n + 1000):
         price = np.ones(n) @ inverse
-        worth, column = knapsack(np.maximum(price, 0), size, capacity)
-        if worth <= 1 + 1e-9 or use.sum() - use.sum() / worth <= gap * use.sum():
+        # prices drawn towards those of the best bound so far take far fewer steps
+        for drawn in (price if steady is None else 0.8 * steady + 0.2 * price, price):
+            worth, column = knapsack(np.maximum(drawn, 0), size, capacity)
+            if (at := float(np.maximum(drawn, 0) @ demand) / worth) > bound or steady is None:
+                bound, steady = max(at, bound), drawn.copy()
+            if price @ column > 1 + 1e-9:
+                break
+        if price @ column <= 1 + 1e-9 or use.sum() - bound <= max(gap * use.sum(), 1):
             break
         d = inverse @ column
         positive = d > 1e-9
