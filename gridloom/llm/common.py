@@ -55,11 +55,26 @@ def tidy(spark: SparkSession):
         yield
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+#: Bytes of the documents' files for each task that writes a table.
+TASK_BYTES = 64 << 20
+
+
+def tasks_for(docs: DataFrame) -> int:
+    """Tasks that suffice for what is made of docs: one for TASK_BYTES of their files, and two for each core."""
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+
+
+def few(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Writing costs a few file operations a task, so small inputs are written by few tasks however finely they are dealt."""
+    return df if tasks is None else df.coalesce(tasks)
+
+
+def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """The rows as a table in the shared folder, read back: lineage is cut, and a lost executor costs nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     with tidy(spark):
-        df.write.parquet(path)
+        few(df, tasks).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import minhash, quality, secrets
+from .common import keyed
 from .packing import pack
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -30,6 +32,20 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_ID, "n_words", _CUT.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secrets.scan(documents(spark, sf_dir))
+    base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
+    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    sha = F.sha2(secrets.written_spans(base).cast("binary"), 256)
+    return out.select(_ID, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), sha.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = minhash.compare_edited(keyed(documents(spark, sf_dir)))
+    sha = F.sha2(F.col("edited").cast("binary"), 256)
+    return out.select(_ID, "n_chars", sha.alias("edited_sha256"), minhash.packed(F.col("fingerprint")).alias("fingerprint"), minhash.packed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(documents(spark, sf_dir))
     return out.select(_ID, "n_bytes", _CUT.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
@@ -40,6 +56,12 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base_failed = F.col("failures").bitwiseAND(quality.policy_mask("v1")) != 0
+    out = quality.ledger(documents(spark, sf_dir))
+    return out.select(_ID, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & quality.passes("v2")).alias("kept"), "failures")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 

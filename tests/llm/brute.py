@@ -76,3 +76,59 @@ def near_components(rows, bits=3):
         if d is not None:
             least[find(i)] = min(least.get(find(i), d), d)
     return [(d, f"{f:016x}", least.get(find(i))) for i, ((d, _), f) in enumerate(zip(rows, fps))]
+
+
+KINDS = [
+    ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 6),
+    ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20),
+    ("hex", re.compile(r"[0-9a-f]+"), 0, 24),
+]
+
+
+def base_spans(text):
+    out = []
+    for k, (kind, pattern, group, least) in enumerate(KINDS):
+        out += [(m.start(), k, f"{kind}:{m.start()}:{m.end()}") for m in pattern.finditer(text or "") if len(m[group]) >= least]
+    return [s for _, _, s in sorted(out)]
+
+
+def secrets(rows):
+    out = []
+    for d, t in rows:
+        s = base_spans(t)
+        out.append((d, *(sum(x.startswith(k[0] + ":") for x in s) for k in KINDS), hashlib.sha256(",".join(s).encode()).hexdigest()))
+    return out
+
+
+def quality(rows):
+    out = []
+    for d, t in rows:
+        t, w = t or "", words(t)
+        grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        count, hit = Counter(grams), [False] * len(w)
+        for i, g in enumerate(grams):
+            if count[g] > 1:
+                hit[i : i + 5] = [True] * 5
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        failed = len(w) < 10 or 100 * sum(hit) > 20 * len(w)
+        out.append((d, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), sum(hit), failed))
+    return out
+
+
+def edited(rows):
+    rows = sorted(rows, key=lambda r: -r[0])
+    out = []
+    for (d, t), (_, u) in zip(rows, rows[1:] + rows[:1]):
+        t, u = t or "", u or ""
+        m = len(t) // 3
+        out.append((d, len(t), hashlib.sha256((t[: len(t) - m] + u[:m]).encode()).hexdigest(), shingles(t), shingles(t[: len(t) - m] + u[:m]), shingles(u)))
+    return out
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
