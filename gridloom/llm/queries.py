@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, quality, secrets
+from . import language, minhash, quality, secrets, toxicity
 from .common import keyed
 from .packing import pack
 from .simhash import near_duplicates
@@ -32,6 +32,17 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_ID, "n_words", _CUT.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def _remainder(k: int):
+    return F.crc32(F.col("doc_id").cast("string")) % k
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language.learn(docs, _remainder(3) != 1)
+    out = language.identify(docs, model)
+    return out.select(_ID, (F.crc32(F.col("row.doc_id").cast("string")) % 3 == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = secrets.scan(documents(spark, sf_dir))
     base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
@@ -62,6 +73,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_ID, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & quality.passes("v2")).alias("kept"), "failures")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = toxicity.score(docs, toxicity.learn(docs, labels, _remainder(5) != 0))
+    return out.select(_ID, (F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
