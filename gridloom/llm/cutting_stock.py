@@ -30,6 +30,20 @@ def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), count
 
 
+def inverted(matrix: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination; small matrices need no library threads, which fight with the executors'."""
+    n = len(matrix)
+    both = np.concatenate((matrix, np.eye(n)), axis=1)
+    for k in range(n):
+        row = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, row]] = both[[row, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        both -= np.outer(others, both[k])
+    return both[:, n:]
+
+
 def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as rows of counts, how often each is used), to meet the demand exactly with few bins.
 
@@ -42,10 +56,15 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
         return np.zeros((0, 0), np.int64), np.zeros(0, np.int64)
     basis = np.diag(capacity // size).astype(float)  # columns are patterns
     inverse = np.diag(1 / np.diag(basis))
-    use = inverse @ demand
+    use = (inverse * demand).sum(axis=1)
     bound, steady = float(size @ demand) / capacity, None
+    best, since = use.sum(), 0
     for step in range(200 * n + 1000):
-        price = np.ones(n) @ inverse
+        since = 0 if use.sum() < best - 1e-6 * best else since + 1
+        best = min(best, use.sum())
+        if since > n + 50:  # steps that only change the basis: any basis gives whole patterns
+            break
+        price = inverse.sum(axis=0)
         # prices drawn towards those of the best bound so far take far fewer steps
         for drawn in (price if steady is None else 0.8 * steady + 0.2 * price, price):
             worth, column = knapsack(np.maximum(drawn, 0), size, capacity)
@@ -55,7 +74,7 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
                 break
         if price @ column <= 1 + 1e-9 or use.sum() - bound <= max(gap * use.sum(), 1):
             break
-        d = inverse @ column
+        d = (inverse * column).sum(axis=1)
         positive = d > 1e-9
         ratio = np.where(positive, use / np.where(positive, d, 1), np.inf)
         out = int(ratio.argmin())
@@ -65,9 +84,9 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
         inverse[out] = pivot
         use = np.maximum(use - ratio[out] * d, 0)
         use[out] = ratio[out]
-        if step % 100 == 99:  # against rounding errors
-            inverse = np.linalg.inv(basis)
-            use = np.maximum(inverse @ demand, 0)
+        if step % 200 == 199:  # against rounding errors
+            inverse = inverted(basis)
+            use = np.maximum((inverse * demand).sum(axis=1), 0)
     rows, times = basis.T.round().astype(np.int64), np.floor(use + 1e-9).astype(np.int64)
     left = demand - times @ rows
     for p in np.argsort(times, kind="stable"):  # rounding errors could use a piece too many

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, tasks_for, written
 from .cutting_stock import patterns
 from .tokens import WordTokens, default_path
 
@@ -51,12 +51,13 @@ def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, tokenizer: str |
     equal pieces any may come first. An empty table gives an empty result. Only doc_id and
     text are read. Rounding lengths up to `grain` costs about grain / 2 tokens a piece.
     """
-    cut = written(pieces(docs, capacity, tokenizer), "pieces")
+    tasks = tasks_for(docs)
+    cut = written(pieces(docs, capacity, tokenizer), "pieces", tasks)
     salts = max(1, cut.count() // 50_000)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     cells = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     size = F.ceil(F.col("length") / grain).cast("long")
-    cells = written(cells.withColumn("size", size), "cells")
+    cells = written(cells.withColumn("size", size), "cells", tasks)
     histogram = {r["size"]: r["n"] for r in cells.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     sizes = np.array(sorted(histogram), np.int64)
     rows, times = patterns(sizes, np.array([histogram[s] for s in sizes], np.int64), capacity // grain)
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, tokenizer: str |
     out = ranked.mapInArrow(dealt, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, rank long, sequence_id long")
     inside = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "rank").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(inside), F.lit(0)).alias("offset")
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset)
+    return few(out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", offset), tasks)
 
 
 def sequences(docs: DataFrame, packed: DataFrame, capacity: int = 2048, pad: int = 0, tokenizer: str | None = None) -> DataFrame:

@@ -5,15 +5,36 @@ from __future__ import annotations
 import os
 import re
 
-#: Words, and parts of words, that one worker remembers; then it starts anew.
-REMEMBERED = 400_000
+import numpy as np
+
+#: Words that one worker remembers in each of two generations, and parts of words likewise.
+REMEMBERED = 200_000
 #: Texts with these are encoded whole: Python's split and the tokenizer's white space differ on them.
 _ODD = re.compile("[\x1c-\x1f\x85]")
-#: Words of these only fall into parts the way the tokenizer's own rule splits them.
+#: Words of these only fall into parts the way the tokenizer's own rule splits them, and lower case is the same for both.
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+_PLAIN_TEXT = re.compile("[\t-\r -&(-~À-ÖØ-öø-ÿ]*")
 _PART = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 
+class Recent:
+    """A cache of bounded size: what was not asked for during a whole generation goes."""
+
+    def __init__(self, size: int):
+        self.size, self.young, self.old = size, {}, {}
+
+    def missing(self, keys) -> list[str]:
+        young, old = self.young, self.old
+        for k in (absent := [k for k in keys if k not in young]):
+            if k in old:
+                young[k] = old[k]
+        return [k for k in dict.fromkeys(absent) if k not in young]
+
+    def turn(self) -> None:
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -31,12 +52,19 @@ class WordTokens:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # parts are in lower case and split already: white space is all that separates them
+        self.lean = Tokenizer.from_file(path)
+        self.lean.encode_special_tokens = True
+        self.lean.normalizer = normalizers.Sequence([])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
+        last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[last] = True
 
     @classmethod
     def at(cls, path: str) -> WordTokens:
@@ -45,38 +73,34 @@ class WordTokens:
         return cls._open[path]
 
     def whole(self, text: str) -> bytes:
-        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
-
-    @staticmethod
-    def _packed(ids: list[int]) -> bytes:
-        from array import array
-
-        return array("I", ids).tobytes()
-
-    def _learn(self, missing: list[str]) -> None:
-        plain = {w: _PART.findall(w.lower()) for w in missing if _PLAIN.fullmatch(w)}
-        need = list({p for ps in plain.values() for p in ps if p not in self.parts}) + [w for w in missing if w not in plain]
-        got = {p: self._packed(e.ids) for p, e in zip(need, self.tokenizer.encode_batch(need, add_special_tokens=False), strict=True)}
-        if len(self.parts) > REMEMBERED:
-            self.parts = {p: self.parts[p] for ps in plain.values() for p in ps if p in self.parts}
-        for w, ps in plain.items():
-            self.words[w] = b"".join([got[p] if p in got else self.parts[p] for p in ps])
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn(self, missing: list[str], plain: bool) -> None:
+        """Missing words: plain ones part by part, all new parts in one call; a part's last token ends a word."""
+        split = {w: _PART.findall(w) for w in missing} if plain else {w: _PART.findall(w.lower()) for w in missing if _PLAIN.fullmatch(w)}
+        need = self.parts.missing(p for ps in split.values() for p in ps)
+        if need:
+            ids = np.array(self.lean.encode_batch_fast([" ".join(need)], add_special_tokens=False)[0].ids, "<u4")
+            packed, at = ids.tobytes(), 0
+            for p, to in zip(need, ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist(), strict=True):
+                self.parts.young[p] = packed[at:to]
+                at = to
+        words, parts = self.words.young, self.parts.young
         for w in missing:
-            if w not in plain:
-                self.words[w] = got.pop(w)
-        self.parts |= got
+            ps = split.get(w)
+            words[w] = self.whole(w) if ps is None else parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])
+        self.parts.turn()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD.search(text):
+        plain = bool(_PLAIN_TEXT.fullmatch(text))
+        if not plain and _ODD.search(text):
             return self.whole(text)
-        words = text.split()
-        known = self.words
-        missing = [w for w in words if w not in known]
-        if missing:
-            if len(known) > REMEMBERED:
-                known.clear()
-                missing = words
-            self._learn(list(dict.fromkeys(missing)))
-        return b"".join([known[w] for w in words])
+        words = (text.lower() if plain else text).split()
+        if missing := self.words.missing(words):
+            self._learn(missing, plain)
+        known = self.words.young
+        out = b"".join([known[w] for w in words])
+        self.words.turn()
+        return out
