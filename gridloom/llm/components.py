@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, tasks: int | None = None, rounds: int = 60) -> DataFrame:
     """edges: (a long, b long). Returns (node, root): the smallest node that each node reaches.
 
     Alternates the large-star and small-star steps, which keep every node's links few: after
@@ -25,10 +25,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             linked = linked.unionByName(least.filter("u > m").select(F.col("u").alias("a"), F.col("m").alias("b")))
         return linked.filter("a > b").distinct()
 
-    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges", tasks)
     state = None
     for _ in range(rounds):
-        edges = written(star(star(edges, True), False), "edges")
+        edges = written(star(star(edges, True), False), "edges", tasks)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if now == state:
             break

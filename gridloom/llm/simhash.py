@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import few, tasks_for, written
 from .components import components
 
 U = np.uint64
@@ -143,7 +143,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def links(distinct: DataFrame, bits: int = 3, together: int = TOGETHER) -> DataFrame:
+def links(distinct: DataFrame, bits: int = 3, together: int = TOGETHER, tasks: int | None = None) -> DataFrame:
     """distinct: (fp). Edges (a, b) that connect all fingerprints within `bits` (at most 3) of each other."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +168,7 @@ def links(distinct: DataFrame, bits: int = 3, together: int = TOGETHER) -> DataF
                 x, y = forest(*(np.sort(v.values.to_numpy().view(U)) for v in (p, q)), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
-    keys = written(distinct.mapInArrow(spread, "key long, fp long"), "golay-keys")
+    keys = written(distinct.mapInArrow(spread, "key long, fp long"), "golay-keys", tasks)
     sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     members = keys.join(sizes, "key")
     # a group of over `together` is dealt into blocks, which are compared with themselves and with each other
@@ -194,14 +194,15 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, together:
     smallest; where no id is known component_id is null. Repeated rows stay. An empty table
     gives an empty result. Only doc_id and text are read, whatever else the table has.
     """
-    rows = written(fingerprints(docs, shingle), "simhash")
-    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes")
-    roots = written(components(links(nodes.select("fp"), bits, together)), "simhash-roots")
+    tasks = tasks_for(docs)
+    rows = written(fingerprints(docs, shingle), "simhash", tasks)
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "simhash-nodes", tasks)
+    roots = written(components(links(nodes.select("fp"), bits, together, tasks), tasks), "simhash-roots", tasks)
     placed = nodes.join(roots, nodes.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    placed = written(placed.join(ids, "root").select("fp", "n", "component_id"), "simhash-classes")
+    placed = written(placed.join(ids, "root").select("fp", "n", "component_id"), "simhash-classes", tasks)
     total = rows.count()
     hot = placed.filter(F.col("n") > max(total / 1000, 1)).select("fp", "component_id")
     apart = rows.join(F.broadcast(hot), "fp").select("doc_id", "fp", "component_id")
     rest = rows.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(placed.filter(F.col("n") <= max(total / 1000, 1)).select("fp", "component_id"), "fp")
-    return apart.unionByName(rest.select("doc_id", "fp", "component_id"))
+    return few(apart.unionByName(rest.select("doc_id", "fp", "component_id")), tasks)
