@@ -53,7 +53,7 @@ def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, tokenizer: str |
     """
     tasks = tasks_for(docs)
     cut = written(pieces(docs, capacity, tokenizer), "pieces", tasks)
-    salts = max(1, cut.count() // 50_000)
+    salts = max(1, cut.count() // 2_000)
     cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(salts)))
     cells = cut.groupBy("length", "salt").agg(F.count("*").alias("n"))
     size = F.ceil(F.col("length") / grain).cast("long")

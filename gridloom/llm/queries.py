@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, quality, secrets, toxicity
+from . import language, minhash, pieces, quality, secrets, toxicity
 from .common import keyed
 from .packing import pack
 from .simhash import near_duplicates
@@ -57,6 +57,14 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_ID, "n_chars", sha.alias("edited_sha256"), minhash.packed(F.col("fingerprint")).alias("fingerprint"), minhash.packed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document the number of ids, a digest of them in decimal, and whether decoding gives the text back."""
+    out = pieces.decode(pieces.encode(documents(spark, sf_dir)))
+    text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
+    digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
+    return out.select(_ID, F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (F.col("decoded") == text).alias("round_trip"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(documents(spark, sf_dir))
     return out.select(_ID, "n_bytes", _CUT.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
