@@ -229,7 +229,9 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
                 cells = [{"a": {"s": a[0], "e": a[1]}, "b": {"s": x[0], "e": x[1]}, "n": n} for a, r in m.items() for x, n in r.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([c["_id"]]), pa.array([c["_fp"]]), pa.array([c["k"]]), pa.array([cells], cell_type)], names=["_id", "_fp", "k", "cells"])
 
-    cell_type = pa.list_(pa.struct([("a", pa.struct([("s", pa.int64()), ("e", pa.int64())])), ("b", pa.struct([("s", pa.int64()), ("e", pa.int64())])), ("n", pa.int64())]))
+    state = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+    cell_type = pa.list_(pa.struct([("a", state), ("b", state), ("n", pa.int64())]))
+    border_type = pa.schema([("_id", pa.int64()), ("_fp", pa.int64()), ("k", pa.int64()), ("a", state), ("b", state), ("n", pa.int64())])
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -240,7 +242,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
                     for x in m["cells"]:
                         ms[-1].setdefault((x["a"]["s"], x["a"]["e"]), {})[(x["b"]["s"], x["b"]["e"])] = x["n"]
                 got = [{"_id": c["_id"], "_fp": c["_fp"], "k": k, "a": {"s": a[0], "e": a[1]}, "b": {"s": z[0], "e": z[1]}, "n": n} for k, (a, z, n) in enumerate(solve(ms))]
-                yield pa.RecordBatch.from_pylist(got)
+                yield pa.RecordBatch.from_pylist(got, border_type)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces.at(path)
