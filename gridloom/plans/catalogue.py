@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from . import baseline, chat, corpus, grids, ledger, registry, scoring, text  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return dict(registry.ORACLE)
