@@ -56,7 +56,7 @@ def tidy(spark: SparkSession):
 
 
 #: Bytes of the documents' files for each task that writes a table.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 8 << 20
 
 
 def tasks_for(docs: DataFrame) -> int:
