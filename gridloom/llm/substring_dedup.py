@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import windows as W
-from .common import LAST, keyed, scratch, tidy, written
+from .common import LAST, few, keyed, scratch, tasks_for, tidy, written
 
 
 class FingerprintIndex:
@@ -26,16 +26,16 @@ class FingerprintIndex:
     Batches come in order of doc_id: ids in a batch are no smaller than in those before.
     """
 
-    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 12, buckets: int = 48, ratio: float = 2.0, together: int = R.TOGETHER):
+    def __init__(self, spark: SparkSession, width: int = 50, gram: int = 12, buckets: int = 48, tasks: int | None = None, ratio: float = 2.0, together: int = R.TOGETHER):
         self.spark, self.unit = spark, R.Unit(width, gram, True)
-        self.buckets, self.ratio, self.together = buckets, ratio, together
+        self.buckets, self.tasks, self.ratio, self.together = buckets, tasks, ratio, together
         self.runs: list[tuple[str, int]] = []
 
     def _store(self, rows: DataFrame) -> tuple[str, int]:
         path = scratch(self.spark, "run")
         name = f"gridloom_{path.rsplit('-', 1)[1]}"
         with tidy(self.spark):
-            rows.repartition(self.buckets, "h").write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+            few(rows.repartition(self.buckets, "h"), self.tasks).write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name, self.spark.table(name).count()
 
     def compact(self) -> None:
@@ -54,7 +54,7 @@ class FingerprintIndex:
         which candidate windows are verified.
         """
         unit = self.unit
-        found = written(R.records(batch, unit), "fingerprints")
+        found = written(R.records(batch, unit), "fingerprints", self.tasks)
         new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last")))
         fresh = self.spark.table(new)
         hits = [self.spark.table(old).join(fresh.select("h"), "h", "left_semi") for old, _ in self.runs]
@@ -62,14 +62,14 @@ class FingerprintIndex:
         for old in hits:
             known = known.unionByName(old)
         known = known.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        known = written(known, "candidates")
+        known = written(known, "candidates", self.tasks)
         anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
         full = known.filter("first._id < last").select("h", "c", F.col("first._id").alias("least"))
         whole = found.join(full, ["h", "c"]).filter("least < _id")
         wanted = known.join(anchors, "h").select("h", "m", "first.*")
-        windows = written(R.fetched(seen, wanted, unit), "windows")
+        windows = written(R.fetched(seen, wanted, unit), "windows", self.tasks)
         spans = R.run_spans(whole, unit.width).unionByName(R.resolved(windows, unit, True, self.together))
-        spans = written(spans, "spans")
+        spans = written(spans, "spans", self.tasks)
         self.runs.append((new, size))
         self.compact()
         return spans
@@ -94,9 +94,9 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, batches: int = 3, in
     remove from each other. An empty table gives an empty result. `row` holds the input's
     columns, whatever their names. Words are compared by two independent 64-bit digests.
     """
-    spark = docs.sparkSession
+    spark, tasks = docs.sparkSession, tasks_for(docs)
     docs = keyed(docs)
-    index = index or FingerprintIndex(spark, width, together=together)
+    index = index or FingerprintIndex(spark, width, buckets=tasks, tasks=tasks, together=together)
     spans = None
     for low, high in id_ranges(docs, batches):
         seen = docs if high is None else docs.filter(F.col("_id") < high)
@@ -130,4 +130,4 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, batches: int = 3, in
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.diff(bounds)), lists, kept], names=["row", "n_words", "spans", "kept_text"])
 
     joined = R.with_spans(docs, spans)
-    return joined.mapInArrow(cut, R.result(joined, n_words="long", spans="array<struct<start:long,end:long>>", kept_text="string"))
+    return few(joined, tasks).mapInArrow(cut, R.result(joined, n_words="long", spans="array<struct<start:long,end:long>>", kept_text="string"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import windows as W
-from .common import keyed, written
+from .common import few, keyed, tasks_for, written
 
 
 def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, together: int = R.TOGETHER) -> DataFrame:
@@ -37,17 +37,18 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
     an empty result. `row` holds the input's columns, whatever their names.
     """
     unit = R.Unit(length, gram, False, passes=4)
+    tasks = tasks_for(docs)
     docs = keyed(docs)
-    found = written(R.records(docs, unit), "suffixes")
+    found = written(R.records(docs, unit), "suffixes", tasks)
     runs = found.groupBy("h", "c").agg(F.count("*").alias("n"))
     anchors = runs.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
     open_runs = runs.join(anchors, "h", "left").filter("n > 1 OR m > 1")
-    found = written(found.join(open_runs, ["h", "c"]), "open-suffixes")
+    found = written(found.join(open_runs, ["h", "c"]), "open-suffixes", tasks)
     # of equal runs one is enough to compare with others
     wanted = found.filter("m > 1").groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("r"), F.max("m").alias("m")).select("h", "m", "r.*")
-    wanted = written(R.fetched(docs, wanted, unit), "windows")
+    wanted = written(R.fetched(docs, wanted, unit), "windows", tasks)
     spans = R.run_spans(found.filter("n > 1"), length).unionByName(R.resolved(wanted, unit, False, together))
-    spans = written(spans, "spans")
+    spans = written(spans, "spans", tasks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for x in batches for p in W.portions(x)):
@@ -69,4 +70,4 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(np.diff(offsets)), lists, kept], names=["row", "n_bytes", "spans", "kept"])
 
     joined = R.with_spans(docs, spans)
-    return joined.mapInArrow(cut, R.result(joined, n_bytes="long", spans="array<struct<start:long,end:long>>", kept="binary"))
+    return few(joined, tasks).mapInArrow(cut, R.result(joined, n_bytes="long", spans="array<struct<start:long,end:long>>", kept="binary"))
