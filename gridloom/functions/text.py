@@ -50,7 +50,7 @@ def parse_json(t: Column, schema: str) -> Column:
     """from_json of the raw text, else without its fence, else with lone backslashes doubled, else without outer quotes; else null."""
     options = {"mode": "PERMISSIVE"}
     bare = without_fence(t)
-    tries = [t, bare, F.regexp_replace(bare, r'\\(?!["\\/bfnrtu])', r"\\\\\\\\"), F.regexp_replace(bare, r"\A['\"]|['\"]\z", "")]
+    tries = [t, bare, F.regexp_replace(bare, r'\\(?!["\\/bfnrtu])', r"\\\\"), F.regexp_replace(bare, r"\A['\"]|['\"]\z", "")]
     ok = lambda x: F.when(F.try_parse_json(x).isNotNull(), F.from_json(x, schema, options))
     return F.coalesce(*[ok(x) for x in tries])
 

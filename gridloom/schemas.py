@@ -5,8 +5,34 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_ATOMS = {"STRING": T.StringType(), "INT": T.IntegerType(), "LONG": T.LongType(), "FLOAT": T.FloatType(), "DOUBLE": T.DoubleType(), "BOOLEAN": T.BooleanType(), "TIMESTAMP": T.TimestampType()}
+
+
+def _split(text: str) -> list[str]:
+    """At commas outside angle brackets."""
+    depth, parts = 0, [""]
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return [p.strip() for p in parts if p.strip()]
+
+
+def kind(text: str) -> T.DataType:
+    """A type from its SQL name; unlike Spark's own parser it needs no session."""
+    name, _, inner = text.strip().partition("<")
+    if not inner:
+        return _ATOMS[name.upper()]
+    inner = inner.rpartition(">")[0]
+    if name.upper() == "ARRAY":
+        return T.ArrayType(kind(inner))
+    return T.StructType([T.StructField(n.strip(), kind(t)) for n, _, t in (p.partition(":") for p in _split(inner))])
+
+
 def ddl(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    return T.StructType([T.StructField(n, kind(t)) for n, _, t in (p.partition(" ") for p in _split(text))])
 
 
 GRID = "ARRAY<ARRAY<INT>>"

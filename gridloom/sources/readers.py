@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -16,8 +17,9 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: StructType, s
     if not skip_bad:
         return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
     wide = StructType([*schema.fields]).add(CORRUPT, "string")
-    rows = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
-    return rows.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    rows = spark.read.text(path).filter(F.trim("value") != "").select(parsed.alias("r"))
+    return rows.filter(F.col(f"r.{CORRUPT}").isNull()).select("r.*").drop(CORRUPT)
 
 
 def json_files(spark: SparkSession, folder: str, schema: StructType, most: int | None = None, pattern: str = "*.jsonl") -> DataFrame:
@@ -42,7 +44,7 @@ def tasks(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
 
 def seeds(spark: SparkSession, folder: str) -> DataFrame:
     """Seed programs by their file names: (seed_id, uid, content)."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.py").text(folder).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+    rows = spark.read.option("pathGlobFilter", "*.py").text(folder, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
     uid = F.regexp_extract("file", r"\A([0-9a-f]{8})(?:_[a-zA-Z]+)?\.py\z", 1)
     return rows.filter(uid != "").select(F.regexp_replace("file", r"\.py\z", "").alias("seed_id"), uid.alias("uid"), "content")
 
@@ -66,7 +68,7 @@ def probe_encoding(sample: bytes, encodings: Iterable[str] = ("utf-8", "cp949",
 
 def selectors(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
     """Comma-separated ids in files: (ordinal, id), empty ones left out; the first `most` where it is not negative."""
-    lines = spark.read.option("wholetext", True).text(path)
+    lines = spark.read.text(path, wholetext=True)
     ids = F.filter(F.transform(F.split("value", r"[,\n]"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
     out = lines.select(F.posexplode(ids).alias("ordinal", "id"))
     return out if most < 0 else out.filter(F.col("ordinal") < most)
@@ -78,14 +80,17 @@ def media(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
-    """(path, length, empty, too_large) of files; contents are not read."""
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length")
+    """(path, length, empty, too_large) of a folder's files, from the file system's own listing: a scan would pass over empty files."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{pattern}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    files = [(f.getPath().toString(), f.getLen()) for f in found if f.isFile()]
+    rows = spark.createDataFrame(files, "path string, length long")
     return rows.select("path", "length", (F.col("length") == 0).alias("empty"), (F.col("length") > F.lit(limit if limit is not None else 2**62)).alias("too_large"))
 
 
 def dataset(spark: SparkSession, name: str, split: str = "train") -> DataFrame:
     """A table by name, else a Parquet folder of the split, else an error."""
-    if spark.catalog.tableExists(name):
+    if re.fullmatch(r"\w+(\.\w+){0,2}", name) and spark.catalog.tableExists(name):
         return spark.table(name)
     return spark.read.parquet(f"{name}/{split}")
 
