@@ -19,8 +19,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_ID = F.col("row.doc_id").alias("doc_id")
-_CUT = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+def _id():
+    return F.col("row.doc_id").alias("doc_id")
+
+
+def _cut():
+    """Tokens in all spans."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +34,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_words(documents(spark, sf_dir))
-    return out.select(_ID, "n_words", _CUT.alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    return out.select(_id(), "n_words", _cut().alias("n_removed"), F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
 def _remainder(k: int):
@@ -40,7 +45,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = language.learn(docs, _remainder(3) != 1)
     out = language.identify(docs, model)
-    return out.select(_ID, F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select(_id(), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,13 +53,13 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"] < secrets.BASE)
     n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
     sha = F.sha2(secrets.written_spans(base).cast("binary"), 256)
-    return out.select(_ID, n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), sha.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
+    return out.select(_id(), n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), sha.alias("base_sha256"), secrets.written_spans(F.col("spans")).alias("spans"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = minhash.compare_edited(keyed(documents(spark, sf_dir)))
     sha = F.sha2(F.col("edited").cast("binary"), 256)
-    return out.select(_ID, "n_chars", sha.alias("edited_sha256"), minhash.packed(F.col("fingerprint")).alias("fingerprint"), minhash.packed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
+    return out.select(_id(), "n_chars", sha.alias("edited_sha256"), minhash.packed(F.col("fingerprint")).alias("fingerprint"), minhash.packed(F.col("edited_fingerprint")).alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,12 +67,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.decode(pieces.encode(documents(spark, sf_dir)))
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     digest = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
-    return out.select(_ID, F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (F.col("decoded") == text).alias("round_trip"))
+    return out.select(_id(), F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (F.col("decoded") == text).alias("round_trip"))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(documents(spark, sf_dir))
-    return out.select(_ID, "n_bytes", _CUT.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select(_id(), "n_bytes", _cut().alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,13 +83,13 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     base_failed = F.col("failures").bitwiseAND(quality.policy_mask("v1")) != 0
     out = quality.ledger(documents(spark, sf_dir))
-    return out.select(_ID, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & quality.passes("v2")).alias("kept"), "failures")
+    return out.select(_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & quality.passes("v2")).alias("kept"), "failures")
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = toxicity.score(docs, toxicity.learn(docs, labels, _remainder(5) != 0))
-    return out.select(_ID, F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return out.select(_id(), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

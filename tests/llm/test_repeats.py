@@ -9,15 +9,16 @@ from gridloom.llm.common import keyed
 from gridloom.llm.substring_dedup import FingerprintIndex, id_ranges, remove_repeated_words
 from gridloom.llm.suffix_dedup import remove_repeated_bytes
 
-CUT = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+def cut():
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
 def words_out(out):
-    return sorted(tuple(r) for r in out.select("row.doc_id", "n_words", CUT, F.sha2(F.col("kept_text").cast("binary"), 256)).collect())
+    return sorted(tuple(r) for r in out.select("row.doc_id", "n_words", cut(), F.sha2(F.col("kept_text").cast("binary"), 256)).collect())
 
 
 def bytes_out(out):
-    return sorted(tuple(r) for r in out.select("row.doc_id", "n_bytes", CUT, F.size("spans"), F.sha2("kept", 256)).collect())
+    return sorted(tuple(r) for r in out.select("row.doc_id", "n_bytes", cut(), F.size("spans"), F.sha2("kept", 256)).collect())
 
 
 def test_leftmost_min_is_the_first_of_the_least():
