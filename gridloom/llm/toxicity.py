@@ -45,7 +45,8 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(left[: len(h)] >= n)
             out.append(((h[at] ^ h[at] >> np.uint64(29)) * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> bits)
             who.append(owner[at])
-    sums = np.concatenate(([0], np.cumsum(code * (np.uint64(0x9E3779B97F4A7C15) ** (left.astype(np.uint64) % np.uint64(61)))))).astype(np.uint64)
+    sums = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(code * np.uint64(0x9E3779B97F4A7C15) ** (left.astype(np.uint64) % np.uint64(61)), out=sums[1:])
     out.append(((sums[ends] - sums[ends - sizes]) * np.uint64(0xD1342543DE82EF95)) >> bits)
     who.append(np.arange(len(marked)))
     return np.concatenate(out).astype(np.int64), np.concatenate(who)
