@@ -157,3 +157,15 @@ def test_streaming(spark, tmp_path):
             spark.range(10, 12).write.parquet(f"{tmp_path}/land/2")
         ingest.once(ingest.landing(spark, f"{tmp_path}/land/*", schema), f"{tmp_path}/out", f"{tmp_path}/state")
         assert spark.read.parquet(f"{tmp_path}/out").count() == n
+
+
+def test_generated_and_validated_programs(spark):
+    from gridloom.operators import problems
+
+    good = "import numpy\ndef main(g):\n    return g + 1\ndef generate_input():\n    return numpy.random.randint(0, 2, (1, 1))"
+    programs = spark.createDataFrame([("a", good), ("b", "def main(g):\n    return g\ndef generate_input():\n    return [[11]]")], "problem string, program string")
+    found = problems.generated_inputs(programs, 6, trusted=True, timeout=5.0).collect()
+    assert {r.problem for r in found} == {"a"} and sorted(r.grid for r in found) == [[[0]], [[1]]]
+    pairs = spark.createDataFrame([("a", 0, [[1]], [[2]]), ("a", 1, [[1]], [[3]]), ("b", 0, [[1, 2]], [[1, 3]])], "uid string, pair_idx int, input array<array<int>>, output array<array<int>>")
+    got = problems.validated(programs.withColumnRenamed("problem", "uid"), pairs, trusted=True, timeout=5.0)
+    assert rows(got.select("uid", "pair_idx", "verdict", "ratio")) == [("a", 0, "EQUAL", 1.0), ("a", 1, "CONTENT", 0.0), ("b", 0, "CONTENT", 0.5)]
