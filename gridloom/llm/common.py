@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,6 +63,8 @@ TASK_BYTES = 8 << 20
 def tasks_for(docs: DataFrame) -> int:
     """Tasks that suffice for what is made of docs: one for TASK_BYTES of their files, and two for each core."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > 1 << 50:  # not known
+        return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(2 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
 
 
@@ -78,6 +81,26 @@ def written(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def held(spark: SparkSession):
+    """Gives a function that keeps a table's rows on the executors' disks until the block ends.
+
+    For tables that several jobs of one step read; a lost executor's part is computed again.
+    What outlives the step is written().
+    """
+    rows: list[DataFrame] = []
+
+    def keep(df: DataFrame, tasks: int | None = None) -> DataFrame:
+        rows.append(few(df, tasks).persist(StorageLevel.DISK_ONLY))
+        return rows[-1]
+
+    try:
+        yield keep
+    finally:
+        for df in rows:
+            df.unpersist()
+
+
 def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """row: the whole input row; _id: its id, null as the largest; _fp: hash of its text.
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import windows as W
-from .common import LAST, few, keyed, scratch, tasks_for, tidy, written
+from .common import LAST, few, held, keyed, scratch, tasks_for, tidy, written
 
 
 class FingerprintIndex:
@@ -53,23 +53,22 @@ class FingerprintIndex:
         batch: new documents, keyed(); seen: all documents up to and including them, in
         which candidate windows are verified.
         """
-        unit = self.unit
-        found = written(R.records(batch, unit), "fingerprints", self.tasks)
-        new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last")))
-        fresh = self.spark.table(new)
-        hits = [self.spark.table(old).join(fresh.select("h"), "h", "left_semi") for old, _ in self.runs]
-        known = fresh
-        for old in hits:
-            known = known.unionByName(old)
-        known = known.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-        known = written(known, "candidates", self.tasks)
-        anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-        full = known.filter("first._id < last").select("h", "c", F.col("first._id").alias("least"))
-        whole = found.join(full, ["h", "c"]).filter("least < _id")
-        wanted = known.join(anchors, "h").select("h", "m", "first.*")
-        windows = written(R.fetched(seen, wanted, unit), "windows", self.tasks)
-        spans = R.run_spans(whole, unit.width).unionByName(R.resolved(windows, unit, True, self.together))
-        spans = written(spans, "spans", self.tasks)
+        unit, tasks = self.unit, self.tasks
+        with held(self.spark) as keep:
+            found = keep(R.records(batch, unit), tasks)
+            new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last")))
+            fresh = self.spark.table(new)
+            known = fresh
+            for old, _ in self.runs:
+                known = known.unionByName(self.spark.table(old).join(fresh.select("h"), "h", "left_semi"))
+            known = keep(known.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")), tasks)
+            anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+            full = known.filter("first._id < last").select("h", "c", F.col("first._id").alias("least"))
+            whole = found.join(full, ["h", "c"]).filter("least < _id")
+            wanted = known.join(anchors, "h").select("h", "m", "first.*")
+            windows = keep(R.fetched(seen, wanted, unit), tasks)
+            spans = R.run_spans(whole, unit.width).unionByName(R.resolved(windows, unit, True, self.together))
+            spans = written(spans, "spans", tasks)
         self.runs.append((new, size))
         self.compact()
         return spans
