@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import language, minhash, pieces, quality, secrets, toxicity
 from .common import keyed
+from .oracles import oracle_sql  # noqa: F401  (part of this module's interface)
 from .packing import pack
 from .simhash import near_duplicates
 from .substring_dedup import remove_repeated_words
@@ -94,7 +95,3 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
