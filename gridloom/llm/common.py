@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from contextlib import contextmanager
+from collections.abc import Callable
+from contextlib import contextmanager, suppress
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,12 +58,37 @@ def tidy(spark: SparkSession):
         yield
 
 
+#: Rows that go to a Python worker at once. Texts can be long: the usual 10,000 of them fill a worker's memory, and the executor's buffers with it.
+BATCH_ROWS = 1_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Lowers the session's Arrow batch size to BATCH_ROWS, also for the jobs that later read this result."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
+#: Functions that empty the caches of this worker's modules.
+CACHES: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Workers serve one step after another: a step with its own needs lets go of what an earlier one remembered."""
+    for empty in CACHES:
+        empty()
+    with suppress(OSError, AttributeError):  # give the pages back, where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 #: Bytes of the documents' files for each task that writes a table.
 TASK_BYTES = 8 << 20
 
 
 def tasks_for(docs: DataFrame) -> int:
     """Tasks that suffice for what is made of docs: one for TASK_BYTES of their files, and two for each core."""
+    small_batches(docs)
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size > 1 << 50:  # not known
         return int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -106,6 +133,7 @@ def keyed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
 
     Rows are told apart by (_id, _fp): repeated rows share a key and get equal results.
     """
+    small_batches(docs)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     text_col = F.coalesce(F.col(text).cast("string"), F.lit(""))
     return docs.select(row.alias("row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(text_col).alias("_fp"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
+from .common import release
 
 RECORD = "h long, c long, _id long, _fp long, place long"
 #: Runs of one anchor that one task compares in memory; larger groups go through a shuffle of single windows.
@@ -51,6 +52,7 @@ def records(docs: DataFrame, unit: Unit) -> DataFrame:
     """The anchor records of every document; docs as from keyed()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in (p for x in batches for p in W.portions(x)):
             doc, h, c, place = W.records(*unit.tokens(b.column("text")), unit.width, unit.gram)
             columns = h, c, long(b, "_id")[doc], long(b, "_fp")[doc], place
@@ -64,6 +66,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     """wanted: (h, m, _id, _fp, place), distinct runs. Adds the content of each, read again from its document: its bytes, or for words a digest of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in (p for x in batches for p in W.portions(x)):
             tokens, bounds = unit.tokens(b.column("text"))
             lists = b.column("runs")

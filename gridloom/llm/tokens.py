@@ -7,6 +7,8 @@ import re
 
 import numpy as np
 
+from .common import CACHES
+
 #: Words that one worker remembers in each of two generations, and parts of words likewise.
 REMEMBERED = 200_000
 #: Texts with these are encoded whole: Python's split and the tokenizer's white space differ on them.
@@ -54,18 +56,27 @@ class WordTokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.path, self._full = path, None
         # parts are in lower case and split already: white space is all that separates them
         self.lean = Tokenizer.from_file(path)
         self.lean.encode_special_tokens = True
         self.lean.normalizer = normalizers.Sequence([])
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.parts = Recent(REMEMBERED), Recent(REMEMBERED)
-        last = [i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        last = [i for t, i in self.lean.get_vocab().items() if t.endswith("</w>")]
+        self.ends = np.zeros(max(self.lean.get_vocab().values()) + 1, bool)
         self.ends[last] = True
 
+    @property
+    def tokenizer(self):
+        """The tokenizer as it is in the file; texts of plain words never need it."""
+        if self._full is None:
+            from tokenizers import Tokenizer
+
+            self._full = Tokenizer.from_file(self.path)
+            self._full.encode_special_tokens = True
+        return self._full
+
     @classmethod
     def at(cls, path: str) -> WordTokens:
         if path not in cls._open:
@@ -104,3 +115,6 @@ class WordTokens:
         out = b"".join([known[w] for w in words])
         self.words.turn()
         return out
+
+
+CACHES.append(WordTokens._open.clear)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import release, small_batches
+
 #: Hashed subwords, their lengths, and the size of an embedding.
 BUCKETS, SUBWORDS, SIZE = 1 << 16, (3, 4, 5), 8
 #: Words in a stretch; a text is as toxic as its most toxic stretch.
@@ -196,9 +198,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null text, or text without a word: 0. Null ids, repeated rows and further columns pass
     through in `row`; an empty table gives an empty result. Nothing is shuffled.
     """
+    small_batches(docs)
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         known: dict[str, float] = {}
         for b in batches:
             scores = []

@@ -149,7 +149,7 @@ def unpack(place):
     return place >> 16, ((place >> 8) & 255) + 1
 
 
-def portions(batch, column: str = "text", limit: int = 4 << 20):
+def portions(batch, column: str = "text", limit: int = 2 << 20):
     """The batch in pieces of at most `limit` bytes of text, or one row."""
     sizes = np.cumsum(np.diff(utf8(batch.column(column))[1]))
     at = 0
