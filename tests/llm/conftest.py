@@ -6,15 +6,6 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, _id long, h long, spans string, key string, n int"
-
-
-def table(spark, rows):
-    """rows: (doc_id, text); further columns clash with names the operators use themselves."""
-    full = [(i, t, "en", "s", len(t or ""), "r", 7, 8, "x", "k", 3) for i, t in rows]
-    return spark.createDataFrame(full, SCHEMA)
-
-
 @pytest.fixture(scope="session")
 def corpus():
     """Small texts with shared passages, exact and near copies, repeats, blanks and one long text."""

@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-from conftest import table
+from brute import table
 from pyspark.sql import functions as F
 
 from gridloom.llm import language, pieces, toxicity
@@ -71,7 +71,7 @@ def test_encoding_is_the_librarys_at_any_chunk_size(spark, corpus):
     rows = [*corpus[:12], *enumerate(ODD, 200), (None, "x y"), (4, dict(corpus)[4])]
     model = pieces.Pieces.at(pieces.default_path()).model
     for chunk in (23, 1 << 14):
-        out = pieces.decode(pieces.encode(table(spark, rows), chunk=chunk)).select("row.doc_id", "row.text", "ids", "decoded").collect()
+        out = pieces.decode(pieces.encode(table(spark, rows), giant=chunk, chunk=chunk)).select("row.doc_id", "row.text", "ids", "decoded").collect()
         assert len(out) == len(rows)
         for r in out:
             assert r.ids == model.encode(r.text or "") and r.decoded == (r.text or "")

@@ -1,7 +1,7 @@
 import zlib
 
 import numpy as np
-from conftest import table
+from brute import table
 
 from gridloom.llm.cutting_stock import inverted, knapsack, patterns
 from gridloom.llm.packing import pack, sequences

@@ -1,6 +1,6 @@
 import brute
 import corpus_pipeline
-from conftest import table
+from brute import table
 from pyspark.sql import functions as F
 
 from gridloom.llm import queries

@@ -1,7 +1,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import table
+from brute import table
 from pyspark.sql import functions as F
 
 from gridloom.llm import windows as W

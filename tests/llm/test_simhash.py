@@ -1,16 +1,18 @@
 import brute
 import numpy as np
 import pytest
-from conftest import table
+from brute import table
 
 from gridloom.llm import simhash as S
 from gridloom.llm.components import components
 
 
 def test_the_code_is_perfect():
-    near, weight = S.golay()
-    assert (near >= 0).all()
-    assert np.bincount(weight).tolist() == [4096, 4096 * 23, 4096 * 253, 4096 * 1771]
+    errors = S.golay()
+    assert (S.remainder(errors) == np.arange(2048)).all()
+    assert np.bincount(np.bitwise_count(errors)).tolist() == [1, 23, 253, 1771]
+    code, weight = S.nearest(np.arange(1 << 16))
+    assert weight.max() == 3 and code.max() < 1 << 12
 
 
 def test_fingerprints_within_three_bits_share_a_key():
