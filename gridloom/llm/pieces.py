@@ -16,16 +16,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import few, keyed, tasks_for, written
+from .common import CACHES, few, keyed, tasks_for, written
 
 SPACE = "▁"
-#: Texts of more characters are cut in chunks of this many.
-CHUNK = 1 << 14
+#: Texts of more characters are giant, and cut in chunks of CHUNK characters.
+GIANT, CHUNK = 1 << 16, 1 << 14
 #: A state is a piece (start, end) across a border; the start of a text is one of its own.
 State = tuple[int, int]
 START: State = (-1, 0)
@@ -56,7 +57,10 @@ class Pieces:
             self.surface[i] = name.replace(SPACE, " ").encode()
         for b, i in self.bytes.items():
             self.surface[i] = bytes([b])
+        self.sizes = np.array([len(x) for x in self.surface])
+        self.starts, self.blob = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.surface), np.uint8)
         self.longest = max(map(len, self.ids))
+        self.prefixes = {name[:k] for name in self.ids for k in range(2, len(name) + 1)}
         self.joins: dict[tuple[str, str], bool] = {}
 
     @staticmethod
@@ -81,7 +85,7 @@ class Pieces:
         """Whether b may come after a; an empty a is the start of a text."""
         k = (a, b)
         if k not in self.joins:
-            if len(self.joins) > 500_000:
+            if len(self.joins) > 100_000:
                 self.joins.clear()
             self.joins[k] = self.merged(a + b) == ([a, b] if a else [b])
         return self.joins[k]
@@ -89,9 +93,12 @@ class Pieces:
     def starting(self, text: str, at: int) -> Iterator[int]:
         """Ends of the pieces that start at a place; a single character always is one."""
         yield at + 1
-        for n in range(2, min(self.longest, len(text) - at) + 1):
-            if text[at : at + n] in self.ids:
-                yield at + n
+        for end in range(at + 2, min(at + self.longest, len(text)) + 1):
+            piece = text[at:end]
+            if piece not in self.prefixes:
+                return
+            if piece in self.ids:
+                yield end
 
     def crossing(self, text: str, at: int, offset: int = 0) -> list[State]:
         """Pieces whose text goes on to or over a border: start < at <= end."""
@@ -148,10 +155,27 @@ class Pieces:
         i = self.ids.get(piece)
         return [i] if i is not None else [self.bytes[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def decode(self, ids: list[int], first: bool = True) -> bytes:
-        """The bytes of some ids; the space that encoding put before a text is dropped where `first`."""
-        out = b"".join([self.surface[i] for i in ids])
-        return out[1:] if first and out[:1] == b" " else out
+    def decode(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids, without the space that encoding put before each; null: null."""
+        size = np.asarray(ids.value_lengths().fill_null(0))
+        flat = ids.flatten().to_numpy(zero_copy_only=False)
+        n = self.sizes[flat]
+        ends = np.cumsum(n)
+        data = self.blob[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.starts[flat] - (ends - n), n)]
+        at = np.concatenate((np.zeros(1, np.int64), ends))[np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))]
+        first = at[:-1][(at[1:] > at[:-1])]
+        first = first[data[first] == 32]
+        stay = np.ones(len(data), bool)
+        stay[first] = False
+        to = np.concatenate((np.zeros(1, np.int64), np.cumsum(stay)))[at]
+        data = data[stay].tobytes()
+        valid = None if not ids.null_count else pa.array(np.asarray(ids.is_valid())).buffers()[1]
+        out = pa.Array.from_buffers(pa.large_string(), len(ids), [valid, pa.py_buffer(to.astype(np.int64)), pa.py_buffer(data)])
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:  # ids of bytes that are no text
+            out = pa.array([None if not v else data[a:b].decode("utf-8", "replace") for v, a, b in zip(ids.is_valid().to_pylist(), to[:-1], to[1:], strict=True)], pa.large_string())
+        return out.cast(pa.string())
 
 
 def product(a: Matrix, b: Matrix) -> Matrix:
@@ -189,11 +213,11 @@ def _chunk(pieces: Pieces, c: dict) -> tuple[str, int, int, int]:
     return c["text"], c["low"], c["high"], c["at"] - c["low"]
 
 
-def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(row, ids) for every row: the ids that the library gives for the whole text.
 
-    Texts of up to `chunk` characters are encoded at once. Longer ones are cut in chunks
-    that are spread over the cluster: each gives its matrix, the matrices of one text (a few
+    Texts of up to `giant` characters are encoded at once. Longer ones are cut in chunks of
+    `chunk` characters that are spread over the cluster: each gives its matrix, the matrices of one text (a few
     hundred bytes a chunk) are multiplied, and each chunk is traced back by itself. Null or
     empty text: no ids. Null ids, repeated rows and further columns pass through in `row`; an
     empty table gives an empty result.
@@ -253,7 +277,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
                 ids = pieces.trace(text, low, high, place(c["a"]), place(c["b"]))
                 yield pa.RecordBatch.from_arrays([pa.array([c["_id"]]), pa.array([c["_fp"]]), pa.array([c["k"]]), pa.array([ids], pa.list_(pa.int32()))], names=["_id", "_fp", "k", "ids"])
 
-    fits = F.coalesce(F.length("text"), F.lit(0)) <= chunk
+    fits = F.coalesce(F.length("text"), F.lit(0)) <= giant
     short = docs.filter(fits).select("row", "text").mapInArrow(whole, T.StructType([row, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     long = docs.filter(~fits)
     chunks = long.select("_id", "_fp", "text").mapInArrow(cut, "_id long, _fp long, k long, at long, low long, high long, last boolean, text string")
@@ -262,7 +286,7 @@ def encode(docs: DataFrame, path: str | None = None, chunk: int = CHUNK) -> Data
     found = spread.mapInArrow(matrices, f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>")
     found = found.groupBy("_id", "_fp").agg(F.array_sort(F.collect_list(F.struct("k", "cells"))).alias("chunks"))
     borders = written(found.mapInArrow(combine, f"_id long, _fp long, k long, a {_STATE}, b {_STATE}, n long"), "borders", tasks)
-    traced = chunks.join(borders, ["_id", "_fp", "k"]).mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
+    traced = chunks.join(borders, ["_id", "_fp", "k"]).repartition(tasks, "_id", "_fp", "k").mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
     ids = traced.groupBy("_id", "_fp").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return few(short.unionByName(long.join(ids, ["_id", "_fp"]).select("row", "ids")), tasks)
 
@@ -276,7 +300,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), 500):
                 p = b.slice(i, 500)
-                text = [None if x is None else pieces.decode(x).decode("utf-8", "replace") for x in p.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(text, pa.string())], names=[*p.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*p.columns, pieces.decode(p.column("ids"))], names=[*p.schema.names, "decoded"])
 
     return encoded.mapInArrow(run, T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())]))
+
+
+CACHES.append(Pieces.at.cache_clear)
