@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import few, tasks_for, written
+from .common import few, release, tasks_for, written
 from .components import components
 
 U = np.uint64
@@ -46,25 +47,27 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * votes > len(starts)).tobytes(), "big")
 
 
+def remainder(words: np.ndarray) -> np.ndarray:
+    """Of 23-bit words, as polynomials, divided by the generator: 11 bits, zero for codewords."""
+    rest = words.astype(np.int64)
+    for bit in range(22, 10, -1):
+        rest ^= (rest >> bit & 1) * (_GENERATOR << (bit - 11))
+    return rest
+
+
 @lru_cache(1)
-def golay() -> tuple[np.ndarray, np.ndarray]:
-    """For each 23-bit word, the number of its nearest codeword's first 12 bits, and the weight of the error (0 to 3).
+def golay() -> np.ndarray:
+    """The error of each remainder: the code is perfect, so every remainder is that of exactly one error of up to three bits."""
+    errors = np.array([0] + [sum(1 << i for i in e) for n in (1, 2, 3) for e in combinations(range(23), n)], np.int64)
+    out = np.zeros(1 << 11, np.int64)
+    out[remainder(errors)] = errors
+    return out
 
-    The code is perfect: every word is within three bits of exactly one codeword.
-    """
-    message = np.arange(1 << 12, dtype=np.int64)
-    rest = message << 11
-    for bit in range(22, 10, -1):
-        rest = np.where(rest >> bit & 1, rest ^ (_GENERATOR << (bit - 11)), rest)
-    code = (message << 11) | rest
-    near = np.full(1 << 23, -1, np.int32)
-    weight = np.zeros(1 << 23, np.int8)
-    errors = [(0, 0)] + [(1 << i, 1) for i in range(23)] + [(1 << i | 1 << j, 2) for i in range(23) for j in range(i)]
-    errors += [(1 << i | 1 << j | 1 << k, 3) for i in range(23) for j in range(i) for k in range(j)]
-    for e, w in errors:
-        near[code ^ e] = message
-        weight[code ^ e] = w
-    return near, weight
+
+def nearest(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 12 bits of each 23-bit word's nearest codeword, and the weight of the error (0 to 3)."""
+    error = golay()[remainder(words)]
+    return (words ^ error) >> 11, np.bitwise_count(error)
 
 
 def codeword_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -73,21 +76,20 @@ def codeword_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Two words that differ in at most one bit share a codeword: the nearest one of either is
     within four bits of the other.
     """
-    near, weight = golay()
-    rows, keys = [np.arange(len(words))], [near[words]]
-    far = np.flatnonzero(weight[words] == 3)
+    near, weight = nearest(words)
+    rows, keys = [np.arange(len(words))], [near]
+    far = np.flatnonzero(weight == 3)
     if len(far):
         # a codeword at distance four lies within three bits of the word with one bit flipped
-        flipped = words[far][:, None] ^ (1 << np.arange(23))[None, :]
-        codes = near[flipped].astype(np.int64)
-        codes[codes == near[words[far]][:, None]] = -1
+        codes = nearest(words[far][:, None] ^ (1 << np.arange(23))[None, :])[0]
+        codes[codes == near[far][:, None]] = -1
         codes.sort(axis=1)
         new = np.ones(codes.shape, bool)
         new[:, 1:] = codes[:, 1:] != codes[:, :-1]
         new &= codes >= 0
         r, _ = np.nonzero(new)
         rows.append(far[r])
-        keys.append(codes[new].astype(np.int32))
+        keys.append(codes[new])
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -135,6 +137,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp) for every row; null text: as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in batches:
             text = b.column("text").cast(pa.large_binary())
             fps = np.array([fingerprint(x.as_py() or b"", shingle) for x in text], U).view(np.int64)
