@@ -15,6 +15,11 @@ def _c(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
 def height(g: Column) -> Column:
     return F.size(g)
 
@@ -178,12 +183,12 @@ def augment(g: Column, key: Column, largest: int = LARGEST) -> Column:
     """One transform for all grids with the same key, drawn by its hash: colours (half: 1 to 9 permuted, a tenth: 0 to 9), columns and rows reversed, a quarter turn, and a scale that keeps within `largest`."""
     draw = lambda what, n: F.pmod(F.xxhash64(F.lit(what), key), F.lit(n))
     color = draw("color", 10)
-    g = F.when(color < 5, permute_colors(g, seeded_permutation(key))).when(color == 5, permute_colors(g, seeded_permutation(key, 0, 9))).otherwise(g)
-    g = F.when(draw("columns", 2) == 0, flip_columns(g)).otherwise(g)
-    g = F.when(draw("rows", 2) == 0, flip_rows(g)).otherwise(g)
-    g = F.when(draw("turn", 2) == 0, rot90(g)).otherwise(g)
-    most = F.greatest(F.floor(F.lit(largest) / F.greatest(height(g), width(g))).cast("int"), F.lit(1))
-    return F.when(draw("scale", 2) == 0, scale(g, F.least(most, (draw("k", 3) + 1).cast("int")))).otherwise(g)
+    g = let(g, lambda x: F.when(color < 5, permute_colors(x, seeded_permutation(key))).when(color == 5, permute_colors(x, seeded_permutation(key, 0, 9))).otherwise(x))
+    g = let(g, lambda x: F.when(draw("columns", 2) == 0, flip_columns(x)).otherwise(x))
+    g = let(g, lambda x: F.when(draw("rows", 2) == 0, flip_rows(x)).otherwise(x))
+    g = let(g, lambda x: F.when(draw("turn", 2) == 0, rot90(x)).otherwise(x))
+    most = lambda x: F.greatest(F.floor(F.lit(largest) / F.greatest(height(x), width(x))).cast("int"), F.lit(1))
+    return let(g, lambda x: F.when(draw("scale", 2) == 0, scale(x, F.least(most(x), (draw("k", 3) + 1).cast("int")))).otherwise(x))
 
 
 def compare(a: Column, b: Column) -> Column:
