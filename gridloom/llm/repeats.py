@@ -145,11 +145,11 @@ def spans_of(windows: np.ndarray, run: np.ndarray, width: int) -> tuple[np.ndarr
     return run[first], windows[first], windows[last] + width
 
 
-SPAN = "_id long, _fp long, start long, end long"
+SPAN = "_id long, _fp long, place long, start long, end long"
 
 
 def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETHER) -> DataFrame:
-    """Spans of the windows in `found` that another run shares; earlier: only with one in a document of smaller id.
+    """Spans of the windows in `found` that another run shares, each with its run's place; earlier: only with one in a document of smaller id.
 
     Groups of up to `together` runs are compared in one task; in larger ones every window is
     a row of its own, counted by its digest with partial sums before the shuffle.
@@ -168,9 +168,9 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
                 which = which[least[group] < ids[run[which]]]
             which = np.sort(which)
             if not len(which):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 4, names=["_id", "_fp", "start", "end"])
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["_id", "_fp", "place", "start", "end"])
             r, a, e = spans_of(at[which], run[which], unit.width)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], fps[r], a, e)], names=["_id", "_fp", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], fps[r], place[r], a, e)], names=["_id", "_fp", "place", "start", "end"])
 
         for b in batches:  # sorted by h; the last group of a batch may go on in the next
             if not len(b):
@@ -194,16 +194,23 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
                 start, count = W.unpack(long(p, "place"))
                 run, at = np.repeat(np.arange(len(p)), count), _ramp(start, count)
                 whole = np.ascontiguousarray(_digests(unit, p.column("content"), count)[:, -1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (long(p, "h")[run], whole, long(p, "_id")[run], long(p, "_fp")[run], at)], names=["h", "d", "_id", "_fp", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (long(p, "h")[run], whole, long(p, "_id")[run], long(p, "_fp")[run], long(p, "place")[run], at)], names=["h", "d", "_id", "_fp", "place", "at"])
 
     small = found.filter(F.col("m") <= together).repartition("h").sortWithinPartitions("h").select("h", "_id", "_fp", "place", "content").mapInArrow(compare, SPAN)
-    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "h long, d long, _id long, _fp long, at long")
+    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "h long, d long, _id long, _fp long, place long, at long")
     counts = one.groupBy("h", "d").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
     shared = one.join(counts, ["h", "d"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
-    large = shared.select("_id", "_fp", F.col("at").alias("start"), (F.col("at") + unit.width).alias("end"))
+    large = shared.select("_id", "_fp", "place", F.col("at").alias("start"), (F.col("at") + unit.width).alias("end"))
     return small.unionByName(large)
 
 
+def carried(spans: DataFrame, places: DataFrame) -> DataFrame:
+    """spans: as from resolved(); places: (_id, _fp, place, of: struct of _fp and place), other places in documents of the same id whose windows equal those of the run `of`. The spans of `of`, at each such place."""
+    of = places.select("_id", F.col("_fp").alias("to_fp"), F.col("place").alias("to"), F.col("of._fp").alias("_fp"), F.col("of.place").alias("place"))
+    moved = F.shiftright("to", 16) - F.shiftright("place", 16)
+    return spans.join(of, ["_id", "_fp", "place"]).select("_id", F.col("to_fp").alias("_fp"), (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
+
+
 def run_spans(runs: DataFrame, width: int) -> DataFrame:
     """The token span that all windows of each run cover."""
     start = F.shiftright("place", 16)

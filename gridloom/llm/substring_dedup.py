@@ -14,6 +14,10 @@ from . import windows as W
 from .common import LAST, few, held, keyed, scratch, tasks_for, tidy, written
 
 
+def _merged(runs: DataFrame) -> DataFrame:
+    return runs.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+
+
 class FingerprintIndex:
     """Window hashes of every document seen so far, as sorted immutable runs.
 
@@ -21,7 +25,7 @@ class FingerprintIndex:
     another run moves nothing. Each batch of documents becomes a new run that is joined with
     the older ones; a run at most `ratio` times as large as what came after it is then merged
     with it, which keeps the number of runs logarithmic. A run holds, for each distinct
-    stretch of windows, the smallest id that has it: (h, c, first, last).
+    stretch of windows, the smallest id that has it: (h, c, first, last, n), n its places.
 
     Batches come in order of doc_id: ids in a batch are no smaller than in those before.
     """
@@ -42,7 +46,7 @@ class FingerprintIndex:
         """Merges the newest runs while the one before them is not much larger."""
         while len(self.runs) > 1 and self.runs[-2][1] <= self.ratio * self.runs[-1][1]:
             (a, _), (b, _) = self.runs[-2:]
-            both = self.spark.table(a).unionByName(self.spark.table(b)).groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+            both = _merged(self.spark.table(a).unionByName(self.spark.table(b)))
             self.runs[-2:] = [self._store(both)]
             for name in (a, b):
                 self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with whoever still reads them
@@ -56,19 +60,23 @@ class FingerprintIndex:
         unit, tasks = self.unit, self.tasks
         with held(self.spark) as keep:
             found = keep(R.records(batch, unit), tasks)
-            new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last")))
+            new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last"), F.count("*").alias("n")))
             fresh = self.spark.table(new)
             known = fresh
             for old, _ in self.runs:
                 known = known.unionByName(self.spark.table(old).join(fresh.select("h"), "h", "left_semi"))
-            known = keep(known.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last")), tasks)
+            known = keep(_merged(known), tasks)
             anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
             full = known.filter("first._id < last").select("h", "c", F.col("first._id").alias("least"))
             whole = found.join(full, ["h", "c"]).filter("least < _id")
             wanted = known.join(anchors, "h").select("h", "m", "first.*")
             windows = keep(R.fetched(seen, wanted, unit), tasks)
-            spans = R.run_spans(whole, unit.width).unionByName(R.resolved(windows, unit, True, self.together))
-            spans = written(spans, "spans", tasks)
+            partly = written(R.resolved(windows, unit, True, self.together), "partly", tasks)
+            # a run may stand at more places of the first id: what holds for the place compared holds for them
+            several = known.filter("n > 1").join(anchors.select("h"), "h", "left_semi").select("h", "c", "first")
+            others = found.join(several, ["h", "c"]).filter("first._id >= _id AND NOT (first._fp = _fp AND first.place = place)").select("_id", "_fp", "place", F.col("first").alias("of"))
+            spans = R.run_spans(whole, unit.width).unionByName(R.carried(partly, others))
+            spans = written(spans, "spans", tasks).unionByName(partly.drop("place"))
         self.runs.append((new, size))
         self.compact()
         return spans

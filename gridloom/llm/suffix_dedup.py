@@ -47,7 +47,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
     # of equal runs one is enough to compare with others
     wanted = found.filter("m > 1").groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("r"), F.max("m").alias("m")).select("h", "m", "r.*")
     wanted = written(R.fetched(docs, wanted, unit), "windows", tasks)
-    spans = R.run_spans(found.filter("n > 1"), length).unionByName(R.resolved(wanted, unit, False, together))
+    spans = R.run_spans(found.filter("n > 1"), length).unionByName(R.resolved(wanted, unit, False, together).drop("place"))
     spans = written(spans, "spans", tasks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,6 +55,16 @@ def test_repeated_words(spark, corpus, together):
     assert words_out(out) == sorted(brute.repeated_words(corpus))
 
 
+@pytest.mark.parametrize("together", [1, 4096])
+@pytest.mark.parametrize("batches", [1, 3])
+def test_every_place_of_a_run_that_is_partly_repeated(spark, together, batches):
+    w = [f"w{k}" for k in range(400)]
+    a, p, b, x = (" ".join(w[i:j]) for i, j in ((0, 60), (60, 140), (140, 200), (200, 260)))
+    rows = [(1, f"{x} {p} {a}"), (2, f"{a} {p} {b} {x} {p} {b} {a}"), (2, f"{b} {p} {b} {p} {b}"), (3, f"{p} {b} {p} {b}"), (4, f"{p} {a} {p} {b} {p}")]
+    out = remove_repeated_words(table(spark, rows), together=together, batches=batches)
+    assert words_out(out) == sorted(brute.repeated_words(rows))
+
+
 @pytest.mark.parametrize("together", [1, 4096])
 def test_repeated_bytes(spark, corpus, together):
     out = remove_repeated_bytes(table(spark, corpus), together=together)
