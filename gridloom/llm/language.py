@@ -17,8 +17,8 @@ from .common import release, small_batches
 
 #: Hashed trigram features.
 FEATURES = 1 << 13
-#: Labelled rows that are learned from, for each language and in all.
-ROWS_EACH, ROWS = 300, 2400
+#: Labelled rows that are learned from, for each language and in all; but so many of each language at least.
+ROWS_EACH, ROWS, LEAST_EACH = 300, 2400, 5
 NONE = "und"
 #: Two-letter language codes by family. A language that is not here is a family of its own.
 FAMILIES = {
@@ -138,16 +138,23 @@ class Model:
 
 
 def learn(docs: DataFrame, learned_from, rows_each: int = ROWS_EACH, rows: int = ROWS) -> Model:
-    """A model of the rows with a language for which the condition holds; at most `rows_each` of each language and `rows` in all, chosen by a hash of doc_id.
+    """A model of the rows with a language for which the condition holds; about `rows_each` of each language and at most `rows` in all, chosen by a hash of doc_id.
 
-    Counts of languages decide how large a share of each is wanted, so no language's rows
-    are gathered or ordered as a whole.
+    Every language is learned: where there are many, `rows` is shared out among them, and
+    exceeded from where that would leave less than LEAST_EACH for each. Counts of languages
+    decide how large a share of each is wanted, so no language's rows are gathered or
+    ordered as a whole. Rows come in order of their place within their language's share, so
+    that the bound in all cuts a little of each frequent language, and no rare one.
     """
     known = docs.filter(learned_from & F.col("lang").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(rows // rows_each)
-    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
-    share = F.floor(F.lit(float(rows_each)) / F.col("n") * F.lit(float(1 << 40)))
-    chosen = known.join(F.broadcast(counts), "lang").filter(place < share).orderBy(place, "doc_id").limit(rows)
+    # null ids share no place: their texts are hashed
+    known = known.withColumn("place", F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(1 << 40)))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.min("place").alias("low")).collect()  # one row a language, as the model has
+    each = max(LEAST_EACH, min(rows_each, rows // max(1, len(counts))))
+    shares = docs.sparkSession.createDataFrame(counts, "lang string, n long, low long")
+    share = F.floor(F.lit(float(each)) / F.col("n") * F.lit(float(1 << 40)))
+    some = known.join(F.broadcast(shares), "lang").filter((F.col("place") < share) | (F.col("place") == F.col("low")))
+    chosen = some.orderBy(F.col("place") != F.col("low"), F.col("place") * F.col("n").cast("double"), "doc_id").limit(max(rows, each * len(counts)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -39,6 +39,21 @@ def test_learning_reads_only_what_it_may(spark):
     assert language.identify(table(spark, []), model).count() == 0
 
 
+def test_every_language_is_learned(spark):
+    langs = ["fi", "ru", "de", "tr", "ar", "hi", "lt", "fr", "el", "ka", "th", "zz"]
+    word = lambda k, rng: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0"[2 * k : 2 * k + 3]) for _ in range(4))
+    rng = random.Random(3)
+    rows = [(v, " ".join(word(k, rng) for _ in range(30))) for k, v in enumerate(langs) for _ in range(3 if v == "zz" else 40 + 4 * (k % 3))]
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(None if v == "el" else i, t, v) for i, (v, t) in enumerate(rows)], schema)
+    for bounds in ({}, {"rows_each": 20, "rows": 96}, {"rows_each": 20, "rows": 24}):
+        model = language.learn(docs, F.lit(True), **bounds)
+        assert sorted(v for f in model.languages.values() for v in f) == sorted(langs)
+    got = language.identify(docs, language.learn(docs, F.lit(True), rows_each=20, rows=96)).select("row.lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(rows)
+    assert sum(r.lang == r.lang_pred for r in got if r.lang == "zz") == 3
+
+
 def test_unseen_misspellings_are_toxic(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["tan", "re", "lo", "mi", "su", "ke"]) for _ in range(rng.randint(1, 4)))
