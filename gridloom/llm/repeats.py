@@ -14,31 +14,26 @@ from pyspark.sql import types as T
 from . import windows as W
 from .common import release
 
-RECORD = "h long, c long, _id long, _fp long, place long"
+RECORD = "h long, c long, _id long, _fp long, place long, times long"
 #: Runs of one anchor that one task compares in memory; larger groups go through a shuffle of single windows.
 TOGETHER = 4096
 
 
 @dataclass(frozen=True)
 class Unit:
-    """What a window is made of: `width` tokens, anchored by grams of `gram` tokens, compared in `passes` steps."""
+    """What a window is made of: `width` tokens, anchored by grams of `gram` tokens."""
 
     width: int
     gram: int
     words: bool
-    passes: int = 1
 
     def tokens(self, column) -> tuple[Callable[[int, int], np.ndarray], np.ndarray]:
         data, offsets = W.utf8(column)
         if not self.words:
-            return lambda a, b: W.BYTES[data[a:b]], offsets
+            return lambda a, b: data[a:b], offsets
         _, _, hashes, bounds = W.words(data, offsets)
         return lambda a, b: hashes[a:b], bounds
 
-    @property
-    def depths(self) -> list[int]:
-        return [self.width * k // self.passes for k in range(1, self.passes + 1)]
-
 
 def long(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return batch.column(name).to_numpy(zero_copy_only=False)
@@ -54,16 +49,16 @@ def records(docs: DataFrame, unit: Unit) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         for b in (p for x in batches for p in W.portions(x)):
-            doc, h, c, place = W.records(*unit.tokens(b.column("text")), unit.width, unit.gram)
-            columns = h, c, long(b, "_id")[doc], long(b, "_fp")[doc], place
+            doc, h, c, place, times = W.records(*unit.tokens(b.column("text")), unit.width, unit.gram)
+            columns = h, c, long(b, "_id")[doc], long(b, "_fp")[doc], place, times
             for at in range(0, len(h), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], names=["h", "c", "_id", "_fp", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], names=["h", "c", "_id", "_fp", "place", "times"])
 
     return texts(docs).mapInArrow(run, RECORD)
 
 
 def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
-    """wanted: (h, m, _id, _fp, place), distinct runs. Adds the content of each, read again from its document: its bytes, or for words a digest of each window."""
+    """wanted: (h, m, _id, _fp, place), distinct runs. Adds the content of each, read again from its document: its bytes, or for words two digests of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
@@ -86,8 +81,8 @@ def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 if unit.words:
                     size = count[own]
                     of = _ramp(start[own] - low, size)
-                    content = W.Prefix(t, 0).of(of, of + unit.width).tobytes()
-                    step = 8
+                    content = np.stack([W.Digests(t, k).all(unit.width)[of] for k in (2, 3)], axis=1).tobytes()
+                    step = 16
                 else:
                     size = count[own] + unit.width - 1
                     content = W.utf8(b.column("text"))[0][low:][_ramp(start[own] - low, size)].tobytes()
@@ -109,15 +104,6 @@ def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
 
 
-def _digests(unit: Unit, column, count: np.ndarray) -> np.ndarray:
-    """Of every window of every run a digest for each depth."""
-    data, offsets = W.utf8(column)
-    if unit.words:
-        return np.frombuffer(data.tobytes(), np.uint64).reshape(-1, 1)
-    sums, of = W.Prefix(W.BYTES[data], 0), _ramp(offsets[:-1], count)
-    return np.stack([sums.of(of, of + d) for d in unit.depths], axis=1)
-
-
 def group_ids(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order that sorts rows by keys, and the number of each sorted row's group."""
     order = np.lexsort(keys[::-1])
@@ -128,16 +114,27 @@ def group_ids(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, np.cumsum(new)
 
 
-def radix(h: np.ndarray, digests: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in groups of two or more equal ones, by one pass for each depth; what is alone after a pass is done with. Returns (places of the windows, their group numbers)."""
-    left, group = np.arange(len(h)), h
-    for depth in range(digests.shape[1]):
-        order, number = group_ids([group, digests[left, depth]])
+def radix(group: np.ndarray, digits: Iterator[Callable[[np.ndarray], np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in groups of two or more equal ones, by one pass for each digit, the most significant first; what is alone after a pass is done with. A digit gives its value for the windows that are left. Returns (places of the windows, their group numbers)."""
+    left = np.arange(len(group))
+    for digit in digits:
+        order, number = group_ids([group, digit(left)])
         again = np.bincount(number)[number] > 1 if len(number) else np.zeros(0, bool)
         left, group = left[order][again], number[again]
     return left, group
 
 
+def digits_of(unit: Unit, column, count: np.ndarray) -> Iterator[Callable[[np.ndarray], np.ndarray]]:
+    """The digits of every window of every run: eight bytes each, in order; of words the two digests."""
+    data, offsets = W.utf8(column)
+    if unit.words:
+        both = np.frombuffer(data.tobytes(), np.uint64).reshape(-1, 2)
+        return (lambda left, k=k: both[left, k] for k in (0, 1))
+    number, of = W.loads(data), _ramp(offsets[:-1], count)
+    last = unit.width - 8
+    return (lambda left, k=k: number[of[left] + min(k, last)].byteswap() for k in range(0, unit.width, 8))
+
+
 def spans_of(windows: np.ndarray, run: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(run, start, end) of the maximal stretches of consecutive windows; windows: starts, in order within each run."""
     cut = np.flatnonzero((np.diff(windows) != 1) | (np.diff(run) != 0)) + 1
@@ -152,8 +149,9 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
     """Spans of the windows in `found` that another run shares, each with its run's place; earlier: only with one in a document of smaller id.
 
     Groups of up to `together` runs are compared in one task; in larger ones every window is
-    a row of its own, counted by its digest with partial sums before the shuffle.
+    a row of its own, counted by two digests with partial sums before the shuffle.
     """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
@@ -161,7 +159,7 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
             h, ids, fps, place = (rows.column(n).to_numpy() for n in ("h", "_id", "_fp", "place"))
             start, count = W.unpack(place)
             run, at = np.repeat(np.arange(len(h)), count), _ramp(start, count)
-            which, group = radix(h[run], _digests(unit, rows.column("content"), count))
+            which, group = radix(h[run], digits_of(unit, rows.column("content"), count))
             if earlier and len(which):
                 least = np.full(group.max() + 1, np.iinfo(np.int64).max)
                 np.minimum.at(least, group, ids[run[which]])
@@ -193,37 +191,45 @@ def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETH
                 p = b.slice(i, 500)
                 start, count = W.unpack(long(p, "place"))
                 run, at = np.repeat(np.arange(len(p)), count), _ramp(start, count)
-                whole = np.ascontiguousarray(_digests(unit, p.column("content"), count)[:, -1]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (long(p, "h")[run], whole, long(p, "_id")[run], long(p, "_fp")[run], long(p, "place")[run], at)], names=["h", "d", "_id", "_fp", "place", "at"])
+                data, offsets = W.utf8(p.column("content"))
+                if unit.words:
+                    d, e = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2).T
+                else:
+                    of = _ramp(offsets[:-1], count)
+                    d, e = (W.Digests(data, k).all(unit.width)[of].view(np.int64) for k in (2, 3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, e, long(p, "_id")[run], long(p, "_fp")[run], long(p, "place")[run], at)], names=["d", "e", "_id", "_fp", "place", "at"])
 
     small = found.filter(F.col("m") <= together).repartition("h").sortWithinPartitions("h").select("h", "_id", "_fp", "place", "content").mapInArrow(compare, SPAN)
-    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "h long, d long, _id long, _fp long, place long, at long")
-    counts = one.groupBy("h", "d").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
-    shared = one.join(counts, ["h", "d"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
+    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "d long, e long, _id long, _fp long, place long, at long")
+    counts = one.groupBy("d", "e").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
+    shared = one.join(counts, ["d", "e"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
     large = shared.select("_id", "_fp", "place", F.col("at").alias("start"), (F.col("at") + unit.width).alias("end"))
     return small.unionByName(large)
 
 
 def carried(spans: DataFrame, places: DataFrame) -> DataFrame:
-    """spans: as from resolved(); places: (_id, _fp, place, of: struct of _fp and place), other places in documents of the same id whose windows equal those of the run `of`. The spans of `of`, at each such place."""
-    of = places.select("_id", F.col("_fp").alias("to_fp"), F.col("place").alias("to"), F.col("of._fp").alias("_fp"), F.col("of.place").alias("place"))
+    """spans: as from resolved(); places: (_id, _fp, place, times, of: struct of _fp and place), places in documents of the same id whose windows equal those of the run `of`. The spans of `of`, at each such place and as often as the run follows upon itself there: spans are longer than a run has windows, so they join."""
+    of = places.select("_id", F.col("_fp").alias("to_fp"), F.col("place").alias("to"), "times", F.col("of._fp").alias("_fp"), F.col("of.place").alias("place"))
     moved = F.shiftright("to", 16) - F.shiftright("place", 16)
-    return spans.join(of, ["_id", "_fp", "place"]).select("_id", F.col("to_fp").alias("_fp"), (F.col("start") + moved).alias("start"), (F.col("end") + moved).alias("end"))
+    on = (F.shiftright("to", 8).bitwiseAND(255) + 1) * (F.col("times") - 1)
+    return spans.join(of, ["_id", "_fp", "place"]).select("_id", F.col("to_fp").alias("_fp"), (F.col("start") + moved).alias("start"), (F.col("end") + moved + on).alias("end"))
 
 
 def run_spans(runs: DataFrame, width: int) -> DataFrame:
-    """The token span that all windows of each run cover."""
+    """The token span that all windows of each run cover, as often as it follows upon itself."""
     start = F.shiftright("place", 16)
-    return runs.select("_id", "_fp", start.alias("start"), (start + F.shiftright("place", 8).bitwiseAND(255) + width).alias("end"))
+    return runs.select("_id", "_fp", start.alias("start"), (start + (F.shiftright("place", 8).bitwiseAND(255) + 1) * F.col("times") + (width - 1)).alias("end"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """(row, text, starts, ends): every document with its spans, unmerged; none: null.
+    """(row, text, spans): every document with its spans, unmerged; none: null.
 
-    The list is of one document's own spans; its length is bounded by the document's.
+    The list is of one document's own spans, one for each of its runs at most; text of a
+    short period has one run for each STRETCH of it. Only `row` travels, the text in it.
     """
     lists = spans.groupBy("_id", "_fp").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    return texts(docs, "row").join(lists, ["_id", "_fp"], "left").select("row", "text", "spans")
+    joined = docs.select("_id", "_fp", "row").join(lists, ["_id", "_fp"], "left")
+    return joined.select("row", F.col("row.text").cast("string").alias("text"), "spans")
 
 
 def covered(batch: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
@@ -231,11 +237,15 @@ def covered(batch: pa.RecordBatch, bounds: np.ndarray) -> np.ndarray:
     lists = batch.column("spans")
     doc = np.repeat(np.arange(len(batch)), np.nan_to_num(np.asarray(lists.value_lengths().fill_null(0))))
     flat = lists.flatten()
-    delta = np.zeros(int(bounds[-1]) + 1, np.int32)
+    step = np.zeros(int(bounds[-1]) + 1, np.int8)
     if len(flat):
-        np.add.at(delta, flat.field("start").to_numpy() + bounds[doc], 1)
-        np.add.at(delta, flat.field("end").to_numpy() + bounds[doc], -1)
-    return np.cumsum(delta[:-1]) > 0
+        start, end = (flat.field(n).to_numpy(zero_copy_only=False) + bounds[doc] for n in ("start", "end"))
+        order = np.argsort(start, kind="stable")
+        start, end = start[order], np.maximum.accumulate(end[order])
+        new = np.flatnonzero(np.concatenate(([True], start[1:] > end[:-1])))
+        step[start[new]] = 1
+        step[end[np.concatenate((new[1:], [len(end)])) - 1]] = -1
+    return np.cumsum(step[:-1], dtype=np.int8) > 0
 
 
 def result(docs: DataFrame, **more: str) -> T.StructType:

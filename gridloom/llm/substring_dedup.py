@@ -32,7 +32,8 @@ class FingerprintIndex:
 
     def __init__(self, spark: SparkSession, width: int = 50, gram: int = 12, buckets: int = 48, tasks: int | None = None, ratio: float = 2.0, together: int = R.TOGETHER):
         self.spark, self.unit = spark, R.Unit(width, gram, True)
-        self.buckets, self.tasks, self.ratio, self.together = buckets, tasks, ratio, together
+        most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark makes no table of more
+        self.buckets, self.tasks, self.ratio, self.together = min(buckets, most), tasks, ratio, together
         self.runs: list[tuple[str, int]] = []
 
     def _store(self, rows: DataFrame) -> tuple[str, int]:
@@ -60,7 +61,7 @@ class FingerprintIndex:
         unit, tasks = self.unit, self.tasks
         with held(self.spark) as keep:
             found = keep(R.records(batch, unit), tasks)
-            new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last"), F.count("*").alias("n")))
+            new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last"), F.sum("times").alias("n")))
             fresh = self.spark.table(new)
             known = fresh
             for old, _ in self.runs:
@@ -72,9 +73,9 @@ class FingerprintIndex:
             wanted = known.join(anchors, "h").select("h", "m", "first.*")
             windows = keep(R.fetched(seen, wanted, unit), tasks)
             partly = written(R.resolved(windows, unit, True, self.together), "partly", tasks)
-            # a run may stand at more places of the first id: what holds for the place compared holds for them
+            # a run may stand at more places of the first id, or several times on end: what holds for the place compared holds for them
             several = known.filter("n > 1").join(anchors.select("h"), "h", "left_semi").select("h", "c", "first")
-            others = found.join(several, ["h", "c"]).filter("first._id >= _id AND NOT (first._fp = _fp AND first.place = place)").select("_id", "_fp", "place", F.col("first").alias("of"))
+            others = found.join(several, ["h", "c"]).filter("first._id >= _id AND (times > 1 OR NOT (first._fp = _fp AND first.place = place))").select("_id", "_fp", "place", "times", F.col("first").alias("of"))
             spans = R.run_spans(whole, unit.width).unionByName(R.carried(partly, others))
             spans = written(spans, "spans", tasks).unionByName(partly.drop("place"))
         self.runs.append((new, size))
@@ -99,7 +100,8 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, batches: int = 3, in
     joined by one space) for every row. Null text: no words. Texts of fewer than `width`
     words keep all. A null id counts as larger than every other. Rows with equal ids never
     remove from each other. An empty table gives an empty result. `row` holds the input's
-    columns, whatever their names. Words are compared by two independent 64-bit digests.
+    columns, whatever their names. Words are compared by 128 bits: two digests of a run's anchor and
+    of its whole content, or of runs that share the anchor only two digests of each window.
     """
     spark, tasks = docs.sparkSession, tasks_for(docs)
     docs = keyed(docs)

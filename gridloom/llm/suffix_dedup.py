@@ -23,24 +23,25 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
     1. by the anchor gram in their first `length` bytes (windows.py): the suffixes that
        share an anchor stand together as one run, so this pass moves about one record for
        every 80 bytes instead of one for each;
-    2. by the run's content: equal runs consist of equal groups only, and are done;
-    3. the runs that share an anchor only are taken apart, and their suffixes ordered in
-       four passes of a quarter of `length` each.
+    2. by the run's content, as two independent 64-bit digests: equal runs consist of equal
+       groups only, and are done;
+    3. the runs that share an anchor only are read again and taken apart, and their suffixes
+       ordered by their bytes, eight to a pass, until `length` bytes are done.
 
     Groups that remain at full depth are exactly the repeated strings. Pass 1 and 2 count
     with partial sums; a group of over `together` different runs in pass 3 is spread over
-    the cluster window by window. Bytes are compared by two independent 64-bit digests.
+    the cluster window by window, and its windows counted by two digests.
 
     Returns (row, n_bytes, spans: array of start and end in bytes, kept: binary) for every
     row. Null or empty text: no bytes. Texts shorter than `length` keep all. A repeated
     row, id included, counts as another place. Null ids are allowed. An empty table gives
     an empty result. `row` holds the input's columns, whatever their names.
     """
-    unit = R.Unit(length, gram, False, passes=4)
+    unit = R.Unit(length, gram, False)
     tasks = tasks_for(docs)
     docs = keyed(docs)
     found = written(R.records(docs, unit), "suffixes", tasks)
-    runs = found.groupBy("h", "c").agg(F.count("*").alias("n"))
+    runs = found.groupBy("h", "c").agg(F.sum("times").alias("n"))
     anchors = runs.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
     open_runs = runs.join(anchors, "h", "left").filter("n > 1 OR m > 1")
     found = written(found.join(open_runs, ["h", "c"]), "open-suffixes", tasks)

@@ -5,17 +5,20 @@ Every window of ``width`` tokens owns one *anchor*: the leftmost smallest hash a
 alone, so equal windows always own equal anchors at equal offsets, and a whole corpus of
 windows is represented by about ``2 / (width - gram + 2)`` records a token:
 
-    (h, c, place)   h: hash of the anchor gram; c: digest of the text that the run of
-                    windows owned by this anchor covers; place: where the run starts,
-                    how many windows it has, and where the anchor stands in it.
-
-Two runs with equal (h, c) hold the same windows, all of them.  Runs with equal h and
-different c can share some windows; those are compared window by window.
+    (h, c, place, times)   h: digest of the anchor gram; c: digest of the text that the run
+                    of windows owned by this anchor covers; place: where the run starts,
+                    how many windows it has, and where the anchor stands in it; times: how
+                    often the same run follows upon itself, as in text that repeats a short
+                    period, so that such text has few records too.
+
+Two runs with equal (h, c), 128 independent bits, hold the same windows, all of them.  Runs
+with equal h and different c can share some windows; those are compared window by window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 
@@ -39,47 +42,66 @@ def _seeded(n: int, seed: int) -> np.ndarray:
         return mix((np.arange(1, n + 1, dtype=U) + U(seed) * U(1 << 32)) * U(0x9E3779B97F4A7C15))
 
 
-BYTES = _seeded(256, 1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
-
-
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, U)
-
-    def reach(self, n: int) -> Powers:
-        if len(self.up) <= n:
-            size = 1 << int(n).bit_length()
-            for name, step in (("up", self.base), ("down", self.inverse)):
-                row = np.full(size, step, U)
-                row[0] = 1
-                setattr(self, name, np.multiply.accumulate(row))
-        return self
-
-
-_BASES = Powers(0x9E3779B97F4A7C15 | 1), Powers(0xD1342543DE82EF95 | 1)
-
-
-class Prefix:
-    """Digests of any stretch of a token array in constant time each."""
-
-    def __init__(self, tokens: np.ndarray, which: int):
-        self.powers = _BASES[which].reach(len(tokens))
-        self.sums = np.zeros(len(tokens) + 1, U)
-        np.cumsum(tokens * self.powers.up[: len(tokens)], out=self.sums[1:])
+#: One odd factor pair for each independent family of digests.
+_FACTORS = _seeded(8, 1) | U(1)
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+
+
+def loads(data: np.ndarray) -> np.ndarray:
+    """For every byte the eight bytes from there on as one number; past the end: zeros. A view of a padded copy."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), "<u8", padded, 0, (1,))
+
+
+class Digests:
+    """Digests of stretches of one token array, by doubling: that of twice as many tokens mixes
+    those of its halves. A stretch of any length is told by the first and the last stretch of
+    the largest power of two in it. Mixing is not linear, so no texts are known that collide.
+    Bytes are taken eight at a time to begin with, as they are. `family` (0 to 3) picks
+    independent digests."""
+
+    def __init__(self, tokens: np.ndarray, family: int):
+        self.k, self.l = _FACTORS[2 * family : 2 * family + 2]
+        self.least = 8 if tokens.dtype == np.uint8 else 1
+        base = loads(tokens)[: max(0, len(tokens) - 7)] if self.least == 8 else tokens
+        self.base = mix(base ^ self.k)
+        self.size = len(tokens)
+
+    def _join(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        x = a * self.k
+        x ^= x >> U(32)
+        x += b
+        x *= self.l
+        x ^= x >> U(29)
+        return x
+
+    def _levels(self, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+        span, level = self.least, self.base
+        while True:
+            yield span, level
+            if 2 * span > longest:
+                return
+            level = self._join(level[: max(0, len(level) - span)], level[span:])
+            span *= 2
 
     def all(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        out = self.sums[width:] - self.sums[:n]
-        out *= self.powers.down[:n]
-        return mix(out)
+        """Of every stretch of `width` tokens."""
+        *_, (span, level) = self._levels(width)
+        n = max(0, self.size - width + 1)
+        return mix(self._join(level[:n], level[width - span : width - span + n]))
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.powers.down[start] + (end - start).astype(U))
+        """Of some stretches, none shorter than eight bytes or one token."""
+        size = end - start
+        out = np.zeros(len(start), U)
+        for span, level in self._levels(int(size.max()) if len(size) else 0):
+            at = np.flatnonzero((size >= span) & (size < 2 * span))
+            if len(at):
+                out[at] = self._join(level[start[at]], level[end[at] - span]) + size[at].astype(U) * self.l
+        return mix(out)
 
 
 def leftmost_min(values: np.ndarray, w: int) -> np.ndarray:
@@ -111,15 +133,14 @@ def stretches(bounds: np.ndarray, width: int, size: int) -> Iterator[tuple[int,
 
 
 def records(tokens, bounds: np.ndarray, width: int, gram: int, size: int = STRETCH):
-    """Arrays (document, h, c, place) over all documents; tokens(a, b) gives those from a to b, bounds the documents' offsets."""
+    """Arrays (document, h, c, place, times) over all documents; tokens(a, b) gives those from a to b, bounds the documents' offsets."""
     w = width - gram + 1
     parts = []
     for i, j, a, b in stretches(bounds, width, size):
         if b - a < width:
             continue
         t = tokens(a, b)
-        one = Prefix(t, 0)
-        grams = one.all(gram)
+        grams = Digests(t, 0).all(gram)
         own = leftmost_min(grams, w)
         ends = np.minimum(bounds[i + 1 : j + 1], b)
         begins = np.maximum(bounds[i:j], a)
@@ -135,12 +156,14 @@ def records(tokens, bounds: np.ndarray, width: int, gram: int, size: int = STRET
         first, last = np.concatenate(([0], cut + 1)), np.concatenate((cut, [len(at) - 1]))
         lo, hi, p = at[first], at[last], o[first]
         doc = np.searchsorted(bounds, lo + a, side="right") - 1
-        c = Prefix(t, 1).of(lo, hi + width)
+        h, c = grams[p], Digests(t, 1).of(lo, hi + width)
+        same = (h[1:] == h[:-1]) & (c[1:] == c[:-1]) & (doc[1:] == doc[:-1]) & (lo[1:] == hi[:-1] + 1)
+        one = np.flatnonzero(np.concatenate(([True], ~same)))
         place = ((lo + a - bounds[doc]) << 16) | ((hi - lo) << 8) | (p - lo)
-        parts.append((doc, grams[p].view(np.int64), c.view(np.int64), place))
+        parts.append((doc[one], h[one].view(np.int64), c[one].view(np.int64), place[one], np.diff(one, append=len(h))))
     if not parts:
         z = np.zeros(0, np.int64)
-        return z, z, z, z
+        return z, z, z, z, z
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -173,6 +196,17 @@ def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def _word_hashes(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words of up to 16 bytes are two numbers and a length, which are mixed; longer ones are hashed one by one."""
+    size, number = end - start, loads(d)
+    low = number[start] & _FIRST[np.minimum(size, 8)]
+    high = number[np.minimum(start + 8, len(d))] & _FIRST[np.clip(size - 8, 0, 8)]
+    out = mix(mix(low * _FACTORS[6] + size.astype(U)) + high * _FACTORS[7])
+    for i in np.flatnonzero(size > 16):
+        out[i] = int.from_bytes(blake2b(d[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def _between_words(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
     """Like stretches(), but a long document is only cut before a separator."""
     i, n = 0, len(offsets) - 1
@@ -208,7 +242,7 @@ def words(data: np.ndarray, offsets: np.ndarray, size: int = STRETCH):
         first[edges] |= solid[edges]
         last[edges - 1] |= solid[edges - 1]
         s, e = np.flatnonzero(first), np.flatnonzero(last) + 1
-        hashes.append(Prefix(BYTES[d], 1).of(s, e))
+        hashes.append(_word_hashes(d, s, e))
         starts.append(s + a)
         ends.append(e + a)
     cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)

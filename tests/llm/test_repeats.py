@@ -33,7 +33,7 @@ def test_equal_windows_own_equal_anchors_in_any_stretch():
     bounds = np.array([0, 1000, 3000])
     whole = W.records(lambda a, b: t[a:b], bounds, 50, 12)
     pieces = W.records(lambda a, b: t[a:b], bounds, 50, 12, size=90)
-    count = lambda r: sum((r[3] >> 8 & 255) + 1)
+    count = lambda r: sum(((r[3] >> 8 & 255) + 1) * r[4])
     assert count(whole) == count(pieces) == 951 + 1951
     assert len(set(whole[1]) & set(pieces[1])) > 0.9 * len(set(whole[1]))
 
@@ -93,3 +93,38 @@ def test_runs_are_compacted_and_keep_the_smallest_id(spark, corpus):
     assert 1 <= len(index.runs) <= 3
     sizes = [n for _, n in index.runs]
     assert all(a > index.ratio * b for a, b in zip(sizes, sizes[1:]))
+
+
+def test_texts_that_linear_digests_confuse(spark):
+    bits = [k.bit_count() % 2 for k in range(1024)]
+    one, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    rows = [(1, " ".join(["x"] * 49 + [one])), (2, " ".join(["x"] * 49 + [other])), (3, one), (4, other)]
+    assert words_out(remove_repeated_words(table(spark, rows))) == sorted(brute.repeated_words(rows))
+    assert bytes_out(remove_repeated_bytes(table(spark, rows))) == sorted(brute.repeated_bytes(rows))
+    t = np.frombuffer((one + other).encode(), np.uint8)
+    for family in range(4):
+        d = W.Digests(t, family)
+        at = np.arange(0, 1024)
+        for width in (8, 9, 64, 512, 1024):
+            assert len(set(zip(d.of(at, at + width).tolist()))) == len({bytes(t[i : i + width]) for i in at})
+            assert d.of(at, at + width).tolist() == [int(W.Digests(t[i : i + width + 3], family).of(at[:1], at[:1] + width)[0]) for i in range(1024)]
+
+
+@pytest.mark.parametrize("together", [1, 4096])
+def test_periodic_texts(spark, together):
+    rows = [(1, "a" * 900), (2, "ab" * 300 + "c" + "ab" * 200), (3, "xyz " * 120), (4, "a " * 90 + "b " * 90), (5, "q " * 40 + "xyz " * 70 + "q a " * 60), (6, "b " * 51 + "a " * 51 + "x")]
+    assert bytes_out(remove_repeated_bytes(table(spark, rows), together=together)) == sorted(brute.repeated_bytes(rows))
+    assert words_out(remove_repeated_words(table(spark, rows), together=together)) == sorted(brute.repeated_words(rows))
+
+
+def test_a_long_text_of_one_letter(spark, tmp_path):
+    n = 20 << 20
+    spark.createDataFrame([(0, "a" * n), (1, "a " * (n // 2) + "end")], "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    assert {r[0]: r[1:4] for r in bytes_out(remove_repeated_bytes(docs))} == {0: (n, n, 1), 1: (n + 3, n, 1)}
+    docs = docs.filter("doc_id = 1").unionByName(docs.filter("doc_id = 1").selectExpr("doc_id + 1 AS doc_id", "text"))
+    assert [r[:3] for r in words_out(remove_repeated_words(docs))] == [(1, n // 2 + 1, 0), (2, n // 2 + 1, n // 2 + 1)]
+
+
+def test_no_more_buckets_than_tables_may_have(spark):
+    assert FingerprintIndex(spark, buckets=200_000).buckets == int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
