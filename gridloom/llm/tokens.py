@@ -44,10 +44,11 @@ def default_path() -> str:
 
 
 class WordTokens:
-    """Encodes texts to the little-endian unsigned 32-bit ids that the tokenizer gives, without special tokens.
+    """Encodes texts to the little-endian unsigned 32-bit ids that the tokenizer gives, without adding special tokens.
 
     The tokenizer drops white space and never joins what it separates, so a text's ids are
-    its words' ids one after the other.
+    its words' ids one after the other. A special token that stands in a text is one id, as
+    the tokenizer has it, and parts the text before any other rule.
     """
 
     _open: dict[str, WordTokens] = {}
@@ -57,6 +58,9 @@ class WordTokens:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.path, self._full = path, None
+        special = {t.content: i for i, t in Tokenizer.from_file(path).get_added_tokens_decoder().items()}
+        self.special = {t: np.array([i], "<u4").tobytes() for t, i in special.items()}
+        self._special = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # parts are in lower case and split already: white space is all that separates them
         self.lean = Tokenizer.from_file(path)
         self.lean.encode_special_tokens = True
@@ -74,7 +78,6 @@ class WordTokens:
             from tokenizers import Tokenizer
 
             self._full = Tokenizer.from_file(self.path)
-            self._full.encode_special_tokens = True
         return self._full
 
     @classmethod
@@ -105,6 +108,12 @@ class WordTokens:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self._special and self._special.search(text):
+            return b"".join([self.special.get(t) or self._between(t) for t in self._special.split(text)])
+        return self._between(text)
+
+    def _between(self, text: str) -> bytes:
+        """Ids of a text without special tokens."""
         plain = bool(_PLAIN_TEXT.fullmatch(text))
         if not plain and _ODD.search(text):
             return self.whole(text)

@@ -12,17 +12,23 @@ def ids_of(text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def test_tokens_are_the_tokenizers():
-    texts = ["It's o'clock café's ½ Ǆ ẞ œuvre naïve", "ab\x1ccd \x85 x\xa0z 12345 a1b2 !!a??", "<|endoftext|> Don'T ümlaut ÀÉ ×÷ ªº", "", "  ", "日本語 テキスト。", "Σίσυφος ΣΑΣ", "é a"]
+    texts = ["It's o'clock café's ½ Ǆ ẞ œuvre naïve", "ab\x1ccd \x85 x\xa0z 12345 a1b2 !!a??", "<|endoftext|> Don'T ümlaut ÀÉ ×÷ ªº", "a<|endoftext|>B <|ENDOFTEXT|> e\u0301<|startoftext|>\u0301x <|endoftext", "<|startoftext|><|endoftext|>\x1c y", "", "  ", "日本語 テキスト。", "Σίσυφος ΣΑΣ", "é a"]
     w = WordTokens.at(default_path())
     for t in texts * 2:
         assert w.ids(t) + (1).to_bytes(4, "little") == np.array(ids_of(t), "<u4").tobytes()
 
 
+def test_special_tokens_in_a_text_are_what_the_tokenizer_says(spark):
+    assert ids_of("x <|endoftext|> y")[1] == 49407
+    text = "a <|endoftext|> b<|startoftext|>"
+    row = pack(table(spark, [(1, text)])).first()
+    assert (row.doc_tokens, row.ids_crc32) == (len(ids_of(text)), zlib.crc32(np.array(ids_of(text), "<u4").tobytes()))
+
+
 def test_knapsack_is_the_best():
     value, count = knapsack(np.array([3.0, 5.0, 7.0]), np.array([2, 3, 4]), 9)
     assert value == 15.0 and (np.array([2, 3, 4]) @ count) <= 9 and np.array([3, 5, 7]) @ count == 15
