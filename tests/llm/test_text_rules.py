@@ -73,11 +73,11 @@ def test_fingerprints_of_edited_texts(spark, corpus):
     assert prints[4] == prints[5] == prints[6] and prints[1] == prints[2] and len(prints[4]) == 256
 
 
-@pytest.mark.parametrize("rows_each", [1, 3, 1000])
-def test_next_rows_in_any_number_of_ranges(spark, rows_each):
+@pytest.mark.parametrize("rows_each, borders", [(1, 1024), (3, 1024), (1000, 1024), (1, 2), (2, 3)])
+def test_next_rows_in_any_number_of_ranges(spark, rows_each, borders):
     ids = [9, 1, 5, 5, 12, 30, 31, 2, 0, -4]
     docs = spark.createDataFrame([(i, k, f"t{k}") for k, i in enumerate(ids)], "_id long, _fp long, t string")
-    got = {r.t: r["next"].t for r in minhash.followed(docs, ["t"], rows_each).collect()}
+    got = {r.t: r["next"].t for r in minhash.followed(docs, ["t"], rows_each, borders).collect()}
     order = [f"t{k}" for k in sorted(range(len(ids)), key=lambda k: (-ids[k], k))]
     assert got == dict(zip(order, order[1:] + order[:1]))
 
@@ -86,3 +86,47 @@ def test_one_or_no_row(spark):
     assert minhash.compare_edited(keyed(table(spark, []))).count() == 0
     one = minhash.compare_edited(keyed(table(spark, [(1, "abcdef")]))).first()
     assert one.edited == "abcdab" and one.near_next == 1.0
+
+
+def test_short_texts_have_fingerprints_of_their_own(spark):
+    docs = spark.range(2000).selectExpr("id AS doc_id", "concat('w', id, ' v', id * 7) AS text")
+    out = minhash.with_fingerprint(docs, "text", "f").select("doc_id", minhash.packed(F.col("f")).alias("p"), "f")
+    assert out.select("p").distinct().count() >= 1990
+    pairs = out.alias("a").join(out.alias("b"), F.expr("a.doc_id + 1 = b.doc_id")).select(minhash.likeness(F.col("a.f"), F.col("b.f")).alias("s"))
+    assert pairs.agg(F.max("s")).first()[0] < 0.1
+
+
+def test_fingerprints_by_a_version_of_their_own(spark, corpus):
+    """Bins, densification and packing again, one text at a time; the hash of a row is Spark's."""
+    half = [(i, t) for i, t in corpus if i not in (30, 32)]
+    docs = table(spark, half)
+    shingled = spark.createDataFrame([(i, list(g)) for i, t in half for g in sorted(brute.shingles(t))], "doc_id long, g array<string>")
+    hashes = {}
+    for r in shingled.select("doc_id", F.when(F.size("g") == 5, F.xxhash64(*[F.get("g", k) for k in range(5)])).otherwise(F.xxhash64(F.array_join("g", " "))).alias("h")).collect():
+        hashes.setdefault(r.doc_id, []).append(r.h)
+    draws = spark.range(128).select(F.col("id").alias("e")).crossJoin(spark.range(128).select(F.col("id").alias("x"))).select("e", "x", F.xxhash64("e", "x").alias("d")).collect()
+    draw = {(r.e, r.x): r.d for r in draws}
+    want, borrowed = {}, []
+    for i, hs in hashes.items():
+        least = {}
+        for h in sorted(hs):
+            least.setdefault((h & (1 << 64) - 1) >> 57, h)
+        for e in range(128):
+            x = e if e in least else min(least, key=lambda b: draw[e, b])
+            want[i, e] = least[x] & 255 if x == e else None
+            if x != e:
+                borrowed.append((i, e, least[x]))
+    for r in spark.createDataFrame(borrowed, "i long, e long, h long").select("i", "e", F.xxhash64("h", "e").bitwiseAND(255).alias("v")).collect():
+        want[r.i, r.e] = r.v
+    got = {r.doc_id: r.p for r in minhash.with_fingerprint(docs, "text", "f").select("doc_id", minhash.packed(F.col("f")).alias("p")).collect()}
+    for i, _ in half:
+        assert got[i] == "".join(f"{want[i, e] if i in hashes else 0:02X}" for e in range(128))
+
+
+def test_fingerprints_with_null_ids_and_repeated_rows(spark):
+    rows = [(None, "a b c d e f"), (None, "x y z x y z"), (3, "a b c d e f"), (3, "a b c d e f"), (-5, ""), (9, None)]
+    out = minhash.compare_edited(keyed(table(spark, rows))).collect()
+    assert len(out) == 6 and all(0 <= r.near_next <= 1 for r in out)
+    equal = [r.fingerprint for r in out if r.row.text == "a b c d e f"]
+    assert len(equal) == 3 and equal[0] == equal[1] == equal[2]
+    assert {r.edited for r in out if r.row.doc_id == 9} == {""}
