@@ -9,12 +9,21 @@ left border and each that may cross its right one, how many pieces lie between,
 infinity. Matrices of neighbouring chunks multiply; the product along a prefix tells each
 chunk the pieces at its borders and how many came before, and every chunk is then traced
 back by itself.
+
+What lies inside a chunk need not be searched. The library's encoding of the chunk's own
+text is a path of allowed steps, its spine; between two of its pieces no other path leads,
+since both would be the encoding of the same text. So a path through the chunk is a way
+from the left border to the spine, a stretch of the spine, and a way from it to the right
+border, or a way that never meets it; all of these are found by searching forwards from the
+left border and backwards from the right one, each only as far as the spine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +35,7 @@ from .common import CACHES, few, keyed, tasks_for, written
 
 SPACE = "▁"
 #: Texts of more characters are giant, and cut in chunks of CHUNK characters.
-GIANT, CHUNK = 1 << 16, 1 << 14
+GIANT, CHUNK = 1 << 14, 1 << 14
 #: A state is a piece (start, end) across a border; the start of a text is one of its own.
 State = tuple[int, int]
 START: State = (-1, 0)
@@ -39,6 +48,16 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+class Spine(NamedTuple):
+    """Pieces of a chunk by number: (start, end), the number of each, and all ids with the place of each piece's first and the one past its last."""
+
+    nodes: list[State]
+    place: dict[State, int]
+    ids: np.ndarray
+    at: np.ndarray
+    stop: np.ndarray
+
+
 class Pieces:
     """The model of a vocabulary file."""
 
@@ -60,6 +79,9 @@ class Pieces:
         self.sizes = np.array([len(x) for x in self.surface])
         self.starts, self.blob = np.cumsum(self.sizes) - self.sizes, np.frombuffer(b"".join(self.surface), np.uint8)
         self.longest = max(map(len, self.ids))
+        # characters of each id; the bytes that go on with a character have none
+        self.width = np.array([len(x) for x in self.names], np.int64)
+        self.width[list(self.bytes.values())] = [0 if 0x80 <= b < 0xC0 else 1 for b in self.bytes]
         self.prefixes = {name[:k] for name in self.ids for k in range(2, len(name) + 1)}
         self.joins: dict[tuple[str, str], bool] = {}
 
@@ -104,51 +126,128 @@ class Pieces:
         """Pieces whose text goes on to or over a border: start < at <= end."""
         return [(s + offset, e + offset) for s in range(max(0, at - self.longest), at) for e in self.starting(text, s) if e >= at]
 
-    def walk(self, text: str, low: int, high: int, entries: list[State]) -> tuple[dict[State, dict[State, int]], dict[State, list[State]]]:
-        """For every piece reached, its count from each entry; and the pieces before it. Places are in `text`."""
+    def ending(self, text: str, at: int, low: int) -> Iterator[int]:
+        """Starts, from `low` on, of the pieces that end at a place."""
+        for start in range(at - 1, max(low, at - self.longest) - 1, -1):
+            if start == at - 1 or text[start:at] in self.ids:
+                yield start
+
+    def spine(self, text: str, low: int, high: int) -> Spine:
+        """The library's own encoding of the text around a chunk, from the first piece that starts in the chunk to the last."""
+        first = max(0, low - self.longest)
+        ids = np.array(self.model.encode(text[first : high + self.longest]), np.int64)
+        width = self.width[ids]
+        start = np.cumsum(width) - width + first - 1  # the library puts a space before the text
+        at = np.flatnonzero((width > 0) & (start >= low) & (start < high))
+        until = np.flatnonzero(width > 0)
+        nodes = list(zip(start[at].tolist(), (start + width)[at].tolist(), strict=True))
+        stops = np.append(until, len(ids))[np.searchsorted(until, at, side="right")]
+        return Spine(nodes, {n: k for k, n in enumerate(nodes)}, ids, at, stops)
+
+    def onward(self, text: str, high: int, entries: list[State], spine: Spine) -> tuple[dict[State, dict[State, int]], dict[State, list[State]]]:
+        """For every piece reached from the left border up to and with the spine's, its count from each entry; and the pieces before it."""
         name = lambda p: "" if p == START else text[p[0] : p[1]]
         counts: dict[State, dict[State, int]] = {e: {e: 0} for e in entries}
         before: dict[State, list[State]] = {}
-        ending: dict[int, list[State]] = {}
+        waiting: dict[int, list[State]] = {}
         for e in entries:
-            ending.setdefault(e[1], []).append(e)
-        for at in range(low, high):
-            if at not in ending:
+            waiting.setdefault(e[1], []).append(e)
+        places = list(waiting)
+        heapify(places)
+        while places:
+            at = heappop(places)
+            if at >= high:
                 continue
-            last = ending[at]
+            last = waiting.pop(at)
             for end in self.starting(text, at):
                 node = (at, end)
                 allowed = [p for p in last if self.follows(name(p), text[at:end])]
-                if allowed:
-                    reach: dict[State, int] = {}
-                    for p in allowed:
-                        for entry, n in counts[p].items():
-                            reach[entry] = max(reach.get(entry, -1), n + 1)
-                    counts[node] = reach
-                    before[node] = allowed
-                    ending.setdefault(end, []).append(node)
+                if not allowed:
+                    continue
+                reach: dict[State, int] = {}
+                for p in allowed:
+                    for entry, n in counts[p].items():
+                        reach[entry] = max(reach.get(entry, -1), n + 1)
+                counts[node], before[node] = reach, allowed
+                if node not in spine.place:
+                    if end not in waiting:
+                        waiting[end] = []
+                        heappush(places, end)
+                    waiting[end].append(node)
         return counts, before
 
+    def backward(self, text: str, low: int, leaves: list[State], spine: Spine) -> dict[State, dict[State, tuple[int, tuple | None]]]:
+        """For each piece at the right border the spine's pieces from which it is reached without another of the spine's: how many pieces come after that one, itself the last, and these as (piece, (piece, ...))."""
+        out: dict[State, dict[State, tuple[int, tuple | None]]] = {}
+        for leave in leaves:
+            found = out[leave] = {}
+            todo: list[tuple[State, int, tuple | None]] = [(leave, 0, None)]
+            while todo:
+                node, n, after = todo.pop()
+                if node in spine.place:
+                    found[node] = n, after
+                    continue
+                for start in self.ending(text, node[0], low):
+                    if self.follows(text[start : node[0]], text[node[0] : node[1]]):
+                        todo.append(((start, node[0]), n + 1, (node, after)))
+        return out
+
+    def leaving(self, text: str, low: int, high: int, last: bool) -> list[State]:
+        """Pieces that start in a chunk and end on or over its right border; of the last chunk: at the end of the text."""
+        if last:
+            return [(s, high) for s in self.ending(text, high, low)]
+        return [x for x in self.crossing(text, high) if x[0] >= low]
+
     def matrix(self, text: str, low: int, high: int, last: bool, offset: int) -> Matrix:
         """A chunk's matrix over the pieces at its borders, in places of the whole text; `last`: the text ends at high."""
         entries = [START] if low + offset == 0 else self.crossing(text, low)
-        counts, _ = self.walk(text, low, high, entries)
+        spine = self.spine(text, low, high)
+        counts, _ = self.onward(text, high, entries, spine)
+        back = self.backward(text, low, self.leaving(text, low, high, last), spine)
         out: Matrix = {}
         shift = lambda p: p if p == START else (p[0] + offset, p[1] + offset)
+
+        def put(entry: State, leave: State, n: int) -> None:
+            row = out.setdefault(shift(entry), {})
+            row[shift(leave)] = max(row.get(shift(leave), -1), n)
+
         for node, reach in counts.items():
-            if node != START and node[0] < high and (node[1] == high if last else node[1] >= high):
-                for entry, n in reach.items():
-                    out.setdefault(shift(entry), {})[shift(node)] = n
+            k = spine.place.get(node)
+            if k is None:
+                if node != START and node[0] < high and (node[1] == high if last else node[1] >= high):
+                    for entry, n in reach.items():
+                        put(entry, node, n)
+                continue
+            for leave, ways in back.items():
+                for v, (m, _) in ways.items():
+                    if spine.place[v] >= k:
+                        for entry, n in reach.items():
+                            put(entry, leave, n + spine.place[v] - k + m)
         return out
 
     def trace(self, text: str, low: int, high: int, entry: State, leave: State) -> list[int]:
         """Ids of the pieces after `entry` up to `leave`. Places are in `text`."""
-        _, before = self.walk(text, low, high, [entry])
-        path, node = [], leave
-        while node != entry:
-            path.append(node)
-            node = before[node][0]
-        return [i for s, e in reversed(path) for i in self.spelled(text[s:e])]
+        spine = self.spine(text, low, high)
+        counts, before = self.onward(text, high, [entry], spine)
+
+        def way(node: State) -> list[int]:
+            path = []
+            while node != entry:
+                path.append(node)
+                node = before[node][0]
+            return [i for s, e in reversed(path) for i in self.spelled(text[s:e])]
+
+        if leave in counts and leave not in spine.place:
+            return way(leave)
+        ways = self.backward(text, low, [leave], spine)[leave]
+        u, v = next((u, v) for v in ways for u in counts if u in spine.place and spine.place[u] <= spine.place[v])
+        first, to = spine.place[u], spine.place[v]
+        inside = spine.ids[spine.stop[first] : spine.stop[to]].tolist()
+        out, after = [*way(u), *inside], ways[v][1]
+        while after:
+            (start, end), after = after
+            out += self.spelled(text[start:end])
+        return out
 
     def spelled(self, piece: str) -> list[int]:
         """A piece's id, or the ids of its bytes."""
@@ -216,8 +315,8 @@ def _chunk(pieces: Pieces, c: dict) -> tuple[str, int, int, int]:
 def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk: int = CHUNK) -> DataFrame:
     """(row, ids) for every row: the ids that the library gives for the whole text.
 
-    Texts of up to `giant` characters are encoded at once. Longer ones are cut in chunks of
-    `chunk` characters that are spread over the cluster: each gives its matrix, the matrices of one text (a few
+    Texts of up to `giant` characters, a chunk, are encoded at once. Longer ones are cut in
+    chunks of `chunk` characters that are spread over the cluster: each gives its matrix, the matrices of one text (a few
     hundred bytes a chunk) are multiplied, and each chunk is traced back by itself. Null or
     empty text: no ids. Null ids, repeated rows and further columns pass through in `row`; an
     empty table gives an empty result.
