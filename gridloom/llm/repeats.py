@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import windows as W
-from .common import release
+from .common import release, written
 
 RECORD = "h long, c long, _id long, _fp long, place long, times long"
 #: Runs of one anchor that one task compares in memory; larger groups go through a shuffle of single windows.
@@ -142,69 +142,81 @@ def spans_of(windows: np.ndarray, run: np.ndarray, width: int) -> tuple[np.ndarr
     return run[first], windows[first], windows[last] + width
 
 
-SPAN = "_id long, _fp long, place long, start long, end long"
+JUDGED = "_id long, _fp long, place long, start long, end long, d long, e long, open boolean"
 
 
-def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETHER) -> DataFrame:
+def resolved(found: DataFrame, unit: Unit, earlier: bool, together: int = TOGETHER, tasks: int | None = None) -> DataFrame:
     """Spans of the windows in `found` that another run shares, each with its run's place; earlier: only with one in a document of smaller id.
 
-    Groups of up to `together` runs are compared in one task; in larger ones every window is
-    a row of its own, counted by two digests with partial sums before the shuffle.
+    found: (h, m, _id, _fp, place, content), m the number of runs with that anchor. Groups of
+    up to `together` runs are compared in one task; larger ones are dealt into blocks. What a
+    block settles by itself is done. Of the rest every window, and one of each set of equal
+    ones that the block found, is then a row, and rows of two equal digests meet with partial
+    counts.
     """
 
+    def judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        g, m, ids, fps, place = (rows.column(n).to_numpy() for n in ("g", "m", "_id", "_fp", "place"))
+        start, count = W.unpack(place)
+        run, at = np.repeat(np.arange(len(g)), count), _ramp(start, count)
+        which, group = radix(g[run], digits_of(unit, rows.column("content"), count))
+        done = np.zeros(len(run), bool)
+        some = np.zeros(len(run), bool)  # one of each set of equal windows, for the other blocks
+        if earlier and len(which):
+            least = np.full(group.max() + 1, np.iinfo(np.int64).max)
+            np.minimum.at(least, group, ids[run[which]])
+            done[which] = least[group] < ids[run[which]]
+        elif len(which):
+            done[which] = True
+            some[which[np.unique(group, return_index=True)[1]]] = True
+        if done.any():
+            at_done = np.flatnonzero(done)
+            r, a, e = spans_of(at[at_done], run[at_done], unit.width)
+            yield _judged(ids[r], fps[r], place[r], a, e)
+        left = np.flatnonzero((m[run] > together) & (some | ~done))
+        if len(left):
+            data, offsets = W.utf8(rows.column("content"))
+            if unit.words:
+                d, e = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2)[left].T
+            else:
+                of = _ramp(offsets[:-1], count)[left]
+                d, e = (W.Digests(data, k).all(unit.width)[of].view(np.int64) for k in (2, 3))
+            r = run[left]
+            for i in range(0, len(left), 50_000):
+                k = slice(i, i + 50_000)
+                yield _judged(ids[r[k]], fps[r[k]], place[r[k]], at[left[k]], at[left[k]] + unit.width, d[k], e[k], ~done[left[k]])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-
-        def judge(rows: pa.Table) -> pa.RecordBatch:
-            h, ids, fps, place = (rows.column(n).to_numpy() for n in ("h", "_id", "_fp", "place"))
-            start, count = W.unpack(place)
-            run, at = np.repeat(np.arange(len(h)), count), _ramp(start, count)
-            which, group = radix(h[run], digits_of(unit, rows.column("content"), count))
-            if earlier and len(which):
-                least = np.full(group.max() + 1, np.iinfo(np.int64).max)
-                np.minimum.at(least, group, ids[run[which]])
-                which = which[least[group] < ids[run[which]]]
-            which = np.sort(which)
-            if not len(which):
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names=["_id", "_fp", "place", "start", "end"])
-            r, a, e = spans_of(at[which], run[which], unit.width)
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[r], fps[r], place[r], a, e)], names=["_id", "_fp", "place", "start", "end"])
-
-        for b in batches:  # sorted by h; the last group of a batch may go on in the next
+        for b in batches:  # sorted by g; the last group of a batch may go on in the next
             if not len(b):
                 continue
-            h = long(b, "h")
-            cut = int(np.searchsorted(h, h[-1])) if h[0] != h[-1] else 0
-            if held and (cut or long(held[-1], "h")[-1] != h[0]):
-                first = cut if cut else 0
-                yield judge(pa.Table.from_batches([*held, b.slice(0, first)]))
+            g = long(b, "g")
+            cut = int(np.searchsorted(g, g[-1])) if g[0] != g[-1] else 0
+            if held and (cut or long(held[-1], "g")[-1] != g[0]):
+                yield from judge(pa.Table.from_batches([*held, b.slice(0, cut)]))
                 held = []
             elif cut:
-                yield judge(pa.Table.from_batches([b.slice(0, cut)]))
+                yield from judge(pa.Table.from_batches([b.slice(0, cut)]))
             held.append(b.slice(cut))
         if held:
-            yield judge(pa.Table.from_batches(held))
-
-    def singly(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, len(b), 500):
-                p = b.slice(i, 500)
-                start, count = W.unpack(long(p, "place"))
-                run, at = np.repeat(np.arange(len(p)), count), _ramp(start, count)
-                data, offsets = W.utf8(p.column("content"))
-                if unit.words:
-                    d, e = np.frombuffer(data.tobytes(), np.int64).reshape(-1, 2).T
-                else:
-                    of = _ramp(offsets[:-1], count)
-                    d, e = (W.Digests(data, k).all(unit.width)[of].view(np.int64) for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d, e, long(p, "_id")[run], long(p, "_fp")[run], long(p, "place")[run], at)], names=["d", "e", "_id", "_fp", "place", "at"])
-
-    small = found.filter(F.col("m") <= together).repartition("h").sortWithinPartitions("h").select("h", "_id", "_fp", "place", "content").mapInArrow(compare, SPAN)
-    one = found.filter(F.col("m") > together).select("h", "_id", "_fp", "place", "content").mapInArrow(singly, "d long, e long, _id long, _fp long, place long, at long")
-    counts = one.groupBy("d", "e").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
-    shared = one.join(counts, ["d", "e"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
-    large = shared.select("_id", "_fp", "place", F.col("at").alias("start"), (F.col("at") + unit.width).alias("end"))
-    return small.unionByName(large)
+            yield from judge(pa.Table.from_batches(held))
+
+    block = F.pmod(F.xxhash64("_fp", "place"), F.ceil(F.col("m") / together).cast("long"))
+    dealt = found.withColumn("g", F.xxhash64("h", block)).repartition("g").sortWithinPartitions("g")
+    judged = dealt.select("g", "m", "_id", "_fp", "place", "content").mapInArrow(compare, JUDGED)
+    judged = written(judged, "judged", tasks)
+    rows = judged.filter("d IS NOT NULL")
+    counts = rows.groupBy("d", "e").agg(F.count("*").alias("n"), F.min("_id").alias("least"))
+    shared = rows.filter("open").join(counts, ["d", "e"]).filter(F.col("least") < F.col("_id") if earlier else F.col("n") > 1)
+    span = ["_id", "_fp", "place", "start", "end"]
+    return judged.filter("d IS NULL").select(span).unionByName(shared.select(span))
+
+
+def _judged(ids, fps, place, start, end, d=None, e=None, left=None) -> pa.RecordBatch:
+    none = pa.nulls(len(ids), pa.int64())
+    more = [none, none, pa.nulls(len(ids), pa.bool_())] if d is None else [pa.array(d), pa.array(e), pa.array(left)]
+    return pa.RecordBatch.from_arrays([*[pa.array(x) for x in (ids, fps, place, start, end)], *more], names=["_id", "_fp", "place", "start", "end", "d", "e", "open"])
 
 
 def carried(spans: DataFrame, places: DataFrame) -> DataFrame:

@@ -72,7 +72,7 @@ class FingerprintIndex:
             whole = found.join(full, ["h", "c"]).filter("least < _id")
             wanted = known.join(anchors, "h").select("h", "m", "first.*")
             windows = keep(R.fetched(seen, wanted, unit), tasks)
-            partly = written(R.resolved(windows, unit, True, self.together), "partly", tasks)
+            partly = written(R.resolved(windows, unit, True, self.together, tasks), "partly", tasks)
             # a run may stand at more places of the first id, or several times on end: what holds for the place compared holds for them
             several = known.filter("n > 1").join(anchors.select("h"), "h", "left_semi").select("h", "c", "first")
             others = found.join(several, ["h", "c"]).filter("first._id >= _id AND (times > 1 OR NOT (first._fp = _fp AND first.place = place))").select("_id", "_fp", "place", "times", F.col("first").alias("of"))

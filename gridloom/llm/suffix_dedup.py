@@ -29,8 +29,8 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
        ordered by their bytes, eight to a pass, until `length` bytes are done.
 
     Groups that remain at full depth are exactly the repeated strings. Pass 1 and 2 count
-    with partial sums; a group of over `together` different runs in pass 3 is spread over
-    the cluster window by window, and its windows counted by two digests.
+    with partial sums; a group of over `together` different runs in pass 3 is dealt into
+    blocks, and what a block can't settle is counted by two digests of each window.
 
     Returns (row, n_bytes, spans: array of start and end in bytes, kept: binary) for every
     row. Null or empty text: no bytes. Texts shorter than `length` keep all. A repeated
@@ -48,7 +48,7 @@ def remove_repeated_bytes(docs: DataFrame, length: int = 200, gram: int = 24, to
     # of equal runs one is enough to compare with others
     wanted = found.filter("m > 1").groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("r"), F.max("m").alias("m")).select("h", "m", "r.*")
     wanted = written(R.fetched(docs, wanted, unit), "windows", tasks)
-    spans = R.run_spans(found.filter("n > 1"), length).unionByName(R.resolved(wanted, unit, False, together).drop("place"))
+    spans = R.run_spans(found.filter("n > 1"), length).unionByName(R.resolved(wanted, unit, False, together, tasks).drop("place"))
     spans = written(spans, "spans", tasks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
