@@ -134,6 +134,18 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def similar_groups(rows, least=0.8):
+    """Of each row the first row, by (id, place), of its group: texts linked by Jaccard similarity of 5-word shingles. A missing id is the largest."""
+    sets = [shingles("".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) for _, t in rows]
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if rows[i][1] == rows[j][1] or jaccard(sets[i], sets[j]) >= least:
+                a, b = root[i], root[j]
+                root = [b if r == a else r for r in root]
+    return root
+
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, _id long, h long, spans string, key string, n int"
 
 
