@@ -24,9 +24,9 @@ def test_each_stage_by_brute_force(spark, corpus):
     assert ids(one) == sorted((i for i, t in rows if any(c.isalpha() for c in t or "")), key=repr)
 
     two = stage["near_dedup"](spark, one, None).cache()
-    left = [(r.doc_id, r.text) for r in one.collect()]
-    first = {c for _, _, c in brute.near_components(left) if c is not None}
-    assert two.columns == columns and ids(two) == sorted([*(d for d in first if d is not None), None], key=repr)
+    left = sorted(((r.doc_id, r.text) for r in one.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    first = [left[i][0] for i in sorted(set(brute.similar_groups(left)))]
+    assert two.columns == columns and ids(two) == sorted(first, key=repr)
 
     three = stage["repeated_passages"](spark, two, None).cache()
     inside = [(r.doc_id if r.doc_id is not None else 10**9, r.text) for r in two.collect()]
@@ -51,3 +51,18 @@ def test_run_keeps_clean_documents(spark, tmp_path, corpus):
     docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.select("doc_id").distinct().count() >= 20
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    near = dict(corpus_pipeline.STAGES)["near_dedup"]
+    rows = [(7, "one text of this id"), (7, "and quite another one"), (None, "twice without an id"), (None, "twice without an id"), (8, "twice without an id")]
+    assert sorted((r.doc_id, r.text) for r in near(spark, table(spark, rows), None).collect()) == [(7, "and quite another one"), (7, "one text of this id"), (8, "twice without an id")]
+    rows = rows[2:4]
+    assert near(spark, table(spark, rows), None).count() == 1
+
+
+def test_stages_on_an_empty_table_and_a_long_text(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(300_000))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table(spark, []), None).count() == 0
+        assert stage(spark, table(spark, [(1, long), (2, "a short one")]), None).select("doc_id").distinct().count() == 2
