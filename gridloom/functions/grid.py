@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schemas import LARGEST, MODEL_COLORS
+from ..schemas import ALIASES, LARGEST, MODEL_COLORS
 
 
 def _c(x) -> Column:
@@ -220,9 +220,11 @@ def to_text(g: Column, names: list[str] | None = None, cell: str = " ", row: str
 
 
 def from_text(text: Column, strict: bool = True, names: list[str] | None = None) -> Column:
-    """A grid from colour words; a word that is none gives null in strict reading; else -1, and a last row of -1 only goes."""
-    names = MODEL_COLORS if names is None else names
-    known = F.create_map(*[F.lit(x) for k, n in enumerate(names) for x in (n.lower(), k)])
+    """A grid from colour words in any case, other spellings of the models' names too; a word that is none gives null in strict reading; else -1, and a last row of -1 only goes."""
+    spelled = {n.lower(): k for k, n in enumerate(MODEL_COLORS if names is None else names)}
+    if names is None:
+        spelled = {n.lower(): k for n, k in ALIASES.items()} | spelled
+    known = F.create_map(*[F.lit(x) for pair in spelled.items() for x in pair])
     rows = F.split(F.regexp_replace(text, r"\A\s+|\s+\z", ""), "\n")
     word = lambda w: F.try_element_at(known, F.lower(w))
     grid = F.transform(rows, lambda r: F.transform(F.filter(F.split(r, r"\s+"), lambda w: w != ""), lambda w: F.coalesce(word(w), F.lit(-1))))

@@ -24,77 +24,89 @@ def steps(connectivity: int):
     return STEPS4 if connectivity == 4 else STEPS8
 
 
-def region(mask: np.ndarray, starts, connectivity: int = 4) -> np.ndarray:
-    """The cells of mask that can be reached from starts inside it."""
-    seen = np.zeros(mask.shape, bool)
-    todo = [(x, y) for x, y in starts if mask[x, y]]
-    for p in todo:
-        seen[p] = True
-    while todo:
-        x, y = todo.pop()
-        for dx, dy in steps(connectivity):
-            a, b = x + dx, y + dy
-            if 0 <= a < mask.shape[0] and 0 <= b < mask.shape[1] and mask[a, b] and not seen[a, b]:
-                seen[a, b] = True
-                todo.append((a, b))
-    return seen
-
-
 def dilate(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
+    """Masks, one or a stack of them, with the cells next to theirs."""
     out = mask.copy()
-    n, m = mask.shape
+    n, m = mask.shape[-2:]
     for dx, dy in steps(connectivity):
-        out[max(0, dx) : n + min(0, dx), max(0, dy) : m + min(0, dy)] |= mask[max(0, -dx) : n + min(0, -dx), max(0, -dy) : m + min(0, -dy)]
+        out[..., max(0, dx) : n + min(0, dx), max(0, dy) : m + min(0, dy)] |= mask[..., max(0, -dx) : n + min(0, -dx), max(0, -dy) : m + min(0, -dy)]
     return out
 
 
+def region(mask: np.ndarray, seen: np.ndarray, connectivity: int = 4) -> np.ndarray:
+    """The cells of mask that can be reached from those of `seen` inside it; also of a stack of masks."""
+    seen = seen & mask
+    while True:
+        more = dilate(seen, connectivity) & mask
+        if (more == seen).all():
+            return seen
+        seen = more
+
+
 def flood_fill(g: np.ndarray, x: int, y: int, color: int, connectivity: int = 4) -> np.ndarray:
     """Recolours the region of (x, y)'s colour."""
-    out = g.copy()
-    out[region(g == g[x, y], [(x, y)], connectivity)] = color
-    return out
+    start = np.zeros(g.shape, bool)
+    start[..., x, y] = True
+    return np.where(region(g == g[..., x, y][..., None, None], start, connectivity), color, g)
 
 
 def draw_line(g: np.ndarray, x: int, y: int, color: int, end=None, length=None, direction=None, stop_at=()) -> tuple[np.ndarray, tuple[int, int]]:
-    """A line to `end`, or of a length in a direction (None: to the border), stopping before certain colours. Returns (grid, last point drawn)."""
+    """A line of steps by the sign of the direction, or of the way to `end` (as many steps as the longer side of that way). Cells off the canvas are passed over; a stop colour ends the line before it, at its start too. Returns (grid, last point drawn, or the start)."""
     if end is not None:
-        length = max(abs(end[0] - x), abs(end[1] - y)) + 1
-        direction = (end[0] - x, end[1] - y)
-        points = [(x, y)] if length == 1 else [(round(x + direction[0] * k / (length - 1)), round(y + direction[1] * k / (length - 1))) for k in range(length)]
-    else:
-        length = sum(g.shape) + 1 if length is None else length
-        points = [(x + direction[0] * k, y + direction[1] * k) for k in range(length)]
-    out, last = g.copy(), (x, y)
-    for a, b in points:
-        if not (0 <= a < g.shape[0] and 0 <= b < g.shape[1]) or g[a, b] in stop_at and (a, b) != (x, y):
-            break
-        out[a, b] = color
-        last = (a, b)
-    return out, last
+        direction = end[0] - x, end[1] - y
+        length = max(map(abs, direction)) + 1
+    length = 2 * max(g.shape) if length is None else length
+    k = np.arange(length)
+    a, b = x + k * np.sign(direction[0]), y + k * np.sign(direction[1])
+    inside = (a >= 0) & (a < g.shape[0]) & (b >= 0) & (b < g.shape[1])
+    a, b = a[inside], b[inside]
+    stops = np.flatnonzero(np.isin(g[a, b], list(stop_at)))
+    n = int(stops[0]) if len(stops) else len(a)
+    out = g.copy()
+    out[a[:n], b[:n]] = color
+    return out, (int(a[n - 1]), int(b[n - 1])) if n else (x, y)
+
+
+def labels(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = True) -> np.ndarray:
+    """For each cell the number of the first cell of its object, cells counted row by row; background: -1. Of one grid or a stack."""
+    n, m = g.shape[-2:]
+    full = g != background
+    out = np.where(full, np.arange(n * m).reshape(n, m), n * m)
+    while True:
+        new = out.copy()
+        for dx, dy in steps(connectivity):
+            to = (..., slice(max(0, dx), n + min(0, dx)), slice(max(0, dy), m + min(0, dy)))
+            of = (..., slice(max(0, -dx), n + min(0, -dx)), slice(max(0, -dy), m + min(0, -dy)))
+            joined = full[to] & full[of] & ((g[to] == g[of]) | (not one_color))
+            np.minimum(new[to], np.where(joined, out[of], n * m), out=new[to])
+        if (new == out).all():
+            return np.where(full, out, -1)
+        out = new
+
+
+def count_components(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = True) -> np.ndarray:
+    n, m = g.shape[-2:]
+    return (labels(g, background, connectivity, one_color) == np.arange(n * m).reshape(n, m)).sum(axis=(-2, -1))
 
 
 def components(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = True) -> list[np.ndarray]:
     """Each object on a full canvas, by colour (where objects have one) and then by its first cell."""
-    out = []
-    layers = [g == c for c in np.unique(g) if c != background] if one_color else [g != background]
-    for mask in layers:
-        left = mask.copy()
-        for p in map(tuple, np.argwhere(mask)):
-            if left[p]:
-                own = region(left, [p], connectivity)
-                left &= ~own
-                out.append(np.where(own, g, background))
-    return out
+    label = labels(g, background, connectivity, one_color)
+    first = [k for k in np.unique(label) if k >= 0]
+    if one_color:
+        first.sort(key=lambda k: (g.flat[k], k))
+    return [np.where(label == k, g, background) for k in first]
 
 
-def is_contiguous(g: np.ndarray, background: int = 0, connectivity: int = 4) -> bool:
-    return len(components(g, background, connectivity, False)) == 1
+def is_contiguous(g: np.ndarray, background: int = 0, connectivity: int = 4):
+    """Whether there is one object; for a stack an array."""
+    return count_components(g, background, connectivity, False) == 1
 
 
 def exterior(g: np.ndarray, background: int = 0) -> np.ndarray:
     """Background cells that reach the border through background."""
-    n, m = g.shape
-    edge = [(i, j) for i in range(n) for j in range(m) if i in (0, n - 1) or j in (0, m - 1)]
+    edge = np.ones(g.shape, bool)
+    edge[..., 1:-1, 1:-1] = False
     return region(g == background, edge, 4)
 
 
@@ -104,9 +116,9 @@ def interior(g: np.ndarray, background: int = 0) -> np.ndarray:
 
 
 def boundary(g: np.ndarray, background: int = 0) -> np.ndarray:
-    """Mask of object cells next to the outside or at the canvas edge."""
-    outside = np.pad(exterior(g, background), 1, constant_values=True)
-    return dilate(outside, 8)[1:-1, 1:-1] & (g != background)
+    """Mask of object cells at whose side (not corner) the outside lies, or the canvas edge."""
+    outside = np.pad(exterior(g, background), [(0, 0)] * (g.ndim - 2) + [(1, 1)] * 2, constant_values=True)
+    return dilate(outside, 4)[..., 1:-1, 1:-1] & (g != background)
 
 
 def neighbors(g: np.ndarray, background: int = 0, connectivity: int = 4) -> np.ndarray:
@@ -133,42 +145,39 @@ def free_places(canvas: np.ndarray, sprite: np.ndarray, background: int = 0, bor
     return [(x, y) for x in range(border, n - h - border + 1) for y in range(border, m - w - border + 1) if not (full[x : x + h, y : y + w] & own).any()]
 
 
-def score_symmetry(g: np.ndarray, move: Callable[[int, int], tuple[float, float]], background: int = 0, ignore=()) -> tuple[int, int, int]:
-    """(cells kept, cells moved off the canvas, cells in conflict) under a map of points."""
-    kept = off = conflict = 0
-    for x, y in np.argwhere(g != background):
-        if g[x, y] in ignore:
-            continue
-        a, b = move(int(x), int(y))
-        if not (float(a).is_integer() and float(b).is_integer()):
-            conflict += 1
-            continue
-        a, b = int(a), int(b)
-        if not (0 <= a < g.shape[0] and 0 <= b < g.shape[1]):
-            off += 1
-        elif g[a, b] == g[x, y]:
-            kept += 1
-        elif g[a, b] not in ignore:
-            conflict += 1
-    return kept, off, conflict
-
-
-def mirror_symmetries(g: np.ndarray, background: int = 0, ignore=()) -> list[tuple[float | None, float | None]]:
-    """(mx, my) of the best axes without a conflict; all ties."""
+def score_symmetry(g: np.ndarray, move: Callable[[int, int], tuple[float, float]], background: int | None = None, ignore=(0,)) -> tuple[int, int, int]:
+    """(cells kept, cells moved off the canvas, cells in conflict) under a map of points. Ignored colours neither move nor conflict; the background (None: no colour) does not move."""
+    x, y = np.nonzero(~np.isin(g, list(ignore)) & (True if background is None else g != background))
+    a, b = (np.asarray(v).astype(int) for v in move(x, y))
+    inside = (a >= 0) & (a < g.shape[0]) & (b >= 0) & (b < g.shape[1])
+    own, other = g[x, y][inside], g[a[inside], b[inside]]
+    return int((own == other).sum()), int((~inside).sum()), int(((own != other) & ~np.isin(other, list(ignore))).sum())
+
+
+def centres(n: int) -> list[float]:
+    """Whole and half places, from each cell to half a cell beyond it."""
+    return [c / 2 for c in range(2 * n)]
+
+
+def _both(n: int, m: int) -> list[tuple[float, float]]:
+    """Centres that lie in the middle of a cell, or where four cells meet."""
+    return [(x + z, y + z) for x in range(n) for y in range(m) for z in (0, 0.5)]
+
+
+def mirror_symmetries(g: np.ndarray, background: int | None = None, ignore=(0,)) -> list[tuple[float | None, float | None]]:
+    """(mx, my) of the best axes without a conflict; all ties, x axes first, then y, then both."""
     n, m = g.shape
-    half = lambda k: [c / 2 for c in range(2 * k - 1)]
-    tries = [(mx, None) for mx in half(n)] + [(None, my) for my in half(m)] + [(mx, my) for mx in half(n) for my in half(m)]
     scored = []
-    for mx, my in tries:
+    for mx, my in [(c, None) for c in centres(n)] + [(None, c) for c in centres(m)] + _both(n, m):
         kept, off, conflict = score_symmetry(g, lambda x, y, mx=mx, my=my: (x if mx is None else 2 * mx - x, y if my is None else 2 * my - y), background, ignore)
-        if not conflict and kept:
+        if not conflict and kept and kept - 0.01 * off > 0:
             scored.append((kept - 0.01 * off, (mx, my)))
     best = max((s for s, _ in scored), default=None)
     return [a for s, a in scored if s == best]
 
 
-def translational_symmetries(g: np.ndarray, background: int = 0, ignore=()) -> list[tuple[int, int]]:
-    """The best shift along x, the best along y, and where there is neither the best along both; smaller shifts win ties."""
+def translational_symmetries(g: np.ndarray, background: int | None = None, ignore=(0,)) -> list[tuple[int, int]]:
+    """The best shift along x, the best along y, both ways tried, and where there is neither the best along both, forwards; of equals the smaller shift, forwards before backwards. (The shift backwards has the same orbits.)"""
     n, m = g.shape
 
     def best(shifts):
@@ -177,23 +186,22 @@ def translational_symmetries(g: np.ndarray, background: int = 0, ignore=()) -> l
             kept, off, conflict = score_symmetry(g, lambda x, y, dx=dx, dy=dy: (x + dx, y + dy), background, ignore)
             value = kept - 0.01 * off - 1e5 * conflict
             if value > 0:
-                scored.append((-value, abs(dx) + abs(dy), (dx, dy)))
-        return [min(scored)[2]] if scored else []
+                scored.append((-value, abs(dx) + abs(dy), -dx - dy, (dx, dy)))
+        return [min(scored)[-1]] if scored else []
 
-    out = best([(dx, 0) for dx in range(1, n)]) + best([(0, dy) for dy in range(1, m)])
-    return out or best([(dx, dy) for dx in range(-n + 1, n) for dy in range(-m + 1, m) if dx and dy])
+    ways = lambda k: [d for d in range(1 - k, k) if d]
+    out = best([(dx, 0) for dx in ways(n)]) + best([(0, dy) for dy in ways(m)])
+    return out or best([(dx, dy) for dx in range(1, n) for dy in range(1, m)])
 
 
-def rotational_symmetry(g: np.ndarray, background: int = 0, ignore=()) -> tuple[float, float] | None:
-    """The best centre of quarter turns, or none."""
-    n, m = g.shape
+def rotational_symmetry(g: np.ndarray, background: int | None = None, ignore=(0,)) -> tuple[float, float] | None:
+    """The first of the best centres of quarter turns, or none."""
     best = None
-    for cx in [c / 2 for c in range(2 * n - 1)]:
-        for cy in [c / 2 for c in range(2 * m - 1)]:
-            kept, off, conflict = score_symmetry(g, lambda x, y, cx=cx, cy=cy: (cx + (y - cy), cy - (x - cx)), background, ignore)
-            value = kept - 5 * off - 1000 * conflict
-            if value > 0 and (best is None or value > best[0]):
-                best = value, (cx, cy)
+    for cx, cy in _both(*g.shape):
+        kept, off, conflict = score_symmetry(g, lambda x, y, cx=cx, cy=cy: (cx + (y - cy), cy - (x - cx)), background, ignore)
+        value = kept - 5 * off - 1000 * conflict
+        if value > 0 and (best is None or value > best[0]):
+            best = value, (cx, cy)
     return best and best[1]
 
 
@@ -293,8 +301,8 @@ def random_sprite(n: int, m: int, seed: int, density: float = 0.5, symmetry: str
     return apply_symmetry(out, symmetry, background) if symmetry else out
 
 
-def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[[np.ndarray], object]) -> DataFrame:
-    """df with a column `name` of type `kind`: the kernel's value for each row's grid; null for null. Batches go through Arrow."""
+def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[[np.ndarray], object], stacked: bool = False) -> DataFrame:
+    """df with a column `name` of type `kind`: the kernel's value for each row's grid; null for null. Batches go through Arrow; a stacked kernel takes all grids of one shape in a batch at once."""
     out = T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
 
     def plain(v):
@@ -309,7 +317,18 @@ def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[[
 
         arrow = to_arrow_type(out.fields[-1].dataType)
         for b in batches:
-            values = [None if g is None else plain(kernel(np.array(g, int))) for g in b.column(grid).to_pylist()]
+            grids = b.column(grid).to_pylist()
+            values: list = [None] * len(grids)
+            if stacked:
+                shapes: dict[tuple[int, int], list[int]] = {}
+                for k, g in enumerate(grids):
+                    if g is not None:
+                        shapes.setdefault((len(g), len(g[0]) if g else 0), []).append(k)
+                for own in shapes.values():
+                    for k, v in zip(own, kernel(np.array([grids[k] for k in own], int)), strict=True):
+                        values[k] = plain(v)
+            else:
+                values = [None if g is None else plain(kernel(np.array(g, int))) for g in grids]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow)], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, out)

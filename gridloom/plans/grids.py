@@ -117,7 +117,7 @@ w AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j, l FROM r UNION SELECT r.p_par
 @query(_PARTS + "SELECT p.p_partkey, count(DISTINCT l)::INT AS parts FROM p LEFT JOIN w USING (p_partkey) GROUP BY p.p_partkey")
 def grid_components(t):
     o = derived(t("part")).select("p_partkey", G.map_cells(F.col("g"), lambda c: F.when(c >= 5, c).otherwise(0)).alias("g"))
-    return K.over_rows(o, "g", "parts", "int", lambda g: len(K.components(g, one_color=False))).select("p_partkey", "parts")
+    return K.over_rows(o, "g", "parts", "int", lambda g: K.count_components(g, one_color=False), stacked=True).select("p_partkey", "parts")
 
 
 @query(BASE + """, c AS (SELECT p_partkey, n, m, i, j FROM p, range(6) a(i), range(5) b(j) WHERE i < n AND j < m AND g[i+1][j+1] < 5),
@@ -125,34 +125,76 @@ w AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j FROM c WHERE i IN (0, n - 1) O
 SELECT p.p_partkey, (any_value(n * m) - count(w.i))::INT AS inside FROM p LEFT JOIN w USING (p_partkey) GROUP BY p.p_partkey""")
 def grid_interior(t):
     o = derived(t("part")).select("p_partkey", G.map_cells(F.col("g"), lambda c: F.when(c >= 5, c).otherwise(0)).alias("g"))
-    return K.over_rows(o, "g", "inside", "int", lambda g: int(K.interior(g).sum())).select("p_partkey", "inside")
+    return K.over_rows(o, "g", "inside", "int", lambda g: K.interior(g).sum(axis=(-2, -1)), stacked=True).select("p_partkey", "inside")
 
 
 @query(_LONG + ", k AS (SELECT a.p_partkey, count(*) FILTER (a.v <> 0 AND b.v = a.v) kept, count(*) FILTER (a.v <> 0 AND b.v IS NULL) off, count(*) FILTER (a.v <> 0 AND b.v <> a.v) conflict FROM c a LEFT JOIN c b ON b.p_partkey = a.p_partkey AND b.i = a.i AND b.j = a.j + 2 GROUP BY a.p_partkey) SELECT p_partkey, kept::INT AS kept, off::INT AS off, conflict::INT AS conflict FROM k")
 def grid_symmetry_score(t):
-    out = K.over_rows(derived(t("part")), "g", "s", "array<int>", lambda g: list(K.score_symmetry(g, lambda x, y: (x, y + 2))))
+    out = K.over_rows(derived(t("part")), "g", "s", "array<int>", lambda g: list(K.score_symmetry(g, lambda x, y: (x, y + 2), 0, ())))
     return out.select("p_partkey", F.get("s", 0).alias("kept"), F.get("s", 1).alias("off"), F.get("s", 2).alias("conflict"))
 
 
-def _kernel(name: str, kind: str, f):
-    """Queries whose kernels SQL can't express; unit tests hold them to hand-made cases."""
+_O = BASE + ", c AS (SELECT p_partkey, n, m, i::INT i, j::INT j, CASE WHEN g[i+1][j+1] >= 7 THEN g[i+1][j+1] ELSE 0 END v FROM p, range(6) a(i), range(5) b(j) WHERE i < n AND j < m)"
+_OUTSIDE = """, x AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j FROM c WHERE v = 0 AND (i IN (0, n - 1) OR j IN (0, m - 1)) UNION SELECT c.p_partkey, c.i, c.j FROM z JOIN c ON c.p_partkey = z.p_partkey AND c.v = 0 AND abs(c.i - z.i) + abs(c.j - z.j) = 1) SELECT DISTINCT * FROM z)"""
+_EDGE = ", e AS (SELECT c.*, v <> 0 AND (i IN (0, n - 1) OR j IN (0, m - 1) OR EXISTS (SELECT 1 FROM x WHERE x.p_partkey = c.p_partkey AND abs(c.i - x.i) + abs(c.j - x.j) = 1)) AS f FROM c)"
+_JOINED = """, w AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j, i * 10 + j l FROM c WHERE v <> 0 UNION SELECT c.p_partkey, c.i, c.j, z.l FROM z JOIN c ON c.p_partkey = z.p_partkey AND c.v <> 0 AND abs(c.i - z.i) + abs(c.j - z.j) = 1) SELECT p_partkey, i, j, min(l) l FROM z GROUP BY ALL)"""
+
+
+def _grid_of(f: str, source: str) -> str:
+    """SQL: the grid of f(i, j) over a table of cells, as JSON in `value`."""
+    return f"SELECT p_partkey, concat('{{\"value\":', to_json(list(r ORDER BY i)), '}}') AS value FROM (SELECT p_partkey, i, list({f} ORDER BY j) r FROM {source} GROUP BY p_partkey, i) GROUP BY p_partkey"
+
+
+def _list_of(item: str, source: str, order: str) -> str:
+    """SQL: for every part the list of its rows in a table, as JSON in `value`."""
+    return f"SELECT p.p_partkey, concat('{{\"value\":', to_json(coalesce(list({item} ORDER BY {order}) FILTER (s.p_partkey IS NOT NULL), [])), '}}') AS value FROM p LEFT JOIN {source} s USING (p_partkey) GROUP BY p.p_partkey"
+
+
+def _scored(tries: str, x: str, y: str) -> str:
+    """SQL: for each try (k, a, b) how many cells a map of points keeps, moves off and sets in conflict; black neither moves nor conflicts."""
+    return f""", t AS ({tries}), s AS (SELECT t.p_partkey, t.k, t.a, t.b, t.o, count(*) FILTER (q.v = c.v) kept, count(*) FILTER (q.v IS NULL) off, count(*) FILTER (q.v <> c.v AND q.v <> 0) conflict
+FROM t JOIN c ON c.p_partkey = t.p_partkey AND c.v <> 0 LEFT JOIN c q ON q.p_partkey = c.p_partkey AND q.i = {x} AND q.j = {y} GROUP BY ALL)"""
 
-    @query(name=name)
-    def one(t):
-        return K.over_rows(_objects(t), "g", "value", kind, f).select("p_partkey", F.to_json(F.struct("value")).alias("value"))
 
+_CENTRES = "SELECT p_partkey, 2 AS k, i + h / 2.0 AS a, j + h / 2.0 AS b, (i * 10 + j) * 2 + h AS o FROM c, range(2) r(h)"
+_AXES = f"SELECT p_partkey, 0 AS k, h / 2.0 AS a, -1.0 AS b, h AS o FROM p, range(12) r(h) WHERE h < 2 * n UNION ALL SELECT p_partkey, 1, -1.0, h / 2.0, h FROM p, range(10) r(h) WHERE h < 2 * m UNION ALL {_CENTRES}"
+_SHIFTS = "SELECT p_partkey, 0 AS k, d::INT AS a, 0 AS b, 2 * abs(d) + (d < 0)::INT AS o FROM p, range(-5, 6) r(d) WHERE d <> 0 AND abs(d) < n UNION ALL SELECT p_partkey, 1, 0, d::INT, 2 * abs(d) + (d < 0)::INT FROM p, range(-4, 5) r(d) WHERE d <> 0 AND abs(d) < m UNION ALL SELECT p_partkey, 2, i, j, (i + j) * 100 + i * 10 + j FROM c WHERE i > 0 AND j > 0"
+_BEST = ", u AS (SELECT *, {} AS score FROM s), z AS (SELECT * FROM u WHERE score > 0 {})"
 
-_kernel("grid_boundary", "array<array<boolean>>", K.boundary)
-_kernel("grid_neighbors", "array<array<boolean>>", K.neighbors)
-_kernel("grid_flood_fill", "array<array<int>>", lambda g: K.flood_fill(g, 0, 0, 3))
-_kernel("grid_draw_line", "array<array<int>>", lambda g: K.draw_line(g, 0, 0, 4, direction=(1, 1))[0])
-_kernel("grid_contact", "boolean", lambda g: K.contact(g, g, 1, 0))
-_kernel("grid_free_places", "array<array<int>>", lambda g: K.free_places(g, g[:2, :2]))
-_kernel("grid_mirror_symmetry", "array<array<double>>", lambda g: [[-1.0 if v is None else v for v in a] for a in K.mirror_symmetries(g)])
-_kernel("grid_translational_symmetry", "array<array<int>>", K.translational_symmetries)
-_kernel("grid_rotational_symmetry", "array<double>", lambda g: K.rotational_symmetry(g) or [])
-_kernel("grid_detect_objects", "array<array<array<int>>>", lambda g: K.detect_objects(g, overlap=False))
-_kernel("grid_contiguous", "boolean", K.is_contiguous)
+
+def _kernel(name: str, kind: str, f, sql: str, stacked: bool = False):
+    @query(sql, name=name)
+    def one(t):
+        return K.over_rows(_objects(t), "g", "value", kind, f, stacked).select("p_partkey", F.to_json(F.struct("value")).alias("value"))
+
+
+_kernel("grid_boundary", "array<array<boolean>>", K.boundary, _O + _OUTSIDE + _EDGE + _grid_of("f", "e"), True)
+_kernel("grid_neighbors", "array<array<boolean>>", K.neighbors, _O + _OUTSIDE + _EDGE + ", y AS (SELECT e.p_partkey, e.i, e.j, e.v = 0 AND EXISTS (SELECT 1 FROM e q WHERE q.f AND q.p_partkey = e.p_partkey AND abs(e.i - q.i) + abs(e.j - q.j) = 1) AS f FROM e)" + _grid_of("f", "y"), True)
+_kernel(
+    "grid_flood_fill", "array<array<int>>", lambda g: K.flood_fill(g, 0, 0, 3),
+    _O + ", w AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j, v FROM c WHERE i = 0 AND j = 0 UNION SELECT c.p_partkey, c.i, c.j, c.v FROM z JOIN c ON c.p_partkey = z.p_partkey AND c.v = z.v AND abs(c.i - z.i) + abs(c.j - z.j) = 1) SELECT DISTINCT p_partkey, i, j FROM z), y AS (SELECT c.p_partkey, c.i, c.j, CASE WHEN w.i IS NULL THEN v ELSE 3 END f FROM c LEFT JOIN w USING (p_partkey, i, j))" + _grid_of("f", "y"), True,
+)
+_kernel("grid_draw_line", "array<array<int>>", lambda g: K.draw_line(g, 0, 0, 4, direction=(1, 1))[0], _O + _grid_of("CASE WHEN i = j THEN 4 ELSE v END", "c"))
+_kernel("grid_draw_line_to", "array<array<int>>", lambda g: K.draw_line(g, 0, 2, 4, end=(2, 1), stop_at=(8,))[0], _O + ", l AS (SELECT p_partkey, coalesce(min(i) FILTER (v = 8 AND i + j = 2), 9) AS stop FROM c GROUP BY p_partkey), y AS (SELECT c.*, CASE WHEN i + j = 2 AND i < stop THEN 4 ELSE v END f FROM c JOIN l USING (p_partkey))" + _grid_of("f", "y"))
+_kernel("grid_contact", "boolean", lambda g: K.contact(g, g, 1, 0), _O + " SELECT p.p_partkey, concat('{\"value\":', EXISTS (SELECT 1 FROM c a, c b WHERE a.p_partkey = p.p_partkey AND b.p_partkey = p.p_partkey AND a.v <> 0 AND b.v <> 0 AND abs(a.i - b.i - 1) + abs(a.j - b.j) <= 1), '}') AS value FROM p")
+_kernel("grid_free_places", "array<array<int>>", lambda g: K.free_places(g, g[:2, :2]), _O + ", y AS (SELECT p_partkey, i, j FROM c WHERE i < n - 1 AND j < m - 1 AND NOT EXISTS (SELECT 1 FROM c q, c k WHERE q.p_partkey = c.p_partkey AND k.p_partkey = c.p_partkey AND q.i < 2 AND q.j < 2 AND q.v <> 0 AND k.i = c.i + q.i AND k.j = c.j + q.j AND k.v <> 0))" + _list_of("[s.i, s.j]", "y", "s.i, s.j"))
+_kernel(
+    "grid_mirror_symmetry", "array<array<double>>", lambda g: [[-1.0 if v is None else v for v in a] for a in K.mirror_symmetries(g)],
+    _O + _scored(_AXES, "CASE WHEN t.k = 1 THEN c.i ELSE 2 * t.a - c.i END", "CASE WHEN t.k = 0 THEN c.j ELSE 2 * t.b - c.j END") + _BEST.format("kept - 0.01::DOUBLE * off", "AND kept > 0 AND conflict = 0") + ", y AS (SELECT * FROM z QUALIFY score = max(score) OVER (PARTITION BY p_partkey))" + _list_of("[s.a::DOUBLE, s.b::DOUBLE]", "y", "s.k, s.o"),
+)
+_kernel(
+    "grid_translational_symmetry", "array<array<int>>", K.translational_symmetries,
+    _O + _scored(_SHIFTS, "c.i + t.a", "c.j + t.b") + _BEST.format("kept - 0.01::DOUBLE * off - 1e5 * conflict", "") + ", y AS (SELECT * FROM z WHERE k < 2 OR p_partkey NOT IN (SELECT p_partkey FROM z WHERE k < 2) QUALIFY row_number() OVER (PARTITION BY p_partkey, k ORDER BY score DESC, o) = 1)" + _list_of("[s.a, s.b]", "y", "s.k"),
+)
+_kernel(
+    "grid_rotational_symmetry", "array<double>", lambda g: K.rotational_symmetry(g) or [],
+    _O + _scored(_CENTRES, "t.a + (c.j - t.b)", "t.b - (c.i - t.a)") + _BEST.format("kept - 5 * off - 1000 * conflict", "") + ", y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) = 1) SELECT p.p_partkey, concat('{\"value\":', to_json(CASE WHEN y.a IS NULL THEN []::DOUBLE[] ELSE [y.a::DOUBLE, y.b::DOUBLE] END), '}') AS value FROM p LEFT JOIN y USING (p_partkey)",
+)
+_kernel(
+    "grid_detect_objects", "array<array<array<int>>>", lambda g: K.detect_objects(g, overlap=False),
+    _O + _JOINED + ", o AS (SELECT p_partkey, l, (max(i) - min(i) + 1) * (max(j) - min(j) + 1) area, count(*) mass FROM w GROUP BY p_partkey, l), f AS (SELECT o.p_partkey, o.l, o.area, o.mass, c.i, list(CASE WHEN w.l = o.l THEN c.v ELSE 0 END ORDER BY c.j) r FROM o JOIN c USING (p_partkey) LEFT JOIN w ON w.p_partkey = c.p_partkey AND w.i = c.i AND w.j = c.j GROUP BY ALL), y AS (SELECT p_partkey, l, area, mass, list(r ORDER BY i) r FROM f GROUP BY ALL)" + _list_of("s.r", "y", "s.area DESC, s.mass DESC, s.l"),
+)
+_kernel("grid_contiguous", "boolean", K.is_contiguous, _O + _JOINED + " SELECT p.p_partkey, concat('{\"value\":', count(DISTINCT w.l) = 1, '}') AS value FROM p LEFT JOIN w USING (p_partkey) GROUP BY p.p_partkey", True)
 
 
 @query()
@@ -160,6 +202,17 @@ def augment_policy(t):
     return derived(t("part")).select("p_partkey", F.to_json(G.augment(F.col("g"), F.col("p_partkey"))).alias("grid"))
 
 
+@query(_LONG + ", b AS (SELECT p_partkey, min(i) x, max(i) x2, min(j) y, max(j) y2 FROM c WHERE v >= 7 GROUP BY p_partkey), y AS (SELECT c.p_partkey, c.i, c.j, coalesce(c.i BETWEEN x AND x2 AND c.j BETWEEN y AND y2, false) f FROM c LEFT JOIN b USING (p_partkey))" + _grid_of("f", "y"))
+def grid_bbox_mask(t):
+    return _objects(t).select("p_partkey", F.to_json(F.struct(G.bounding_box_mask(F.col("g")).alias("value"))).alias("value"))
+
+
+@query("SELECT p_partkey, [5, 5, NULL, 0][1 + p_size % 4]::INT AS cell FROM part")
+def grid_from_names(t):
+    name = F.get(F.array(*[F.lit(n) for n in ("Grey", "gray", "Teal", "BLACK")]), (F.col("p_size") % 4).cast("int"))
+    return t("part").select("p_partkey", G.at(G.from_text(name), 0, 0).alias("cell"))
+
+
 @query(BASE + "SELECT count(DISTINCT g) AS distinct_grids, count(*) - count(DISTINCT g) AS rejected FROM p")
 def grid_dedup(t):
     from ..operators.corpus import dedup_counts

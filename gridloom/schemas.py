@@ -71,6 +71,6 @@ OUTCOME = ddl(f"status STRING, grid {GRID}, error STRING")
 #: Colours of cells 0 to 9 by their names in programs, and by their names for models.
 COLORS = ["BLACK", "BLUE", "RED", "GREEN", "YELLOW", "GREY", "PINK", "ORANGE", "TEAL", "MAROON"]
 MODEL_COLORS = ["Black", "Blue", "Red", "Green", "Yellow", "Gray", "Pink", "Orange", "Purple", "Brown"]
-#: Other names that are read as a cell.
-ALIASES = {"GRAY": 5, "GREY": 5, "TRANSPARENT": 0, "BACKGROUND": 0, "PURPLE": 8, "TEAL": 8, "BROWN": 9, "MAROON": 9}
+#: Other spellings of the models' names.
+ALIASES = {"GREY": 5}
 LARGEST = 30
