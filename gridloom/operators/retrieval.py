@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Queries that are sent to every task at once; more are taken in blocks of this many.
 BLOCK = 2_000
@@ -29,16 +34,44 @@ def cosine(a: Column, b: Column) -> Column:
 def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, item_id, score, rank): the k most similar items of each query; ties by item.
 
-    Queries are a bounded set, which goes to every task in blocks of BLOCK; each task keeps
-    its k best for every query, and only those are shuffled.
+    Queries are a stated set, which goes to every task in blocks of BLOCK. A task multiplies
+    a block with a batch of items at a time and lets pass what reaches, but for rounding, the
+    k-th best score that it has seen so far; only those are scored exactly and shuffled. A
+    vector without length is like no other.
     """
     n = queries.count()
-    block = F.pmod(F.xxhash64(query_id), F.lit(max(1, -(-n // BLOCK))))
-    q = queries.select(F.col(query_id), doubles(F.col(vector)).alias("_q")).withColumn("_qn", norm(F.col("_q"))).withColumn("_b", block)
-    i = items.select(F.col(item_id), doubles(F.col(vector)).alias("_v")).withColumn("_vn", norm(F.col("_v")))
+    blocks = max(1, -(-n // BLOCK))
+    block = F.pmod(F.xxhash64(query_id), F.lit(blocks))
+    q = queries.select(F.col(query_id), doubles(F.col(vector)).alias("_q")).filter(norm(F.col("_q")) > 0)
+    i = items.select(F.col(item_id), doubles(F.col(vector)).alias("_v")).filter(norm(F.col("_v")) > 0)
     out = None
-    for b in range(max(1, -(-n // BLOCK))):
-        part = i.join(F.broadcast(q.filter(F.col("_b") == b)), how="cross").select(query_id, item_id, (dot(F.col("_q"), F.col("_v")) / (F.col("_qn") * F.col("_vn"))).alias("score"))
+    for b in range(blocks):
+        own = q.filter(block == b).toPandas()  # about BLOCK rows
+        part = i.mapInArrow(_near(own[query_id].to_numpy(), own["_q"].to_list(), k, item_id), T.StructType([q.schema[query_id], T.StructField("_q", q.schema["_q"].dataType), *i.schema.fields]))
         out = part if out is None else out.unionByName(part)
+    scored = out.select(query_id, item_id, (dot(F.col("_q"), F.col("_v")) / (norm(F.col("_q")) * norm(F.col("_v")))).alias("score"))
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), item_id))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def _near(ids: np.ndarray, vectors: list, k: int, item_id: str):
+    """For mapInArrow over (item_id, _v): pairs of a query and an item that can be among the query's k best."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(ids):
+            return
+        q = np.stack(vectors)
+        unit = q / np.sqrt((q * q).sum(axis=1, keepdims=True))
+        least = np.full(len(q), -np.inf)
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                b = whole.slice(at, 256)
+                v = b.column("_v").flatten().to_numpy().reshape(len(b), -1)
+                scores = unit @ (v / np.sqrt((v * v).sum(axis=1, keepdims=True))).T
+                if len(b) >= k:
+                    np.maximum(least, np.partition(scores, -k, axis=1)[:, -k], out=least)
+                one, other = np.nonzero(scores >= least[:, None] - 1e-9)
+                if len(one):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[one]), pa.array(q[one].tolist(), pa.list_(pa.float64())), b.column(item_id).take(pa.array(other)), b.column("_v").take(pa.array(other))], names=["q", "_q", item_id, "_v"])
+
+    return run

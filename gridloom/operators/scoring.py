@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .corpus import numbered
+
+#: Rows that a running figure over a whole table takes in one go.
+BLOCK = 1_000_000
+
 
 def verdict_rollup(long: DataFrame) -> DataFrame:
     """long: (uid, sample_idx, kind train|test, ok). One row a sample: train_verdict, train_test_verdict and the share of correct pairs; an unknown verdict is false, none at all is true."""
@@ -55,16 +60,23 @@ def merge_lists(parts: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def frequency_rerank(candidates: DataFrame) -> DataFrame:
-    """candidates: (idx, ord, text, clean, score). (idx, clean, text, frequency, mean_score, rank): groups by cleaned text, most frequent first, then the higher mean."""
-    groups = candidates.groupBy("idx", "clean").agg(F.count("*").alias("frequency"), F.round(F.avg("score"), 6).alias("mean_score"), F.min_by("text", "ord").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("frequency"), F.desc("mean_score"), "clean"))
-    return groups.withColumn("rank", rank)
+    """candidates: (idx, ord, text, clean, score). (idx, clean, text, frequency, mean_score, rank): groups by cleaned text, most frequent first, then the higher mean, then the first seen."""
+    groups = candidates.groupBy("idx", "clean").agg(F.count("*").alias("frequency"), F.round(F.avg("score"), 6).alias("mean_score"), F.min_by("text", "ord").alias("text"), F.min("ord").alias("_seen"))
+    rank = F.row_number().over(Window.partitionBy("idx").orderBy(F.desc("frequency"), F.desc("mean_score"), "_seen"))
+    return groups.withColumn("rank", rank).drop("_seen")
 
 
-def running_accuracy(rows: DataFrame, by: str, idx: str = "idx", correct: str = "correct") -> DataFrame:
-    """rows with `accuracy` so far, in each group by idx."""
-    w = Window.partitionBy(by).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("accuracy", F.round(F.sum(F.col(correct).cast("int")).over(w) / F.row_number().over(Window.partitionBy(by).orderBy(idx)), 6))
+def running_accuracy(rows: DataFrame, by: str | None = None, idx: str = "idx", correct: str = "correct") -> DataFrame:
+    """rows with `accuracy` so far by idx: in each group, or over the whole run, which no task has to hold."""
+    right = F.col(correct).cast("int")
+    if by is not None:
+        w = Window.partitionBy(by).orderBy(idx).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.withColumn("accuracy", F.round(F.sum(right).over(w) / F.row_number().over(Window.partitionBy(by).orderBy(idx)), 6))
+    at = numbered(rows, idx, name="_rn").withColumn("_block", F.floor(F.col("_rn") / BLOCK))
+    sums = at.groupBy("_block").agg(F.sum(right).alias("_sum"))
+    before = sums.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_before"))  # one row a block
+    inside = F.sum(right).over(Window.partitionBy("_block").orderBy("_rn"))
+    return at.withColumn("_right", inside).join(before, "_block").withColumn("accuracy", F.round((F.col("_before") + F.col("_right")) / F.col("_rn"), 6)).drop("_rn", "_block", "_right", "_before")
 
 
 def grid_key_join(answers: DataFrame, tests: DataFrame) -> DataFrame:
@@ -91,6 +103,29 @@ def permutations(examples: list, most: int = 1) -> list[list]:
     return [list(p) for p in islice(every(examples), most)]
 
 
+def permuted_tasks(tasks: DataFrame, most: int, seed: int = 0) -> DataFrame:
+    """tasks: (uid, train, ...). One row for each order of a task's train pairs, `perm` its number: the given order is 0; where there are more than `most`, the others are drawn by hash, none twice.
+
+    Up to five pairs all orders (120) are listed and drawn from. Of more pairs orders are
+    drawn by sorting the places by a hash of seed, uid, draw and place, twice as many as are
+    wanted, less those that come up again.
+    """
+    n = F.size("train")
+    place = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+    place = place.cast("array<int>")
+    longer = lambda orders, _: F.flatten(F.transform(orders, lambda o: F.transform(F.filter(place, lambda k: ~F.array_contains(o, k)), lambda k: F.concat(o, F.array(k)))))
+    every = F.aggregate(place, F.array(F.array().cast("array<int>")), longer)
+    mark = lambda *x: F.md5(F.concat_ws("-", F.lit(str(seed)), F.col("uid").cast("string"), *x))
+    by_mark = lambda items, h: F.transform(F.array_sort(F.transform(items, lambda x: F.struct(h(x).alias("h"), x.alias("x")))), lambda s: s["x"])
+    others = F.filter(every, lambda o: o != place)
+    chosen = F.when(F.size(others) < most, others).otherwise(by_mark(others, lambda o: mark(F.array_join(o, ","))))
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(2 * most)), lambda d: by_mark(place, lambda k: mark(d.cast("string"), k.cast("string"))))
+    orders = [F.slice(F.concat(F.array(place), chosen), 1, most), F.slice(F.array_distinct(F.concat(F.array(place), drawn)), 1, most)]
+    out = tasks.filter(n <= 5).withColumn("_orders", orders[0]).unionByName(tasks.filter(n > 5).withColumn("_orders", orders[1]))
+    out = out.select("*", F.posexplode("_orders").alias("perm", "_order"))
+    return out.withColumn("train", F.transform("_order", lambda k: F.get("train", k))).drop("_orders", "_order")
+
+
 def all_equal(long: DataFrame, *by: str) -> DataFrame:
     """long: (..., answer). Whether all answers of a group are the same, null being an answer."""
     return long.groupBy(*by).agg((F.count_distinct(F.coalesce(F.to_json(F.struct("answer")), F.lit("")))  == 1).alias("deterministic"))

@@ -62,10 +62,10 @@ def accepted_samples(t):
     return S.accepted(S.verdict_rollup(_verdicts(t)))
 
 
-_C = "WITH c AS (SELECT user_id AS idx, event_id AS ord, event_type || ' ' AS txt, event_type AS clean, value AS score FROM events), g AS (SELECT idx, clean, count(*) frequency, round(avg(score), 6) mean_score, min_by(txt, ord) AS text FROM c GROUP BY ALL) "
+_C = "WITH c AS (SELECT user_id AS idx, event_id AS ord, event_type || ' ' AS txt, event_type AS clean, value AS score FROM events), g AS (SELECT idx, clean, count(*) frequency, round(avg(score), 6) mean_score, min_by(txt, ord) AS text, min(ord) AS seen FROM c GROUP BY ALL) "
 
 
-@query(_C + "SELECT idx, clean, frequency, mean_score, text, row_number() OVER (PARTITION BY idx ORDER BY frequency DESC, mean_score DESC, clean)::INT AS rank FROM g")
+@query(_C + "SELECT idx, clean, frequency, mean_score, text, row_number() OVER (PARTITION BY idx ORDER BY frequency DESC, mean_score DESC, seen)::INT AS rank FROM g")
 def frequency_rerank(t):
     c = t("events").select(F.col("user_id").alias("idx"), F.col("event_id").alias("ord"), F.concat("event_type", F.lit(" ")).alias("text"), F.col("event_type").alias("clean"), F.col("value").alias("score"))
     return S.frequency_rerank(c)
@@ -77,6 +77,22 @@ def running_accuracy(t):
     return S.running_accuracy(rows, "user_id", "event_id").select("user_id", "event_id", "accuracy")
 
 
+@query("SELECT event_id, round(sum((event_type = 'click')::INT) OVER w / count(*) OVER w, 6) AS accuracy FROM events WINDOW w AS (ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def running_accuracy_of_all(t):
+    rows = t("events").select("event_id", (F.col("event_type") == "click").alias("correct"))
+    return S.running_accuracy(rows, None, "event_id").select("event_id", "accuracy")
+
+
+_ORDERS = "WITH t AS (SELECT p_partkey, [1, 2, 3][1:1 + p_partkey % 3] train FROM part), o AS (SELECT p_partkey, len(train) n, unnest(CASE len(train) WHEN 1 THEN [[1]] WHEN 2 THEN [[1, 2], [2, 1]] ELSE [[1, 2, 3], [1, 3, 2], [2, 1, 3], [2, 3, 1], [3, 1, 2], [3, 2, 1]] END) o FROM t) "
+
+
+@query(_ORDERS + "SELECT p_partkey AS uid, array_to_string(o, ',') AS train FROM o")
+def permutation_expansion(t):
+    train = F.slice(F.array(*[F.lit(k) for k in (1, 2, 3)]), 1, (1 + F.col("p_partkey") % 3).cast("int"))
+    out = S.permuted_tasks(t("part").select(F.col("p_partkey").alias("uid"), train.alias("train")), 6)
+    return out.select("uid", F.array_join(F.transform("train", lambda x: x.cast("string")), ",").alias("train"))
+
+
 @query(BASE + ", u AS (SELECT g, min(p_partkey) uid FROM p GROUP BY g) SELECT p_partkey, uid FROM p JOIN u USING (g)")
 def grid_key_join(t):
     g = derived(t("part")).withColumnRenamed("g", "input")
@@ -117,10 +133,10 @@ _NORM = "sqrt(list_sum(list_transform({}, lambda x: x * x)))"
 _COS = "list_dot_product(a.v, b.v) / (" + _NORM.format("a.v") + " * " + _NORM.format("b.v") + ")"
 
 
-@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT a.vec_id query_id, b.vec_id, {_COS} score FROM e a, e b WHERE a.vec_id % 25 = 0) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 4")
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT a.vec_id query_id, b.vec_id, {_COS} score FROM e a, e b WHERE a.vec_id % 20 = 0) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 4")
 def cosine_topk(t):
     e = t("embeddings")
-    q = e.filter("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return V.top_k(q, e, 4).withColumn("score", F.round("score", 6))
 
 
