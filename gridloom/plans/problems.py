@@ -31,11 +31,11 @@ def identity_filter(t):
     return derived(t("part")).select("p_partkey", F.size(P.valid_pairs(examples)).alias("pairs"))
 
 
-@query("SELECT word AS name, string_agg(DISTINCT c_custkey::VARCHAR, ',' ORDER BY c_custkey::VARCHAR) AS seeds FROM (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'blit' ELSE 'crop' END word FROM customer WHERE c_custkey < 40) GROUP BY word")
+@query("SELECT CASE WHEN c_custkey % 2 = 0 THEN 'blit' ELSE 'crop' END AS name, c_custkey::VARCHAR AS seed_id FROM customer")
 def function_usage_index(t):
-    seeds = t("customer").filter("c_custkey < 40").select(F.col("c_custkey").cast("string").alias("seed_id"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "x = blit(g)").otherwise("x = crop(g)"), F.lit("\ndef generate_input():\n  flood(g)")).alias("content"))
+    seeds = t("customer").select(F.col("c_custkey").cast("string").alias("seed_id"), F.concat(F.when(F.col("c_custkey") % 2 == 0, "x = blit(blit(g))").otherwise("x = crop(g)"), F.lit("\ndef generate_input():\n  flood(g)")).alias("content"))
     names = seeds.sparkSession.createDataFrame([("blit",), ("crop",), ("flood",)], "name string")
-    return P.usage_index(names, seeds).select("name", F.array_join("seeds", ",").alias("seeds"))
+    return P.usage_index(names, seeds)
 
 
 @query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN event_type END AS code FROM events")

@@ -8,11 +8,12 @@ from ..functions import text as X
 from .registry import query
 
 
-@query("SELECT event_id, event_type AS code FROM events WHERE event_id % 2 = 0")
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type || ',two' WHEN 1 THEN event_type ELSE '' END AS code FROM events")
 def fence_extract(t):
-    e = t("events").filter("event_id % 2 = 0")
-    answer = F.concat(F.lit("Here:\n```python\n"), "event_type", F.lit("\n```\nand\n```text\nno\n```"))
-    return e.select("event_id", F.get(X.fenced_blocks(answer), 0).alias("code"))
+    tagged = F.concat(F.lit("Here:\n```python\n"), "event_type", F.lit("\n```\nand\n```text\nno\n```\n```python\ntwo\n```"))
+    bare = F.concat(F.lit("Here:\n```\n"), "event_type", F.lit("\n```"))
+    answer = F.when(F.col("event_id") % 3 == 0, tagged).when(F.col("event_id") % 3 == 1, bare).otherwise(F.col("event_type"))
+    return t("events").select("event_id", F.array_join(X.fenced_blocks(answer), ",").alias("code"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (props->>'$.k')::BIGINT END AS k FROM events")
@@ -64,10 +65,13 @@ def concept_parse(t):
     return t("part").select("p_partkey", F.array_join(X.concepts(seed), "|").alias("concepts"), X.description(seed).alias("description"))
 
 
-@query("SELECT p_partkey, 'Color.RED' || p_partkey AS kept, true AS repaired FROM part")
+@query("SELECT p_partkey, true AS repaired, CASE p_size % 3 WHEN 0 THEN '' ELSE 'HUE' || chr(65 + p_size % 26) END AS unknown, ' = Color.RED, Colors.' || p_size AS kept FROM part")
 def color_repair(t):
-    fixed = X.repair_colors(F.lit("Color.MAGENTA = Color.RED"))
-    return t("part").select("p_partkey", F.concat(F.lit("Color.RED"), F.col("p_partkey").cast("string")).alias("kept"), (F.size(X.unknown_colors(fixed)) == 0).alias("repaired"))
+    name = F.when(F.col("p_size") % 3 == 0, "Color.BLUE").otherwise(F.concat(F.lit("Color.HUE"), F.char(65 + F.col("p_size") % 26)))
+    source = F.concat(name, F.lit(" = Color.RED, Colors."), F.col("p_size").cast("string"))
+    fixed = X.repair_colors(source)
+    rest = F.regexp_extract(fixed, r"\AColor\.[A-Z]+( = .*)\z", 1)
+    return t("part").select("p_partkey", (F.size(X.unknown_colors(fixed)) == 0).alias("repaired"), F.array_join(X.unknown_colors(source), ",").alias("unknown"), rest.alias("kept"))
 
 
 @query("SELECT p_partkey, 'def transform(g): ' || p_name AS code FROM part")
