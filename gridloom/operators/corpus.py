@@ -2,27 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.grid import let
 from ..functions.text import normalized, word_count
+from ..session import settled
+
+#: A benchmark of up to so many bytes is broadcast; beyond it it is shuffled.
+BROADCAST_BYTES = 32 << 20
+#: Bytes of a table for each range that it is sorted in.
+RANGE_BYTES = 64 << 20
 
-#: Benchmark strings up to this many, and grams up to this many, are broadcast; beyond it they are shuffled.
-BROADCAST_ROWS = 100_000
 
+def ranges_for(df: DataFrame) -> int:
+    """Ranges that a sort of df is cut in: one for RANGE_BYTES of it, as far as its size is known, and one a core at least."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    spark = df.sparkSession
+    return int(spark.conf.get("spark.sql.shuffle.partitions")) if size > 1 << 50 else max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
 
-def numbered(df: DataFrame, *order, name: str = "rn", groups: int = 64) -> DataFrame:
+
+def numbered(df: DataFrame, *order, name: str = "rn", groups: int | None = None) -> DataFrame:
     """df with a row number from 1 over the whole table, in the given order, without one task for all rows.
 
     Rows are sorted by range, numbered inside each range, and moved up by the sizes of the
-    ranges before: a table of one row for each range.
+    ranges before: a table of one row for each range. `groups`: the ranges, by default as
+    many as the size of df asks for.
     """
     order = [F.col(o) if isinstance(o, str) else o for o in order]
-    parts = df.repartitionByRange(groups, *order).sortWithinPartitions(*order)
+    parts = df.repartitionByRange(groups or ranges_for(df), *order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()
     parts = parts.withColumn("_p", F.shiftrightunsigned(place, 33)).withColumn("_i", place.bitwiseAND((1 << 33) - 1))
-    parts = parts.persist(StorageLevel.DISK_ONLY)  # sizes and rows must see the same ranges
+    parts = settled(parts)  # sizes and rows must see the same ranges
     sizes = parts.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.select("_p", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_before"))
     return parts.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_n", "_before")
@@ -48,9 +61,19 @@ def mix(df: DataFrame, dataset: str, order: str, fractions: dict[str, float]) ->
     if any(f < 0 for f in fractions.values()):
         raise ValueError("fractions are not negative")
     share = F.create_map(*[x for k, v in fractions.items() for x in (F.lit(k), F.lit(float(v)))])
-    w = Window.partitionBy(dataset)
-    out = df.withColumn("_rn", F.row_number().over(w.orderBy(order))).withColumn("_n", F.count("*").over(w))
-    return out.filter(F.col("_rn") <= F.floor(F.coalesce(F.try_element_at(share, F.col(dataset)), F.lit(0.0)) * F.col("_n"))).drop("_rn", "_n")
+    counts = df.groupBy(dataset).agg(F.count("*").alias("_n")).filter(F.col(dataset).isin(*fractions))  # one row a dataset
+    counts = counts.select(F.col(dataset).alias("_d"), "_n", (F.sum("_n").over(Window.orderBy(dataset)) - F.col("_n")).alias("_first"))
+    rn = numbered(df.filter(F.col(dataset).isin(*fractions)), dataset, order, name="_rn")
+    out = rn.join(F.broadcast(counts), F.col(dataset) == F.col("_d"))
+    return out.filter(F.col("_rn") - F.col("_first") <= F.floor(F.element_at(share, F.col(dataset)) * F.col("_n"))).drop("_rn", "_n", "_d", "_first")
+
+
+def first_of_each(df: DataFrame, by: str, order: str, n: int) -> DataFrame:
+    """The first n rows of each file or group, in order. A group's rows are cut to n in every task before they meet."""
+    salt = F.spark_partition_id()
+    rank = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(order))
+    some = df.withColumn("_salt", salt).withColumn("_rank", rank(by, "_salt")).filter(F.col("_rank") <= n)
+    return some.withColumn("_rank", rank(by)).filter(F.col("_rank") <= n).drop("_salt", "_rank")
 
 
 def batch_of(df: DataFrame, size: int, order: str) -> DataFrame:
@@ -67,11 +90,35 @@ def length_bucket(tokens: Column, base: int = 4) -> Column:
     return F.when(tokens < 4000, 4 * base).otherwise(base)
 
 
-def within_budget(df: DataFrame, *texts: str, limit: int = 8000) -> DataFrame:
-    total = sum((word_count(F.col(t)) for t in texts[1:]), word_count(F.col(texts[0])))
+def within_budget(df: DataFrame, *texts: str, limit: int = 8000, count=word_count) -> DataFrame:
+    """Rows whose texts together have fewer than `limit` words, or of what else `count` counts (functions.tokens)."""
+    total = sum((count(F.col(t)) for t in texts[1:]), count(F.col(texts[0])))
     return df.filter(total < limit)
 
 
+def within_both_budgets(df: DataFrame, *variants: list[str], limit: int = 8000, count=word_count) -> DataFrame:
+    """Rows of which every variant, a list of text columns, is within the budget."""
+    for texts in variants:
+        df = within_budget(df, *texts, limit=limit, count=count)
+    return df
+
+
+def in_any(df: DataFrame, key: str, *others: DataFrame) -> DataFrame:
+    """Rows whose key one of the other tables has."""
+    keys = [o.select(key) for o in others]
+    return df.join(reduce(DataFrame.unionByName, keys), key, "left_semi")
+
+
+def without_index(df: DataFrame, column: str, skipped: list) -> DataFrame:
+    return df.filter(~F.col(column).isin(skipped)) if skipped else df
+
+
+def complete_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is null, or empty text."""
+    keep = [F.col(c).isNotNull() & ((F.col(c) != "") if t == "string" else F.lit(True)) for c, t in df.dtypes if c in columns]
+    return df.filter(reduce(lambda a, b: a & b, keep, F.lit(True)))
+
+
 def token_stats(df: DataFrame, text: str, *by: str) -> DataFrame:
     n = word_count(F.col(text))
     return df.groupBy(*by).agg(F.count("*").alias("rows"), F.sum(n).cast("long").alias("total"), F.round(F.avg(n), 6).alias("mean"), F.max(n).cast("long").alias("most"))
@@ -94,34 +141,45 @@ def dedup_counts(df: DataFrame, key: Column) -> DataFrame:
     return out.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), F.sum(F.col("n") - 1).alias("rejected"))
 
 
+def _hashed_grams(words: Column, gram: int) -> Column:
+    """Of an array of words the hash of every `gram` neighbours, from the words' own hashes."""
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= gram, F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(F.slice(h, i + 1, gram)))))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataFrame:
     """(doc_id, item_id): documents whose normalised text contains a benchmark string.
 
     A document with a string of gram + 2 words or more has, word by word, the string's gram
     from its second word on; equal hashes of grams give the candidates, and each is verified.
-    Shorter strings are searched in every document.
+    Shorter strings are searched in every document. A benchmark of up to BROADCAST_BYTES is
+    measured and broadcast, and the texts themselves never move; beyond it hashes meet in a
+    shuffle, and texts follow for candidates only.
     """
     d = docs.select("doc_id", normalized(F.col("text")).alias("t"))
     b = benchmark.select("item_id", normalized(F.col("text")).alias("b")).filter("b <> ''").withColumn("w", F.split("b", " "))
-    long = b.filter(F.size("w") >= gram + 2).select("item_id", "b", F.xxhash64(F.array_join(F.slice("w", 2, gram), " ")).alias("h"))
-    short = b.filter(F.size("w") < gram + 2).select("item_id", "b")
-    small = benchmark.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    hint = F.broadcast if small else (lambda x: x)
-    w = d.select("doc_id", F.split("t", " ").alias("w"))
-    at = F.sequence(F.lit(0), F.size("w") - gram)
-    grams = F.when(F.size("w") >= gram, F.transform(at, lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("w", i + k) for k in range(gram)]))))
-    hits = w.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(hint(long.select("h", "item_id")), "h").select("doc_id", "item_id")
-    found = d.join(hits, "doc_id").join(hint(long.select("item_id", "b")), "item_id").filter(F.contains("t", "b")).select("doc_id", "item_id")
-    # strings too short for a gram: no key to join on, so they are few or this is a scan of each
-    rest = d.join(F.broadcast(short) if small else short, F.contains("t", "b")).select("doc_id", "item_id")
-    return found.unionByName(rest).distinct()
+    b = b.withColumn("h", F.when(F.size("w") >= gram + 2, F.get(_hashed_grams(F.slice("w", 2, gram), gram), 0)))
+    size, shorts = b.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0)), F.count_if(F.col("h").isNull())).first()
+    b = b.select("item_id", "b", "h")
+    small = size <= BROADCAST_BYTES
+    hashed = d.withColumn("_h", F.array_distinct(_hashed_grams(F.split("t", " "), gram)))
+    if small:
+        listed = F.broadcast(b.filter("h IS NOT NULL").agg(F.collect_set("h").alias("_all")))  # one row, of bounded size
+        some = hashed.join(listed).select("doc_id", "t", F.explode(F.array_intersect("_h", "_all")).alias("h"))
+        found = some.join(F.broadcast(b), "h").filter(F.contains("t", "b")).select("doc_id", "item_id")
+    else:
+        hits = hashed.select("doc_id", F.explode("_h").alias("h")).join(b.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+        found = d.join(hits, "doc_id").join(b.select("item_id", "b"), "item_id").filter(F.contains("t", "b")).select("doc_id", "item_id")
+    if shorts:  # no gram to join on: each is searched in every document
+        few = b.filter("h IS NULL").select("item_id", "b")
+        found = found.unionByName(d.join(F.broadcast(few) if small else few, F.contains("t", "b")).select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataFrame:
     return docs.join(contaminated(docs, benchmark, gram).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
-def sample_others(df: DataFrame, key: str, count: int = 4, seed: int = 0, buckets: int = 64) -> DataFrame:
+def sample_others(df: DataFrame, key: str, count: int = 4, seed: int = 0, buckets: int | None = None) -> DataFrame:
     """(key, other): `count` other keys for each, without replacement: the next ones around a ring in shuffled order."""
     n = df.count()
     ring = numbered(df.select(key), *seeded_order(seed, key), name="_at", groups=buckets)

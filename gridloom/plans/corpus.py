@@ -72,6 +72,11 @@ def mix_fractions(t):
     return C.mix(t("documents").select("source", "doc_id"), "source", "doc_id", _FRACTIONS)
 
 
+@query("SELECT source, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 7")
+def first_of_each_source(t):
+    return C.first_of_each(t("documents").select("source", "doc_id"), "source", "doc_id", 7)
+
+
 @query("SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 300)::BIGINT AS batch FROM documents")
 def batch_ids(t):
     return C.batch_of(t("documents").select("doc_id"), 300, "doc_id")
@@ -79,7 +84,8 @@ def batch_ids(t):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5(concat('7-', doc_id)), doc_id) AS rn FROM documents QUALIFY rn <= 100")
 def seeded_shuffle_topn(t):
-    return C.numbered(t("documents").select("doc_id"), *C.seeded_order(7, "doc_id")).filter("rn <= 100").select("doc_id", "rn")
+    first = t("documents").select("doc_id").orderBy(*C.seeded_order(7, "doc_id")).limit(100)  # each task keeps 100
+    return C.numbered(first, *C.seeded_order(7, "doc_id"), groups=1)
 
 
 @query(f"SELECT doc_id, md5({SQUEEZE.format('text')}) AS digest FROM documents")

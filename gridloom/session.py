@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "gridloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -16,5 +18,25 @@ def session(name: str = "gridloom", master: str | None = None, **conf: str) -> S
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | {k.replace("__", "."): v for k, v in conf.items()}
     return builder.config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; where that is unset the warehouse, or on one machine a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_gridloom_folder", None)
+    if not named:
+        sc = spark.sparkContext
+        alone = sc.master == "local" or sc.master.startswith("local[")
+        named = f"file://{tempfile.mkdtemp(prefix='gridloom-')}" if alone else spark.conf.get("spark.sql.warehouse.dir")
+        spark._gridloom_folder = named
+    return named.rstrip("/")
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once, into the shared folder as a checkpoint; Spark deletes it when nothing refers to it any more, if it is told to clean checkpoints."""
+    sc = df.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
