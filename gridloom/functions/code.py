@@ -62,10 +62,24 @@ def with_syntax(df: DataFrame, source: str = "content") -> DataFrame:
     return df.mapInArrow(run, out)
 
 
+#: A class that is always kept, one that is kept where a symmetry is detected, and classes that are kept where they are named.
+ALWAYS, SYMMETRY = "Color", "Symmetry"
+DETECTORS = ["detect_rotational_symmetry", "detect_translational_symmetry", "detect_mirror_symmetry"]
+NAMED = ["RotationalSymmetry", "TranslationalSymmetry", "MirrorSymmetry"]
+
+
 def pruned_library(library: DataFrame, programs: DataFrame) -> DataFrame:
-    """Library functions that some program calls, internal ones left out. library: (name, docstring, ...); programs: with `calls`."""
-    used = programs.select(F.explode("calls").alias("name")).distinct()
-    return library.join(used, "name", "left_semi").filter(~F.coalesce(F.lower("docstring").contains("internal"), F.lit(False)))
+    """Library functions that some program calls, and, where `kind` tells them apart, its classes by rule, internal ones left out. library: (name, docstring, ...); programs: with `calls`, and for classes `content`."""
+    calls = programs.select(F.explode("calls").alias("name")).distinct()
+    shown = ~F.coalesce(F.contains(F.lower("docstring"), F.lit("internal")), F.lit(False))
+    if "kind" not in library.columns:
+        return library.join(calls, "name", "left_semi").filter(shown)
+    detects = calls.filter(F.col("name").isin(DETECTORS)).limit(1).select(F.lit(SYMMETRY).alias("name"))
+    named = programs.select(F.explode(F.filter(F.array(*[F.lit(n) for n in NAMED]), lambda n: F.contains("content", n))).alias("name")).distinct()
+    always = programs.sparkSession.createDataFrame([(ALWAYS,)], "name string")
+    classes = always.unionByName(detects).unionByName(named).distinct()
+    is_class = F.coalesce(F.col("kind") == "class", F.lit(False))
+    return library.filter(~is_class).join(calls, "name", "left_semi").unionByName(library.filter(is_class).join(classes, "name", "left_semi")).filter(shown)
 
 
 def usage_histogram(library: DataFrame, programs: DataFrame) -> DataFrame:

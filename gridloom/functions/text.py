@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import COLORS, MODEL_COLORS
-from .grid import to_text
+from .grid import from_text, to_text
 
 
 def squeeze(t: Column) -> Column:
@@ -150,6 +150,13 @@ def problem_prompt(train: Column, test: Column, names: list[str] | None = None)
     return F.concat(F.array_join(F.transform(train, one), ""), F.lit("Here is the input grid for the test example:\nInput:\n"), to_text(test["input"], names))
 
 
+def prompt_pairs(t: Column) -> Column:
+    """STRUCT<train: ARRAY<STRUCT<input, output>>, test>: the grids of a prompt, headings in turn; the last input has no output."""
+    grids = F.filter(F.transform(prompt_grids(t), lambda g: from_text(g, strict=False)), lambda g: F.size(g) > 0)
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(grids) - 2, F.lit(0))), lambda k: (k % 2 == 0) & (k + 1 < F.size(grids))), lambda k: F.struct(F.get(grids, k).alias("input"), F.get(grids, k + 1).alias("output")))
+    return F.struct(pairs.alias("train"), F.when(F.size(grids) % 2 == 1, F.get(grids, F.size(grids) - 1)).alias("test"))
+
+
 def prompt_grids(t: Column) -> Column:
     """The grid texts of a prompt, in order."""
     parts = F.split(t, r"(?:Input|Output):\s*\n")
@@ -180,8 +187,18 @@ def file_stem(path: Column) -> Column:
     return F.regexp_extract(path, r"([^/]+?)(?:\.[^./]*)?\z", 1)
 
 
-def utc_text(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+def bracket_uid(name: Column) -> Column:
+    """What stands in the first square brackets; none: null."""
+    uid = F.regexp_extract(name, r"\[([^\]]+)\]", 1)
+    return F.when(uid != "", uid)
+
+
+def utc_text(ts: Column, default: Column | None = None) -> Column:
+    """A time of the session's zone (UTC) in ISO form to the second; text stays as it is; null: the default, or the time of the query."""
+    text = F.date_format(F.coalesce(ts.try_cast("timestamp"), F.lit(None).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    given = ts.cast("string")
+    iso = F.coalesce(F.regexp_like(given, F.lit(r"\A\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\z")), F.lit(False))
+    return F.coalesce(F.when(iso, given).otherwise(text), given, default if default is not None else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'"))
 
 
 def missing_as_null(t: Column) -> Column:
@@ -203,3 +220,20 @@ def grid_html(g: Column) -> Column:
     """A grid as an HTML table of coloured cells."""
     cell = lambda c: F.concat(F.lit('<td class="'), F.lower(F.get(F.array(*[F.lit(n) for n in MODEL_COLORS]), c)), F.lit('"></td>'))
     return F.concat(F.lit("<table>"), F.array_join(F.transform(g, lambda r: F.concat(F.lit("<tr>"), F.array_join(F.transform(r, cell), ""), F.lit("</tr>"))), ""), F.lit("</table>"))
+
+
+def problem_html(uid: Column, examples: Column, media: Column | None = None) -> Column:
+    """A section of a report: an anchor, the media (base64 of a picture, or null) and a row of two grids for each example."""
+    rows = F.array_join(F.transform(examples, lambda e: F.concat(F.lit("<tr><td>"), grid_html(e["input"]), F.lit("</td><td>"), grid_html(e["output"]), F.lit("</td></tr>"))), "")
+    picture = F.lit("") if media is None else F.coalesce(F.concat(F.lit('<img src="data:image/gif;base64,'), media, F.lit('">')), F.lit(""))
+    return F.concat(F.lit('<section id="'), uid, F.lit('"><h2><a href="#'), uid, F.lit('">'), uid, F.lit("</a></h2>"), picture, F.lit("<table>"), rows, F.lit("</table></section>"))
+
+
+#: The colours of cells 0 to 9 on a terminal that knows 256.
+ANSI = [16, 21, 196, 34, 226, 244, 201, 208, 37, 88]
+
+
+def grid_ansi(g: Column) -> Column:
+    """A grid as coloured blanks for a terminal."""
+    cell = lambda c: F.concat(F.lit("\x1b[48;5;"), F.get(F.array(*[F.lit(str(a)) for a in ANSI]), c), F.lit("m  "))
+    return F.array_join(F.transform(g, lambda r: F.concat(F.array_join(F.transform(r, cell), ""), F.lit("\x1b[0m"))), "\n")

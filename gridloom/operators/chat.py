@@ -43,6 +43,16 @@ def orpo(chosen: Column, rejected: Column) -> Column:
     return F.struct(render(d["prompt"]).alias("prompt"), render(d["chosen"]).alias("chosen"), render(d["rejected"]).alias("rejected"))
 
 
+def reward(chosen: Column, rejected: Column) -> Column:
+    """STRUCT<chosen, rejected> as rendered text, whole conversations, the system turn first: for a reward model."""
+    return F.struct(render(with_system(chosen)).alias("chosen"), render(with_system(rejected)).alias("rejected"))
+
+
+def text_turns(turns: DataFrame, content: str = "content") -> DataFrame:
+    """Turns whose content is a list of blocks: without system turns, without image blocks, and without turns that have none left."""
+    return turns.filter("role <> 'system'").withColumn(content, without_images(F.col(content))).filter(F.size(content) > 0)
+
+
 def drop_roles(turns: DataFrame, *roles: str) -> DataFrame:
     return turns.filter(~F.col("role").isin(*roles))
 

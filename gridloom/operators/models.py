@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
+from .corpus import batch_of
 from .ledger import cached
 
 
@@ -20,6 +21,13 @@ def complete(prompts: DataFrame, cache: DataFrame, client=None) -> DataFrame:
     return known if client is None else known.unionByName(missing.join(client(missing), "key"), allowMissingColumns=True)
 
 
+def embedding_batches(prompts: DataFrame, size: int = 512, key: str = "key", text: str = "prompt") -> DataFrame:
+    """(batch, keys, texts): distinct prompts, `size` to a request, in order of their keys."""
+    numbered = batch_of(prompts.groupBy(key).agg(F.first(text).alias(text)), size, key)
+    listed = F.array_sort(F.collect_list(F.struct(key, text)))  # `size` rows
+    return numbered.groupBy("batch").agg(listed.alias("_p")).select("batch", F.col(f"_p.{key}").alias("keys"), F.col(f"_p.{text}").alias("texts"))
+
+
 def batch_requests(prompts: DataFrame, model: str, ordinal: str = "ordinal") -> DataFrame:
     """(custom_id, body) of a batch file."""
     body = F.to_json(F.struct(F.lit(model).alias("model"), F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))).alias("messages")))

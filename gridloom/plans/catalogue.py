@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import baseline, chat, corpus, grids, ledger, problems, registry, scoring, text  # noqa: F401  (each registers its queries)
+from . import baseline, chat, corpus, files, grids, ledger, problems, programs, registry, scoring, text  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict:

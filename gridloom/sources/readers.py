@@ -7,8 +7,12 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
+from ..schemas import PROBLEM
+
+#: The character sets of Spark's CSV reader.
+SPARK_ENCODINGS = {"iso-8859-1", "us-ascii", "utf-8", "utf-16", "utf-16be", "utf-16le", "utf-32"}
 CORRUPT = "_corrupt_record"
 
 
@@ -50,11 +54,36 @@ def seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | None = None, encoding: str = "UTF-8") -> DataFrame:
-    """A header, quoted cells with new lines and doubled quotes; without a schema all columns are text."""
+    """A header, quoted cells with new lines and doubled quotes; without a schema all columns are text. Encodings that Spark's reader does not know are decoded file by file."""
+    if encoding.lower() not in SPARK_ENCODINGS:
+        return _decoded_csv(spark, path, schema, encoding)
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("quote", '"').option("encoding", encoding)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", False).csv(path)
 
 
+def _decoded_csv(spark: SparkSession, path: str, schema: StructType | None, encoding: str) -> DataFrame:
+    import csv as lines
+    import io
+
+    import pandas as pd
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    if schema is None:
+        header = next(lines.reader(io.StringIO(files.first()[0].decode(encoding))))
+        names = [h.strip() for h in header]
+    else:
+        names = schema.fieldNames()
+
+    def rows(batches):
+        for b in batches:
+            for content in b["content"]:
+                table = list(lines.DictReader(io.StringIO(content.decode(encoding), newline="")))
+                yield pd.DataFrame({n: pd.Series([r.get(n) or None for r in table], dtype=object) for n in names})
+
+    out = files.mapInPandas(rows, StructType([StructField(n, StringType()) for n in names]))
+    return out if schema is None else out.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+
+
 def probe_encoding(sample: bytes, encodings: Iterable[str] = ("utf-8", "cp949", "euc-kr", "iso-8859-1", "latin1")) -> str:
     """The first encoding that decodes the bytes."""
     for e in encodings:
@@ -99,3 +128,7 @@ def media_ids(spark: SparkSession, path: str) -> DataFrame:
     """(uuid) of media named in log lines."""
     uid = F.regexp_extract("value", r"/(?:[^/\s]*?)([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\.gif", 1)
     return spark.read.text(path).select(uid.alias("uuid")).filter("uuid <> ''")
+
+
+def problem_cache(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(PROBLEM).parquet(path)
