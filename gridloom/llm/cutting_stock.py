@@ -5,29 +5,41 @@ from __future__ import annotations
 import numpy as np
 
 
-def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The best multiset of items within the capacity: its value and how many of each. Dynamic programming over capacities."""
+def best_fillings(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every capacity up to the given one the value of the best multiset of items, and an item of it (none: -1). Dynamic programming over capacities."""
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
     order = np.argsort(size, kind="stable")
     s, v = size[order], value[order]
-    for c in range(1, capacity + 1):
-        k = np.searchsorted(s, c, side="right")
-        if k:
-            with_item = best[c - s[:k]] + v[:k]
-            i = int(with_item.argmax())
-            best[c] = with_item[i]
-            choice[c] = i
-            if best[c - 1] >= best[c]:  # an item of no value is never taken
-                best[c], choice[c] = best[c - 1], -1
-    count = np.zeros(len(size), np.int64)
-    c = capacity
-    while c > 0:
-        if choice[c] < 0:
-            c -= 1
+    upto = np.searchsorted(s, np.arange(capacity + 1), side="right")
+    for c in range(int(s[0]) if len(s) else capacity + 1, capacity + 1):
+        k = upto[c]
+        with_item = best[c - s[:k]] + v[:k]
+        i = with_item.argmax()
+        if with_item[i] > best[c - 1]:  # an item of no value is never taken
+            best[c], choice[c] = with_item[i], order[i]
         else:
-            count[order[choice[c]]] += 1
-            c -= s[choice[c]]
-    return float(best[capacity]), count
+            best[c] = best[c - 1]
+    return best, choice
+
+
+def fillings(choice: np.ndarray, size: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """The best multisets for some capacities, as rows of counts."""
+    last = np.maximum.accumulate(np.where(choice >= 0, np.arange(len(choice)), 0))  # the largest capacity at or below that takes an item
+    count = np.zeros((len(room), len(size)), np.int64)
+    rows, c = np.arange(len(room)), last[room]
+    while len(rows):
+        going = choice[c] >= 0
+        rows, c = rows[going], c[going]
+        item = choice[c]
+        count[rows, item] += 1
+        c = last[c - size[item]]
+    return count
+
+
+def knapsack(value: np.ndarray, size: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The best multiset of items within the capacity: its value and how many of each."""
+    best, choice = best_fillings(value, size, capacity)
+    return float(best[capacity]), fillings(choice, size, np.array([capacity]))[0]
 
 
 def inverted(matrix: np.ndarray) -> np.ndarray:
@@ -47,9 +59,11 @@ def inverted(matrix: np.ndarray) -> np.ndarray:
 def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """(patterns as rows of counts, how often each is used), to meet the demand exactly with few bins.
 
-    The linear program over patterns is solved by the revised simplex method; a knapsack
-    prices the next pattern, until the bound by its value is within `gap` or one bin. Uses are rounded
-    down and what is left over is packed by first fit, largest first.
+    The linear program over patterns is solved by the revised simplex method, from the
+    patterns that first fit uses. A knapsack prices new patterns, the best one with each
+    size in it, until the bound by its value is within `gap` or one bin; the next pattern of
+    the basis is the one of the lowest cost among them, as long as one is of use. Uses are
+    rounded down and what is left over is packed by first fit, largest first.
     """
     n = len(size)
     if not n:
@@ -59,21 +73,33 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     use = (inverse * demand).sum(axis=1)
     bound, steady = float(size @ demand) / capacity, None
     best, since = use.sum(), 0
+    pool = np.unique(first_fit(size, demand, capacity), axis=0).astype(float)
     for step in range(200 * n + 1000):
         since = 0 if use.sum() < best - 1e-6 * best else since + 1
         best = min(best, use.sum())
         if since > n + 50:  # steps that only change the basis: any basis gives whole patterns
             break
         price = inverse.sum(axis=0)
-        # prices drawn towards those of the best bound so far take far fewer steps
-        for drawn in (price if steady is None else 0.8 * steady + 0.2 * price, price):
-            worth, column = knapsack(np.maximum(drawn, 0), size, capacity)
-            if (at := float(np.maximum(drawn, 0) @ demand) / worth) > bound or steady is None:
-                bound, steady = max(at, bound), drawn.copy()
-            if price @ column > 1 + 1e-9:
+        worth = pool @ price if len(pool) else np.zeros(0)
+        if not len(pool) or worth.max() <= 1 + 1e-9:
+            # prices drawn towards those of the best bound so far take far fewer steps
+            for drawn in (price if steady is None else 0.8 * steady + 0.2 * price, price):
+                drawn = np.maximum(drawn, 0)
+                value, choice = best_fillings(drawn, size, capacity)
+                if (at := float(drawn @ demand) / value[capacity]) > bound or steady is None:
+                    bound, steady = max(at, bound), drawn.copy()
+                made = fillings(choice, size, np.concatenate(([capacity], capacity - size)))
+                made[1:][np.arange(n), np.arange(n)] += 1
+                made = np.unique(made[made @ price > 1 + 1e-9], axis=0)
+                if len(made):
+                    break
+            if not len(made):
                 break
-        if price @ column <= 1 + 1e-9 or use.sum() - bound <= max(gap * use.sum(), 1):
+            pool = np.concatenate((pool[np.argsort(-worth, kind="stable")[: 4 * n]], made))
+            worth = pool @ price
+        if use.sum() - bound <= max(gap * use.sum(), 1):
             break
+        column = pool[int(worth.argmax())]
         d = (inverse * column).sum(axis=1)
         positive = d > 1e-9
         ratio = np.where(positive, use / np.where(positive, d, 1), np.inf)
