@@ -44,6 +44,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 """
 
 
+ABLATIONS = f"""
+WITH q AS ({OP9}), r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_windows', 2), ('many_symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32)) v(rule, b))
+SELECT rule, count(*) FILTER (failures & b <> 0) AS failed, count(*) FILTER (failures = b) AS failed_alone, count(*) FILTER (failures & (63 - b) = 0) AS kept_without FROM q, r GROUP BY rule
+"""
+
+
 def _secrets() -> str:
     """Spans from what stands between matches, as the operator takes them; RE2 and Java agree on these patterns."""
     from .secrets import BASE, RULES
@@ -66,4 +72,4 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op4_secret_scan": _secrets(), "op7_suffix_dedup": OP7, "op9_quality_rules": OP9}
+    return {"op2_substring_dedup": OP2, "op4_secret_scan": _secrets(), "op7_suffix_dedup": OP7, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}

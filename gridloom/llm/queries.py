@@ -87,6 +87,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed.alias("base_failed"), (~base_failed & quality.passes("v2")).alias("kept"), "failures")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each rule how many texts fail it, fail it alone, and would be kept without it."""
+    return quality.ablations(quality.ledger(documents(spark, sf_dir)), "v2")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     out = toxicity.score(docs, toxicity.learn(docs, labels, _remainder(5) != 0))
@@ -94,4 +99,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The ten opN_ queries."""
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
+
+
+def reports() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries on what the operators leave behind."""
+    return {"quality_ablations": quality_ablations}

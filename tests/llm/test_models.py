@@ -101,3 +101,92 @@ def test_products_of_matrices_associate():
     left = pieces.product(pieces.product(pieces.product(m[0], m[1]), m[2]), m[3])
     right = pieces.product(m[0], pieces.product(m[1], pieces.product(m[2], m[3])))
     assert left == right == p.matrix(text, 0, len(text), True, 0)
+
+
+def plain_score(model, text):
+    """The score again, word by word and n-gram by n-gram."""
+    def logit(word):
+        b, _ = toxicity.subwords([word])
+        return sum(float(model.logit[k]) for k in b) / len(b)
+
+    w = [logit(x) for x in toxicity.words(text)]
+    if not w:
+        return 0.0
+    top = max(sum(w[k : k + 8]) / len(w[k : k + 8]) for k in range(0, len(w), 8))
+    return 1 / (1 + np.exp(-(model.slope * top + model.shift)))
+
+
+def test_scores_by_a_plain_version_and_on_rows_kept_aside(spark):
+    import zlib
+
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice(["tan", "re", "lo", "mi", "su", "ke"]) for _ in range(rng.randint(1, 4)))
+    rows = []
+    for k in range(600):
+        w = [word() for _ in range(rng.randint(3, 120))]
+        if k % 3 == 0:
+            w[rng.randrange(len(w))] = rng.choice(["idiot", "idiots", "idiotic", "moron", "morons", "moronic"])
+        rows.append((k, " ".join(w), int(k % 3 == 0)))
+    rows += [(None, "no id at all", 1), (5, rows[5][1], rows[5][2]), (601, "x " * 200_000 + "idiot", 1)]
+    docs = table(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, 1, y) for i, _, y in rows] + [(7, 1, rows[7][2]), (8, 0, None)], "doc_id long, quality int, toxic int")
+    aside = lambda i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+    model = toxicity.learn(docs, labels, F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    got = [(r.doc_id, r.text, r.score) for r in toxicity.score(docs, model).select("row.doc_id", "row.text", "score").collect()]
+    assert len(got) == len(rows)
+    for i, t, s in got[::7] + [g for g in got if g[0] in (None, 5)]:
+        assert abs(s - plain_score(model, t)) < 1e-6
+    truth = {i: y for i, _, y in rows}
+    held = [(s >= 0.5, truth[i]) for i, _, s in got if aside(i)]
+    assert len(held) > 80 and sum(p == y for p, y in held) >= 0.95 * len(held)
+
+
+def test_predictions_by_a_plain_version_and_on_rows_kept_aside(spark):
+    rows = list(texts(60, 4))
+    x = np.stack([language.histogram(t) for _, t in rows])
+    model = language.Model.fit(x[::2], [v for v, _ in rows[::2]])
+    docs = table(spark, [*enumerate(t for _, t in rows), (3, rows[3][1]), (900, rows[0][1] * 400)])
+    got = language.identify(docs, model).select("row.doc_id", "row.text", "lang_pred", "score").collect()
+    for r in got:
+        h = language.histogram(r.text).astype(np.float64)
+        margins = [float(h @ model.weights[:, k]) + float(model.bias[k]) for k in range(len(model.bias))]
+        k = len(model.families)
+        family = max(range(k), key=lambda j: margins[j])
+        own = model.languages[model.families[family]]
+        wins = {v: [0, 0.0] for v in own}
+        for (a, b), m in zip(model.pairs, margins[k:]):
+            if a in own:
+                wins[a if m > 0 else b][0] += 1
+                wins[a][1] += m
+                wins[b][1] -= m
+        assert r.lang_pred == max(own, key=lambda v: (wins[v], v)) and 0 <= r.score <= 1
+    held = [(r.lang_pred, rows[r.doc_id][0]) for r in got if r.doc_id < len(rows) and r.doc_id % 2]
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_every_query_runs_and_has_its_columns(spark, tmp_path, corpus):
+    from gridloom.llm import queries
+
+    docs = [(i, t, v, "s", len(t or "")) for (i, t), v in zip(corpus, ["en", "de", None] * 20)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i, _ in corpus], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    want = {
+        "op1_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+        "op3_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+        "op5_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+        "op6_sentencepiece": "doc_id bigint, n_ids bigint, ids_sha256 string, round_trip boolean",
+        "op8_simhash_near_dedup": "doc_id bigint, fingerprint string, component_id bigint",
+        "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    }
+    for name, columns in want.items():
+        out = queries.queries()[name](spark, str(tmp_path))
+        assert [f"{c} {t}" for c, t in out.dtypes] == columns.split(", ")
+        rows = out.collect()
+        assert {r.doc_id for r in rows} == {i for i, _ in corpus}
+        for r in rows:
+            if name == "op5_fingerprints":
+                assert len(r.fingerprint) == 256 and int(r.fingerprint, 16) >= 0 and len(r.edited_sha256) == 64
+            if name == "op6_sentencepiece":
+                assert r.round_trip
+            if name == "op10_toxicity":
+                assert r.predicted == int(r.score >= 0.5)
