@@ -37,6 +37,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no one reads any more."""
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
 @contextmanager
 def settings(spark: SparkSession, **values: str):
     """Session settings for the jobs inside, restored afterwards; double underscores stand for dots."""

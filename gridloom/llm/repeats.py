@@ -57,6 +57,20 @@ def records(docs: DataFrame, unit: Unit) -> DataFrame:
     return texts(docs).mapInArrow(run, RECORD)
 
 
+#: Bits of the set that tells, nearly, which documents are meant; it is as large for any number of them.
+BITS = 1 << 23
+
+
+def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(docs that may have one of the keys (_id, _fp), docs that surely have none), by a set of BITS bits of the keys' hashes, which goes to every task; so of the others no text moves."""
+    spot = F.pmod(F.xxhash64("_id", "_fp"), F.lit(BITS))
+    one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int")).alias("_b"))
+    words = one.groupBy("_w").agg(F.bit_or("_b").alias("_b"))  # BITS / 64 rows at most
+    marked = docs.withColumn("_s", spot).join(F.broadcast(words), F.shiftright("_s", 6) == F.col("_w"), "left")
+    hit = F.coalesce(F.call_function("shiftrightunsigned", F.col("_b"), F.col("_s").bitwiseAND(63).cast("int")).bitwiseAND(1) == 1, F.lit(False))
+    return marked.filter(hit).drop("_s", "_w", "_b"), marked.filter(~hit).drop("_s", "_w", "_b")
+
+
 def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
     """wanted: (h, m, _id, _fp, place), distinct runs. Adds the content of each, read again from its document: its bytes, or for words two digests of each window."""
 
@@ -95,7 +109,7 @@ def fetched(docs: DataFrame, wanted: DataFrame, unit: Unit) -> DataFrame:
                 at = to
 
     lists = wanted.groupBy("_id", "_fp").agg(F.collect_list(F.struct("h", "m", "place")).alias("runs"))
-    return texts(docs).join(lists, ["_id", "_fp"]).select("_id", "_fp", "text", "runs").mapInArrow(run, "h long, m long, _id long, _fp long, place long, content binary")
+    return texts(parted(docs, wanted)[0]).join(lists, ["_id", "_fp"]).select("_id", "_fp", "text", "runs").mapInArrow(run, "h long, m long, _id long, _fp long, place long, content binary")
 
 
 def _ramp(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -237,10 +251,13 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """(row, text, spans): every document with its spans, unmerged; none: null.
 
     The list is of one document's own spans, one for each of its runs at most; text of a
-    short period has one run for each STRETCH of it. Only `row` travels, the text in it.
+    short period has one run for each STRETCH of it. Only `row` travels, the text in it, and
+    only of documents that have spans.
     """
     lists = spans.groupBy("_id", "_fp").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    joined = docs.select("_id", "_fp", "row").join(lists, ["_id", "_fp"], "left")
+    some, rest = parted(docs.select("_id", "_fp", "row"), spans)
+    joined = some.join(lists, ["_id", "_fp"], "left").select("row", "spans")
+    joined = joined.unionByName(rest.select("row", F.lit(None).cast(joined.schema["spans"].dataType).alias("spans")))
     return joined.select("row", F.col("row.text").cast("string").alias("text"), "spans")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import windows as W
-from .common import LAST, few, held, keyed, scratch, tasks_for, tidy, written
+from .common import LAST, few, held, keyed, remove, scratch, tasks_for, tidy, written
 
 
 def _merged(runs: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ class FingerprintIndex:
         most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))  # Spark makes no table of more
         self.buckets, self.tasks, self.ratio, self.together = min(buckets, most), tasks, ratio, together
         self.runs: list[tuple[str, int]] = []
+        self.paths: dict[str, str] = {}
 
     def _store(self, rows: DataFrame) -> tuple[str, int]:
         path = scratch(self.spark, "run")
         name = f"gridloom_{path.rsplit('-', 1)[1]}"
+        self.paths[name] = path
         with tidy(self.spark):
             few(rows.repartition(self.buckets, "h"), self.tasks).write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
         return name, self.spark.table(name).count()
@@ -50,7 +52,18 @@ class FingerprintIndex:
             both = _merged(self.spark.table(a).unionByName(self.spark.table(b)))
             self.runs[-2:] = [self._store(both)]
             for name in (a, b):
-                self.spark.sql(f"DROP TABLE {name}")  # an external table: its files stay with whoever still reads them
+                self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        """What a batch found is written by then, so no one reads the run any more."""
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, self.paths.pop(name))
+
+    def close(self) -> None:
+        """Drops the index; what its batches gave stays."""
+        for name, _ in self.runs:
+            self._drop(name)
+        self.runs = []
 
     def ingest(self, batch: DataFrame, seen: DataFrame) -> DataFrame:
         """Spans (in words) of the batch that repeat windows of documents with smaller ids.
@@ -68,15 +81,16 @@ class FingerprintIndex:
                 known = known.unionByName(self.spark.table(old).join(fresh.select("h"), "h", "left_semi"))
             known = keep(_merged(known), tasks)
             anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
-            full = known.filter("first._id < last").select("h", "c", F.col("first._id").alias("least"))
-            whole = found.join(full, ["h", "c"]).filter("least < _id")
+            # a run that a smaller id has goes whole; at further places in documents of the first id, and where it
+            # follows upon itself, what holds for the place that is compared holds too
+            marks = known.join(anchors, "h", "left").select("h", "c", F.col("first").alias("of"), F.expr("first._id < last").alias("full"), F.expr("n > 1 AND m IS NOT NULL").alias("several"))
+            placed = found.join(marks.filter("full OR several"), ["h", "c"]).withColumn("whole", F.expr("full AND of._id < _id"))
+            placed = placed.filter("whole OR (several AND of._id >= _id AND (times > 1 OR NOT (of._fp = _fp AND of.place = place)))")
+            placed = keep(placed.select("_id", "_fp", "place", "times", "of", "whole"), tasks)
             wanted = known.join(anchors, "h").select("h", "m", "first.*")
-            windows = keep(R.fetched(seen, wanted, unit), tasks)
+            windows = keep(R.fetched(seen, keep(wanted, tasks), unit), tasks)
             partly = written(R.resolved(windows, unit, True, self.together, tasks), "partly", tasks)
-            # a run may stand at more places of the first id, or several times on end: what holds for the place compared holds for them
-            several = known.filter("n > 1").join(anchors.select("h"), "h", "left_semi").select("h", "c", "first")
-            others = found.join(several, ["h", "c"]).filter("first._id >= _id AND (times > 1 OR NOT (first._fp = _fp AND first.place = place))").select("_id", "_fp", "place", "times", F.col("first").alias("of"))
-            spans = R.run_spans(whole, unit.width).unionByName(R.carried(partly, others))
+            spans = R.run_spans(placed.filter("whole"), unit.width).unionByName(R.carried(partly, placed.filter("NOT whole")))
             spans = written(spans, "spans", tasks).unionByName(partly.drop("place"))
         self.runs.append((new, size))
         self.compact()
@@ -105,12 +119,15 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, batches: int = 3, in
     """
     spark, tasks = docs.sparkSession, tasks_for(docs)
     docs = keyed(docs)
-    index = index or FingerprintIndex(spark, width, buckets=tasks, tasks=tasks, together=together)
+    own = index is None
+    index = FingerprintIndex(spark, width, buckets=tasks, tasks=tasks, together=together) if own else index
     spans = None
     for low, high in id_ranges(docs, batches):
         seen = docs if high is None else docs.filter(F.col("_id") < high)
         part = index.ingest(seen.filter(F.col("_id") >= low), seen)
         spans = part if spans is None else spans.unionByName(part)
+    if own:
+        index.close()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (p for x in batches for p in W.portions(x)):
