@@ -80,7 +80,7 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
         if since > n + 50:  # steps that only change the basis: any basis gives whole patterns
             break
         price = inverse.sum(axis=0)
-        worth = pool @ price if len(pool) else np.zeros(0)
+        worth = (pool * price).sum(axis=1)  # as with inverted(): no library threads, and no memory for them
         if not len(pool) or worth.max() <= 1 + 1e-9:
             # prices drawn towards those of the best bound so far take far fewer steps
             for drawn in (price if steady is None else 0.8 * steady + 0.2 * price, price):
@@ -90,13 +90,13 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
                     bound, steady = max(at, bound), drawn.copy()
                 made = fillings(choice, size, np.concatenate(([capacity], capacity - size)))
                 made[1:][np.arange(n), np.arange(n)] += 1
-                made = np.unique(made[made @ price > 1 + 1e-9], axis=0)
+                made = np.unique(made[(made * price).sum(axis=1) > 1 + 1e-9], axis=0)
                 if len(made):
                     break
             if not len(made):
                 break
             pool = np.concatenate((pool[np.argsort(-worth, kind="stable")[: 4 * n]], made))
-            worth = pool @ price
+            worth = (pool * price).sum(axis=1)
         if use.sum() - bound <= max(gap * use.sum(), 1):
             break
         column = pool[int(worth.argmax())]

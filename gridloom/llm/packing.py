@@ -15,6 +15,8 @@ from .cutting_stock import patterns
 from .tokens import WordTokens, default_path
 
 END = (1).to_bytes(4, "little")
+#: Salts of one length whose cells are summed up together.
+BLOCK = 1024
 
 
 def pieces(docs: DataFrame, capacity: int = 2048, tokenizer: str | None = None) -> DataFrame:
@@ -48,7 +50,7 @@ def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, tokenizer: str |
 
     Returns (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset). Null or
     empty text: one piece, id 1. Null ids and repeated rows are packed like any other; of
-    equal pieces any may come first. An empty table gives an empty result. Only doc_id and
+    equal pieces any may come first. A long text is encoded whole, by one task. An empty table gives an empty result. Only doc_id and
     text are read. Rounding lengths up to `grain` costs about grain / 2 tokens a piece.
     """
     tasks = tasks_for(docs)
@@ -80,8 +82,13 @@ def pack(docs: DataFrame, capacity: int = 2048, grain: int = 8, tokenizer: str |
                 sequence[at] = base[p] + (rank[at] - start[p]) // each[p]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], b.column("rank"), pa.array(sequence)], names=[*b.schema.names[:5], "rank", "sequence_id"])
 
-    longest = Window.partitionBy("size").orderBy(F.desc("length"), "salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = cells.withColumn("before", F.coalesce(F.sum("n").over(longest), F.lit(0))).select("length", "salt", "size", "before")
+    # cells of one size are as many as salts: sums of BLOCK salts come first, so no task orders all of them
+    upto = lambda *order: Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("block", F.floor(F.col("salt") / BLOCK))
+    blocks = cells.groupBy("size", "length", "block").agg(F.sum("n").alias("n"))
+    blocks = blocks.withColumn("before", F.coalesce(F.sum("n").over(upto(F.desc("length"), "block").partitionBy("size")), F.lit(0))).drop("n", "size")
+    inside = F.coalesce(F.sum("n").over(upto("salt").partitionBy("length", "block")), F.lit(0))
+    before = cells.withColumn("inside", inside).join(blocks, ["length", "block"]).select("length", "salt", "size", (F.col("before") + F.col("inside")).alias("before"))
     place = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32"))
     ranked = cut.withColumn("place", place).join(before, ["length", "salt"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "size", (F.col("before") + F.col("place") - 1).alias("rank"))

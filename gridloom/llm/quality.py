@@ -54,7 +54,7 @@ def ledger(docs: DataFrame) -> DataFrame:
     failures has bit k set where rule k of RULES fails. Null text has no words and measures
     zero everywhere, so it fails few_words only; so does an empty text. Null ids, repeated
     rows and further columns pass through in `row`; an empty table gives an empty ledger.
-    Everything is an expression on one row: nothing is shuffled.
+    Texts of any length are measured whole, in memory for some fifty bytes a word. Everything is an expression on one row: nothing is shuffled.
     """
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).withColumn("t", text)

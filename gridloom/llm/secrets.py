@@ -95,7 +95,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     mandatory trigrams against all. The index and the candidates hold keys only, and the
     texts meet them in one join. Two documents with one 64-bit key would only be matched
     against each other's candidates too. Null text: empty. Null ids and repeated rows are
-    scanned like any other; an empty table gives an empty result. `row` holds the input's
+    scanned like any other, and texts of any length whole; an empty table gives an empty result. `row` holds the input's
     columns, whatever their names.
     """
     tasks = tasks_for(docs)

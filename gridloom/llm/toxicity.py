@@ -177,7 +177,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, f
 
 
 def learn(docs: DataFrame, labels: DataFrame, learned_from, rows_each: int = ROWS_EACH) -> Model:
-    """A model of the labelled rows for which the condition holds, at most `rows_each` of each label, chosen by a hash of doc_id."""
+    """A model of the labelled rows for which the condition holds, at most `rows_each` of each label, chosen by a hash of doc_id. A document that is labelled twice, or stands twice in docs, is learned from twice; null ids and labels are passed over."""
     labels = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(learned_from)
     counts = labels.groupBy("toxic").agg(F.count("*").alias("n"))
     place = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 40))
