@@ -60,7 +60,7 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     """(patterns as rows of counts, how often each is used), to meet the demand exactly with few bins.
 
     The linear program over patterns is solved by the revised simplex method, from the
-    patterns that first fit uses. A knapsack prices new patterns, the best one with each
+    patterns that first fit uses for a like demand of bounded size. A knapsack prices new patterns, the best one with each
     size in it, until the bound by its value is within `gap` or one bin; the next pattern of
     the basis is the one of the lowest cost among them, as long as one is of use. Uses are
     rounded down and what is left over is packed by first fit, largest first.
@@ -73,7 +73,8 @@ def patterns(size: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1
     use = (inverse * demand).sum(axis=1)
     bound, steady = float(size @ demand) / capacity, None
     best, since = use.sum(), 0
-    pool = np.unique(first_fit(size, demand, capacity), axis=0).astype(float)
+    # first fit has a row for each bin, so it packs the demand scaled down to some thousand bins
+    pool = np.unique(first_fit(size, np.ceil(demand / max(1.0, bound / 1000)).astype(np.int64), capacity), axis=0).astype(float)
     for step in range(200 * n + 1000):
         since = 0 if use.sum() < best - 1e-6 * best else since + 1
         best = min(best, use.sum())
