@@ -380,13 +380,13 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     short = docs.filter(fits).select("row", "text").mapInArrow(whole, T.StructType([row, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
     long = docs.filter(~fits)
     chunks = long.select("_id", "_fp", "text").mapInArrow(cut, "_id long, _fp long, k long, at long, low long, high long, last boolean, text string")
-    chunks = written(chunks.dropDuplicates(["_id", "_fp", "k"]), "chunks", tasks)
-    spread = chunks.repartition(tasks, "_id", "_fp", "k")
-    found = spread.mapInArrow(matrices, f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>")
-    found = found.groupBy("_id", "_fp").agg(F.array_sort(F.collect_list(F.struct("k", "cells"))).alias("chunks"))
+    # chunks of one text are dealt to many files; those of repeated rows are equal, and sets take them once
+    chunks = written(chunks.repartition(tasks, "_id", "_fp", "k"), "chunks")
+    found = chunks.mapInArrow(matrices, f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>")
+    found = found.groupBy("_id", "_fp").agg(F.array_sort(F.collect_set(F.struct("k", "cells"))).alias("chunks"))
     borders = written(found.mapInArrow(combine, f"_id long, _fp long, k long, a {_STATE}, b {_STATE}, n long"), "borders", tasks)
-    traced = chunks.join(borders, ["_id", "_fp", "k"]).repartition(tasks, "_id", "_fp", "k").mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
-    ids = traced.groupBy("_id", "_fp").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
+    traced = chunks.join(borders, ["_id", "_fp", "k"]).mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
+    ids = traced.groupBy("_id", "_fp").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return few(short.unionByName(long.join(ids, ["_id", "_fp"]).select("row", "ids")), tasks)
 
 
