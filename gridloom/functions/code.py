@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import parse_json, without_fence
+
 FUNCTION = "ARRAY<STRUCT<name:STRING, docstring:STRING, code:STRING, stub:STRING, kind:STRING>>"
 
 
@@ -47,6 +51,30 @@ def literal(text: str):
         return None
 
 
+def json_of_literals() -> Callable[[Column], Column]:
+    """A function of a text column: the JSON of a Python literal, null where it is none."""
+
+    @F.pandas_udf("string")
+    def turn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            out = []
+            for t in s:
+                v = literal(t) if t else None
+                try:
+                    out.append(json.dumps(v) if isinstance(v, (dict, list)) else None)
+                except (TypeError, ValueError):
+                    out.append(None)
+            yield pd.Series(out, dtype=object)
+
+    return turn
+
+
+def parse_any_json(t: Column, schema: str) -> Column:
+    """As text.parse_json, and what that cannot read as a Python literal."""
+    read = parse_json(t, schema)
+    return F.coalesce(read, F.from_json(json_of_literals()(F.when(read.isNull(), without_fence(t))), schema))
+
+
 def with_syntax(df: DataFrame, source: str = "content") -> DataFrame:
     """df with `functions` and `calls` of the program in a column."""
     out = T.StructType([*df.schema.fields, T.StructField("functions", T.DataType.fromDDL(FUNCTION)), T.StructField("calls", T.DataType.fromDDL("ARRAY<STRING>"))])

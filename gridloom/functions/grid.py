@@ -191,6 +191,44 @@ def augment(g: Column, key: Column, largest: int = LARGEST) -> Column:
     return let(g, lambda x: F.when(draw("scale", 2) == 0, scale(x, F.least(most(x), (draw("k", 3) + 1).cast("int")))).otherwise(x))
 
 
+def turned(g: Column, quarters: Column) -> Column:
+    """Quarter turns clockwise, 0 to 3."""
+    return let(g, lambda x: F.when(quarters == 1, rot90(x)).when(quarters == 2, rot180(x)).when(quarters == 3, rot270(x)).otherwise(x))
+
+
+def draw(key: Column, what: str, n) -> Column:
+    """A number from 0 to n - 1 that the key and the purpose decide: the first seven hex digits of an md5."""
+    digits = F.substring(F.md5(F.concat_ws("-", F.lit(what), key.cast("string"))), 1, 7)
+    return F.pmod(F.conv(digits, 16, 10).cast("long"), _c(n).cast("long")).cast("int")
+
+
+def drawn_transform(key: Column, side: Column, odds: float = 0.5, recolor: bool = True, largest: int = LARGEST) -> Column:
+    """STRUCT<columns, rows, quarters, k, colors>: reversed columns and rows, a turn of one to three quarters and a scale of up to `largest` over the longest side, each with the same odds; colours 1 to 9 permuted for half of all keys, 0 to 9 for a tenth."""
+    chance = lambda what: draw(key, what, 1000) < F.lit(int(1000 * odds))
+    most = F.greatest(F.floor(F.lit(largest) / side).cast("int"), F.lit(1))
+    of = draw(key, "colors", 10)
+    colors = F.when(of < 5, seeded_permutation(key)).when(of == 5, seeded_permutation(key, 0, 9)) if recolor else F.lit(None).cast("array<int>")
+    return F.struct(
+        chance("columns").alias("columns"), chance("rows").alias("rows"), F.when(chance("turn"), draw(key, "quarters", 3) + 1).otherwise(0).alias("quarters"),
+        F.when(chance("scale"), draw(key, "k", most) + 1).otherwise(1).alias("k"), colors.alias("colors"),
+    )
+
+
+def transformed(g: Column, t: Column, other: bool = False) -> Column:
+    """A grid under a drawn transform; `other`: under its complement, which reverses what it does not and turns a quarter further."""
+    columns, rows = (~t["columns"], ~t["rows"]) if other else (t["columns"], t["rows"])
+    quarters = F.pmod(t["quarters"] + 1, F.lit(4)) if other else t["quarters"]
+    g = let(g, lambda x: F.when(columns, flip_columns(x)).otherwise(x))
+    g = let(g, lambda x: F.when(rows, flip_rows(x)).otherwise(x))
+    g = scale(turned(g, quarters), t["k"])
+    return let(g, lambda x: F.when(t["colors"].isNotNull(), permute_colors(x, t["colors"])).otherwise(x))
+
+
+def translate_point(x, y, dx, dy, times=1) -> Column:
+    """STRUCT<x, y> shifted a number of times, backwards too."""
+    return F.struct((_c(x) + _c(dx) * _c(times)).alias("x"), (_c(y) + _c(dy) * _c(times)).alias("y"))
+
+
 def compare(a: Column, b: Column) -> Column:
     """STRUCT<verdict, ratio>: EQUAL, SHAPE, CONTENT with the share of equal cells, or ERROR where a is missing and NON_2D where it is no grid."""
     same = F.aggregate(F.zip_with(F.flatten(a), F.flatten(b), lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)

@@ -216,7 +216,7 @@ def orbit(g: np.ndarray, x: int, y: int, maps: list[tuple[Callable, range]]) ->
 
 def apply_symmetry(sprite: np.ndarray, kind: str, background: int = 0) -> np.ndarray:
     """The sprite with the symmetry enforced: empty cells take the colour of their images."""
-    images = {"horizontal": [sprite[::-1]], "vertical": [sprite[:, ::-1]], "diagonal": [sprite.T], "radial": [np.rot90(sprite, k) for k in (1, 2, 3)]}[kind]
+    images = {"horizontal": [sprite[::-1]], "vertical": [sprite[:, ::-1]], "diagonal": [sprite.T], "mirror": [sprite[::-1], sprite[:, ::-1], sprite[::-1, ::-1]], "not_symmetric": [], "radial": [np.rot90(sprite, k) for k in (1, 2, 3)]}[kind]
     out = sprite.copy()
     for other in images:
         if other.shape != sprite.shape:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import all_color, compare, is_grid, is_small_grid, pair_fits, permute_colors, seeded_permutation
+from ..functions.grid import all_color, compare, drawn_transform, is_grid, is_small_grid, pair_fits, permute_colors, seeded_permutation, transformed
 from ..functions.text import fill, problem_uid
 from ..schemas import COLORS
 from .sandbox import execute
@@ -36,6 +36,25 @@ def valid_pairs(examples: Column) -> Column:
     return F.filter(examples, ok)
 
 
+def augmented_tasks(tasks: DataFrame, rounds: int, odds: float = 0.5, recolor: bool = True, wanted: int = 3) -> DataFrame:
+    """tasks: (uid, train, test), pairs of grids. (uid, round, train, test) of each task under a transform drawn for each round, the same for all its pairs.
+
+    Train pairs are topped up by those under the complementary transform, in drawn order,
+    and the first `wanted` stay; of the tests the first. Tasks with a malformed grid or a
+    side over the limit are left out.
+    """
+    pairs = F.concat("train", "test")
+    whole = F.forall(pairs, lambda p: is_small_grid(p["input"]) & is_small_grid(p["output"])) & (F.size("test") > 0)
+    side = F.array_max(F.transform(pairs, lambda p: F.greatest(F.size(p["input"]), F.size(F.get(p["input"], 0)), F.size(p["output"]), F.size(F.get(p["output"], 0)))))
+    key = F.concat_ws("-", F.col("uid").cast("string"), F.col("round").cast("string"))
+    drawn = tasks.filter(whole).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_t", drawn_transform(key, side, odds, recolor))
+    pair = lambda p, other=False: F.struct(transformed(p["input"], F.col("_t"), other).alias("input"), transformed(p["output"], F.col("_t"), other).alias("output"))
+    places = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.size("train") - 1), lambda k: F.struct(F.md5(F.concat_ws("-", key, k.cast("string"))).alias("h"), k.alias("k")))), lambda x: x["k"])
+    more = F.transform(places, lambda k: pair(F.get("train", k), True))
+    train = F.when(F.size("train") > 0, F.slice(F.concat(F.transform("train", lambda p: pair(p)), more), 1, wanted)).otherwise(F.col("train"))
+    return drawn.select("uid", "round", train.alias("train"), F.transform(F.slice("test", 1, 1), lambda p: pair(p)).alias("test"))
+
+
 def usage_index(functions: DataFrame, seeds: DataFrame) -> DataFrame:
     """(name, seed_id): each function with every seed whose text before the generator calls it, a row each, so that no list of a name that most seeds use is gathered. Names are looked up in the calls found in the text, so this is an equality join."""
     main = F.substring_index("content", "def generate_input", 1)

@@ -197,6 +197,24 @@ _kernel(
 _kernel("grid_contiguous", "boolean", K.is_contiguous, _O + _JOINED + " SELECT p.p_partkey, concat('{\"value\":', count(DISTINCT w.l) = 1, '}') AS value FROM p LEFT JOIN w USING (p_partkey) GROUP BY p.p_partkey", True)
 
 
+@query(BASE + "SELECT p_partkey, 3::INT AS pairs, true AS fits, 2::BIGINT AS rounds FROM p")
+def augment_tasks(t):
+    """Two rounds of each task of two pairs: three train pairs each, within the limit."""
+    from ..operators.problems import augmented_tasks
+
+    pair = F.struct(F.col("g").alias("input"), G.flip_rows(F.col("g")).alias("output"))
+    tasks = derived(t("part")).select(F.col("p_partkey").alias("uid"), F.array(pair, pair).alias("train"), F.array(pair, pair).alias("test"))
+    out = augmented_tasks(tasks, 2)
+    fits = F.forall(F.concat("train", "test"), lambda p: G.pair_fits(p))
+    return out.groupBy(F.col("uid").alias("p_partkey")).agg(F.max(F.size("train")).alias("pairs"), F.bool_and(fits).alias("fits"), F.count("*").alias("rounds"))
+
+
+@query(BASE + "SELECT p_partkey, (p_size + 3 * (p_partkey % 3 - 1))::INT AS x, (1 - 2 * (p_partkey % 3 - 1))::INT AS y FROM p JOIN part USING (p_partkey)")
+def translated_points(t):
+    q = G.translate_point(F.col("p_size"), F.lit(1), F.lit(3), F.lit(-2), F.col("p_partkey") % 3 - 1)
+    return t("part").select("p_partkey", q.alias("q")).select("p_partkey", F.col("q.x").cast("int").alias("x"), F.col("q.y").cast("int").alias("y"))
+
+
 @query()
 def augment_policy(t):
     return derived(t("part")).select("p_partkey", F.to_json(G.augment(F.col("g"), F.col("p_partkey"))).alias("grid"))

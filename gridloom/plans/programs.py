@@ -77,6 +77,14 @@ def direct_prompt(t):
     return out.select("p_partkey", F.size("d.seed_ids").alias("shown"), has("In particular use: ").alias("named"), (F.contains("d.prompt", F.concat(F.lit("They are:\n   "), "p_brand", F.lit("\n")))).alias("concept"), has("your template").alias("close"), has("under 20 wide").alias("size"))
 
 
+@query("SELECT event_id, CASE event_id % 3 WHEN 2 THEN NULL ELSE event_id END AS k FROM events")
+def literal_json(t):
+    """Answers in Python's own notation, single quotes and None, are read too."""
+    k = F.col("event_id").cast("string")
+    answer = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("{'k': "), k, F.lit(", 'x': None}"))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('```json\n{"k": '), k, F.lit("}\n```"))).otherwise("{'k': open(")
+    return t("events").select("event_id", code.parse_any_json(answer, "k long")["k"].alias("k"))
+
+
 @query("SELECT event_id, concat('k', event_id % 10) AS prompt, 'gone' AS other FROM events WHERE event_id % 10 < 3")
 def generic_map_filter(t):
     kept = dataset.filtered(t("events").select("event_id", "event_type"), lambda r: r["event_id"] % 10 < 3)

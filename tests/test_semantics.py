@@ -105,3 +105,51 @@ def test_nothing_stays_cached(spark):
 def test_times_as_text(spark):
     df = spark.createDataFrame([("2024-01-02 03:04:05",), ("2024-01-02T03:04:05Z",), ("soon",), (None,)], "t string")
     assert [r[0] for r in df.select(X.utc_text(F.col("t"), F.lit("never"))).collect()] == ["2024-01-02T03:04:05Z", "2024-01-02T03:04:05Z", "soon", "never"]
+
+
+def test_augmented_tasks_by_a_plain_version(spark):
+    """Transforms drawn again from the same md5s, in numpy."""
+    import hashlib
+
+    from gridloom.operators.problems import augmented_tasks
+
+    rng = np.random.default_rng(3)
+    pairs = lambda n, m, k: [(rng.integers(0, 10, (n, m)).tolist(), rng.integers(0, 10, (m, n)).tolist()) for _ in range(k)]
+    rows = [(f"t{i}", pairs(1 + i % 5, 1 + i % 7, 1 + i % 4), pairs(2, 3, 2)) for i in range(24)]
+    rows += [("wide", [([[0] * 31], [[1]])], pairs(1, 1, 1)), ("bad", [([[10]], [[1]])], pairs(1, 1, 1)), ("none", pairs(1, 1, 1), [])]
+    kind = "array<struct<input:array<array<int>>,output:array<array<int>>>>"
+    got = {(r.uid, r.round): r for r in augmented_tasks(spark.createDataFrame(rows, f"uid string, train {kind}, test {kind}"), 3).collect()}
+    assert set(got) == {(f"t{i}", k) for i in range(24) for k in range(3)}
+    md5 = lambda t: hashlib.md5(t.encode()).hexdigest()
+    for (uid, k), r in got.items():
+        key = f"{uid}-{k}"
+        draw = lambda what, n: int(md5(f"{what}-{key}")[:7], 16) % n
+        _, train, test = next(x for x in rows if x[0] == uid)
+        side = max(max(len(g), len(g[0])) for p in train + test for g in p)
+        columns, lines = draw("columns", 1000) < 500, draw("rows", 1000) < 500
+        quarters = draw("quarters", 3) + 1 if draw("turn", 1000) < 500 else 0
+        scale = draw("k", 30 // side) + 1 if draw("scale", 1000) < 500 else 1
+        of, colors = draw("colors", 10), np.arange(10)
+        if of <= 5:
+            low = 1 if of < 5 else 0
+            colors = np.array([*range(low), *sorted(range(low, 10), key=lambda c: md5(f"{key}-{c}"))])
+
+        def under(g, other=False):
+            a = np.array(g)
+            a = a[:, ::-1] if columns != other else a
+            a = a[::-1] if lines != other else a
+            return colors[np.kron(np.rot90(a, -(quarters + other)), np.ones((scale, scale), int))].tolist()
+
+        both = [(under(a), under(b)) for a, b in train]
+        order = sorted(range(len(train)), key=lambda j: (md5(f"{key}-{j}"), j))
+        both += [(under(train[j][0], True), under(train[j][1], True)) for j in order]
+        assert [(p.input, p.output) for p in r.train] == both[:3]
+        assert [(p.input, p.output) for p in r.test] == [(under(a), under(b)) for a, b in test[:1]]
+
+
+def test_sprites_of_every_symmetry():
+    for kind in ("horizontal", "vertical", "diagonal", "radial", "mirror", "not_symmetric"):
+        s = K.random_sprite(5, 5, 3, symmetry=kind)
+        assert (s != 0).any()
+        if kind == "mirror":
+            assert ((s != 0) == (s[::-1] != 0)).all() and ((s != 0) == (s[:, ::-1] != 0)).all()
