@@ -82,7 +82,7 @@ def test_similarity_is_near_the_truth():
 
     pairs = copies(1, [6, 12, 40, 150, 600] * 12, [0.0, 0.005, 0.01, 0.02, 0.04])
     out = [list(similar.sketches(*windows.utf8(pa.array(side)), 5)) for side in zip(*pairs)]
-    (a, n), (b, m) = (([k for _, k, _ in o], np.array([s for s, _, _ in o])) for o in out)
+    (a, n), (b, m) = (([k for _, k, *_ in o], np.array([s for s, *_ in o])) for o in out)
     true = np.array([brute.jaccard(brute.shingles(x), brute.shingles(y)) for x, y in pairs])
     assert n.tolist() == [len(brute.shingles(x)) for x, _ in pairs]
     error = similar.similarity(a, n, b, m) - true
