@@ -385,7 +385,8 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     found = chunks.mapInArrow(matrices, f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>")
     found = found.groupBy("_id", "_fp").agg(F.array_sort(F.collect_set(F.struct("k", "cells"))).alias("chunks"))
     borders = written(found.mapInArrow(combine, f"_id long, _fp long, k long, a {_STATE}, b {_STATE}, n long"), "borders", tasks)
-    traced = chunks.join(borders, ["_id", "_fp", "k"]).mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
+    # one plan at every size: a few borders would be broadcast, many not
+    traced = chunks.join(borders.hint("merge"), ["_id", "_fp", "k"]).mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
     ids = traced.groupBy("_id", "_fp").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
     return few(short.unionByName(long.join(ids, ["_id", "_fp"]).select("row", "ids")), tasks)
 
