@@ -49,6 +49,31 @@ WITH q AS ({OP9}), r AS (SELECT * FROM (VALUES ('few_words', 1), ('repeated_wind
 SELECT rule, count(*) FILTER (failures & b <> 0) AS failed, count(*) FILTER (failures = b) AS failed_alone, count(*) FILTER (failures & (63 - b) = 0) AS kept_without FROM q, r GROUP BY rule
 """
 
+OP11 = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+q AS (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM q),
+f AS (SELECT lang, k AS size, phrase, count(*) AS n FROM g GROUP BY ALL),
+t AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE size = 1 GROUP BY lang),
+c AS (SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10),
+x AS (SELECT lang, size, phrase, a, k, array_to_string(w[1:k], ' ') AS p1, array_to_string(w[k + 1:], ' ') AS p2 FROM c, (VALUES (1), (2)) v(k) WHERE k < size),
+s AS (SELECT x.lang, x.phrase, x.size, a, k, f1.n AS l, f2.n AS r, ((1000000::HUGEINT * a * a) // (f1.n::HUGEINT * f2.n))::BIGINT AS score FROM x JOIN f f1 ON f1.lang = x.lang AND f1.phrase = p1 JOIN f f2 ON f2.lang = x.lang AND f2.phrase = p2),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+y AS (SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, a FROM c WHERE size = 3),
+z AS (SELECT lang, phrase, max(a) AS longer FROM y GROUP BY ALL),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN z ON z.lang = b.lang AND z.phrase = b.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT o.lang, rank, o.phrase, a, l, r, t.n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000
+"""
+
+OP13 = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, i, w[i] AS line, translate(regexp_replace(w[i], '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+f AS (SELECT k, min(doc_id) AS least FROM l WHERE len(k) >= 10 GROUP BY k),
+m AS (SELECT l.*, coalesce(least < doc_id, false) AS gone FROM l LEFT JOIN f USING (k))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM m GROUP BY doc_id
+"""
+
 
 def _secrets() -> str:
     """Spans from what stands between matches, as the operator takes them; RE2 and Java agree on these patterns."""
@@ -72,4 +97,4 @@ SELECT d.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": OP2, "op4_secret_scan": _secrets(), "op7_suffix_dedup": OP7, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}
+    return {"op2_substring_dedup": OP2, "op4_secret_scan": _secrets(), "op7_suffix_dedup": OP7, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS, "op11_collocations": OP11, "op13_line_dedup": OP13}

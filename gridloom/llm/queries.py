@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, minhash, pieces, quality, secrets, toxicity
+from . import collocations, language, line_dedup, minhash, pieces, quality, secrets, toxicity, whitening
 from .common import keyed
 from .oracles import oracle_sql  # noqa: F401  (part of this module's interface)
 from .packing import pack
@@ -98,8 +98,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(_id(), F.coalesce(F.crc32(F.col("row.doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), keep=["vec_id"])
+    return out.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.remove_repeated_lines(documents(spark, sf_dir))
+    return out.select(_id(), "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The ten opN_ queries."""
+    """The opN_ queries."""
     return {n: f for n, f in globals().items() if n.startswith("op") and n[2].isdigit()}
 
 

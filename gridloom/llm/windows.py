@@ -207,6 +207,11 @@ def _word_hashes(d: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return out
 
 
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes."""
+    return _word_hashes(data, offsets[:-1], offsets[1:])
+
+
 def _between_words(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int, int, int]]:
     """Like stretches(), but a long document is only cut before a separator."""
     i, n = 0, len(offsets) - 1
