@@ -141,38 +141,83 @@ def dedup_counts(df: DataFrame, key: Column) -> DataFrame:
     return out.agg(F.sum("n").alias("rows"), F.count("*").alias("distinct_rows"), F.sum(F.col("n") - 1).alias("rejected"))
 
 
-def _hashed_grams(words: Column, gram: int) -> Column:
-    """Of an array of words the hash of every `gram` neighbours, from the words' own hashes."""
-    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.when(F.size(h) >= gram, F.transform(F.sequence(F.lit(0), F.size(h) - gram), lambda i: F.xxhash64(F.slice(h, i + 1, gram)))))
+#: Longest piece of a short string's first, last or only word that its key is made of.
+PIECE, ONE_WORD = 4, 8
+
+
+def _hashed_grams(hashes: Column, gram: int) -> Column:
+    """Of an array of word hashes the hash of every `gram` neighbours."""
+    return F.when(F.size(hashes) >= gram, F.transform(F.sequence(F.lit(0), F.size(hashes) - gram), lambda i: F.xxhash64(F.slice(hashes, i + 1, gram))))
+
+
+def _word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _string_key(words: Column, gram: int) -> tuple[Column, Column]:
+    """(length class, key) of a benchmark string, given its words.
+
+    gram + 2 words or more: class 0, the hash of its second to (gram + 1)th word. Fewer, but
+    two at least: the class tells how many there are, and how many letters of the first and
+    of the last take part (up to PIECE; a text may go on there); the key is the hash of these
+    letters and all words between. One word: its first 1, 2, 4 or 8 letters.
+    """
+    n, first, last = F.size(words), F.get(words, 0), F.element_at(words, -1)
+    head, tail = F.least(F.length(first), F.lit(PIECE)), F.least(F.length(last), F.lit(PIECE))
+    one = F.least(F.lit(ONE_WORD), F.pow(F.lit(2), F.floor(F.log2(F.length(first)))).cast("int"))
+    kind = F.when(n >= gram + 2, 0).when(n == 1, one).otherwise(100 * n + 10 * head + tail)
+    inner = F.slice(_word_hashes(words), 2, F.greatest(n - 2, F.lit(0)))
+    several = F.xxhash64(kind, F.right(first, head), inner, F.left(last, tail))
+    long = F.get(_hashed_grams(F.slice(_word_hashes(words), 2, gram), gram), 0)
+    return kind, F.when(n >= gram + 2, long).when(n == 1, F.xxhash64(kind, F.left(first, one))).otherwise(several)
+
+
+def _text_keys(words: Column, kinds: list[int], gram: int) -> Column:
+    """All keys, of the given length classes, of the strings that a text of these words can contain."""
+    def pieces(w: Column, q: int) -> Column:
+        one = lambda x: F.when(F.length(x) >= q, F.transform(F.sequence(F.lit(1), F.length(x) - (q - 1)), lambda i: F.xxhash64(F.lit(q), F.substr(x, i, F.lit(q)))))
+        return F.flatten(F.filter(F.transform(F.array_distinct(w), one), lambda x: x.isNotNull()))
+
+    def windows(w: Column, h: Column, n: int, head: int, tail: int) -> Column:
+        def one(i: Column) -> Column:
+            first, last = F.get(w, i), F.get(w, i + (n - 1))
+            key = F.xxhash64(F.lit(100 * n + 10 * head + tail), F.right(first, F.lit(head)), F.slice(h, i + 2, n - 2), F.left(last, F.lit(tail)))
+            return F.when((F.length(first) >= head) & (F.length(last) >= tail), key)
+
+        return F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(0), F.size(w) - n), one))
+
+    def keys(w: Column, h: Column) -> Column:
+        lists = [_hashed_grams(h, gram) if k == 0 else pieces(w, k) if k < 100 else windows(w, h, k // 100, k // 10 % 10, k % 10) for k in kinds]
+        return F.array_distinct(F.concat(*[F.coalesce(x, F.array().cast("array<bigint>")) for x in lists]))
+
+    return let(words, lambda w: let(_word_hashes(w), lambda h: keys(w, h)))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataFrame:
     """(doc_id, item_id): documents whose normalised text contains a benchmark string.
 
-    A document with a string of gram + 2 words or more has, word by word, the string's gram
-    from its second word on; equal hashes of grams give the candidates, and each is verified.
-    Shorter strings are searched in every document. A benchmark of up to BROADCAST_BYTES is
-    measured and broadcast, and the texts themselves never move; beyond it hashes meet in a
-    shuffle, and texts follow for candidates only.
+    Texts and strings meet by equal keys, one for each string: of its words that a text must
+    have whole, and of a few letters of those that a text may go on with. A text has a key
+    for each place where a string of one of the length classes in use could stand; classes
+    are few, however many strings there are. What meets is verified. A benchmark of up to
+    BROADCAST_BYTES is measured and broadcast, and texts do not move; beyond it keys meet in
+    a shuffle, and texts follow for candidates only. A text is normalised once: `explode`
+    keeps the optimizer from repeating the expression.
+
+    Null texts and strings, and strings of white space, contain and are contained in nothing.
     """
-    d = docs.select("doc_id", normalized(F.col("text")).alias("t"))
-    b = benchmark.select("item_id", normalized(F.col("text")).alias("b")).filter("b <> ''").withColumn("w", F.split("b", " "))
-    b = b.withColumn("h", F.when(F.size("w") >= gram + 2, F.get(_hashed_grams(F.slice("w", 2, gram), gram), 0)))
-    size, shorts = b.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0)), F.count_if(F.col("h").isNull())).first()
+    norm = lambda c: F.explode_outer(F.array(normalized(F.col(c))))
+    d = docs.select("doc_id", norm("text").alias("t"))
+    b = benchmark.select("item_id", norm("text").alias("b")).filter("b <> ''").withColumn("w", F.split("b", " "))
+    kind, key = _string_key(F.col("w"), gram)
+    b = b.select("item_id", "b", kind.cast("int").alias("kind"), key.alias("h"))
+    size, kinds = b.agg(F.coalesce(F.sum(F.octet_length("b")), F.lit(0)), F.sort_array(F.collect_set("kind"))).first()  # kinds: 164 at most
     b = b.select("item_id", "b", "h")
-    small = size <= BROADCAST_BYTES
-    hashed = d.withColumn("_h", F.array_distinct(_hashed_grams(F.split("t", " "), gram)))
-    if small:
-        listed = F.broadcast(b.filter("h IS NOT NULL").agg(F.collect_set("h").alias("_all")))  # one row, of bounded size
-        some = hashed.join(listed).select("doc_id", "t", F.explode(F.array_intersect("_h", "_all")).alias("h"))
-        found = some.join(F.broadcast(b), "h").filter(F.contains("t", "b")).select("doc_id", "item_id")
-    else:
-        hits = hashed.select("doc_id", F.explode("_h").alias("h")).join(b.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
-        found = d.join(hits, "doc_id").join(b.select("item_id", "b"), "item_id").filter(F.contains("t", "b")).select("doc_id", "item_id")
-    if shorts:  # no gram to join on: each is searched in every document
-        few = b.filter("h IS NULL").select("item_id", "b")
-        found = found.unionByName(d.join(F.broadcast(few) if small else few, F.contains("t", "b")).select("doc_id", "item_id"))
-    return found.distinct()
+    keys = F.explode_outer(_text_keys(F.split("t", " "), kinds, gram)).alias("h") if kinds else F.lit(None).cast("long").alias("h")
+    if size <= BROADCAST_BYTES:
+        return d.select("doc_id", "t", keys).join(F.broadcast(b), "h").filter(F.contains("t", "b")).select("doc_id", "item_id").distinct()
+    hits = d.select("doc_id", keys).join(b.select("h", "item_id"), "h").select("doc_id", "item_id").distinct()
+    return d.join(hits, "doc_id").join(b.select("item_id", "b"), "item_id").filter(F.contains("t", "b")).select("doc_id", "item_id").distinct()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataFrame:
