@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -224,10 +225,57 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataF
     return docs.join(contaminated(docs, benchmark, gram).select("doc_id").distinct(), "doc_id", "left_anti")
 
 
+#: Of keyed permutations: a prime below 2^31, so that products fit a long, the rounds, and what a round adds to the key.
+PRIME, ROUNDS, ROUND_STEP = 2_147_483_647, 6, 715_827_883
+#: Steps after which a walk is over in every table: at most as many numbers are out of range, or one in sixty and more of them.
+WALK = 64
+
+
+def permuted(v: Column, m: int, key: Column) -> Column:
+    """v, from 0 to m - 1, under the permutation of these numbers that the key names.
+
+    A number is two digits, of bases near the root of m; each round adds to one digit a mix
+    of the other and the key, which can be undone, so rounds permute all pairs. A pair
+    beyond m is permuted again until it is below: there are fewer of those than the base.
+    """
+    a = max(1, math.isqrt(m - 1) + 1)
+    b = -(-m // a)
+    prime = F.lit(PRIME).cast("long")
+
+    def rounds(x: Column) -> Column:
+        digits = F.struct(F.floor(x / b).cast("long").alias("x"), F.pmod(x, F.lit(b)).cast("long").alias("y"))
+        out = digits
+        for i in range(ROUNDS):
+            out = _round(out, i)
+        return let(out, lambda s: s["x"] * b + s["y"])
+
+    def _round(s: Column, i: int) -> Column:
+        k = F.pmod(key + i * ROUND_STEP, prime)
+        mixed = lambda o: F.pmod(F.pmod(o + k, prime) * F.pmod(o * 3 + k * 7 + 11, prime), prime)
+        if i % 2 == 0:
+            return let(s, lambda d: F.struct(F.pmod(d["x"] + mixed(d["y"]), F.lit(a)).cast("long").alias("x"), d["y"].alias("y")))
+        return let(s, lambda d: F.struct(d["x"].alias("x"), F.pmod(d["y"] + mixed(d["x"]), F.lit(b)).cast("long").alias("y")))
+
+    if m <= 1:
+        return v
+    walk = F.aggregate(F.sequence(F.lit(1), F.lit(min(a * b - m, WALK))), rounds(v), lambda x, _: F.when(x < m, x).otherwise(rounds(x))) if a * b > m else rounds(v)
+    return walk
+
+
 def sample_others(df: DataFrame, key: str, count: int = 4, seed: int = 0, buckets: int | None = None) -> DataFrame:
-    """(key, other): `count` other keys for each, without replacement: the next ones around a ring in shuffled order."""
+    """(key, other): `count` other keys for each, or all there are, without replacement; each row's draws are its own.
+
+    Rows are numbered by key; a row's draws are the first numbers of a permutation of all
+    others that seed and number name, so nothing is remembered and one join by number finds
+    the keys. Ties of key are numbered in any order.
+    """
     n = df.count()
-    ring = numbered(df.select(key), *seeded_order(seed, key), name="_at", groups=buckets)
-    steps = F.explode(F.sequence(F.lit(1), F.lit(min(count, n - 1)))).alias("_k") if n > 1 else F.explode(F.array().cast("array<int>")).alias("_k")
-    wanted = ring.select(key, "_at", steps).select(key, (F.pmod(F.col("_at") + F.col("_k") - 1, F.lit(n)) + 1).alias("_to"))
+    ring = numbered(df.select(key), key, name="_at", groups=buckets).withColumn("_at", (F.col("_at") - 1).cast("long"))
+    if n < 2:
+        return ring.select(key, F.col(key).alias("other")).limit(0)
+    p = F.lit(PRIME).cast("long")
+    own = F.pmod(F.pmod(F.col("_at"), p) * 48271 + F.floor(F.col("_at") / PRIME).cast("long") * 69621 + seed * 40692 + 1, p)
+    draws = ring.select(key, "_at", own.alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(count, n - 1) - 1).cast("long"))).alias("_d"))
+    drawn = draws.select(key, "_at", permuted(F.col("_d"), n - 1, F.col("_key")).alias("_v"))
+    wanted = drawn.select(key, F.when(F.col("_v") >= F.col("_at"), F.col("_v") + 1).otherwise(F.col("_v")).alias("_to"))
     return wanted.join(ring.select(F.col(key).alias("other"), F.col("_at").alias("_to")), "_to").select(key, "other")

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import dropped, stored
+
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """What is not done yet."""
@@ -37,6 +39,29 @@ def lineage(rows: DataFrame, depth: int = 3) -> DataFrame:
     return out
 
 
+def lineage_roots(rows: DataFrame, key: str = "id", previous: str = "prev_step_id") -> DataFrame:
+    """(key, root, depth, cyclic): where each row's chain of predecessors begins and how many steps back that is.
+
+    Pointer doubling: a row points at an ancestor 1, 2, 4, ... steps back until that is a
+    root, so a chain of a million steps takes twenty joins, each of the rows still on their
+    way with all rows. A row without a predecessor, or whose predecessor is not in the table,
+    is its own root at depth 0. As long as some chain still ends, each round ends some; when a
+    round ends none, what is left leads into a cycle: root and depth null, cyclic true. Of
+    rows with one key the smallest predecessor counts; null keys go.
+    """
+    links = rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(previous).alias("prev"))
+    known = links.select(F.col("id").alias("prev"), F.lit(True).alias("_there"))
+    state = links.join(known, "prev", "left").select("id", F.when(F.col("_there"), F.col("prev")).otherwise(F.col("id")).alias("to"), F.when(F.col("_there"), 1).otherwise(0).cast("long").alias("steps"), F.col("_there").isNull().alias("ended"))
+    (state, path), before = stored(state, "lineage"), None
+    while (left := state.filter("NOT ended").count()) and left != before:
+        ahead = state.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"), F.col("ended").alias("_ended"))
+        moved = state.filter("NOT ended").join(ahead, "to").select("id", F.col("_to").alias("to"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_ended").alias("ended"))
+        old, before = path, left
+        state, path = stored(state.filter("ended").unionByName(moved), "lineage")
+        dropped(rows.sparkSession, old)
+    return state.select(F.col("id").alias(key), F.when(F.col("ended"), F.col("to")).alias("root"), F.when(F.col("ended"), F.col("steps")).alias("depth"), (~F.col("ended")).alias("cyclic"))
+
+
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """(key, side): both, left or right."""
     a, b = left.select(key).distinct().withColumn("_l", F.lit(1)), right.select(key).distinct().withColumn("_r", F.lit(1))
@@ -85,6 +110,21 @@ def cached(requests: DataFrame, cache: DataFrame, key: str = "key") -> tuple[Dat
     return requests.join(cache, key), requests.join(cache.select(key), key, "left_anti")
 
 
-def inverted_index(rows: DataFrame, key: str, items: str) -> DataFrame:
-    """(item, keys): distinct keys of every item, sorted."""
-    return rows.select(key, F.explode(items).alias("item")).groupBy("item").agg(F.sort_array(F.collect_set(key)).alias("keys"))
+#: Keys in a segment of a posting list.
+SEGMENT = 1_000
+
+
+def inverted_index(rows: DataFrame, key: str, items: str, segment: int = SEGMENT) -> DataFrame:
+    """(item, segment, keys): distinct keys of every item in order, at most `segment` of them in a row, segments numbered from 0.
+
+    An item that all rows share has many segments: distinct pairs are sorted by range and
+    numbered by ranges inside each item, so neither a task nor a row holds all of an item's
+    keys. Null items and keys are passed over.
+    """
+    from .corpus import numbered
+
+    pairs = rows.select(F.col(key).alias("_key"), F.explode(items).alias("item")).filter("item IS NOT NULL AND _key IS NOT NULL").distinct()
+    placed = numbered(pairs, "item", "_key", name="_at")
+    first = placed.groupBy("item").agg(F.min("_at").alias("_first"))
+    cut = placed.join(first, "item").select("item", "_key", F.floor((F.col("_at") - F.col("_first")) / segment).cast("long").alias("segment"))
+    return cut.groupBy("item", "segment").agg(F.sort_array(F.collect_list("_key")).alias("keys"))

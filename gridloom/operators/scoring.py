@@ -54,7 +54,16 @@ def ensemble(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def merge_lists(parts: DataFrame, most: int | None = None) -> DataFrame:
-    """parts: (uid, ord, items). (uid, items): lists in order, one after the other, the first `most` of all."""
+    """parts: (uid, ord, items). (uid, items): lists in order, one after the other, the first `most` of all.
+
+    With a cap every task lets go of the parts that stand behind its own first `most` items
+    of a uid before parts meet, so of a uid that all rows share a task gets no more than
+    `most` items from each other task. Without one the list is as long as it is.
+    """
+    if most is not None:
+        first = parts.select("uid", "ord", F.slice("items", 1, most).alias("items"), F.spark_partition_id().alias("_task"))
+        ahead = Window.partitionBy("uid", "_task").orderBy("ord", "items").rowsBetween(Window.unboundedPreceding, -1)
+        parts = first.withColumn("_ahead", F.coalesce(F.sum(F.size("items")).over(ahead), F.lit(0))).filter(F.col("_ahead") < most).select("uid", "ord", "items")
     whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "items"))), lambda s: s["items"]))
     return parts.groupBy("uid").agg((whole if most is None else F.slice(whole, 1, most)).alias("items"))
 

@@ -103,7 +103,24 @@ def filtered_report(t):
     return C.filtered_report(t("documents"), F.col("n_chars") < 1000)
 
 
-@query("WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5(concat('3-', doc_id)), doc_id) a, count(*) OVER () n FROM documents) SELECT x.doc_id, y.doc_id AS other FROM r x, generate_series(1, 4) g(k), r y WHERE y.a = (x.a + k - 1) % x.n + 1")
+def _draw_sql(count: int, seed: int) -> str:
+    """Each row's own permutation of the others, by the rounds of C.permuted(), walked on until it is in range."""
+    p = C.PRIME
+    steps, at = ["v // b AS x0, v % b AS y0"], {"x": 0, "y": 0}
+    for i in range(C.ROUNDS):
+        one, other, base = ("x", "y", "a") if i % 2 == 0 else ("y", "x", "b")
+        k, o = f"((k + {i * C.ROUND_STEP}) % {p})", f"{other}{at[other]}"
+        steps.append(f"({one}{at[one]} + (({o} + {k}) % {p}) * (({o} * 3 + {k} * 7 + 11) % {p}) % {p}) % {base} AS {one}{at[one] + 1}")
+        at[one] += 1
+    new = f"x{at['x']} * b + y{at['y']}"
+    return f"""WITH RECURSIVE r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, count(*) OVER () - 1 AS m FROM documents),
+s AS (SELECT *, (place % {p} * 48271 + place // {p} * 69621 + {seed} * 40692 + 1) % {p} AS k, CAST(ceil(sqrt(m)) AS BIGINT) AS a FROM r), t AS (SELECT *, (m + a - 1) // a AS b FROM s),
+w AS (SELECT doc_id, place, m, k, a, b, d, d AS v, 0 AS step FROM t, generate_series(0, {count - 1}) g(d) WHERE d < m
+  UNION ALL SELECT doc_id, place, m, k, a, b, d, new AS v, step + 1 FROM (SELECT *, {new} AS new FROM (SELECT *, {', '.join(steps)} FROM w WHERE step = 0 OR v >= m)))
+SELECT w.doc_id, r.doc_id AS other FROM w JOIN r ON r.place = CASE WHEN w.v >= w.place THEN w.v + 1 ELSE w.v END WHERE step > 0 AND v < w.m"""
+
+
+@query(_draw_sql(4, 3))
 def distractors(t):
     return C.sample_others(t("documents"), "doc_id", 4, 3)
 
@@ -113,4 +130,12 @@ def concept_index(t):
     from ..operators.ledger import inverted_index
 
     out = inverted_index(t("documents").select("source", F.array("lang", "source").alias("items")), "source", "items")
-    return out.select("item", F.array_join("keys", ",").alias("keys"))
+    return out.select("item", F.array_join("keys", ",").alias("keys"))  # a segment holds more keys than there are sources
+
+
+@query("WITH p AS (SELECT DISTINCT p_brand AS item, p_partkey AS k FROM part UNION SELECT DISTINCT 'all', p_partkey FROM part), n AS (SELECT item, k, (row_number() OVER (PARTITION BY item ORDER BY k) - 1) // 100 AS segment FROM p) SELECT item, segment::BIGINT AS segment, count(*) AS n, md5(string_agg(k::VARCHAR, ',' ORDER BY k)) AS digest FROM n GROUP BY item, segment")
+def concept_segments(t):
+    from ..operators.ledger import inverted_index
+
+    out = inverted_index(t("part").select("p_partkey", F.array("p_brand", F.lit("all")).alias("items")), "p_partkey", "items", 100)
+    return out.select("item", "segment", F.size("keys").cast("long").alias("n"), F.md5(F.array_join(F.transform("keys", lambda k: k.cast("string")), ",")).alias("digest"))

@@ -32,6 +32,15 @@ def ledger_lineage(t):
     return L.lineage(rows)
 
 
+@query("""WITH RECURSIVE r AS (SELECT event_id AS id, CASE WHEN event_id % 512 >= 3 OR event_id % 7 = 0 THEN event_id - 1 - event_id % 3 END AS p FROM events),
+w AS (SELECT id, id AS root, 0::BIGINT AS depth FROM r WHERE p IS NULL OR p NOT IN (SELECT id FROM r) UNION ALL SELECT r.id, w.root, w.depth + 1 FROM w JOIN r ON r.p = w.id)
+SELECT r.id, w.root, w.depth, w.id IS NULL AS cyclic FROM r LEFT JOIN w ON w.id = r.id""")
+def lineage_roots(t):
+    e = F.col("event_id")
+    rows = t("events").select(e.alias("id"), F.when((e % 512 >= 3) | (e % 7 == 0), e - 1 - e % 3).alias("prev_step_id"))
+    return L.lineage_roots(rows)
+
+
 @query("SELECT l_orderkey, count(*) AS n, count(*) = 1 AS is_unique FROM lineitem GROUP BY l_orderkey")
 def key_uniqueness(t):
     return L.unique_keys(t("lineitem"), "l_orderkey")
