@@ -186,6 +186,28 @@ def landing_folder(t):
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{at}/out")
 
 
+@query("SELECT event_id, ts, event_type FROM events")
+def resumed_ingestion(t):
+    """Three landings: the second brings the first third again, the third comes after it with the oldest rows of all. Each event once."""
+    e, at = t("events").select("event_id", "ts", "event_type"), folder(t("events"))
+    third = F.pmod(F.col("event_id"), F.lit(3))
+    for k, new in enumerate([e.filter(third == 1), e.filter(third != 0), e.filter(third != 2)]):
+        new.write.parquet(f"{at}/land/{k}")
+        ingest.resumed(ingest.landing(e.sparkSession, f"{at}/land/*", e.schema), "event_id", f"{at}/out", f"{at}/state")
+    return e.sparkSession.read.schema(e.schema).parquet(f"{at}/out")
+
+
+@query("WITH e AS (SELECT event_id, ts, event_type FROM events), w AS (SELECT max(ts) - INTERVAL 2 DAY AS mark FROM e WHERE event_id % 2 = 0) SELECT event_id, ts, event_type FROM e, w WHERE event_id % 2 = 0 OR ts > mark")
+def distinct_within_delay(t):
+    """Even events land, twice; then all. Of the odd ones those come too late that are older than the watermark: two days before the latest even one."""
+    e, at = t("events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type"), folder(t("events"))
+    even = e.filter("event_id % 2 = 0")
+    for k, new in enumerate([even.union(even), e]):
+        new.write.parquet(f"{at}/land/{k}")
+        ingest.resumed(ingest.landing(e.sparkSession, f"{at}/land/*", e.schema), "event_id", f"{at}/out", f"{at}/state", "ts", "2 days")
+    return e.sparkSession.read.schema(e.schema).parquet(f"{at}/out").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
 @query("SELECT p_partkey FROM part WHERE p_size % 7 <> 0 AND p_size % 7 <> 3")
 def skip_list(t):
     return C.without_index(t("part").withColumn("k", F.col("p_size") % 7), "k", [0, 3]).select("p_partkey")

@@ -133,13 +133,26 @@ _NORM = "sqrt(list_sum(list_transform({}, lambda x: x * x)))"
 _COS = "list_dot_product(a.v, b.v) / (" + _NORM.format("a.v") + " * " + _NORM.format("b.v") + ")"
 
 
-@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT a.vec_id query_id, b.vec_id, {_COS} score FROM e a, e b WHERE a.vec_id % 20 = 0) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 4")
+_TOPK = f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), s AS (SELECT a.vec_id query_id, b.vec_id, {_COS} score FROM e a, e b WHERE a.vec_id % 20 = 0) SELECT query_id, vec_id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s QUALIFY rank <= 4"
+
+
+@query(_TOPK)
 def cosine_topk(t):
     e = t("embeddings")
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return V.top_k(q, e, 4).withColumn("score", F.round("score", 6))
 
 
+@query(_TOPK)
+def cosine_topk_cells(t):
+    """The same by an inverted file."""
+    e = t("embeddings")
+    index = V.CellIndex(e, cells=32)
+    out = index.top_k(e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 4)
+    index.drop()
+    return out.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings) SELECT a.vec_id, round({_COS}, 6) AS similarity FROM e a JOIN e b ON b.vec_id = a.vec_id + 1")
 def pairwise_similarity(t):
     e = t("embeddings")
