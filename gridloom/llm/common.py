@@ -17,6 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
 LAST = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark takes a union of bucketed tables as bucketed also where it then reads them plainly, and leaves out the shuffle that a sum over it needs.
+_UNION = "spark.sql.unionOutputPartitioning"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -59,8 +61,8 @@ def settings(spark: SparkSession, **values: str):
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each job ends; their results are in tables by then."""
-    with settings(spark, **{_CLEANUP: "true"}):
+    """Shuffle files of the jobs inside go when each job ends; their results are in tables by then. Unions inside are shuffled before sums."""
+    with settings(spark, **{_CLEANUP: "true", _UNION: "false"}):
         yield
 
 

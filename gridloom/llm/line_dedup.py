@@ -127,6 +127,13 @@ class LineIndex:
             self.tables[name] = table
         return self.spark.table(self.tables[name])
 
+    def references(self) -> DataFrame:
+        """(k1, k2, _id, n), written: how many rows of each document hold each key."""
+        every = self.spark.createDataFrame([], "k1 long, k2 long, _id long, n long")
+        for r in self.runs:
+            every = every.unionByName(self._run(r))
+        return written(every.groupBy(*_KEY, "_id").agg(F.sum("n").alias("n")).filter("n <> 0"), "references", self.tasks)
+
     def close(self, delete: bool = True) -> None:
         """Forgets the catalogue's names; `delete`: the index's files, too."""
         for table in self.tables.values():
@@ -218,11 +225,8 @@ class LineIndex:
 
     def compact(self) -> None:
         """Sums all runs into one."""
-        every = self._run(self.runs[0]) if self.runs else None
-        for r in self.runs[1:]:
-            every = every.unionByName(self._run(r))
-        if every is not None:
-            run = self._store_run(every.groupBy(*_KEY, "_id").agg(F.sum("n").alias("n")).filter("n > 0"))
+        if self.runs:
+            run = self._store_run(self.references())
             self._commit([run], self.filters, [self._store(self._shared(), "shared")])
 
     def clean(self, docs: DataFrame) -> DataFrame:

@@ -20,15 +20,16 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS
 """
 
 OP7 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
-p AS (SELECT doc_id, x, unnest(range(0, len(x) // 2)) AS i FROM d),
-g AS (SELECT doc_id, i, substr(x, 2 * i + 1, 2) AS b, CASE WHEN 2 * i + 400 <= len(x) THEN md5_number(substr(x, 2 * i + 1, 400)) END AS k FROM p),
-f AS (SELECT k FROM g WHERE k IS NOT NULL GROUP BY k HAVING count(*) > 1),
-h AS (SELECT g.*, (f.k IS NOT NULL)::INT AS hit FROM g LEFT JOIN f USING (k)),
-c AS (SELECT doc_id, i, b, max(hit) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS gone FROM h),
-s AS (SELECT *, gone = 1 AND coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), 0) = 0 AS opens FROM c),
-a AS (SELECT doc_id, sum(gone)::BIGINT AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(b, '' ORDER BY i) FILTER (gone = 0) AS kept FROM s GROUP BY doc_id)
-SELECT d.doc_id, (len(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+p AS (SELECT doc_id, x, unnest(range(1, n - 198)) AS i FROM d WHERE n >= 200),
+g AS (SELECT doc_id, i, md5_number(x[i:i + 199]::VARCHAR) AS k FROM p),
+f AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY k) > 1),
+s AS (SELECT *, i > coalesce(max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -200) + 200 AS opens FROM f),
+r AS (SELECT doc_id, i, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+c AS (SELECT doc_id, run, min(i) AS a, max(i) + 200 AS b FROM r GROUP BY doc_id, run),
+l AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM c GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+sha256(CASE WHEN n_removed IS NULL THEN x ELSE unhex(array_to_string(list_transform(range(0, len(starts) + 1), lambda j: hex(x[CASE WHEN j = 0 THEN 1 ELSE ends[j] END:CASE WHEN j = len(starts) THEN n ELSE starts[j + 1] - 1 END])), '')) END) AS kept_sha256 FROM d LEFT JOIN l USING (doc_id)
 """
 
 OP9 = rf"""

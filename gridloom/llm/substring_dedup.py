@@ -11,18 +11,26 @@ from pyspark.sql import functions as F
 
 from . import repeats as R
 from . import windows as W
-from .common import LAST, few, held, keyed, remove, scratch, tasks_for, tidy, written
+from .common import LAST, few, held, keyed, remove, scratch, settings, tasks_for, tidy, written
 
 
-def _merged(runs: DataFrame) -> DataFrame:
-    return runs.groupBy("h", "c").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+#: Joins of runs find them dealt and sorted by hash as they lie there: nothing is shuffled or sorted again.
+MERGE = {"spark__sql__legacy__bucketedTableScan__outputOrdering": "true", "spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__sources__bucketing__autoBucketedScan__enabled": "false"}
+
+
+def _merged(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The rows of two runs by one merge join; what both have becomes one row."""
+    a, b = (x.select("h", "c", F.col("first").alias(f"first{k}"), F.col("last").alias(f"last{k}"), F.col("n").alias(f"n{k}")) for k, x in enumerate((one, other)))
+    both = a.hint("merge").join(b, ["h", "c"], "full_outer")
+    n = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+    return both.select("h", "c", F.least("first0", "first1").alias("first"), F.greatest("last0", "last1").alias("last"), n.alias("n"))
 
 
 class FingerprintIndex:
     """Window hashes of every document seen so far, as sorted immutable runs.
 
-    A run is a table bucketed and sorted by hash in the shared folder, so a merge join with
-    another run moves nothing. Each batch of documents becomes a new run that is joined with
+    A run is a table bucketed and sorted by hash in the shared folder, one file a bucket, so
+    a merge join with another run moves and sorts nothing. Each batch of documents becomes a new run that is joined with
     the older ones; a run at most `ratio` times as large as what came after it is then merged
     with it, which keeps the number of runs logarithmic. A run holds, for each distinct
     stretch of windows, the smallest id that has it: (h, c, first, last, n), n its places.
@@ -37,20 +45,21 @@ class FingerprintIndex:
         self.runs: list[tuple[str, int]] = []
         self.paths: dict[str, str] = {}
 
-    def _store(self, rows: DataFrame) -> tuple[str, int]:
+    def _store(self, rows: DataFrame, dealt: bool = False) -> tuple[str, int]:
+        """A new run; `dealt`: its rows lie in its buckets already."""
         path = scratch(self.spark, "run")
         name = f"gridloom_{path.rsplit('-', 1)[1]}"
         self.paths[name] = path
         with tidy(self.spark):
-            few(rows.repartition(self.buckets, "h"), self.tasks).write.bucketBy(self.buckets, "h").sortBy("h").option("path", path).saveAsTable(name)
+            few(rows if dealt else rows.repartition(self.buckets, "h"), self.tasks).write.bucketBy(self.buckets, "h").sortBy("h", "c").option("path", path).saveAsTable(name)
         return name, self.spark.table(name).count()
 
     def compact(self) -> None:
         """Merges the newest runs while the one before them is not much larger."""
         while len(self.runs) > 1 and self.runs[-2][1] <= self.ratio * self.runs[-1][1]:
             (a, _), (b, _) = self.runs[-2:]
-            both = _merged(self.spark.table(a).unionByName(self.spark.table(b)))
-            self.runs[-2:] = [self._store(both)]
+            with settings(self.spark, **MERGE):
+                self.runs[-2:] = [self._store(_merged(self.spark.table(a), self.spark.table(b)), dealt=True)]
             for name in (a, b):
                 self._drop(name)
 
@@ -65,6 +74,14 @@ class FingerprintIndex:
             self._drop(name)
         self.runs = []
 
+    def known(self, new: str) -> DataFrame:
+        """What the index has, older runs and the newest, of the hashes in the newest."""
+        fresh = self.spark.table(new)
+        out = fresh
+        for old, _ in self.runs:
+            out = _merged(out, self.spark.table(old).hint("merge").join(fresh.select("h"), "h", "left_semi"))
+        return out
+
     def ingest(self, batch: DataFrame, seen: DataFrame) -> DataFrame:
         """Spans (in words) of the batch that repeat windows of documents with smaller ids.
 
@@ -75,11 +92,8 @@ class FingerprintIndex:
         with held(self.spark) as keep:
             found = keep(R.records(batch, unit), tasks)
             new, size = self._store(found.groupBy("h", "c").agg(F.min(F.struct("_id", "_fp", "place")).alias("first"), F.max("_id").alias("last"), F.sum("times").alias("n")))
-            fresh = self.spark.table(new)
-            known = fresh
-            for old, _ in self.runs:
-                known = known.unionByName(self.spark.table(old).join(fresh.select("h"), "h", "left_semi"))
-            known = keep(_merged(known), tasks)
+            with settings(self.spark, **MERGE):
+                known = keep(self.known(new), tasks)
             anchors = known.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
             # a run that a smaller id has goes whole; at further places in documents of the first id, and where it
             # follows upon itself, what holds for the place that is compared holds too

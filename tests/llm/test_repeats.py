@@ -128,3 +128,31 @@ def test_a_long_text_of_one_letter(spark, tmp_path):
 
 def test_no_more_buckets_than_tables_may_have(spark):
     assert FingerprintIndex(spark, buckets=200_000).buckets == int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+
+
+def test_runs_are_joined_as_they_lie(spark, corpus):
+    """No shuffle; no sort of a whole run, only of what a run has of the new hashes."""
+    from gridloom.llm.common import settings
+    from gridloom.llm.substring_dedup import MERGE, _merged
+
+    docs = keyed(table(spark, corpus))
+    index = FingerprintIndex(spark, buckets=3, tasks=2, ratio=0.0)
+    for low, high in id_ranges(docs, 2):
+        seen = docs if high is None else docs.filter(F.col("_id") < high)
+        index.ingest(seen.filter(F.col("_id") >= low), seen).count()
+    with settings(spark, **MERGE):
+        whole = _merged(*[spark.table(n) for n, _ in index.runs])
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan and "Sort [" not in plan
+        distinct = len({tuple(r) for n, _ in index.runs for r in spark.table(n).select("h", "c").collect()})
+        assert whole.count() == distinct
+        new = index.runs[1][0]
+        index.runs, runs = index.runs[:1], index.runs
+        plan = index.known(new)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and plan.count("Sort [") == 1
+        index.runs = runs
+    before = spark.table(index.runs[0][0]).groupBy().sum("n").first()[0] + spark.table(index.runs[1][0]).groupBy().sum("n").first()[0]
+    index.ratio = 1e9
+    index.compact()
+    assert len(index.runs) == 1 and spark.table(index.runs[0][0]).count() == distinct and spark.table(index.runs[0][0]).groupBy().sum("n").first()[0] == before
+    index.close()
