@@ -273,11 +273,10 @@ def from_text(text: Column, strict: bool = True, names: list[str] | None = None)
 
 
 def between_boxes(a: Column, b: Column, x, y, padding: int = 0) -> Column:
-    """Whether (x, y) lies in the gap between two bounding boxes on either axis."""
+    """Whether (x, y) lies in the gap between two bounding boxes along either axis, across it at least `padding` cells inside what both boxes have in common."""
 
     def gap(k, size, p, other, other_size, q):
-        low = F.least(a[k] + a[size], b[k] + b[size]) + padding
-        high = F.greatest(a[k], b[k]) - padding
+        low, high = F.least(a[k] + a[size], b[k] + b[size]), F.greatest(a[k], b[k])
         over = F.greatest(a[other], b[other]) + padding
         under = F.least(a[other] + a[other_size], b[other] + b[other_size]) - padding
         return (p >= low) & (p < high) & (q >= over) & (q < under)

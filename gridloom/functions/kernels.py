@@ -7,7 +7,6 @@ DataFrame, a batch at a time.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -52,19 +51,28 @@ def flood_fill(g: np.ndarray, x: int, y: int, color: int, connectivity: int = 4)
 
 def draw_line(g: np.ndarray, x: int, y: int, color: int, end=None, length=None, direction=None, stop_at=()) -> tuple[np.ndarray, tuple[int, int]]:
     """A line of steps by the sign of the direction, or of the way to `end` (as many steps as the longer side of that way). Cells off the canvas are passed over; a stop colour ends the line before it, at its start too. Returns (grid, last point drawn, or the start)."""
+    out, n, a, b = _lines(g[None], x, y, color, end, length, direction, stop_at)
+    return out[0], (int(a[n[0] - 1]), int(b[n[0] - 1])) if n[0] else (x, y)
+
+
+def draw_lines(g: np.ndarray, x: int, y: int, color: int, end=None, length=None, direction=None, stop_at=()) -> np.ndarray:
+    """The same line on every grid of a stack, each with its own stops."""
+    return _lines(g, x, y, color, end, length, direction, stop_at)[0]
+
+
+def _lines(g, x, y, color, end, length, direction, stop_at):
     if end is not None:
         direction = end[0] - x, end[1] - y
         length = max(map(abs, direction)) + 1
-    length = 2 * max(g.shape) if length is None else length
+    length = 2 * max(g.shape[-2:]) if length is None else length
     k = np.arange(length)
     a, b = x + k * np.sign(direction[0]), y + k * np.sign(direction[1])
-    inside = (a >= 0) & (a < g.shape[0]) & (b >= 0) & (b < g.shape[1])
+    inside = (a >= 0) & (a < g.shape[-2]) & (b >= 0) & (b < g.shape[-1])
     a, b = a[inside], b[inside]
-    stops = np.flatnonzero(np.isin(g[a, b], list(stop_at)))
-    n = int(stops[0]) if len(stops) else len(a)
+    open_ = np.cumsum(np.isin(g[:, a, b], list(stop_at)), axis=1) == 0
     out = g.copy()
-    out[a[:n], b[:n]] = color
-    return out, (int(a[n - 1]), int(b[n - 1])) if n else (x, y)
+    out[:, a, b] = np.where(open_, color, out[:, a, b])
+    return out, open_.sum(axis=1), a, b
 
 
 def labels(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = True) -> np.ndarray:
@@ -126,23 +134,29 @@ def neighbors(g: np.ndarray, background: int = 0, connectivity: int = 4) -> np.n
     return dilate(boundary(g, background), connectivity) & (g == background)
 
 
-def contact(a: np.ndarray, b: np.ndarray, dx: int = 0, dy: int = 0, background: int = 0, connectivity: int = 4) -> bool:
-    """Whether b, moved by (dx, dy), overlaps or touches a."""
-    n, m = a.shape
-    mask = np.zeros((n + 2, m + 2), bool)
-    for x, y in np.argwhere(b != background):
-        if -1 <= x + dx <= n and -1 <= y + dy <= m:
-            mask[x + dx + 1, y + dy + 1] = True
-    return bool((dilate(mask, connectivity)[1:-1, 1:-1] & (a != background)).any())
+def contact(a: np.ndarray, b: np.ndarray, dx: int = 0, dy: int = 0, background: int = 0, connectivity: int = 4):
+    """Whether b, moved by (dx, dy), overlaps or touches a; for stacks an array."""
+    (n, m), (h, w) = a.shape[-2:], b.shape[-2:]
+    mask = np.zeros((*a.shape[:-2], n + 2, m + 2), bool)
+    x, y = max(0, -1 - dx), max(0, -1 - dy)
+    to_x, to_y = min(h, n + 1 - dx), min(w, m + 1 - dy)
+    if x < to_x and y < to_y:
+        mask[..., x + dx + 1 : to_x + dx + 1, y + dy + 1 : to_y + dy + 1] = b[..., x:to_x, y:to_y] != background
+    touched = (dilate(mask, connectivity)[..., 1:-1, 1:-1] & (a != background)).any(axis=(-2, -1))
+    return bool(touched) if a.ndim == 2 else touched
 
 
-def free_places(canvas: np.ndarray, sprite: np.ndarray, background: int = 0, border: int = 0, padding: int = 0, connectivity: int = 8) -> list[tuple[int, int]]:
-    """Every (x, y) at which the sprite collides with nothing, padding and border kept free."""
+def free_places(canvas: np.ndarray, sprite: np.ndarray, background: int = 0, border: int = 0, padding: int = 0, connectivity: int = 8):
+    """Every (x, y) at which the sprite collides with nothing, padding and border kept free; for stacks a list for each."""
     full = canvas != background
     for _ in range(padding):
         full = dilate(full, connectivity)
-    (n, m), (h, w), own = canvas.shape, sprite.shape, sprite != background
-    return [(x, y) for x in range(border, n - h - border + 1) for y in range(border, m - w - border + 1) if not (full[x : x + h, y : y + w] & own).any()]
+    (n, m), (h, w), own = canvas.shape[-2:], sprite.shape[-2:], sprite != background
+    places = [(x, y) for x in range(border, n - h - border + 1) for y in range(border, m - w - border + 1)]
+    free = [~(full[..., x : x + h, y : y + w] & own).any(axis=(-2, -1)) for x, y in places]
+    if canvas.ndim == 2:
+        return [p for p, ok in zip(places, free, strict=True) if ok]
+    return [[p for p, ok in zip(places, free, strict=True) if ok[k]] for k in range(len(canvas))]
 
 
 def score_symmetry(g: np.ndarray, move: Callable[[int, int], tuple[float, float]], background: int | None = None, ignore=(0,)) -> tuple[int, int, int]:
@@ -206,17 +220,19 @@ def rotational_symmetry(g: np.ndarray, background: int | None = None, ignore=(0,
 
 
 def orbit(g: np.ndarray, x: int, y: int, maps: list[tuple[Callable, range]]) -> list[tuple[int, int]]:
-    """Distinct points inside the canvas that (x, y) goes to under every combination of repeats."""
+    """Distinct points that (x, y) goes to under every combination of repeats, as long as each map leaves it inside the canvas."""
+    inside = lambda p: 0 <= p[0] < g.shape[-2] and 0 <= p[1] < g.shape[-1]
     points = {(x, y)}
     for move, times in maps:
-        points = {move(a, b, k) for a, b in points for k in times}
-    inside = {(int(a), int(b)) for a, b in points if float(a).is_integer() and float(b).is_integer() and 0 <= a < g.shape[0] and 0 <= b < g.shape[1]}
-    return sorted(inside)
+        points = {p for a, b in points for k in times if inside(p := move(a, b, k))}
+    return sorted((int(a), int(b)) for a, b in points if float(a).is_integer() and float(b).is_integer())
 
 
 def apply_symmetry(sprite: np.ndarray, kind: str, background: int = 0) -> np.ndarray:
-    """The sprite with the symmetry enforced: empty cells take the colour of their images."""
-    images = {"horizontal": [sprite[::-1]], "vertical": [sprite[:, ::-1]], "diagonal": [sprite.T], "mirror": [sprite[::-1], sprite[:, ::-1], sprite[::-1, ::-1]], "not_symmetric": [], "radial": [np.rot90(sprite, k) for k in (1, 2, 3)]}[kind]
+    """The sprite, or each of a stack, with the symmetry enforced: empty cells take the colour of their images."""
+    x, y = sprite[..., ::-1, :], sprite[..., ::-1]
+    turns = [np.rot90(sprite, k, (-2, -1)) for k in (1, 2, 3)] if kind == "radial" else []
+    images = {"horizontal": [x], "vertical": [y], "diagonal": [np.swapaxes(sprite, -1, -2)], "mirror": [x, y, x[..., ::-1]], "not_symmetric": [], "radial": turns}[kind]
     out = sprite.copy()
     for other in images:
         if other.shape != sprite.shape:
@@ -225,8 +241,8 @@ def apply_symmetry(sprite: np.ndarray, kind: str, background: int = 0) -> np.nda
     return out
 
 
-def detect_objects(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = False, allowed: list[tuple[int, int]] | None = None, predicate=None, overlap: bool = True, most: int = 14) -> list[np.ndarray]:
-    """Objects that are components or, where sizes are allowed, windows of those sizes; largest box and mass first. Without overlap: the choice that covers most cells, by search among up to `most` objects and greedily beyond."""
+def detect_objects(g: np.ndarray, background: int = 0, connectivity: int = 4, one_color: bool = False, allowed: list[tuple[int, int]] | None = None, predicate=None, overlap: bool = True) -> list[np.ndarray]:
+    """Objects that are components or, where sizes are allowed, windows of those sizes; largest box and mass first. Without overlap: the choice that covers most cells, of equal ones that of fewest objects, then of the first ones."""
     found = components(g, background, connectivity, one_color)
     for h, w in allowed or []:
         for x in range(g.shape[0] - h + 1):
@@ -239,70 +255,93 @@ def detect_objects(g: np.ndarray, background: int = 0, connectivity: int = 4, on
         p = np.argwhere(o != background)
         return tuple(p.max(0) - p.min(0) + 1) if len(p) else (0, 0)
 
-    keep: list[np.ndarray] = []
+    keep: dict[bytes, np.ndarray] = {}
+    sizes = {tuple(a) for a in allowed or []}
     for o in found:
         e = extent(o)
-        if e != (0, 0) and (not allowed or e in {tuple(a) for a in allowed}) and (predicate is None or predicate(o)) and not any((o == k).all() for k in keep):
-            keep.append(o)
-    keep.sort(key=lambda o: (-int(np.prod(extent(o))), -int((o != background).sum())))
-    if overlap:
-        return keep
-    masks = [o != background for o in keep]
-    if len(keep) <= most:
-        best: tuple[int, tuple[int, ...]] = (0, ())
-        for k in range(1, len(keep) + 1):
-            for pick in combinations(range(len(keep)), k):
-                total = sum(masks[i].astype(int) for i in pick)
-                if total.max() == 1 and total.sum() > best[0]:
-                    best = int(total.sum()), pick
-        return [keep[i] for i in best[1]]
-    used, out = np.zeros(g.shape, bool), []
-    for o, mask in zip(keep, masks, strict=True):
-        if not (used & mask).any():
-            out.append(o)
-            used |= mask
-    return out
+        if e != (0, 0) and (not allowed or e in sizes) and (predicate is None or predicate(o)):
+            keep.setdefault(o.tobytes(), o)
+    out = sorted(keep.values(), key=lambda o: (-int(np.prod(extent(o))), -int((o != background).sum())))
+    return out if overlap else [out[i] for i in greatest_cover([(o != background).ravel() for o in out])]
+
+
+def greatest_cover(masks: list[np.ndarray]) -> list[int]:
+    """Numbers of masks of which no two meet and that cover most cells; of equal choices the one of fewest masks, then the first.
+
+    Masks that meet, directly or through others, are searched together and apart from the
+    rest: one mask after the other is taken or left, and a branch is cut when all cells that
+    its open masks could add do not make it better. Sets of cells and masks are bit fields.
+    """
+    bits = [int.from_bytes(np.packbits(m, bitorder="little").tobytes(), "little") for m in masks]
+    meets = [sum(1 << j for j, b in enumerate(bits) if i != j and a & b) for i, a in enumerate(bits)]
+    chosen: list[int] = []
+    left = (1 << len(bits)) - 1
+    while left:
+        group, new = 0, left & -left
+        while new:
+            group |= new
+            reached = 0
+            for i in _ones(new):
+                reached |= meets[i]
+            new = reached & ~group
+        left &= ~group
+        chosen += _best_of(list(_ones(group)), bits, meets)
+    return sorted(chosen)
+
+
+def _ones(x: int) -> Iterator[int]:
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+def _best_of(group: list[int], bits: list[int], meets: list[int]) -> list[int]:
+    best: tuple[int, int, list[int]] = (0, 0, [])
+    stack: list[tuple[int, int, list[int]]] = [(sum(1 << i for i in group), 0, [])]  # masks still open, cells covered, masks taken
+    while stack:
+        open_, covered, taken = stack.pop()
+        if (covered, -len(taken)) > best[:2]:  # branches come in order, so of equals the first stays
+            best = covered, -len(taken), taken
+        reach = 0
+        for i in _ones(open_):
+            reach |= bits[i]
+        bound = covered + reach.bit_count()  # open masks meet none that is taken
+        if not open_ or (bound, -len(taken) - 1) <= best[:2]:
+            continue
+        i = (open_ & -open_).bit_length() - 1
+        open_ &= ~(1 << i)
+        stack.append((open_, covered, taken))
+        stack.append((open_ & ~meets[i], covered + bits[i].bit_count(), [*taken, i]))
+    return best[2]
 
 
 def scatter(g: np.ndarray, color: int, density: float, seed: int, background: int = 0) -> np.ndarray:
-    """Random background cells recoloured until the share is reached."""
-    out, rng = g.copy(), np.random.default_rng(seed)
-    free = np.argwhere(g == background)
-    for x, y in rng.permutation(free)[: int(np.ceil(density * g.size))]:
-        out[x, y] = color
-    return out
+    """random_grids.scatter for one grid."""
+    from . import random_grids
 
+    return random_grids.scatter(g[None], np.array([seed]), color, density, background)[0]
 
-def spaced_indices(n: int, count: int, seed: int) -> list[int]:
-    """`count` of range(n), no two of them neighbours."""
-    free = n - (count - 1)
-    if free < count:
+
+def spaced_indices(n: int, count: int, seed: int, border: int = 0, padding: int = 1) -> list[int]:
+    """random_grids.spaced_indices for one key."""
+    from . import random_grids
+
+    picked = random_grids.spaced_indices(np.array([seed]), n, count, border, padding)
+    if picked is None:
         raise ValueError("too many indices")
-    picked = np.sort(np.random.default_rng(seed).choice(free, count, replace=False))
-    return [int(p) + i for i, p in enumerate(picked)]
-
-
-def random_sprite(n: int, m: int, seed: int, density: float = 0.5, symmetry: str | None = None, colors=tuple(range(1, 10)), background: int = 0) -> np.ndarray:
-    """A connected sprite by a random walk that touches all four borders."""
-    rng = np.random.default_rng(seed)
-    out = np.full((n, m), background)
-    x, y = n // 2, m // 2
-    color = int(rng.choice(colors))
-    for k in range(400 * n * m):
-        out[x, y] = color
-        full = out != background
-        if symmetry and k % 8 == 7:
-            out = apply_symmetry(out, symmetry, background)
-            full = out != background
-        if full.mean() >= density and full[0].any() and full[-1].any() and full[:, 0].any() and full[:, -1].any():
-            break
-        dx, dy = STEPS8[int(rng.integers(8))]
-        x, y = min(max(x + dx, 0), n - 1), min(max(y + dy, 0), m - 1)
-    return apply_symmetry(out, symmetry, background) if symmetry else out
-
-
-def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[[np.ndarray], object], stacked: bool = False) -> DataFrame:
-    """df with a column `name` of type `kind`: the kernel's value for each row's grid; null for null. Batches go through Arrow; a stacked kernel takes all grids of one shape in a batch at once."""
+    return picked[0].tolist()
+
+
+def random_sprite(n: int, m: int, seed: int, density: float = 0.5, symmetry: str | None = None, colors=None, background: int = 0, connectivity: int = 4) -> np.ndarray:
+    """random_grids.sprites for one key."""
+    from . import random_grids
+
+    return random_grids.sprites(np.array([seed]), n, m, density, symmetry, colors, connectivity, background)[0]
+
+
+def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[..., object], stacked: bool = False, key: str | None = None) -> DataFrame:
+    """df with a column `name` of type `kind`: the kernel's value for each row's grid; null for null. Batches go through Arrow; a stacked kernel takes all grids of one shape in a batch at once, and where `key` names a whole number their keys (null: 0)."""
     out = T.StructType([*df.schema.fields, T.StructField(name, T.DataType.fromDDL(kind))])
 
     def plain(v):
@@ -320,12 +359,13 @@ def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[[
             grids = b.column(grid).to_pylist()
             values: list = [None] * len(grids)
             if stacked:
+                keys = np.array([k or 0 for k in b.column(key).to_pylist()], np.int64) if key else None
                 shapes: dict[tuple[int, int], list[int]] = {}
                 for k, g in enumerate(grids):
                     if g is not None:
                         shapes.setdefault((len(g), len(g[0]) if g else 0), []).append(k)
                 for own in shapes.values():
-                    for k, v in zip(own, kernel(np.array([grids[k] for k in own], int)), strict=True):
+                    for k, v in zip(own, kernel(np.array([grids[k] for k in own], int), *([keys[own]] if key else [])), strict=True):
                         values[k] = plain(v)
             else:
                 values = [None if g is None else plain(kernel(np.array(g, int))) for g in grids]

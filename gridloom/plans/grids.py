@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import grid as G
 from ..functions import kernels as K
+from ..functions import random_grids as R
+from ..functions import symmetry as Y
 from ..functions import text as X
 from .registry import query
 
@@ -130,7 +132,7 @@ def grid_interior(t):
 
 @query(_LONG + ", k AS (SELECT a.p_partkey, count(*) FILTER (a.v <> 0 AND b.v = a.v) kept, count(*) FILTER (a.v <> 0 AND b.v IS NULL) off, count(*) FILTER (a.v <> 0 AND b.v <> a.v) conflict FROM c a LEFT JOIN c b ON b.p_partkey = a.p_partkey AND b.i = a.i AND b.j = a.j + 2 GROUP BY a.p_partkey) SELECT p_partkey, kept::INT AS kept, off::INT AS off, conflict::INT AS conflict FROM k")
 def grid_symmetry_score(t):
-    out = K.over_rows(derived(t("part")), "g", "s", "array<int>", lambda g: list(K.score_symmetry(g, lambda x, y: (x, y + 2), 0, ())))
+    out = K.over_rows(derived(t("part")), "g", "s", "array<int>", lambda g: Y.shift_scores(g, 0, 2, 0, ()), stacked=True)
     return out.select("p_partkey", F.get("s", 0).alias("kept"), F.get("s", 1).alias("off"), F.get("s", 2).alias("conflict"))
 
 
@@ -174,21 +176,21 @@ _kernel(
     "grid_flood_fill", "array<array<int>>", lambda g: K.flood_fill(g, 0, 0, 3),
     _O + ", w AS (WITH RECURSIVE z AS (SELECT p_partkey, i, j, v FROM c WHERE i = 0 AND j = 0 UNION SELECT c.p_partkey, c.i, c.j, c.v FROM z JOIN c ON c.p_partkey = z.p_partkey AND c.v = z.v AND abs(c.i - z.i) + abs(c.j - z.j) = 1) SELECT DISTINCT p_partkey, i, j FROM z), y AS (SELECT c.p_partkey, c.i, c.j, CASE WHEN w.i IS NULL THEN v ELSE 3 END f FROM c LEFT JOIN w USING (p_partkey, i, j))" + _grid_of("f", "y"), True,
 )
-_kernel("grid_draw_line", "array<array<int>>", lambda g: K.draw_line(g, 0, 0, 4, direction=(1, 1))[0], _O + _grid_of("CASE WHEN i = j THEN 4 ELSE v END", "c"))
-_kernel("grid_draw_line_to", "array<array<int>>", lambda g: K.draw_line(g, 0, 2, 4, end=(2, 1), stop_at=(8,))[0], _O + ", l AS (SELECT p_partkey, coalesce(min(i) FILTER (v = 8 AND i + j = 2), 9) AS stop FROM c GROUP BY p_partkey), y AS (SELECT c.*, CASE WHEN i + j = 2 AND i < stop THEN 4 ELSE v END f FROM c JOIN l USING (p_partkey))" + _grid_of("f", "y"))
-_kernel("grid_contact", "boolean", lambda g: K.contact(g, g, 1, 0), _O + " SELECT p.p_partkey, concat('{\"value\":', EXISTS (SELECT 1 FROM c a, c b WHERE a.p_partkey = p.p_partkey AND b.p_partkey = p.p_partkey AND a.v <> 0 AND b.v <> 0 AND abs(a.i - b.i - 1) + abs(a.j - b.j) <= 1), '}') AS value FROM p")
-_kernel("grid_free_places", "array<array<int>>", lambda g: K.free_places(g, g[:2, :2]), _O + ", y AS (SELECT p_partkey, i, j FROM c WHERE i < n - 1 AND j < m - 1 AND NOT EXISTS (SELECT 1 FROM c q, c k WHERE q.p_partkey = c.p_partkey AND k.p_partkey = c.p_partkey AND q.i < 2 AND q.j < 2 AND q.v <> 0 AND k.i = c.i + q.i AND k.j = c.j + q.j AND k.v <> 0))" + _list_of("[s.i, s.j]", "y", "s.i, s.j"))
+_kernel("grid_draw_line", "array<array<int>>", lambda g: K.draw_lines(g, 0, 0, 4, direction=(1, 1)), _O + _grid_of("CASE WHEN i = j THEN 4 ELSE v END", "c"), True)
+_kernel("grid_draw_line_to", "array<array<int>>", lambda g: K.draw_lines(g, 0, 2, 4, end=(2, 1), stop_at=(8,)), _O + ", l AS (SELECT p_partkey, coalesce(min(i) FILTER (v = 8 AND i + j = 2), 9) AS stop FROM c GROUP BY p_partkey), y AS (SELECT c.*, CASE WHEN i + j = 2 AND i < stop THEN 4 ELSE v END f FROM c JOIN l USING (p_partkey))" + _grid_of("f", "y"), True)
+_kernel("grid_contact", "boolean", lambda g: K.contact(g, g, 1, 0), _O + " SELECT p.p_partkey, concat('{\"value\":', EXISTS (SELECT 1 FROM c a, c b WHERE a.p_partkey = p.p_partkey AND b.p_partkey = p.p_partkey AND a.v <> 0 AND b.v <> 0 AND abs(a.i - b.i - 1) + abs(a.j - b.j) <= 1), '}') AS value FROM p", True)
+_kernel("grid_free_places", "array<array<int>>", lambda g: K.free_places(g, g[:, :2, :2]), _O + ", y AS (SELECT p_partkey, i, j FROM c WHERE i < n - 1 AND j < m - 1 AND NOT EXISTS (SELECT 1 FROM c q, c k WHERE q.p_partkey = c.p_partkey AND k.p_partkey = c.p_partkey AND q.i < 2 AND q.j < 2 AND q.v <> 0 AND k.i = c.i + q.i AND k.j = c.j + q.j AND k.v <> 0))" + _list_of("[s.i, s.j]", "y", "s.i, s.j"), True)
 _kernel(
-    "grid_mirror_symmetry", "array<array<double>>", lambda g: [[-1.0 if v is None else v for v in a] for a in K.mirror_symmetries(g)],
-    _O + _scored(_AXES, "CASE WHEN t.k = 1 THEN c.i ELSE 2 * t.a - c.i END", "CASE WHEN t.k = 0 THEN c.j ELSE 2 * t.b - c.j END") + _BEST.format("kept - 0.01::DOUBLE * off", "AND kept > 0 AND conflict = 0") + ", y AS (SELECT * FROM z QUALIFY score = max(score) OVER (PARTITION BY p_partkey))" + _list_of("[s.a::DOUBLE, s.b::DOUBLE]", "y", "s.k, s.o"),
+    "grid_mirror_symmetry", "array<array<double>>", lambda g: [[[-1.0 if v is None else v for v in a] for a in axes] for axes in Y.mirror_symmetries(g)],
+    _O + _scored(_AXES, "CASE WHEN t.k = 1 THEN c.i ELSE 2 * t.a - c.i END", "CASE WHEN t.k = 0 THEN c.j ELSE 2 * t.b - c.j END") + _BEST.format("kept - 0.01::DOUBLE * off", "AND kept > 0 AND conflict = 0") + ", y AS (SELECT * FROM z QUALIFY score = max(score) OVER (PARTITION BY p_partkey))" + _list_of("[s.a::DOUBLE, s.b::DOUBLE]", "y", "s.k, s.o"), True,
 )
 _kernel(
-    "grid_translational_symmetry", "array<array<int>>", K.translational_symmetries,
-    _O + _scored(_SHIFTS, "c.i + t.a", "c.j + t.b") + _BEST.format("kept - 0.01::DOUBLE * off - 1e5 * conflict", "") + ", y AS (SELECT * FROM z WHERE k < 2 OR p_partkey NOT IN (SELECT p_partkey FROM z WHERE k < 2) QUALIFY row_number() OVER (PARTITION BY p_partkey, k ORDER BY score DESC, o) = 1)" + _list_of("[s.a, s.b]", "y", "s.k"),
+    "grid_translational_symmetry", "array<array<int>>", Y.translational_symmetries,
+    _O + _scored(_SHIFTS, "c.i + t.a", "c.j + t.b") + _BEST.format("kept - 0.01::DOUBLE * off - 1e5 * conflict", "") + ", y AS (SELECT * FROM z WHERE k < 2 OR p_partkey NOT IN (SELECT p_partkey FROM z WHERE k < 2) QUALIFY row_number() OVER (PARTITION BY p_partkey, k ORDER BY score DESC, o) = 1)" + _list_of("[s.a, s.b]", "y", "s.k"), True,
 )
 _kernel(
-    "grid_rotational_symmetry", "array<double>", lambda g: K.rotational_symmetry(g) or [],
-    _O + _scored(_CENTRES, "t.a + (c.j - t.b)", "t.b - (c.i - t.a)") + _BEST.format("kept - 5 * off - 1000 * conflict", "") + ", y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) = 1) SELECT p.p_partkey, concat('{\"value\":', to_json(CASE WHEN y.a IS NULL THEN []::DOUBLE[] ELSE [y.a::DOUBLE, y.b::DOUBLE] END), '}') AS value FROM p LEFT JOIN y USING (p_partkey)",
+    "grid_rotational_symmetry", "array<double>", lambda g: [c or [] for c in Y.rotational_symmetry(g)],
+    _O + _scored(_CENTRES, "t.a + (c.j - t.b)", "t.b - (c.i - t.a)") + _BEST.format("kept - 5 * off - 1000 * conflict", "") + ", y AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, o) = 1) SELECT p.p_partkey, concat('{\"value\":', to_json(CASE WHEN y.a IS NULL THEN []::DOUBLE[] ELSE [y.a::DOUBLE, y.b::DOUBLE] END), '}') AS value FROM p LEFT JOIN y USING (p_partkey)", True,
 )
 _kernel(
     "grid_detect_objects", "array<array<array<int>>>", lambda g: K.detect_objects(g, overlap=False),
@@ -242,3 +244,54 @@ def grid_dedup(t):
 def problem_prompt(t):
     pair = F.struct(F.col("g").alias("input"), F.col("g").alias("output"))
     return derived(t("part")).select("p_partkey", F.md5(X.problem_prompt(F.array(pair), pair)).alias("digest"))
+
+
+def _fifth(x: str) -> str:
+    return f"list_transform([{x}], lambda x: ((x * x % {R.PRIME}) * (x * x % {R.PRIME}) % {R.PRIME}) * x % {R.PRIME})[1]"
+
+
+def _draw(key: str, step: str) -> str:
+    """random_grids.draws in SQL."""
+    first = _fifth(f"({key} % {R.PRIME} * 48271 + {step} * 69621 + {key} // {R.PRIME} + 1) % {R.PRIME}")
+    return _fifth(f"({first} * 16807 + {key} % {R.PRIME} + {step} * 7919) % {R.PRIME}")
+
+
+def _grown(name: str, kind: str, f, sql: str):
+    @query(sql, name=name)
+    def one(t):
+        return K.over_rows(_objects(t), "g", "value", kind, f, True, "p_partkey").select("p_partkey", F.to_json(F.struct("value")).alias("value"))
+
+
+_grown(
+    "grid_scatter", "array<array<int>>", lambda g, keys: R.scatter(g, keys, 5, 0.3),
+    _O + f", r AS (SELECT c.*, n * m AS size, row_number() OVER (PARTITION BY c.p_partkey, v = 0 ORDER BY {_draw('c.p_partkey', '(i * m + j)')}, i, j) AS k FROM c), y AS (SELECT *, CASE WHEN v = 0 AND k <= ceil(0.3 * size) THEN 5 ELSE v END AS f FROM r)" + _grid_of("f", "y"),
+)
+_grown(
+    "grid_spaced_indices", "array<int>", lambda g, keys: R.spaced_indices(keys, 20, 4, 1, 2).tolist(),
+    f"WITH r AS (SELECT p_partkey, k, row_number() OVER (PARTITION BY p_partkey ORDER BY {_draw('p_partkey', 'k')}, k) AS o FROM part, range(11) x(k)), y AS (SELECT p_partkey, k + (row_number() OVER (PARTITION BY p_partkey ORDER BY k) - 1) * 2 + 1 AS v FROM r WHERE o <= 4) SELECT p_partkey, concat('{{\"value\":', to_json(list(v::INT ORDER BY v)), '}}') AS value FROM y GROUP BY p_partkey",
+)
+_kernel("grid_apply_symmetry", "array<array<int>>", lambda g: K.apply_symmetry(g, "mirror"), _O + ", y AS (SELECT c.p_partkey, c.i, c.j, CASE WHEN c.v <> 0 THEN c.v WHEN a.v <> 0 THEN a.v WHEN b.v <> 0 THEN b.v ELSE d.v END AS f FROM c JOIN c a ON a.p_partkey = c.p_partkey AND a.i = c.n - 1 - c.i AND a.j = c.j JOIN c b ON b.p_partkey = c.p_partkey AND b.i = c.i AND b.j = c.m - 1 - c.j JOIN c d ON d.p_partkey = c.p_partkey AND d.i = c.n - 1 - c.i AND d.j = c.m - 1 - c.j)" + _grid_of("f", "y"), True)
+_kernel(
+    "grid_orbit", "array<array<int>>", lambda g: [K.orbit(g, 0, 1, [(lambda x, y, k: (g.shape[1] - 1 - x if k else x, y), range(2)), (lambda x, y, k: (x, y + 2 * k), range(-1, 2))])] * len(g),
+    _O + ", y AS (SELECT DISTINCT p_partkey, a AS i, 1 + 2 * k AS j FROM p, range(-1, 2) s(k), (VALUES (0), (1)) z(b), LATERAL (SELECT CASE WHEN b = 1 THEN n - 1 ELSE 0 END AS a) WHERE 1 + 2 * k >= 0 AND 1 + 2 * k < m) SELECT p_partkey, concat('{\"value\":', to_json(list([i, j]::INT[] ORDER BY i, j)), '}') AS value FROM y GROUP BY p_partkey", True,
+)
+
+
+@query("""WITH b AS (SELECT p_partkey, p_size % 5 AS x1, p_partkey % 4 AS y1, 2 AS w1, 4 AS h1, 4 + p_size % 3 AS x2, 1 + p_partkey % 3 AS y2, 3 AS w2, 5 AS h2 FROM part),
+q AS (SELECT *, x1 + w1 <= x AND x < x2 OR x2 + w2 <= x AND x < x1 AS along_x, y - 1 >= greatest(y1, y2) AND y + 1 < least(y1 + h1, y2 + h2) AS across_x, y1 + h1 <= y AND y < y2 OR y2 + h2 <= y AND y < y1 AS along_y, x - 1 >= greatest(x1, x2) AND x + 1 < least(x1 + w1, x2 + w2) AS across_y FROM b, range(12) r(x), range(12) s(y))
+SELECT p_partkey, x::INT AS x, y::INT AS y FROM q WHERE along_x AND across_x OR along_y AND across_y""")
+def grid_between(t):
+    """Cells between two boxes, with padding."""
+    box = lambda x, y, w, h: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(w).alias("w"), F.lit(h).alias("h"))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    boxes = t("part").select("p_partkey", box(size % 5, key % 4, 2, 4).alias("a"), box(4 + size % 3, 1 + key % 3, 3, 5).alias("b"))
+    cells = boxes.select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("x")).select("*", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("y"))
+    return cells.filter(G.between_boxes(F.col("a"), F.col("b"), F.col("x"), F.col("y"), 1)).select("p_partkey", "x", "y")
+
+
+@query()
+def grid_sprites(t):
+    """A sprite of every part's own size, and what it promises, by the library's own functions; no SQL draws it."""
+    made = K.over_rows(derived(t("part")), "g", "sprite", "array<array<int>>", lambda g, keys: R.sprites(keys, *g.shape[1:]), True, "p_partkey")
+    made = K.over_rows(made, "sprite", "one", "boolean", K.is_contiguous, True)
+    return made.select("p_partkey", F.to_json("sprite").alias("sprite"), "one", (G.height(F.col("sprite")) == G.height(F.col("g"))).alias("size"))
