@@ -14,9 +14,9 @@ from pyspark.sql import types as T
 from .common import release, small_batches
 
 #: Hashed subwords, their lengths, and the size of an embedding.
-BUCKETS, SUBWORDS, SIZE = 1 << 16, (3, 4, 5), 8
-#: Words in a stretch; a text is as toxic as its most toxic stretch.
-STRETCH = 8
+BUCKETS, SUBWORDS, SIZE = 1 << 17, (3, 4, 5, 6), 8
+#: Of so many words of a text one is in its bag, the most toxic ones; one at least.
+SHARE = 50
 #: Labelled rows that are learned from, of each label.
 ROWS_EACH = 2000
 #: Step of the embeddings in training.
@@ -54,11 +54,22 @@ def subwords(vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out).astype(np.int64), np.concatenate(who)
 
 
+def bag(logits: np.ndarray) -> np.ndarray:
+    """Places of a text's most toxic words, one in SHARE, wherever they stand."""
+    k = -(-len(logits) // SHARE)
+    return np.argpartition(logits, -k)[-k:]
+
+
+def figures(logits: np.ndarray) -> tuple[float, float]:
+    """Of a text of one word at least: its most toxic word, and the mean over its bag, which tells how often toxic words come."""
+    return float(logits.max()), float(logits[bag(logits)].mean(dtype=np.float64))
+
+
 class Model:
-    """score(bucket) is all that a linear softmax of averaged embeddings needs: the embedding's difference in logits."""
+    """score(bucket) is all that a linear softmax of averaged embeddings needs: the embedding's difference in logits. A text's score is a logistic of its two figures."""
 
-    def __init__(self, logit: np.ndarray, slope: float = 1.0, shift: float = 0.0):
-        self.logit, self.slope, self.shift = logit.astype(np.float32), slope, shift
+    def __init__(self, logit: np.ndarray, slopes: tuple[float, float] = (1.0, 0.0), shift: float = 0.0):
+        self.logit, self.slopes, self.shift = logit.astype(np.float32), slopes, shift
 
     def word_logits(self, vocabulary: list[str]) -> np.ndarray:
         bucket, word = subwords(vocabulary)
@@ -69,23 +80,22 @@ class Model:
         """Of a text, given its words' logits in order; no words: the least there is."""
         if not len(logits):
             return 0.0
-        starts = np.arange(0, len(logits), STRETCH)
-        top = (np.add.reduceat(logits, starts) / np.minimum(STRETCH, len(logits) - starts)).max()
-        return float(1 / (1 + np.exp(-np.clip(self.slope * top + self.shift, -30, 30))))
+        z = self.shift + sum(a * x for a, x in zip(self.slopes, figures(logits), strict=True))
+        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
 def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = 25, seed: int = 7) -> Model:
-    """Embeddings, softmax weights and the choice of stretches are trained together.
+    """Embeddings, softmax weights and the choice of words are trained together.
 
-    Each round picks the most toxic stretch of every text under the model so far (and for
-    clean texts one more at random), and takes a gradient step on their softmax loss, in the
-    embeddings and in the weights. Embeddings start along the log-odds of their subwords.
+    Each round takes the bag of every text under the model so far, its most toxic words (and
+    for clean texts one more at random), averages the embeddings of its words' subwords, and
+    takes a gradient step on the softmax loss, in the embeddings and in the weights. Embeddings start along the log-odds of their subwords.
     A fifth of the texts is kept aside to set slope and shift of the logistic score.
     """
     rng = np.random.default_rng(seed)
     labels = np.asarray(labels)
     if not len(texts) or labels.min() == labels.max():
-        return Model(np.zeros(BUCKETS), 0.0, 4.0 if len(texts) and labels.max() else -4.0)
+        return Model(np.zeros(BUCKETS), (0.0, 0.0), 4.0 if len(texts) and labels.max() else -4.0)
     vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
     listed, parts, count = list(vocabulary), [], []
     for at in range(0, len(listed), 20_000):
@@ -121,26 +131,23 @@ def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = 25, seed: int
     def word_logits() -> np.ndarray:
         return np.add.reduceat((embed @ (weights[:, 1] - weights[:, 0])).astype(np.float32)[bucket], first[:-1]) / count
 
-    def stretches(i: int, logit: np.ndarray) -> np.ndarray:
-        starts = np.arange(0, len(ids[i]), STRETCH)
-        return np.add.reduceat(logit[ids[i]], starts) / np.minimum(STRETCH, len(ids[i]) - starts)
-
     for _ in range(rounds):
         logit = word_logits()
         chosen, truth = [], []
         for i in train:
             if len(ids[i]):
-                s = stretches(i, logit)
-                for k in [int(s.argmax())] + ([int(rng.integers(len(s)))] if not labels[i] else []):
-                    chosen.append(ids[i][k * STRETCH : (k + 1) * STRETCH])
+                own = logit[ids[i]]
+                best = bag(own)
+                for at in [best] + ([rng.integers(len(own), size=len(best))] if not labels[i] else []):
+                    chosen.append(ids[i][at])
                     truth.append(labels[i])
         truth = np.array(truth)
         size = np.array([len(c) for c in chosen])
         w = np.concatenate(chosen)
         b, token = buckets_of(w)
-        stretch = np.repeat(np.arange(len(chosen)), size)[token]
-        share = 1 / (count[w][token] * size[stretch])
-        mean = np.stack([np.bincount(stretch, weights=embed[b, d] * share, minlength=len(chosen)) for d in range(SIZE)], axis=1)
+        text = np.repeat(np.arange(len(chosen)), size)[token]
+        share = 1 / (count[w][token] * size[text])
+        mean = np.stack([np.bincount(text, weights=embed[b, d] * share, minlength=len(chosen)) for d in range(SIZE)], axis=1)
         out = mean @ weights
         p = np.exp(out - out.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
@@ -148,7 +155,7 @@ def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = 25, seed: int
         p *= np.where(truth, 0.5 / max(1, truth.sum()), 0.5 / max(1, (1 - truth).sum()))[:, None] * 100
         back, step = p @ weights.T, mean.T @ p
         for d in range(SIZE):
-            g = np.bincount(b, weights=back[stretch, d] * share, minlength=BUCKETS)
+            g = np.bincount(b, weights=back[text, d] * share, minlength=BUCKETS)
             seen_e += g * g / SIZE
             embed[:, d] -= RATE * g / np.sqrt(seen_e)
         seen_w += step * step
@@ -158,22 +165,22 @@ def fit(texts: list[list[str]], labels: np.ndarray, rounds: int = 25, seed: int
     held = [i for i in np.flatnonzero(aside) if len(ids[i])]
     if len({int(labels[i]) for i in held}) < 2:
         held = [i for i in range(len(ids)) if len(ids[i])]
-    top = np.array([stretches(i, logit).max() for i in held])
-    model.slope, model.shift = _logistic(top, labels[held])
+    model.slopes, model.shift = _logistic(np.array([figures(logit[ids[i]]) for i in held]), labels[held])
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 2000) -> tuple[float, float]:
-    """Slope and shift of a logistic fit with a light penalty; clean texts weigh seven tenths, since there are more of them."""
-    m, s = float(x.mean()), float(x.std()) or 1.0
+def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> tuple[tuple[float, float], float]:
+    """Slopes and shift of a logistic fit of the two figures, with a light penalty; clean texts weigh seven tenths, since there are more of them."""
+    m, s = x.mean(axis=0), np.where(x.std(axis=0) > 0, x.std(axis=0), 1.0)
     z = (x - m) / s
     weight = np.where(y > 0, 0.3 / max(1, (y > 0).sum()), 0.7 / max(1, (y == 0).sum()))
-    a = b = 0.0
+    a, b = np.zeros(2), 0.0
     for _ in range(steps):
-        e = (1 / (1 + np.exp(-np.clip(a * z + b, -30, 30))) - y) * weight
-        a -= 2.0 * (float((e * z).sum()) + 1e-3 * a)
-        b -= 2.0 * float(e.sum())
-    return a / s, b - a * m / s
+        e = (1 / (1 + np.exp(-np.clip(z @ a + b, -30, 30))) - y) * weight
+        a = np.maximum(a - (z.T @ e + 1e-3 * a), 0.0)  # neither figure speaks for a text being clean
+        b -= float(e.sum())
+    a = a / s
+    return (float(a[0]), float(a[1])), float(b - a @ m)
 
 
 def learn(docs: DataFrame, labels: DataFrame, learned_from, rows_each: int = ROWS_EACH) -> Model:

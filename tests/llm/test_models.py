@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 from brute import table
@@ -103,17 +104,49 @@ def test_products_of_matrices_associate():
     assert left == right == p.matrix(text, 0, len(text), True, 0)
 
 
+def plain_buckets(word):
+    """A word's buckets from its letters, in whole numbers: every n-gram of it, its ends marked, and the whole."""
+    mask, bits = (1 << 64) - 1, 64 - (toxicity.BUCKETS - 1).bit_length()
+    letters = [ord(c) for c in f"<{word}>"]
+    out = []
+    for n in toxicity.SUBWORDS:
+        for i in range(len(letters) - n + 1):
+            h = 0
+            for c in letters[i : i + n]:
+                h = (h * 0x100000001B3 + c + 1) & mask
+            out.append(((h ^ h >> 29) * (0x9E3779B97F4A7C15 + 2 * n) & mask) >> bits)
+    whole = sum(c * pow(0x9E3779B97F4A7C15, (len(letters) - i) % 61, 1 << 64) for i, c in enumerate(letters)) & mask
+    return [*out, (whole * 0xD1342543DE82EF95 & mask) >> bits]
+
+
 def plain_score(model, text):
     """The score again, word by word and n-gram by n-gram."""
-    def logit(word):
-        b, _ = toxicity.subwords([word])
-        return sum(float(model.logit[k]) for k in b) / len(b)
-
-    w = [logit(x) for x in toxicity.words(text)]
+    w = sorted((sum(float(model.logit[k]) for k in plain_buckets(x)) / len(plain_buckets(x)) for x in re.findall(r"\w+", (text or "").lower())), reverse=True)
     if not w:
         return 0.0
-    top = max(sum(w[k : k + 8]) / len(w[k : k + 8]) for k in range(0, len(w), 8))
-    return 1 / (1 + np.exp(-(model.slope * top + model.shift)))
+    k = -(-len(w) // toxicity.SHARE)
+    return 1 / (1 + np.exp(-(model.slopes[0] * w[0] + model.slopes[1] * sum(w[:k]) / k + model.shift)))
+
+
+def test_a_verdict_does_not_depend_on_where_words_stand():
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice(["tan", "re", "lo", "mi", "su", "ke"]) for _ in range(3))
+    texts = [[word() for _ in range(rng.randint(16, 90))] for _ in range(300)]
+    for k in range(0, 300, 3):
+        texts[k][rng.randrange(len(texts[k]))] = rng.choice(["idiot", "moron"])
+    model = toxicity.fit(texts, np.array([k % 3 == 0 for k in range(300)], int))
+    score = lambda w: model.score(model.word_logits(w))
+    neutral = sorted(((model.word_logits([w])[0], w) for w in {w for t in texts[1::3] for w in t}))
+    quiet = [w for _, w in neutral[: len(neutral) // 2]]
+    for t in texts[:90]:
+        moved = t[:]
+        rng.shuffle(moved)
+        assert abs(score(moved) - score(t)) < 1e-6
+        for n in range(1, 8):
+            longer = rng.sample(quiet, n) + t
+            if -(-len(longer) // toxicity.SHARE) == -(-len(t) // toxicity.SHARE):
+                assert abs(score(longer) - score(t)) < 1e-6  # quiet words in front change nothing
+    assert np.mean([(score(t) >= 0.5) == (k % 3 == 0) for k, t in enumerate(texts)]) > 0.95
 
 
 def test_scores_by_a_plain_version_and_on_rows_kept_aside(spark):
