@@ -180,15 +180,14 @@ def seeded_permutation(key: Column, first: int = 1, last: int = 9) -> Column:
 
 
 def augment(g: Column, key: Column, largest: int = LARGEST) -> Column:
-    """One transform for all grids with the same key, drawn by its hash: colours (half: 1 to 9 permuted, a tenth: 0 to 9), columns and rows reversed, a quarter turn, and a scale that keeps within `largest`."""
-    draw = lambda what, n: F.pmod(F.xxhash64(F.lit(what), key), F.lit(n))
-    color = draw("color", 10)
+    """One transform for all grids with the same key, drawn by md5 of it: colours (half: 1 to 9 permuted, a tenth: 0 to 9), columns and rows reversed, a quarter turn, and a scale that keeps within `largest`."""
+    color, tosses = draw(key, "color", 10), lambda what: draw(key, what, 2) == 0
     g = let(g, lambda x: F.when(color < 5, permute_colors(x, seeded_permutation(key))).when(color == 5, permute_colors(x, seeded_permutation(key, 0, 9))).otherwise(x))
-    g = let(g, lambda x: F.when(draw("columns", 2) == 0, flip_columns(x)).otherwise(x))
-    g = let(g, lambda x: F.when(draw("rows", 2) == 0, flip_rows(x)).otherwise(x))
-    g = let(g, lambda x: F.when(draw("turn", 2) == 0, rot90(x)).otherwise(x))
+    g = let(g, lambda x: F.when(tosses("columns"), flip_columns(x)).otherwise(x))
+    g = let(g, lambda x: F.when(tosses("rows"), flip_rows(x)).otherwise(x))
+    g = let(g, lambda x: F.when(tosses("turn"), rot90(x)).otherwise(x))
     most = lambda x: F.greatest(F.floor(F.lit(largest) / F.greatest(height(x), width(x))).cast("int"), F.lit(1))
-    return let(g, lambda x: F.when(draw("scale", 2) == 0, scale(x, F.least(most(x), (draw("k", 3) + 1).cast("int")))).otherwise(x))
+    return let(g, lambda x: F.when(tosses("scale"), scale(x, F.least(most(x), draw(key, "k", 3) + 1))).otherwise(x))
 
 
 def turned(g: Column, quarters: Column) -> Column:

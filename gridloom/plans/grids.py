@@ -65,10 +65,15 @@ def grid_crop(t):
     return o.select("p_partkey", F.to_json(G.crop(F.col("g"))).alias("grid"))
 
 
-@query(_BOX + "SELECT p_partkey, (x + (x2 - x) / 2.0)::DOUBLE AS x, (y + (y2 - y) / 2.0)::DOUBLE AS y FROM b WHERE x2 >= 0")
+_ANCHORS = {f"{a} {b}".strip() or "center": (h / 2, v / 2) for v, a in enumerate(("upper", "", "lower")) for h, b in enumerate(("left", "", "right"))}
+
+
+@query(_BOX + "SELECT p_partkey, anchor, (x + (x2 - x) * h)::DOUBLE AS x, (y + (y2 - y) * v)::DOUBLE AS y FROM b, (VALUES " + ", ".join(f"('{k}', {h}, {v})" for k, (h, v) in _ANCHORS.items()) + ") t(anchor, h, v) WHERE x2 >= 0")
 def grid_position(t):
+    """All nine anchors of each object."""
     o = _objects(t).filter(~G.all_color(F.col("g")))
-    return o.select("p_partkey", G.object_position(F.col("g"), "center").alias("q")).select("p_partkey", F.col("q.x").cast("double").alias("x"), F.col("q.y").cast("double").alias("y"))
+    places = F.explode(F.array(*[F.struct(F.lit(k).alias("anchor"), G.object_position(F.col("g"), k).alias("q")) for k in _ANCHORS])).alias("p")
+    return o.select("p_partkey", places).select("p_partkey", "p.anchor", F.col("p.q.x").cast("double").alias("x"), F.col("p.q.y").cast("double").alias("y"))
 
 
 @query(_LONG + "SELECT p_partkey, string_agg(v::VARCHAR, ',' ORDER BY v) AS colors FROM (SELECT DISTINCT p_partkey, v FROM c WHERE v <> 0) GROUP BY p_partkey")
@@ -95,9 +100,13 @@ def grid_to_text(t):
 _PAIR = BASE + ", q AS (SELECT p_partkey, n, m, g, list_transform(range(n), lambda i: list_transform(range(m), lambda j: g[n-i][j+1])) f FROM p) "
 
 
-@query(_PAIR + ", d AS (SELECT p_partkey, n * m a, len(list_filter(range(n * m), lambda k: g[k // m + 1][k % m + 1] = f[k // m + 1][k % m + 1])) s FROM q) SELECT p_partkey, CASE WHEN s = a THEN 'EQUAL' ELSE 'CONTENT' END AS verdict, round(s / a, 6) AS ratio FROM d")
+@query(_PAIR + ", d AS (SELECT p_partkey, n * m a, len(list_filter(range(n * m), lambda k: g[k // m + 1][k % m + 1] = f[k // m + 1][k % m + 1])) s, p_partkey % 5 AS kind FROM q), e AS (SELECT *, CASE WHEN kind = 2 THEN 'SHAPE' WHEN kind = 3 THEN 'ERROR' WHEN kind = 4 THEN 'NON_2D' WHEN kind = 0 OR s = a THEN 'EQUAL' ELSE 'CONTENT' END AS verdict FROM d) SELECT p_partkey, verdict, round(CASE verdict WHEN 'EQUAL' THEN 1.0 WHEN 'CONTENT' THEN s / a ELSE 0.0 END, 6)::DOUBLE AS ratio FROM e")
 def grid_compare(t):
-    return derived(t("part")).select("p_partkey", G.compare(F.col("g"), G.flip_rows(F.col("g"))).alias("v")).select("p_partkey", "v.verdict", F.round("v.ratio", 6).alias("ratio"))
+    """An answer of each kind: the truth, the truth upside down, with a row too many, none, with a row cut short."""
+    g, kind = F.col("g"), F.col("p_partkey") % 5
+    longer, ragged = F.concat(g, F.slice(g, 1, 1)), F.concat(F.array(F.slice(F.get(g, 0), 1, G.width(g) - 1)), F.slice(g, 2, 100))
+    answer = F.when(kind == 0, g).when(kind == 1, G.flip_rows(g)).when(kind == 2, longer).when(kind == 4, ragged)
+    return derived(t("part")).select("p_partkey", G.compare(answer, g).alias("v")).select("p_partkey", "v.verdict", F.round("v.ratio", 6).alias("ratio"))
 
 
 @query(_PAIR + ", s AS (SELECT p_partkey, n * m a, array_to_string(flatten(g), '') x, array_to_string(flatten(f), '') y FROM q) SELECT p_partkey, round(1 - levenshtein(x, y) / a, 6) AS similarity FROM s")
@@ -199,16 +208,53 @@ _kernel(
 _kernel("grid_contiguous", "boolean", K.is_contiguous, _O + _JOINED + " SELECT p.p_partkey, concat('{\"value\":', count(DISTINCT w.l) = 1, '}') AS value FROM p LEFT JOIN w USING (p_partkey) GROUP BY p.p_partkey", True)
 
 
-@query(BASE + "SELECT p_partkey, 3::INT AS pairs, true AS fits, 2::BIGINT AS rounds FROM p")
+def _md5_draw(what: str, key: str, n: str) -> str:
+    """functions.grid.draw in SQL."""
+    return f"(('0x' || substr(md5(concat('{what}-', {key})), 1, 7))::BIGINT % {n})"
+
+
+def _permutation(key: str, first: int) -> str:
+    """functions.grid.seeded_permutation in SQL, of colours first to 9, as a list of all ten."""
+    drawn = f"list_transform(list_sort(list_transform(range({first}, 10), lambda c: {{'h': md5(concat({key}, '-', c)), 'c': c}})), lambda s: s.c)"
+    return drawn if first == 0 else f"list_concat([0], {drawn})"
+
+
+def _moved(columns: str, rows: str, quarters: str, colors: str) -> str:
+    """SQL: grid g, n x m, with columns and rows reversed, turned by quarters, scaled by k and recoloured."""
+    turns = [("i // k", "j // k"), ("n - 1 - j // k", "i // k"), ("n - 1 - i // k", "m - 1 - j // k"), ("j // k", "m - 1 - i // k")]
+    x = f"CASE {quarters} WHEN 0 THEN {turns[0][0]} WHEN 1 THEN {turns[1][0]} WHEN 2 THEN {turns[2][0]} ELSE {turns[3][0]} END"
+    y = f"CASE {quarters} WHEN 0 THEN {turns[0][1]} WHEN 1 THEN {turns[1][1]} WHEN 2 THEN {turns[2][1]} ELSE {turns[3][1]} END"
+    x, y = f"CASE WHEN {rows} THEN n - 1 - ({x}) ELSE {x} END", f"CASE WHEN {columns} THEN m - 1 - ({y}) ELSE {y} END"
+    cell = f"g[({x}) + 1][({y}) + 1]"
+    sides = [f"(CASE WHEN ({quarters}) % 2 = 0 THEN {a} ELSE {b} END) * k" for a, b in (("n", "m"), ("m", "n"))]
+    return f"list_transform(range({sides[0]}), lambda i: list_transform(range({sides[1]}), lambda j: (CASE WHEN {colors} IS NULL THEN {cell} ELSE {colors}[{cell} + 1] END)::INT))"
+
+
+def _tasks_sql() -> str:
+    chance = lambda what: f"{_md5_draw(what, 'key', '1000')} < 500"
+    of = {"": ("cs", "rs", "q"), "other": ("NOT cs", "NOT rs", "(q + 1) % 4")}
+    pair = lambda source, kind: "{'input': " + _moved(*_flipped(source[0], *of[kind]), "colors") + ", 'output': " + _moved(*_flipped(source[1], *of[kind]), "colors") + "}"
+    first, second = ("", "rows"), ("columns", "")
+    return BASE + f""", r AS (SELECT p.*, round, concat(p_partkey, '-', round) AS key, greatest(n, m) AS side FROM p, range(2) x(round)),
+t AS (SELECT *, {chance('columns')} AS cs, {chance('rows')} AS rs, CASE WHEN {chance('turn')} THEN {_md5_draw('quarters', 'key', '3')} + 1 ELSE 0 END AS q, CASE WHEN {chance('scale')} THEN {_md5_draw('k', 'key', '(30 // side)')} + 1 ELSE 1 END AS k,
+CASE WHEN {_md5_draw('colors', 'key', '10')} < 5 THEN {_permutation('key', 1)} WHEN {_md5_draw('colors', 'key', '10')} = 5 THEN {_permutation('key', 0)} END AS colors FROM r)
+SELECT p_partkey, round::INT AS round, to_json([{pair(first, '')}, {pair(second, '')}, CASE WHEN md5(concat(key, '-0')) < md5(concat(key, '-1')) THEN {pair(first, 'other')} ELSE {pair(second, 'other')} END])::VARCHAR AS train, to_json([{pair(first, '')}])::VARCHAR AS test FROM t"""
+
+
+def _flipped(source: str, columns: str, rows: str, quarters: str) -> tuple[str, str, str]:
+    return (f"NOT ({columns})" if source == "columns" else columns, f"NOT ({rows})" if source == "rows" else rows, quarters)
+
+
+@query(_tasks_sql())
 def augment_tasks(t):
-    """Two rounds of each task of two pairs: three train pairs each, within the limit."""
+    """Two rounds of each task of two pairs, the grids themselves: three train pairs each, the third under the complementary transform."""
     from ..operators.problems import augmented_tasks
 
-    pair = F.struct(F.col("g").alias("input"), G.flip_rows(F.col("g")).alias("output"))
-    tasks = derived(t("part")).select(F.col("p_partkey").alias("uid"), F.array(pair, pair).alias("train"), F.array(pair, pair).alias("test"))
-    out = augmented_tasks(tasks, 2)
-    fits = F.forall(F.concat("train", "test"), lambda p: G.pair_fits(p))
-    return out.groupBy(F.col("uid").alias("p_partkey")).agg(F.max(F.size("train")).alias("pairs"), F.bool_and(fits).alias("fits"), F.count("*").alias("rounds"))
+    pair = lambda a, b: F.struct(a.alias("input"), b.alias("output"))
+    g = F.col("g")
+    pairs = F.array(pair(g, G.flip_rows(g)), pair(G.flip_columns(g), g))
+    tasks = derived(t("part")).select(F.col("p_partkey").alias("uid"), pairs.alias("train"), pairs.alias("test"))
+    return augmented_tasks(tasks, 2).select(F.col("uid").alias("p_partkey"), "round", F.to_json("train").alias("train"), F.to_json("test").alias("test"))
 
 
 @query(BASE + "SELECT p_partkey, (p_size + 3 * (p_partkey % 3 - 1))::INT AS x, (1 - 2 * (p_partkey % 3 - 1))::INT AS y FROM p JOIN part USING (p_partkey)")
@@ -217,7 +263,13 @@ def translated_points(t):
     return t("part").select("p_partkey", q.alias("q")).select("p_partkey", F.col("q.x").cast("int").alias("x"), F.col("q.y").cast("int").alias("y"))
 
 
-@query()
+_TOSS = lambda what: f"{_md5_draw(what, 'p_partkey', '2')} = 0"
+_AUGMENTED = BASE + f""", t AS (SELECT *, CASE WHEN {_md5_draw('color', 'p_partkey', '10')} < 5 THEN {_permutation('p_partkey', 1)} WHEN {_md5_draw('color', 'p_partkey', '10')} = 5 THEN {_permutation('p_partkey', 0)} END AS colors,
+{_TOSS('columns')} AS cs, {_TOSS('rows')} AS rs, ({_TOSS('turn')})::INT AS q, CASE WHEN {_TOSS('scale')} THEN least(30 // greatest(n, m), {_md5_draw('k', 'p_partkey', '3')} + 1) ELSE 1 END AS k FROM p)
+SELECT p_partkey, to_json({_moved('cs', 'rs', 'q', 'colors')})::VARCHAR AS grid FROM t"""
+
+
+@query(_AUGMENTED)
 def augment_policy(t):
     return derived(t("part")).select("p_partkey", F.to_json(G.augment(F.col("g"), F.col("p_partkey"))).alias("grid"))
 
