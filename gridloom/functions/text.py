@@ -18,6 +18,11 @@ def normalized(t: Column) -> Column:
     return squeeze(F.lower(t))
 
 
+def one_line_base64(b: Column) -> Column:
+    """Base64 without the line breaks that Spark puts after every 76 characters."""
+    return F.translate(F.base64(b), "\r\n", "")
+
+
 def strip(t: Column) -> Column:
     """Without white space at the ends, new lines too."""
     return F.regexp_replace(t, r"(?U)\A\s+|\s+\z", "")

@@ -76,12 +76,20 @@ def usage_cost(usage: DataFrame, rates: DataFrame) -> DataFrame:
 
 
 def find_columns(df: DataFrame, values: list[str]) -> DataFrame:
-    """(column, hits): text columns that hold one of the values."""
+    """(column, hits): text columns that hold one of the values, counted in one pass."""
     names = [n for n, t in df.dtypes if t == "string"]
-    counts = df.agg(*[F.count_if(F.col(n).isin(values)).alias(n) for n in names])
+    if not names:
+        return df.sparkSession.createDataFrame([], "column string, hits long")
+    counts = df.agg(*[F.count_if(F.col(f"`{n}`").isin(values)).alias(n) for n in names])
     return counts.unpivot([], names, "column", "hits").filter("hits > 0")
 
 
+def find_in_tables(tables: dict[str, DataFrame], values: list[str]) -> DataFrame:
+    """(table, column, hits): text columns of all tables that hold one of the values."""
+    parts = [find_columns(df, values).select(F.lit(name).alias("table"), "column", "hits") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def search(df: DataFrame, value, columns: list[str], order: str, low: int, high: int) -> DataFrame:
     """Rows with order in [low, high) where some column has the value, and whether there is just one."""
     hit = reduce(lambda a, b: a | b, [F.col(c).cast("string") == str(value) for c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cache_key
@@ -21,6 +21,22 @@ def complete(prompts: DataFrame, cache: DataFrame, client=None) -> DataFrame:
     return known if client is None else known.unionByName(missing.join(client(missing), "key"), allowMissingColumns=True)
 
 
+def lacking(requests: DataFrame, cache: DataFrame, wanted: int, key: str = "key") -> DataFrame:
+    """Distinct requests of which the cache has fewer than `wanted` answers, with `remaining`, how many are to be asked for. Answers are counted where they lie, so a prompt with very many costs a row a task."""
+    have = cache.groupBy(key).agg(F.count("*").alias("_n"))
+    out = requests.dropDuplicates([key]).join(have, key, "left").withColumn("remaining", F.lit(wanted) - F.coalesce("_n", F.lit(0)))
+    return out.filter("remaining > 0").drop("_n")
+
+
+def cached_answers(requests: DataFrame, cache: DataFrame, wanted: int, key: str = "key", ordinal: str = "ordinal", seed: int = 0) -> DataFrame:
+    """cache's rows of the requested keys, at most `wanted` of each: all there are, or those that a hash of seed, key and ordinal draws. Every task cuts its own rows of a key first, so no task holds all answers to one prompt."""
+    mark = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(key).cast("string"), F.col(ordinal).cast("string")))
+    rows = cache.join(requests.select(key).distinct(), key, "left_semi").withColumn("_mark", mark).withColumn("_task", F.spark_partition_id())
+    place = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_mark", ordinal))
+    some = rows.withColumn("_at", place(key, "_task")).filter(F.col("_at") <= wanted)
+    return some.withColumn("_at", place(key)).filter(F.col("_at") <= wanted).drop("_mark", "_task", "_at")
+
+
 def embedding_batches(prompts: DataFrame, size: int = 512, key: str = "key", text: str = "prompt") -> DataFrame:
     """(batch, keys, texts): distinct prompts, `size` to a request, in order of their keys."""
     numbered = batch_of(prompts.groupBy(key).agg(F.first(text).alias(text)), size, key)

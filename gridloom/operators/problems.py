@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.grid import all_color, compare, drawn_transform, is_grid, is_small_grid, pair_fits, permute_colors, seeded_permutation, transformed
-from ..functions.text import fill, problem_uid
+from ..functions.text import fill, one_line_base64, problem_uid
 from ..schemas import COLORS
 from .sandbox import execute
 
@@ -76,7 +76,7 @@ def prompts(rows: DataFrame, templates: DataFrame, mode: str, **values: str) ->
 def annotated(problems: DataFrame, annotations: DataFrame) -> DataFrame:
     """(uid, export): problems with their annotations, where there are any, as base64 JSON."""
     p = problems.withColumn("uid", problem_uid(F.col("code"), F.col("examples"))).join(annotations, "uid", "left")
-    return p.select("uid", F.base64(F.to_json(F.struct("uid", "annotations", "examples", "code")).cast("binary")).alias("export"))
+    return p.select("uid", one_line_base64(F.to_json(F.struct("uid", "annotations", "examples", "code")).cast("binary")).alias("export"))
 
 
 def generated_inputs(programs: DataFrame, wanted: int, trusted: bool = False, timeout: float = 1.0, failures: int = 20, partitions: int | None = None) -> DataFrame:

@@ -46,9 +46,9 @@ def key_uniqueness(t):
     return L.unique_keys(t("lineitem"), "l_orderkey")
 
 
-@query("SELECT user_id, event_id FROM events WHERE event_type = 'click' QUALIFY count(*) OVER (PARTITION BY user_id) > 1")
+@query("SELECT event_id, concat(user_id, '-', floor(value)::BIGINT) AS k FROM events QUALIFY count(*) OVER (PARTITION BY k) > 1")
 def duplicate_ids(t):
-    return L.duplicated(t("events").filter("event_type = 'click'").select("user_id", "event_id"), "user_id")
+    return L.duplicated(t("events").select("event_id", F.concat("user_id", F.lit("-"), F.floor("value")).alias("k")), "k")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN a.k IS NULL THEN 'right' WHEN b.k IS NULL THEN 'left' ELSE 'both' END AS side FROM (SELECT DISTINCT c_custkey k FROM customer) a FULL JOIN (SELECT DISTINCT o_custkey + 5 k FROM orders) b ON a.k = b.k")
@@ -63,9 +63,18 @@ def usage_cost(t):
     return L.usage_cost(u, rates)
 
 
-@query("SELECT 'n_name' AS \"column\", count(*) FILTER (n_name IN ('FRANCE', 'NATION_3')) AS hits FROM nation HAVING count(*) FILTER (n_name IN ('FRANCE', 'NATION_3')) > 0")
+_SOUGHT = ["NATION_3", "BUILDING", "1-URGENT", "SMALL", "click", "en", "src1", "user", "R", "F"]
+_TEXTS = {
+    "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+    "lineitem": ["l_returnflag", "l_linestatus"], "events": ["event_type", "props"], "documents": ["text", "lang", "source"], "pages": ["url", "html"], "benchmark": ["text"], "conversations": ["role", "text"],
+}
+_HIT = ", ".join(f"'{v}'" for v in _SOUGHT)
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{c}' AS \"column\", count(*) AS hits FROM {t} WHERE {c} IN ({_HIT}) HAVING count(*) > 0" for t, names in _TEXTS.items() for c in names))
 def find_value_columns(t):
-    return L.find_columns(t("nation"), ["FRANCE", "NATION_3"])
+    """All text columns of all tables."""
+    return L.find_in_tables({name: t(name) for name in [*_TEXTS, "embeddings", "labels"]}, _SOUGHT)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders")
@@ -84,9 +93,34 @@ def record_normalize(t):
     return L.normalized_records(raw, {"id": [], "step_name": ["step-name", "stepName"]})
 
 
-@query("SELECT o_orderkey, count(*) OVER () = 1 AS is_unique FROM orders WHERE o_orderkey >= 100 AND o_orderkey < 400 AND (o_custkey = 77 OR o_orderkey = 77)")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, count(*) OVER () = 1 AS is_unique FROM lineitem WHERE l_orderkey >= 100 AND l_orderkey < 4000 AND (l_linenumber = 7 OR l_suppkey = 7 OR l_partkey = 7)")
 def value_search(t):
-    return L.search(t("orders"), 77, ["o_custkey", "o_orderkey"], "o_orderkey", 100, 400).select("o_orderkey", "is_unique")
+    return L.search(t("lineitem"), 7, ["l_linenumber", "l_suppkey", "l_partkey"], "l_orderkey", 100, 4000).select("l_orderkey", "l_linenumber", "l_quantity", "is_unique")
+
+
+@query("SELECT o_orderkey, true AS is_unique FROM orders WHERE o_orderkey = 77 AND o_orderkey IN (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) = 1)")
+def value_search_unique(t):
+    return L.search(t("orders"), 77, ["o_orderkey"], "o_orderkey", 0, 1 << 40).select("o_orderkey", "is_unique")
+
+
+_MARK = "md5(concat('5-', user_id, '-', event_id))"
+
+
+@query(f"SELECT user_id, event_id, event_type FROM events WHERE user_id IN (SELECT c_custkey FROM customer) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY {_MARK}, event_id) <= 60")
+def cached_answers(t):
+    """Of each customer's answers sixty, or all."""
+    from ..operators import models
+
+    requests = t("customer").select(F.col("c_custkey").alias("user_id"))
+    return models.cached_answers(requests, t("events").select("user_id", "event_id", "event_type"), 60, "user_id", "event_id", 5)
+
+
+@query("SELECT c_custkey AS user_id, 60 - count(event_id) AS remaining FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY c_custkey HAVING count(event_id) < 60")
+def lacking_answers(t):
+    from ..operators import models
+
+    requests = t("customer").select(F.col("c_custkey").alias("user_id"))
+    return models.lacking(requests.unionByName(requests), t("events").select("user_id", "event_id"), 60, "user_id")
 
 
 @query("SELECT count(*) FILTER (cached) AS hits, count(*) FILTER (NOT cached) AS misses FROM (SELECT doc_id IN (SELECT doc_id FROM labels) cached FROM documents)")

@@ -217,11 +217,16 @@ def concept_blocks(t):
     return t("part").select("p_partkey", F.size(b).alias("blocks"), F.array_join(F.transform(b, lambda x: F.array_join(x["concepts"], "|")), "|").alias("concepts"), X.without_blocks(source).alias("rest"))
 
 
-@query(BASE + "SELECT p_partkey, concat(substr(md5(concat('code', p_partkey)), 1, 8), substr(md5(concat('[{\"input\":', to_json(g), ',\"output\":', to_json(g), '}]')), 1, 8)) AS uid, p_partkey % 2 = 0 AS annotated FROM p")
+_UID = """concat(substr(md5(concat('code', p_partkey)), 1, 8), substr(md5(concat('[{"input":', to_json(g), ',"output":', to_json(g), '}]')), 1, 8))"""
+
+
+@query(BASE + f""", u AS (SELECT p_partkey, g, {_UID} AS uid FROM p)
+SELECT p_partkey, uid, to_base64(encode(concat('{{"uid":"', uid, '",', CASE WHEN p_partkey % 2 = 0 THEN '"annotations":"good",' ELSE '' END, '"examples":[{{"input":', to_json(g), ',"output":', to_json(g), '}}],"code":"code', p_partkey, '"}}'))) AS export FROM u""")
 def annotated_export(t):
+    """The export itself."""
     pair = F.array(F.struct(F.col("g").alias("input"), F.col("g").alias("output")))
     rows = derived(t("part")).select("p_partkey", F.concat(F.lit("code"), F.col("p_partkey").cast("string")).alias("code"), pair.alias("examples"))
     uid = X.problem_uid(F.col("code"), F.col("examples"))
     notes = rows.filter("p_partkey % 2 = 0").select(uid.alias("uid"), F.lit("good").alias("annotations"))
-    out = P.annotated(rows.drop("p_partkey"), notes).withColumn("said", F.unbase64("export").cast("string"))
-    return rows.select("p_partkey", uid.alias("uid")).join(out, "uid").select("p_partkey", "uid", F.get_json_object("said", "$.annotations").isNotNull().alias("annotated"))
+    out = P.annotated(rows.drop("p_partkey"), notes)
+    return rows.select("p_partkey", uid.alias("uid")).join(out, "uid").select("p_partkey", "uid", "export")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.text import one_line_base64
 from ..schemas import PROBLEM
 
 #: The character sets of Spark's CSV reader.
@@ -105,7 +106,7 @@ def selectors(spark: SparkSession, path: str, most: int = -1) -> DataFrame:
 
 def media(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """(path, length, base64) of binary files."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", F.base64("content").alias("base64"))
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "length", one_line_base64(F.col("content")).alias("base64"))
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*", limit: int | None = None) -> DataFrame:
