@@ -21,7 +21,7 @@ left border and backwards from the right one, each only as far as the spine.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from heapq import heapify, heappop, heappush
 from typing import NamedTuple
 
@@ -290,12 +290,12 @@ def product(a: Matrix, b: Matrix) -> Matrix:
     return out
 
 
-def solve(matrices: list[Matrix]) -> list[tuple[State, State, int]]:
-    """For each chunk the piece at its left and at its right border, and how many pieces come before it, from prefix products."""
-    into = [{START: 0}]
+def solve(matrices: list[Matrix], entry: State = START, leave: State | None = None, before: int = 0) -> list[tuple[State, State, int]]:
+    """For each of some neighbouring chunks, or blocks of chunks, the piece at its left and at its right border, and how many pieces come before it. entry, leave: the pieces at the borders of all of them, before: the pieces that come before; no leave: the end of the text."""
+    into = [{entry: before}]
     for m in matrices:
-        into.append(product({START: into[-1]}, m).get(START, {}))
-    leave = max(into[-1], key=into[-1].get)
+        into.append(product({entry: into[-1]}, m).get(entry, {}))
+    leave = max(into[-1], key=into[-1].get) if leave is None else leave
     out = []
     for m, at in zip(reversed(matrices), reversed(into[:-1]), strict=True):
         entry = next(e for e in at if leave in m.get(e, {}))
@@ -304,6 +304,8 @@ def solve(matrices: list[Matrix]) -> list[tuple[State, State, int]]:
     return out[::-1]
 
 
+#: Matrices that are multiplied in one place; of more, the products of so many are multiplied, and so on.
+FAN = 32
 _STATE = "struct<s:long,e:long>"
 
 
@@ -316,8 +318,10 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     """(row, ids) for every row: the ids that the library gives for the whole text.
 
     Texts of up to `giant` characters, a chunk, are encoded at once. Longer ones are cut in
-    chunks of `chunk` characters that are spread over the cluster: each gives its matrix, the matrices of one text (a few
-    hundred bytes a chunk) are multiplied, and each chunk is traced back by itself. Null or
+    chunks of `chunk` characters that are spread over the cluster: each gives its matrix (a few
+    hundred bytes), matrices are multiplied up a tree, FAN neighbours at a time, borders are
+    found down the tree, and each chunk is traced back by itself. No row holds more than FAN
+    matrices, however long a text is. Null or
     empty text: no ids. Null ids, repeated rows and further columns pass through in `row`; an
     empty table gives an empty result.
     """
@@ -356,15 +360,25 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     cell_type = pa.list_(pa.struct([("a", state), ("b", state), ("n", pa.int64())]))
     border_type = pa.schema([("_id", pa.int64()), ("_fp", pa.int64()), ("k", pa.int64()), ("a", state), ("b", state), ("n", pa.int64())])
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(cells: list[dict]) -> Matrix:
+        m: Matrix = {}
+        for x in cells:
+            m.setdefault((x["a"]["s"], x["a"]["e"]), {})[(x["b"]["s"], x["b"]["e"])] = x["n"]
+        return m
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in b.to_pylist():
+                m = reduce(product, [read(x["cells"]) for x in c["chunks"]])
+                cells = [{"a": {"s": a[0], "e": a[1]}, "b": {"s": x[0], "e": x[1]}, "n": n} for a, r in m.items() for x, n in r.items()]
+                yield pa.RecordBatch.from_arrays([pa.array([c["_id"]]), pa.array([c["_fp"]]), pa.array([c["k"]]), pa.array([cells], cell_type)], names=["_id", "_fp", "k", "cells"])
+
+    def borders_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for c in b.to_pylist():
-                ms: list[Matrix] = []
-                for m in c["chunks"]:
-                    ms.append({})
-                    for x in m["cells"]:
-                        ms[-1].setdefault((x["a"]["s"], x["a"]["e"]), {})[(x["b"]["s"], x["b"]["e"])] = x["n"]
-                got = [{"_id": c["_id"], "_fp": c["_fp"], "k": k, "a": {"s": a[0], "e": a[1]}, "b": {"s": z[0], "e": z[1]}, "n": n} for k, (a, z, n) in enumerate(solve(ms))]
+                ends = {} if c.get("a") is None else {"entry": (c["a"]["s"], c["a"]["e"]), "leave": (c["b"]["s"], c["b"]["e"]), "before": c["n"]}
+                found = solve([read(x["cells"]) for x in c["chunks"]], **ends)
+                got = [{"_id": c["_id"], "_fp": c["_fp"], "k": x["k"], "a": {"s": a[0], "e": a[1]}, "b": {"s": z[0], "e": z[1]}, "n": n} for x, (a, z, n) in zip(c["chunks"], found, strict=True)]
                 yield pa.RecordBatch.from_pylist(got, border_type)
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -382,9 +396,17 @@ def encode(docs: DataFrame, path: str | None = None, giant: int = GIANT, chunk:
     chunks = long.select("_id", "_fp", "text").mapInArrow(cut, "_id long, _fp long, k long, at long, low long, high long, last boolean, text string")
     # chunks of one text are dealt to many files; those of repeated rows are equal, and sets take them once
     chunks = written(chunks.repartition(tasks, "_id", "_fp", "k"), "chunks")
-    found = chunks.mapInArrow(matrices, f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>")
-    found = found.groupBy("_id", "_fp").agg(F.array_sort(F.collect_set(F.struct("k", "cells"))).alias("chunks"))
-    borders = written(found.mapInArrow(combine, f"_id long, _fp long, k long, a {_STATE}, b {_STATE}, n long"), "borders", tasks)
+    cells, border = f"_id long, _fp long, k long, cells array<struct<a:{_STATE},b:{_STATE},n:long>>", f"_id long, _fp long, k long, a {_STATE}, b {_STATE}, n long"
+    grouped = lambda level: level.groupBy("_id", "_fp", F.floor(F.col("k") / FAN).cast("long").alias("block")).agg(F.array_sort(F.collect_set(F.struct("k", "cells"))).alias("chunks")).withColumnRenamed("block", "k")
+    level = chunks.mapInArrow(matrices, cells)
+    most = (chunks.agg(F.max("k")).first()[0] or 0) + 1
+    levels = []
+    while most > FAN:
+        levels.append(written(level, "matrices", tasks))
+        level, most = grouped(levels[-1]).mapInArrow(multiply, cells), -(-most // FAN)
+    borders = written(grouped(level).mapInArrow(borders_of, border), "borders", tasks)
+    for level in reversed(levels):
+        borders = written(grouped(level).join(borders, ["_id", "_fp", "k"]).mapInArrow(borders_of, border), "borders", tasks)
     # one plan at every size: a few borders would be broadcast, many not
     traced = chunks.join(borders.hint("merge"), ["_id", "_fp", "k"]).mapInArrow(trace, "_id long, _fp long, k long, ids array<int>")
     ids = traced.groupBy("_id", "_fp").agg(F.flatten(F.transform(F.array_sort(F.collect_set(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))

@@ -223,3 +223,16 @@ def test_every_query_runs_and_has_its_columns(spark, tmp_path, corpus):
                 assert r.round_trip
             if name == "op10_toxicity":
                 assert r.predicted == int(r.score >= 0.5)
+
+
+def test_matrices_are_multiplied_up_a_tree(spark, monkeypatch):
+    """A text of more than a hundred chunks, three matrices at a time: five levels."""
+    monkeypatch.setattr(pieces, "FAN", 3)
+    rng = random.Random(8)
+    long = " ".join(rng.choice(["the", "pieces", "überall", "aaaa", "of", "語", "\n", "x" * 20]) for _ in range(1500))
+    rows = [(1, long), (2, long[:70]), (3, "a" * 300), (4, long), (5, "")]
+    out = pieces.encode(table(spark, rows), giant=64, chunk=48)
+    model = pieces.Pieces.at(pieces.default_path()).model
+    assert len(long) // 48 > 100
+    for r in out.select("row.doc_id", "row.text", "ids").collect():
+        assert list(r.ids) == model.encode(r.text)
