@@ -172,7 +172,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
     Null text, or text without a letter, or a model without languages: `und`, score 0. Null
     ids, repeated rows and further columns pass through in `row`; an empty table gives an
-    empty result. Nothing is shuffled.
+    empty result. A long text is one histogram like any other. Nothing is shuffled.
     """
     small_batches(docs)
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))

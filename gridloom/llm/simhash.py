@@ -195,7 +195,8 @@ def near_duplicates(docs: DataFrame, bits: int = 3, shingle: int = 3, together:
 
     Null or empty text: fingerprint zero, linked like any other. Null ids never count as
     smallest; where no id is known component_id is null. Repeated rows stay. An empty table
-    gives an empty result. Only doc_id and text are read, whatever else the table has.
+    gives an empty result. A text of any length is hashed whole. Only doc_id and text are
+    read, whatever else the table has.
     """
     tasks = tasks_for(docs)
     rows = written(fingerprints(docs, shingle), "simhash", tasks)

@@ -127,8 +127,8 @@ def remove_repeated_words(docs: DataFrame, width: int = 50, batches: int = 3, in
     Returns (row, n_words, spans: array of start and end in words, kept_text: the words left,
     joined by one space) for every row. Null text: no words. Texts of fewer than `width`
     words keep all. A null id counts as larger than every other. Rows with equal ids never
-    remove from each other. An empty table gives an empty result. `row` holds the input's
-    columns, whatever their names. Words are compared by 128 bits: two digests of a run's anchor and
+    remove from each other. An empty table gives an empty result. Long texts are read whole,
+    in overlapping stretches. `row` holds the input's columns, whatever their names. Words are compared by 128 bits: two digests of a run's anchor and
     of its whole content, or of runs that share the anchor only two digests of each window.
     """
     spark, tasks = docs.sparkSession, tasks_for(docs)

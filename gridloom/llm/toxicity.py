@@ -203,7 +203,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """(row, score) for every row: the whole text is read, nothing else.
 
     Null text, or text without a word: 0. Null ids, repeated rows and further columns pass
-    through in `row`; an empty table gives an empty result. Nothing is shuffled.
+    through in `row`; an empty table gives an empty result. Of a long text all words are scored,
+    and its bag is larger in proportion. Nothing is shuffled.
     """
     small_batches(docs)
     docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
