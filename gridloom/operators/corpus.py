@@ -25,6 +25,12 @@ def ranges_for(df: DataFrame) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions")) if size > 1 << 50 else max(spark.sparkContext.defaultParallelism, -(-size // RANGE_BYTES))
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """A small table dealt to all cores by a key, as it may lie in one row group, which is one task; a table of over RANGE_BYTES a core has enough of these and stays where it is."""
+    size, cores = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores, *by) if size <= RANGE_BYTES * cores else df
+
+
 def numbered(df: DataFrame, *order, name: str = "rn", groups: int | None = None) -> DataFrame:
     """df with a row number from 1 over the whole table, in the given order, without one task for all rows.
 
@@ -201,14 +207,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = 8) -> DataFr
     have whole, and of a few letters of those that a text may go on with. A text has a key
     for each place where a string of one of the length classes in use could stand; classes
     are few, however many strings there are. What meets is verified. A benchmark of up to
-    BROADCAST_BYTES is measured and broadcast, and texts do not move; beyond it keys meet in
-    a shuffle, and texts follow for candidates only. A text is normalised once: `explode`
+    BROADCAST_BYTES is measured and broadcast, and texts do not move (but for a small table,
+    see spread()); beyond it keys meet in a shuffle, and texts follow for candidates only. A text is normalised once: `explode`
     keeps the optimizer from repeating the expression.
 
     Null texts and strings, and strings of white space, contain and are contained in nothing.
     """
     norm = lambda c: F.explode_outer(F.array(normalized(F.col(c))))
-    d = docs.select("doc_id", norm("text").alias("t"))
+    d = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", norm("text").alias("t"))
     b = benchmark.select("item_id", norm("text").alias("b")).filter("b <> ''").withColumn("w", F.split("b", " "))
     kind, key = _string_key(F.col("w"), gram)
     b = b.select("item_id", "b", kind.cast("int").alias("kind"), key.alias("h"))
