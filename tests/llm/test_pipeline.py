@@ -8,7 +8,7 @@ from gridloom.llm import queries
 
 def test_stages_and_queries_are_complete():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_dedup", "repeated_passages", "secret_scan", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_each_stage_by_brute_force(spark, corpus):
