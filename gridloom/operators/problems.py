@@ -73,10 +73,15 @@ def prompts(rows: DataFrame, templates: DataFrame, mode: str, **values: str) ->
     return rows.join(templates.select(mode, "template"), mode).withColumn("prompt", filled).drop("template")
 
 
-def annotated(problems: DataFrame, annotations: DataFrame) -> DataFrame:
-    """(uid, export): problems with their annotations, where there are any, as base64 JSON."""
-    p = problems.withColumn("uid", problem_uid(F.col("code"), F.col("examples"))).join(annotations, "uid", "left")
-    return p.select("uid", one_line_base64(F.to_json(F.struct("uid", "annotations", "examples", "code")).cast("binary")).alias("export"))
+def annotated(problems: DataFrame, annotations: DataFrame, by: tuple[str, ...] = ("uid",)) -> DataFrame:
+    """(uid, export, and of `by` the rest): problems with their annotations, where there are any, as base64 JSON.
+
+    A uid is 64 bits of two hashes, and equal grids share half of them, so in millions of
+    problems some differ but share one; `by` names further columns of both tables that tell
+    these apart.
+    """
+    p = problems.withColumn("uid", problem_uid(F.col("code"), F.col("examples"))).join(annotations, list(by), "left")
+    return p.select(*dict.fromkeys(("uid", *by)), one_line_base64(F.to_json(F.struct("uid", "annotations", "examples", "code")).cast("binary")).alias("export"))
 
 
 def generated_inputs(programs: DataFrame, wanted: int, trusted: bool = False, timeout: float = 1.0, failures: int = 20, partitions: int | None = None) -> DataFrame:

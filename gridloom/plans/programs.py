@@ -226,7 +226,5 @@ def annotated_export(t):
     """The export itself."""
     pair = F.array(F.struct(F.col("g").alias("input"), F.col("g").alias("output")))
     rows = derived(t("part")).select("p_partkey", F.concat(F.lit("code"), F.col("p_partkey").cast("string")).alias("code"), pair.alias("examples"))
-    uid = X.problem_uid(F.col("code"), F.col("examples"))
-    notes = rows.filter("p_partkey % 2 = 0").select(uid.alias("uid"), F.lit("good").alias("annotations"))
-    out = P.annotated(rows.drop("p_partkey"), notes)
-    return rows.select("p_partkey", uid.alias("uid")).join(out, "uid").select("p_partkey", "uid", "export")
+    notes = rows.filter("p_partkey % 2 = 0").select("p_partkey", X.problem_uid(F.col("code"), F.col("examples")).alias("uid"), F.lit("good").alias("annotations"))
+    return P.annotated(rows, notes, ("uid", "p_partkey")).select("p_partkey", "uid", "export")
