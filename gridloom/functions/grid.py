@@ -266,9 +266,8 @@ def from_text(text: Column, strict: bool = True, names: list[str] | None = None)
     word = lambda w: F.try_element_at(known, F.lower(w))
     grid = F.transform(rows, lambda r: F.transform(F.filter(F.split(r, r"\s+"), lambda w: w != ""), lambda w: F.coalesce(word(w), F.lit(-1))))
     if strict:
-        return F.when(~F.exists(F.flatten(grid), lambda c: c == -1), grid)
-    lost = F.forall(F.element_at(grid, -1), lambda c: c == -1)
-    return F.when(lost, F.slice(grid, 1, F.size(grid) - 1)).otherwise(grid)
+        return let(grid, lambda g: F.when(~F.exists(F.flatten(g), lambda c: c == -1), g))
+    return let(grid, lambda g: F.when(F.forall(F.element_at(g, -1), lambda c: c == -1), F.slice(g, 1, F.size(g) - 1)).otherwise(g))
 
 
 def between_boxes(a: Column, b: Column, x, y, padding: int = 0) -> Column:

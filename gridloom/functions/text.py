@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schemas import COLORS, MODEL_COLORS
-from .grid import from_text, to_text
+from .grid import from_text, let, to_text
 
 
 def squeeze(t: Column) -> Column:
@@ -158,14 +158,18 @@ def problem_prompt(train: Column, test: Column, names: list[str] | None = None)
 def prompt_pairs(t: Column) -> Column:
     """STRUCT<train: ARRAY<STRUCT<input, output>>, test>: the grids of a prompt, headings in turn; the last input has no output."""
     grids = F.filter(F.transform(prompt_grids(t), lambda g: from_text(g, strict=False)), lambda g: F.size(g) > 0)
-    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(grids) - 2, F.lit(0))), lambda k: (k % 2 == 0) & (k + 1 < F.size(grids))), lambda k: F.struct(F.get(grids, k).alias("input"), F.get(grids, k + 1).alias("output")))
-    return F.struct(pairs.alias("train"), F.when(F.size(grids) % 2 == 1, F.get(grids, F.size(grids) - 1)).alias("test"))
+
+    def paired(grids: Column) -> Column:
+        pairs = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(F.size(grids) - 2, F.lit(0))), lambda k: (k % 2 == 0) & (k + 1 < F.size(grids))), lambda k: F.struct(F.get(grids, k).alias("input"), F.get(grids, k + 1).alias("output")))
+        return F.struct(pairs.alias("train"), F.when(F.size(grids) % 2 == 1, F.get(grids, F.size(grids) - 1)).alias("test"))
+
+    return let(grids, paired)
 
 
 def prompt_grids(t: Column) -> Column:
     """The grid texts of a prompt, in order."""
-    parts = F.split(t, r"(?:Input|Output):\s*\n")
-    grids = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: strip(F.get(F.split(p, r"\n\s*\n"), 0)))
+    parts = let(F.split(t, r"(?:Input|Output):\s*\n"), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
+    grids = F.transform(parts, lambda p: strip(F.get(F.split(p, r"\n\s*\n"), 0)))
     return F.filter(grids, lambda g: g != "")
 
 

@@ -11,7 +11,7 @@ from .. import schemas
 from ..functions import grid as G
 from ..functions import text as X
 from ..operators import corpus as C
-from ..session import shared_folder
+from ..session import dealt, shared_folder
 from ..sources import readers, writers
 from ..streaming import ingest
 from .grids import BASE, derived
@@ -231,6 +231,6 @@ def prompt_to_grids(t):
     """A prompt is read back as grids; one that holds no colour word is dropped."""
     pair = F.struct(F.col("g").alias("input"), F.col("g").alias("output"))
     prompt = F.concat(X.problem_prompt(F.array(pair, pair), pair), F.lit("\n\nExample 9\nInput:\n???\n"))
-    out = derived(t("part")).select("p_partkey", F.col("g"), X.prompt_pairs(prompt).alias("q"))
+    out = derived(dealt(t("part").select("p_partkey", "p_size"))).select("p_partkey", F.col("g"), X.prompt_pairs(prompt).alias("q"))
     whole = (F.get("q.train", 0)["output"] == F.col("g")) & (F.get("q.train", 1)["input"] == F.col("g")) & (F.col("q.test") == F.col("g"))
     return out.select("p_partkey", F.when(whole, F.size("q.train") + G.height(F.col("q.test"))).alias("rows"))

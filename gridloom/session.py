@@ -54,3 +54,9 @@ def dropped(spark: SparkSession, path: str) -> None:
     """Deletes a table that no one reads any more."""
     to = spark._jvm.org.apache.hadoop.fs.Path(path)
     to.getFileSystem(spark._jsc.hadoopConfiguration()).delete(to, True)
+
+
+def dealt(df: DataFrame, *by: str, tasks: int | None = None) -> DataFrame:
+    """df over all cores, four tasks each unless `tasks` is given: for work that a row's few bytes do not show, which the sizes of files would leave to a task or two. Rows that are equal in `by` meet."""
+    n = tasks or 4 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *by)

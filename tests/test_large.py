@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from gridloom.functions import text as X
 from gridloom.operators import problems
 from gridloom.plans import catalogue
 
@@ -28,3 +29,12 @@ def test_problems_that_share_a_uid(spark, tmp_path):
     notes = rows.filter("k = 154217").select("k", problems.problem_uid("code", "examples").alias("uid"), F.lit("x").alias("annotations"))
     out = {r.k: r for r in problems.annotated(rows, notes, ("uid", "k")).select("k", "uid", F.unbase64("export").cast("string").alias("e")).collect()}
     assert len(out) == 2 and out[154217].uid == out[476177].uid and '"x"' in out[154217].e and "annotations" not in out[476177].e
+
+
+def test_a_prompt_is_parsed_once(spark, tmp_path):
+    pairs = spark.createDataFrame([("Input:\nBlack Red\n\nOutput:\nBlue\n\nInput:\nGreen\n",)], "t string").select(X.prompt_pairs(F.col("t")).alias("q"))
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Input|Output") == 1
+    assert pairs.select("q.train.input", "q.train.output", "q.test").first() == ([[[0, 2]]], [[[1]]], [[3]])
+    assert same_as_sql(spark, "prompt_to_grids", tmp_path, part=parts(spark, range(20)).coalesce(1))
+    out = catalogue.queries()["prompt_to_grids"](spark, str(tmp_path))
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
