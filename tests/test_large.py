@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as X
-from gridloom.operators import problems
+from gridloom.operators import problems, sandbox
 from gridloom.plans import catalogue
 
 
@@ -38,3 +38,19 @@ def test_a_prompt_is_parsed_once(spark, tmp_path):
     assert same_as_sql(spark, "prompt_to_grids", tmp_path, part=parts(spark, range(20)).coalesce(1))
     out = catalogue.queries()["prompt_to_grids"](spark, str(tmp_path))
     assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_equal_jobs_run_once_and_others_on_all_cores(spark):
+    clock = "import time\ndef main(g):\n    return [time.time_ns()]"
+    jobs = spark.range(60).coalesce(1).select("id", F.lit(clock).alias("program"), F.lit("main").alias("function"), F.concat(F.lit("[[["), F.col("id") % 20, F.lit("]]]")).alias("args"), F.lit(0).alias("seed"))
+    got = sandbox.execute(jobs, trusted=True, timeout=20.0).withColumn("at", F.spark_partition_id()).collect()
+    assert len(got) == 60 and {r.status for r in got} == {"ok"}
+    assert len({r.output for r in got}) == 20 == len({(r.args, r.output) for r in got}) and len({r.at for r in got}) > 1
+
+
+def test_the_memory_of_jobs_is_bounded():
+    memory, runs = sandbox.Memory(40), []
+    for k in (1, 1, 2, 3, 4, 1):
+        job = ("p" * 8, "f", f"{k}", 0)
+        assert memory.of(job, lambda k=k: runs.append(k) or {"status": "ok", "output": f"{k}", "error": None})["output"] == f"{k}"
+    assert runs == [1, 2, 3, 4, 1] and memory.held <= 40
