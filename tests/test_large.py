@@ -54,3 +54,9 @@ def test_the_memory_of_jobs_is_bounded():
         job = ("p" * 8, "f", f"{k}", 0)
         assert memory.of(job, lambda k=k: runs.append(k) or {"status": "ok", "output": f"{k}", "error": None})["output"] == f"{k}"
     assert runs == [1, 2, 3, 4, 1] and memory.held <= 40
+
+
+def test_validation_uses_all_cores(spark, tmp_path):
+    assert same_as_sql(spark, "program_validation", tmp_path, part=parts(spark, range(12)).coalesce(1))
+    out = catalogue.queries()["program_validation"](spark, str(tmp_path))
+    assert out.select("verdict", F.spark_partition_id().alias("at")).select("at").distinct().count() > 1
