@@ -100,13 +100,13 @@ class Model:
 
     @classmethod
     def fit(cls, x: np.ndarray, lang: list[str]) -> Model:
-        """x: relative frequencies, one row for each text."""
+        """x: relative frequencies, one row for each text. Where x can be written it is scaled in place: it is the largest thing in the driver."""
         if not len(x):
             return cls()
         scale = 1 / np.sqrt(x.mean(axis=0) + 1e-5)
-        norm = float(np.sqrt(((x * scale) ** 2).sum(axis=1).mean()))
+        norm = float(np.sqrt(np.concatenate([((x[at : at + 64] * scale) ** 2).sum(axis=1) for at in range(0, len(x), 64)]).mean()))
         scale = (scale / norm).astype(np.float32)
-        x = x * scale
+        x = np.multiply(x, scale, out=x if x.flags.writeable else None)
         lang = np.array(lang)
         kin = np.array([family(v) for v in lang])
         families = sorted(set(kin))
@@ -160,11 +160,20 @@ def learn(docs: DataFrame, learned_from, rows_each: int = ROWS_EACH, rows: int =
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 if (h := histogram(text)) is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([h.tobytes()])], names=["lang", "x"])
-
-    got = chosen.select("lang", "text").mapInArrow(count, "lang string, x binary").collect()
-    x = np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, FEATURES)
-    return Model.fit(x, [r["lang"] for r in got])
+                    at = np.flatnonzero(h).astype(np.uint16)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([at.tobytes()]), pa.array([h[at].tobytes()])], names=["lang", "at", "x"])
+
+    # only what is not zero goes to the driver, in whose JVM rows are held several times over
+    got = chosen.select("lang", "text").mapInArrow(count, "lang string, at binary, x binary").collect()
+    x = np.zeros((len(got), FEATURES), np.float32)
+    for row, r in zip(x, got, strict=True):
+        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["x"], np.float32)
+    langs = [r["lang"] for r in got]
+    del got
+    model = Model.fit(x, langs)
+    del x
+    release()
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
