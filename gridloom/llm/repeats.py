@@ -61,9 +61,9 @@ def records(docs: DataFrame, unit: Unit) -> DataFrame:
 BITS = 1 << 23
 
 
-def parted(docs: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(docs that may have one of the keys (_id, _fp), docs that surely have none), by a set of BITS bits of the keys' hashes, which goes to every task; so of the others no text moves."""
-    spot = F.pmod(F.xxhash64("_id", "_fp"), F.lit(BITS))
+def parted(docs: DataFrame, keys: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """(docs that may have one of the keys (_id, _fp; or `by`), docs that surely have none), by a set of BITS bits of the keys' hashes, which goes to every task; so of the others no text moves."""
+    spot = F.pmod(F.xxhash64(*by or ("_id", "_fp")), F.lit(BITS))
     one = keys.select(spot.alias("s")).select(F.shiftright("s", 6).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("s").bitwiseAND(63).cast("int")).alias("_b"))
     words = one.groupBy("_w").agg(F.bit_or("_b").alias("_b"))  # BITS / 64 rows at most
     marked = docs.withColumn("_s", spot).join(F.broadcast(words), F.shiftright("_s", 6) == F.col("_w"), "left")
