@@ -19,6 +19,9 @@ LAST = (1 << 63) - 1
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Spark takes a union of bucketed tables as bucketed also where it then reads them plainly, and leaves out the shuffle that a sum over it needs.
 _UNION = "spark.sql.unionOutputPartitioning"
+#: Characters of a job's plan that the driver keeps as text, each time the plan changes and until the application ends.
+_PLAN = "spark.sql.maxPlanStringLength"
+PLAN_TEXT = 4096
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,8 +64,8 @@ def settings(spark: SparkSession, **values: str):
 
 @contextmanager
 def tidy(spark: SparkSession):
-    """Shuffle files of the jobs inside go when each job ends; their results are in tables by then. Unions inside are shuffled before sums."""
-    with settings(spark, **{_CLEANUP: "true", _UNION: "false"}):
+    """Shuffle files of the jobs inside go when each job ends; their results are in tables by then. Unions inside are shuffled before sums. Of plans the driver keeps a short text."""
+    with settings(spark, **{_CLEANUP: "true", _UNION: "false", _PLAN: str(PLAN_TEXT)}):
         yield
 
 

@@ -3,7 +3,7 @@ import tracemalloc
 from brute import table
 from pyspark.sql import functions as F
 
-from gridloom.llm import language
+from gridloom.llm import common, language
 
 
 def test_learning_holds_little_more_than_the_matrix(spark):
@@ -16,3 +16,17 @@ def test_learning_holds_little_more_than_the_matrix(spark):
     finally:
         tracemalloc.stop()
     assert model.families and peak < 3 * len(rows) * language.FEATURES * 4
+
+
+def test_the_driver_keeps_short_texts_of_plans(spark):
+    df = spark.range(10)
+    for k in range(40):
+        df = df.join(spark.range(10).withColumnRenamed("id", f"k{k}"), F.col("id") == F.col(f"k{k}"))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    common.written(df, "many-joins")
+    assert spark.conf.get("spark.sql.maxPlanStringLength") != str(common.PLAN_TEXT)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    plans = store.executionsList()
+    assert plans.size() > before
+    assert max(len(plans.apply(k).physicalPlanDescription()) for k in range(before, plans.size())) <= common.PLAN_TEXT + 100
