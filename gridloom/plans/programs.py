@@ -9,6 +9,7 @@ from ..functions import code, tokens
 from ..functions import text as X
 from ..operators import chat, corpus, dataset, models, prompts, sandbox
 from ..operators import problems as P
+from ..session import dealt
 from .grids import BASE, derived
 from .registry import query
 
@@ -172,7 +173,9 @@ def sandbox_runs(t):
 
 @query(BASE + ", c AS (SELECT p_partkey, p_size, n, m, g FROM p JOIN part USING (p_partkey)) SELECT p_partkey, 0 AS pair_idx, CASE p_size % 3 WHEN 2 THEN 'ERROR' WHEN 0 THEN 'CONTENT' ELSE CASE WHEN g = list_transform(range(n), lambda i: list_transform(range(m), lambda j: g[n-i][j+1])) THEN 'EQUAL' ELSE 'CONTENT' END END AS verdict FROM c")
 def program_validation(t):
-    rows = derived(t("part")).join(t("part").select("p_partkey", "p_size"), "p_partkey")
+    """Parts are dealt to all cores first, as building grids costs far more than reading the few bytes they are made of; the joins keep that order."""
+    part = dealt(t("part").select("p_partkey", "p_size"), "p_partkey")
+    rows = derived(part).join(part, "p_partkey")
     programs = rows.select(F.col("p_partkey").alias("uid"), _main(F.col("p_size")).alias("program"))
     pairs = rows.select(F.col("p_partkey").alias("uid"), F.lit(0).alias("pair_idx"), F.col("g").alias("input"), F.col("g").alias("output"))
     return P.validated(programs, pairs, trusted=True, timeout=5.0).select(F.col("uid").alias("p_partkey"), "pair_idx", "verdict")
