@@ -22,6 +22,8 @@ _UNION = "spark.sql.unionOutputPartitioning"
 #: Characters of a job's plan that the driver keeps as text, each time the plan changes and until the application ends.
 _PLAN = "spark.sql.maxPlanStringLength"
 PLAN_TEXT = 4096
+#: Until the rows of a held table are there, Spark reckons its size as the product of what it joins, and so adds Bloom filters of megabytes, which the driver serializes with every stage.
+_BLOOM = "spark.sql.optimizer.runtime.bloomFilter.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -124,7 +126,7 @@ def held(spark: SparkSession):
     """Gives a function that keeps a table's rows on the executors' disks until the block ends.
 
     For tables that several jobs of one step read; a lost executor's part is computed again.
-    What outlives the step is written().
+    What outlives the step is written(). Joins inside get no Bloom filters.
     """
     rows: list[DataFrame] = []
 
@@ -133,7 +135,8 @@ def held(spark: SparkSession):
         return rows[-1]
 
     try:
-        yield keep
+        with settings(spark, **{_BLOOM: "false"}):
+            yield keep
     finally:
         for df in rows:
             df.unpersist()

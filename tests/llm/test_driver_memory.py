@@ -30,3 +30,15 @@ def test_the_driver_keeps_short_texts_of_plans(spark):
     plans = store.executionsList()
     assert plans.size() > before
     assert max(len(plans.apply(k).physicalPlanDescription()) for k in range(before, plans.size())) <= common.PLAN_TEXT + 100
+
+
+def test_joins_of_held_tables_have_no_bloom_filters(spark, tmp_path):
+    spark.range(2000).withColumn("x", F.col("id") % 7).write.parquet(f"{tmp_path}/t")
+    t = spark.read.parquet(f"{tmp_path}/t")
+    with common.settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"), common.held(spark) as keep:
+        several = t
+        for c in "abc":
+            several = several.join(t.select("id", F.col("x").alias(c)), "id")
+        joined = keep(several).join(t.filter("x = 3").select("id"), "id")
+        assert "might_contain" not in joined._jdf.queryExecution().optimizedPlan().toString()
+        assert joined.count() == 286
