@@ -91,16 +91,21 @@ def cells(g: Column) -> Column:
 
 def bounding_box(g: Column, background: int = 0) -> Column:
     """STRUCT<x, y, w, h> of the cells that are not background; none: (n, m, -n, -m)."""
-    full = F.filter(cells(g), lambda p: p["c"] != background)
-    low = lambda k, n: F.coalesce(F.array_min(F.transform(full, lambda p: p[k])), n)
-    high = lambda k: F.coalesce(F.array_max(F.transform(full, lambda p: p[k])), F.lit(-1))
-    x, y = low("x", height(g)), low("y", width(g))
-    return F.struct(x.alias("x"), y.alias("y"), (high("x") - x + 1).alias("w"), (high("y") - y + 1).alias("h"))
+
+    def box(g, full):
+        low = lambda k, n: F.coalesce(F.array_min(full[k]), n)
+        high = lambda k: F.coalesce(F.array_max(full[k]), F.lit(-1))
+        x, y = low("x", height(g)), low("y", width(g))
+        return F.struct(x.alias("x"), y.alias("y"), (high("x") - x + 1).alias("w"), (high("y") - y + 1).alias("h"))
+
+    return let(g, lambda x: let(F.filter(cells(x), lambda p: p["c"] != background), lambda full: box(x, full)))
 
 
 def bounding_box_mask(g: Column, background: int = 0) -> Column:
-    b = bounding_box(g, background)
-    return F.transform(g, lambda r, i: F.transform(r, lambda c, j: i.between(b["x"], b["x"] + b["w"] - 1) & j.between(b["y"], b["y"] + b["h"] - 1)))
+    def mask(g, b):
+        return F.transform(g, lambda r, i: F.transform(r, lambda c, j: i.between(b["x"], b["x"] + b["w"] - 1) & j.between(b["y"], b["y"] + b["h"] - 1)))
+
+    return let(g, lambda x: let(bounding_box(x, background), lambda b: mask(x, b)))
 
 
 def object_position(g: Column, anchor: str = "upper left", background: int = 0) -> Column:

@@ -9,6 +9,7 @@ from ..functions import kernels as K
 from ..functions import random_grids as R
 from ..functions import symmetry as Y
 from ..functions import text as X
+from ..session import dealt
 from .registry import query
 
 _CELL = "((p_partkey * 7 + i * 3 + j * 5 + i * j) % 10)::INT"
@@ -276,7 +277,7 @@ def augment_policy(t):
 
 @query(_LONG + ", b AS (SELECT p_partkey, min(i) x, max(i) x2, min(j) y, max(j) y2 FROM c WHERE v >= 7 GROUP BY p_partkey), y AS (SELECT c.p_partkey, c.i, c.j, coalesce(c.i BETWEEN x AND x2 AND c.j BETWEEN y AND y2, false) f FROM c LEFT JOIN b USING (p_partkey))" + _grid_of("f", "y"))
 def grid_bbox_mask(t):
-    return _objects(t).select("p_partkey", F.to_json(F.struct(G.bounding_box_mask(F.col("g")).alias("value"))).alias("value"))
+    return _objects(lambda name: dealt(t(name).select("p_partkey", "p_size"))).select("p_partkey", F.to_json(F.struct(G.bounding_box_mask(F.col("g")).alias("value"))).alias("value"))
 
 
 @query("SELECT p_partkey, [5, 5, NULL, 0][1 + p_size % 4]::INT AS cell FROM part")

@@ -3,6 +3,7 @@
 import duckdb
 from pyspark.sql import functions as F
 
+from gridloom.functions import grid as G
 from gridloom.functions import text as X
 from gridloom.operators import problems, sandbox
 from gridloom.plans import catalogue
@@ -60,3 +61,14 @@ def test_validation_uses_all_cores(spark, tmp_path):
     assert same_as_sql(spark, "program_validation", tmp_path, part=parts(spark, range(12)).coalesce(1))
     out = catalogue.queries()["program_validation"](spark, str(tmp_path))
     assert out.select("verdict", F.spark_partition_id().alias("at")).select("at").distinct().count() > 1
+
+
+def test_a_box_is_found_once_a_grid(spark, tmp_path):
+    """The mask asks for the box at every cell."""
+    rows = [(0, [[0, 1, 0], [0, 0, 2]]), (1, [[0, 0]]), (2, [[3]]), (3, [])]
+    grids = spark.createDataFrame(rows, "k int, g array<array<int>>").select("k", G.bounding_box_mask(F.col("g")).alias("mask"), G.bounding_box(F.col("g")).alias("b"))
+    assert grids.select("mask")._jdf.queryExecution().optimizedPlan().toString().count("filter(flatten(") == 1
+    assert {r.k: (r.mask, tuple(r.b)) for r in grids.collect()} == {0: ([[False, True, True]] * 2, (0, 1, 2, 2)), 1: ([[False, False]], (1, 2, -1, -2)), 2: ([[True]], (0, 0, 1, 1)), 3: ([], (0, None, 0, None))}
+    assert same_as_sql(spark, "grid_bbox_mask", tmp_path, part=parts(spark, range(40)).coalesce(1))
+    out = catalogue.queries()["grid_bbox_mask"](spark, str(tmp_path))
+    assert out.select("value", F.spark_partition_id().alias("at")).select("at").distinct().count() > 1
