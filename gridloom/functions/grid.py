@@ -170,7 +170,7 @@ def rot270(g: Column) -> Column:
 
 def permute_colors(g: Column, mapping: Column) -> Column:
     """mapping: ARRAY<INT> whose k-th entry replaces colour k; null leaves it."""
-    return map_cells(g, lambda c: F.coalesce(F.get(mapping, c), c))
+    return let(mapping, lambda to: map_cells(g, lambda c: F.coalesce(F.get(to, c), c)))
 
 
 def inverse_permutation(mapping: Column) -> Column:
@@ -210,12 +210,12 @@ def drawn_transform(key: Column, side: Column, odds: float = 0.5, recolor: bool
     """STRUCT<columns, rows, quarters, k, colors>: reversed columns and rows, a turn of one to three quarters and a scale of up to `largest` over the longest side, each with the same odds; colours 1 to 9 permuted for half of all keys, 0 to 9 for a tenth."""
     chance = lambda what: draw(key, what, 1000) < F.lit(int(1000 * odds))
     most = F.greatest(F.floor(F.lit(largest) / side).cast("int"), F.lit(1))
-    of = draw(key, "colors", 10)
-    colors = F.when(of < 5, seeded_permutation(key)).when(of == 5, seeded_permutation(key, 0, 9)) if recolor else F.lit(None).cast("array<int>")
-    return F.struct(
+    colors = lambda of: F.when(of < 5, seeded_permutation(key)).when(of == 5, seeded_permutation(key, 0, 9)) if recolor else F.lit(None).cast("array<int>")
+    # a struct in a `let`, as Spark would put a plain one's fields, hashes and all, wherever they are named
+    return let(draw(key, "colors", 10), lambda of: F.struct(
         chance("columns").alias("columns"), chance("rows").alias("rows"), F.when(chance("turn"), draw(key, "quarters", 3) + 1).otherwise(0).alias("quarters"),
-        F.when(chance("scale"), draw(key, "k", most) + 1).otherwise(1).alias("k"), colors.alias("colors"),
-    )
+        F.when(chance("scale"), draw(key, "k", most) + 1).otherwise(1).alias("k"), colors(of).alias("colors"),
+    ))
 
 
 def transformed(g: Column, t: Column, other: bool = False) -> Column:
@@ -224,8 +224,8 @@ def transformed(g: Column, t: Column, other: bool = False) -> Column:
     quarters = F.pmod(t["quarters"] + 1, F.lit(4)) if other else t["quarters"]
     g = let(g, lambda x: F.when(columns, flip_columns(x)).otherwise(x))
     g = let(g, lambda x: F.when(rows, flip_rows(x)).otherwise(x))
-    g = scale(turned(g, quarters), t["k"])
-    return let(g, lambda x: F.when(t["colors"].isNotNull(), permute_colors(x, t["colors"])).otherwise(x))
+    g = let(turned(g, quarters), lambda x: F.when(t["colors"].isNotNull(), permute_colors(x, t["colors"])).otherwise(x))
+    return let(g, lambda x: F.when(t["k"] > 1, scale(x, t["k"])).otherwise(x))  # last, so that a cell is recoloured once
 
 
 def translate_point(x, y, dx, dy, times=1) -> Column:

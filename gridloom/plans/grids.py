@@ -254,7 +254,7 @@ def augment_tasks(t):
     pair = lambda a, b: F.struct(a.alias("input"), b.alias("output"))
     g = F.col("g")
     pairs = F.array(pair(g, G.flip_rows(g)), pair(G.flip_columns(g), g))
-    tasks = derived(t("part")).select(F.col("p_partkey").alias("uid"), pairs.alias("train"), pairs.alias("test"))
+    tasks = derived(dealt(t("part").select("p_partkey", "p_size"))).select(F.col("p_partkey").alias("uid"), pairs.alias("train"), pairs.alias("test"))
     return augmented_tasks(tasks, 2).select(F.col("uid").alias("p_partkey"), "round", F.to_json("train").alias("train"), F.to_json("test").alias("test"))
 
 

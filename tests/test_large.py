@@ -72,3 +72,11 @@ def test_a_box_is_found_once_a_grid(spark, tmp_path):
     assert same_as_sql(spark, "grid_bbox_mask", tmp_path, part=parts(spark, range(40)).coalesce(1))
     out = catalogue.queries()["grid_bbox_mask"](spark, str(tmp_path))
     assert out.select("value", F.spark_partition_id().alias("at")).select("at").distinct().count() > 1
+
+
+def test_a_transform_is_drawn_once_a_task_and_round(spark, tmp_path):
+    """All grids of a task ask for it, some at every cell."""
+    assert same_as_sql(spark, "augment_tasks", tmp_path, part=parts(spark, range(60)).coalesce(1))
+    out = catalogue.queries()["augment_tasks"](spark, str(tmp_path))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(-, colors") == 1
+    assert out.select("train", F.spark_partition_id().alias("at")).select("at").distinct().count() > 1
