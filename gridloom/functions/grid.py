@@ -195,11 +195,6 @@ def augment(g: Column, key: Column, largest: int = LARGEST) -> Column:
     return let(g, lambda x: F.when(tosses("scale"), scale(x, F.least(most(x), draw(key, "k", 3) + 1))).otherwise(x))
 
 
-def turned(g: Column, quarters: Column) -> Column:
-    """Quarter turns clockwise, 0 to 3."""
-    return let(g, lambda x: F.when(quarters == 1, rot90(x)).when(quarters == 2, rot180(x)).when(quarters == 3, rot270(x)).otherwise(x))
-
-
 def draw(key: Column, what: str, n) -> Column:
     """A number from 0 to n - 1 that the key and the purpose decide: the first seven hex digits of an md5."""
     digits = F.substring(F.md5(F.concat_ws("-", F.lit(what), key.cast("string"))), 1, 7)
@@ -218,16 +213,6 @@ def drawn_transform(key: Column, side: Column, odds: float = 0.5, recolor: bool
     ))
 
 
-def transformed(g: Column, t: Column, other: bool = False) -> Column:
-    """A grid under a drawn transform; `other`: under its complement, which reverses what it does not and turns a quarter further."""
-    columns, rows = (~t["columns"], ~t["rows"]) if other else (t["columns"], t["rows"])
-    quarters = F.pmod(t["quarters"] + 1, F.lit(4)) if other else t["quarters"]
-    g = let(g, lambda x: F.when(columns, flip_columns(x)).otherwise(x))
-    g = let(g, lambda x: F.when(rows, flip_rows(x)).otherwise(x))
-    g = let(turned(g, quarters), lambda x: F.when(t["colors"].isNotNull(), permute_colors(x, t["colors"])).otherwise(x))
-    return let(g, lambda x: F.when(t["k"] > 1, scale(x, t["k"])).otherwise(x))  # last, so that a cell is recoloured once
-
-
 def translate_point(x, y, dx, dy, times=1) -> Column:
     """STRUCT<x, y> shifted a number of times, backwards too."""
     return F.struct((_c(x) + _c(dx) * _c(times)).alias("x"), (_c(y) + _c(dy) * _c(times)).alias("y"))

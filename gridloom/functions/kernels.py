@@ -372,3 +372,54 @@ def over_rows(df: DataFrame, grid: str, name: str, kind: str, kernel: Callable[.
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(values, arrow)], names=[*b.schema.names, name])
 
     return df.mapInArrow(run, out)
+
+
+def moved(grids: pa.ListArray, columns: np.ndarray, rows: np.ndarray, quarters: np.ndarray, k: np.ndarray, colors: np.ndarray) -> pa.ListArray:
+    """Rectangular grids of colours 0 to 9, each with columns and rows reversed, turned clockwise by quarters, recoloured by its row of `colors` and scaled by k."""
+    lines = grids.flatten()
+    n = grids.value_lengths().to_numpy().astype(np.int64)
+    m = lines.value_lengths().to_numpy().astype(np.int64)[np.cumsum(n) - n]
+    cells = lines.flatten().to_numpy()
+    # cell (i, j) of the turned grid comes from row x + xi * i + xj * j, column y + yi * i + yj * j
+    x, xi, xj = np.where((quarters == 1) | (quarters == 2), n - 1, 0), np.array([1, 0, -1, 0])[quarters], np.array([0, -1, 0, 1])[quarters]
+    y, yi, yj = np.where(quarters >= 2, m - 1, 0), np.array([0, 1, 0, -1])[quarters], np.array([1, 0, -1, 0])[quarters]
+    x, xi, xj = np.where(rows, n - 1 - x, x), np.where(rows, -xi, xi), np.where(rows, -xj, xj)
+    y, yi, yj = np.where(columns, m - 1 - y, y), np.where(columns, -yi, yi), np.where(columns, -yj, yj)
+    start = np.cumsum(n * m) - n * m
+    high, wide = np.where(quarters % 2 == 1, m, n), np.where(quarters % 2 == 1, n, m)
+    own = np.repeat(np.arange(len(n)), n * m)
+    i, j = np.divmod(np.arange(len(own)) - start[own], wide[own])
+    turned = cells[(start + x * m + y)[own] + (xi * m + yi)[own] * i + (xj * m + yj)[own] * j]
+    long = np.repeat(colors[own, turned].astype(cells.dtype), k[own])
+    once = pa.ListArray.from_arrays(_offsets(np.repeat(wide * k, high)), pa.array(long))
+    return pa.ListArray.from_arrays(_offsets(high * k), once.take(pa.array(np.repeat(np.arange(len(once)), np.repeat(k, high)))))
+
+
+def _offsets(sizes: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+
+
+def moved_pairs(df: DataFrame, lists: tuple[str, ...], transform: str, rows: int = 1024) -> DataFrame:
+    """df without `transform`, a struct as of grid.drawn_transform(), and with the pairs in the columns `lists`, ARRAY<STRUCT<input, output, other>>, under it; where `other`, under its complement, which reverses what it does not and turns a quarter further. `rows` go through numpy at a time."""
+    whole = lambda g: T.ArrayType(T.ArrayType(g.elementType.elementType, False), False)  # noqa: E731  (no cell is null, so none is asked)
+    bare = lambda kind: T.ArrayType(T.StructType([T.StructField(f, whole(kind.elementType[f].dataType), False) for f in ("input", "output")]), False)
+    out = T.StructType([T.StructField(f.name, bare(f.dataType) if f.name in lists else f.dataType) for f in df.schema.fields if f.name != transform])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (all_.slice(at, rows) for all_ in batches for at in range(0, all_.num_rows, rows)):
+            t = b.column(transform)
+            columns, lines, quarters, k = (t.field(f).to_numpy(zero_copy_only=False) for f in ("columns", "rows", "quarters", "k"))
+            drawn, colors = t.field("colors"), np.tile(np.arange(10), (b.num_rows, 1))
+            colors[drawn.is_valid().to_numpy(zero_copy_only=False)] = drawn.flatten().to_numpy().reshape(-1, 10)
+            done = []
+            for f in out.names:
+                v = b.column(f)
+                if f in lists:
+                    sizes, pairs = v.value_lengths().to_numpy(), v.flatten()
+                    own, other = np.repeat(np.arange(b.num_rows), sizes), pairs.field("other").to_numpy(zero_copy_only=False).astype(bool)
+                    sides = [moved(pairs.field(s), columns[own] ^ other, lines[own] ^ other, (quarters[own] + other) % 4, k[own].astype(np.int64), colors[own]) for s in ("input", "output")]
+                    v = pa.ListArray.from_arrays(_offsets(sizes), pa.StructArray.from_arrays(sides, ["input", "output"]))
+                done.append(v)
+            yield pa.RecordBatch.from_arrays(done, out.names)
+
+    return df.mapInArrow(run, out)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.grid import all_color, compare, drawn_transform, is_grid, is_small_grid, pair_fits, permute_colors, seeded_permutation, transformed
+from ..functions.grid import all_color, compare, drawn_transform, is_grid, is_small_grid, pair_fits, permute_colors, seeded_permutation
+from ..functions.kernels import moved_pairs
 from ..functions.text import fill, one_line_base64, problem_uid
 from ..schemas import COLORS
 from .sandbox import execute
@@ -46,14 +47,16 @@ def augmented_tasks(tasks: DataFrame, rounds: int, odds: float = 0.5, recolor: b
     pairs = F.concat("train", "test")
     whole = F.forall(pairs, lambda p: is_small_grid(p["input"]) & is_small_grid(p["output"])) & (F.size("test") > 0)
     side = F.array_max(F.transform(pairs, lambda p: F.greatest(F.size(p["input"]), F.size(F.get(p["input"], 0)), F.size(p["output"]), F.size(F.get(p["output"], 0)))))
-    key = F.concat_ws("-", F.col("uid").cast("string"), F.col("round").cast("string"))
+    key = F.col("_key")
     # no filter, which Spark would move below the making of the grids and so make them twice
-    drawn = tasks.withColumn("round", F.explode(F.when(whole, F.sequence(F.lit(0), F.lit(rounds - 1))))).withColumn("_t", drawn_transform(key, side, odds, recolor))
-    pair = lambda p, other=False: F.struct(transformed(p["input"], F.col("_t"), other).alias("input"), transformed(p["output"], F.col("_t"), other).alias("output"))
+    drawn = tasks.withColumn("round", F.explode(F.when(whole, F.sequence(F.lit(0), F.lit(rounds - 1)))))
+    drawn = drawn.withColumn("_key", F.concat_ws("-", F.col("uid").cast("string"), F.col("round").cast("string"))).withColumn("_t", drawn_transform(key, side, odds, recolor))
+    pair = lambda p, other=False: F.struct(p["input"].alias("input"), p["output"].alias("output"), F.lit(other).alias("other"))
     places = F.transform(F.array_sort(F.transform(F.sequence(F.lit(0), F.size("train") - 1), lambda k: F.struct(F.md5(F.concat_ws("-", key, k.cast("string"))).alias("h"), k.alias("k")))), lambda x: x["k"])
     more = F.transform(F.slice(places, 1, F.greatest(wanted - F.size("train"), F.lit(0))), lambda k: pair(F.get("train", k), True))
-    train = F.when(F.size("train") > 0, F.concat(F.transform(F.slice("train", 1, wanted), lambda p: pair(p)), more)).otherwise(F.col("train"))
-    return drawn.select("uid", "round", train.alias("train"), F.transform(F.slice("test", 1, 1), lambda p: pair(p)).alias("test"))
+    first = lambda pairs, n: F.transform(F.slice(pairs, 1, n), lambda p: pair(p))
+    train = F.when(F.size("train") > 0, F.concat(first("train", wanted), more)).otherwise(first("train", wanted))
+    return moved_pairs(drawn.select("uid", "round", train.alias("train"), first("test", 1).alias("test"), "_t"), ("train", "test"), "_t")
 
 
 def usage_index(functions: DataFrame, seeds: DataFrame) -> DataFrame:
